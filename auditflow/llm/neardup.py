@@ -1,0 +1,305 @@
+"""Near duplicates by SuperMinHash, banding, verification and union-find grouping.
+
+One pass signs every text.  SuperMinHash gives each distinct shingle its own seeded random
+permutation of the signature's slots and takes it step by step: at step j the shingle offers
+j plus a fraction to its j-th slot.  Ranks of one shingle are thus correlated over the slots,
+which lowers the estimate's variance, and a text is finished as soon as no slot can improve,
+usually after a few steps for all of its shingles.
+
+Texts with equal shingle sets (by 128-bit set fingerprints) form a class and go on as one.
+Classes that share a band of their signatures are candidates; a bucket is never expanded into
+all pairs.  First each member meets the bucket's smallest one.  Components of the confirmed
+links follow, and only buckets that still hold several components are looked at again: their
+members meet members of other components, best estimates first, in blocks of bounded size,
+until no unchecked pair across components is left whose estimate could stand for the bound.
+A pair counts only after its full sets were intersected.
+
+Components come from alternating large-star and small-star contraction, all in joins and
+aggregations; no task or driver holds the graph.
+
+Defined cases: texts without words have empty sets and are linked with nothing.  Texts with
+fewer words than a shingle have the whole sequence as their one shingle.  Rows without doc_id
+are linked with nothing, get a null component and are kept.  Rows that repeat a doc_id
+with another text are one node of the graph, whose links are confirmed on one of its texts.  Other columns pass through drop_near_copies.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from . import textcore as tc
+from .columns import fresh, key, quoted, whole
+from .store import materialize
+
+SHINGLE, PERCENT = 4, 80
+#: 24 bands of 4 slots: a pair at the bound shares none with probability 3e-6.
+SLOTS, BANDS = 96, 24
+#: Equal slots (of 96) under which a pair cannot stand for the bound: 6 deviations below 80 %.
+LEAST_EQUAL = 52
+BLOCK = 512
+FIRST_PARTNERS, MORE_PARTNERS = 1, 8
+
+_SIGNED = pa.schema([("d", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+
+
+def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int):
+    """Distinct shingle fingerprints of every row, sorted within rows: (values, first of each row)."""
+    low = tc.LOWER[buf]
+    words = tc.words(low, off)
+    hashes = tc.fingerprints(low, words.start, words.end)
+    _, _, grams = tc.grams(hashes, words.first, k)
+    counts = np.diff(words.first)
+    short = (counts > 0) & (counts < k)
+    n = np.maximum(counts - (k - 1), 0)
+    bounds = np.concatenate(([0], np.cumsum(n)))
+    sets = [np.unique(grams[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    for i in np.flatnonzero(short).tolist():
+        a, b = words.first[i : i + 1], words.first[i + 1 : i + 2]
+        sets[i] = tc.sequence(hashes, a, b)
+    first = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
+    return np.concatenate(sets), first
+
+
+def signatures(values: np.ndarray, first: np.ndarray, slots=SLOTS) -> np.ndarray:
+    """SuperMinHash of every row: (rows, slots) of uint32, the step in the high byte."""
+    n = len(first) - 1
+    best = np.full((n, slots), 0xFFFFFFFF, np.uint32)
+    row = np.repeat(np.arange(n), np.diff(first))
+    e = values
+    deck = np.tile(np.arange(slots, dtype=np.uint8), (len(e), 1))  # each element's permutation so far
+    flat = best.reshape(-1)
+    for j in range(slots):
+        if not len(e):
+            break
+        r = tc.mix(e + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)))
+        k = (j + (((r & np.uint64(0xFFFFFFFF)) * np.uint64(slots - j)) >> np.uint64(32))).astype(np.int64)
+        at = np.arange(len(e))
+        slot = deck[at, k]
+        deck[at, k] = deck[:, j]
+        offer = (np.uint32(j) << np.uint32(24)) | (r >> np.uint64(40)).astype(np.uint32)
+        np.minimum.at(flat, row * slots + slot, offer)
+        # a row is finished once every slot is below what the next step can offer
+        going = (best.max(axis=1) > np.uint32((j + 1) << 24))[row] if j + 1 < slots else np.zeros(len(e), bool)
+        if not going.all():
+            e, row, deck = e[going], row[going], deck[going]
+    return best
+
+
+def band_keys(sig: np.ndarray, bands=BANDS) -> np.ndarray:
+    n, slots = sig.shape
+    wide = sig.reshape(n, bands, slots // bands).astype(np.uint64)
+    out = np.zeros((n, bands), np.uint64)
+    out += np.arange(bands, dtype=np.uint64)
+    for i in range(wide.shape[2]):
+        out = tc.mix(out * np.uint64(0x9E3779B97F4A7C15) + wide[:, :, i])
+    return out
+
+
+def _sign(k: int):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, buf, off in tc.slices(batch.column(2), tc.SLICE // 2):
+                values, first = shingle_sets(buf, off, k)
+                n = np.diff(first)
+                sig = signatures(values, first)
+                a = tc.segment_sum(tc.mix(values), first)
+                b = tc.segment_sum(tc.mix(values ^ np.uint64(0x5851F42D4C957F2D)), first)
+                keys = tc.long(band_keys(sig)).reshape(-1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys))
+                low = np.ascontiguousarray((sig ^ (sig >> np.uint32(8)) ^ (sig >> np.uint32(16))).astype(np.uint8))
+                text = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.arange(0, low.size + 1, SLOTS, dtype=np.int32)), pa.py_buffer(low)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), pa.array(tc.long(a)), pa.array(tc.long(b)), lists, text], schema=_SIGNED)
+
+    return run
+
+
+def _lanes(column) -> np.ndarray:
+    column = column.cast(pa.binary())
+    off = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]].reshape(len(column), SLOTS)
+
+
+def _promising(batches):
+    """Of (a, b, signature of a, signature of b), the pairs whose estimate could stand."""
+    for batch in batches:
+        if batch.num_rows:
+            ok = (_lanes(batch.column(2)) == _lanes(batch.column(3))).sum(axis=1) >= LEAST_EQUAL
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
+
+
+def _confirm(k: int, percent: int):
+    """Of (a, b, text of a, text of b), the pairs whose full sets are similar enough."""
+
+    def run(batches):
+        for batch in batches:
+            sets = []
+            for c in (2, 3):
+                own = []
+                for _, _, buf, off in tc.slices(batch.column(c)):
+                    values, first = shingle_sets(buf, off, k)
+                    own += [values[x:y] for x, y in zip(first[:-1], first[1:])]
+                sets.append(own)
+            ok = []
+            for x, y in zip(*sets):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    return run
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of edges (a, b); root is the smallest node it is connected with."""
+
+    def print_of(e):
+        r = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+        return r.n, r.x
+
+    e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    before = print_of(e)
+    while before[0]:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialize(large)
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = materialize(small.unionByName(least.withColumnRenamed("m", "b")).filter("a <> b").distinct())
+        now = print_of(e)
+        if now == before:
+            break
+        before = now
+    roots = e.select(F.col("b").alias("node")).distinct()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.withColumn("root", F.col("node")))
+
+
+def _across(limit: int):
+    """Pairs across components within the blocks of a bucket.
+
+    Rows come sorted by (key, sb, rb): d, comp, signature, and side (0: stray, 1: any member).
+    For each stray and other component, its `limit` best estimates that could stand go out;
+    a pair (0, 0) tells that some had more.
+    """
+
+    def compare(d, comp, sig, side):
+        s, m = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out = []
+        for i in s.tolist():
+            equal = (sig[m] == sig[i]).sum(axis=1)
+            ok = np.flatnonzero((equal >= LEAST_EQUAL) & (comp[m] != comp[i]))
+            if not len(ok):
+                continue
+            other = comp[m[ok]]
+            order = np.lexsort((d[m[ok]], -equal[ok], other))
+            ok, other = ok[order], other[order]
+            rank = np.arange(len(ok)) - np.searchsorted(other, other)
+            if (rank >= limit).any():
+                out.append((0, 0))
+            out += [(max(d[i], x), min(d[i], x)) for x in d[m[ok[rank < limit]]]]
+        return out
+
+    def run(batches):
+        held = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            else:
+                t = held
+            if t is None or not t.num_rows:
+                continue
+            keys = np.stack([t[c].to_numpy() for c in ("key", "sb", "rb")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            bounds = [0, *cuts.tolist()] + ([t.num_rows] if batch is None else [])
+            held = None if batch is None else t.slice(bounds[-1])
+            if len(bounds) < 2:
+                continue
+            done = t.slice(0, bounds[-1]).combine_chunks()
+            d, comp, side = (done[c].to_numpy() for c in ("d", "comp", "side"))
+            sig = _lanes(done["sig"].chunk(0))
+            pairs = [p for a, b in zip(bounds[:-1], bounds[1:]) for p in compare(d[a:b], comp[a:b], sig[a:b], side[a:b])]
+            pairs = np.array(sorted(set(pairs)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
+def _cross_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame, limit: int) -> DataFrame:
+    """Candidate pairs (a, b) between components that share a bucket of members (key, d)."""
+    comp = members.join(labels, F.col("d") == F.col("node"), "left").select("key", "d", F.coalesce("root", "d").alias("comp"))
+    sizes = comp.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    buckets = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most"))
+    buckets = buckets.filter("comps > 1").select("key", F.col("most.comp").alias("main"), F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK)).cast("long").alias("rs"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most.n")) / BLOCK)).cast("long").alias("ss"))
+    x = materialize(comp.join(buckets, "key").join(sigs, "d"))
+    place = lambda n: F.pmod(F.xxhash64("d"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    stray = x.filter("comp <> main").select("key", place("ss").alias("sb"), every("rs").alias("rb"), "d", "comp", "sig", F.lit(0).alias("side"))
+    others = x.select("key", every("ss").alias("sb"), place("rs").alias("rb"), "d", "comp", "sig", F.lit(1).alias("side"))
+    both = stray.unionByName(others).repartition("key", "sb", "rb").sortWithinPartitions("key", "sb", "rb")
+    return materialize(both.mapInArrow(_across(limit), "a long, b long"))
+
+
+def near_groups(docs: DataFrame, doc_id="doc_id", text="text", shingle=SHINGLE, percent=PERCENT) -> DataFrame:
+    """(d, fp, n, component): of every row its key(doc_id), text fingerprint, set size, component."""
+    base = docs.select(key(quoted(doc_id)).alias("d"), F.xxhash64(whole(quoted(text))).alias("fp"), whole(quoted(text)).alias("text"))
+    signed = materialize(base.mapInArrow(_sign(shingle), "d long, fp long, n long, s1 long, s2 long, bands array<long>, sig binary"))
+    linked = signed.filter((F.col("n") > 0) & (F.col("d") != key(F.lit(None))))
+    classes = materialize(linked.groupBy("n", "s1", "s2").agg(F.min(F.struct("d", "fp", "sig", "bands")).alias("r")).select("n", "s1", "s2", "r.*"))
+    sigs = classes.groupBy("d").agg(F.min("sig").alias("sig"))  # ids are unique unless rows repeat one
+    buckets = classes.select(F.explode("bands").alias("key"), "d")
+    pivots = buckets.groupBy("key").agg(F.min("d").alias("p"), F.max("d").alias("q")).filter("p <> q").select("key", "p")
+    members = materialize(buckets.join(pivots, "key"))
+    sig_of = lambda c: sigs.select(F.col("d").alias(c), F.col("sig").alias(f"sig_{c}"))
+    pairs = members.filter("d <> p").select(F.col("d").alias("a"), F.col("p").alias("b")).distinct()
+    pairs = pairs.join(sig_of("a"), "a").join(sig_of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_promising, "a long, b long")
+    # the texts of all candidates, fetched once
+    wanted = members.select("d").distinct().join(classes.select("d", "fp"), "d")
+    texts = materialize(base.join(wanted.hint("shuffle_hash"), ["d", "fp"], "left_semi").groupBy("d").agg(F.min("text").alias("text")))
+    text_of = lambda c: texts.select(F.col("d").alias(c), F.col("text").alias(f"text_{c}"))
+
+    def confirmed(pairs):
+        return pairs.join(text_of("a"), "a").join(text_of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long")
+
+    links = materialize(confirmed(pairs))
+    labels = materialize(components(links))
+    limit, tried = FIRST_PARTNERS, None
+    while True:
+        found = _cross_pairs(members.select("key", "d"), labels, sigs, limit)
+        more = bool(found.filter("a = 0 AND b = 0").take(1))
+        new = found.filter("a <> b").distinct()
+        new = materialize(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
+        if new.take(1):
+            fine = materialize(confirmed(new))
+            tried = new if tried is None else tried.unionByName(new)
+            if fine.take(1):
+                links = links.unionByName(fine)
+                labels = materialize(components(links))
+                more = True
+        if not more:
+            break
+        limit *= MORE_PARTNERS
+    named = classes.join(labels, F.col("d") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("root", "d").alias("component"))
+    done = linked.drop("bands", "sig").join(named, ["n", "s1", "s2"]).select("d", "fp", "n", "component")
+    rest = signed.filter(~((F.col("n") > 0) & (F.col("d") != key(F.lit(None))))).select("d", "fp", "n", F.when(F.col("d") != key(F.lit(None)), F.col("d")).alias("component"))
+    return done.unionByName(rest)
+
+
+def near_components(docs: DataFrame, doc_id="doc_id", text="text", shingle=SHINGLE, percent=PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    g = near_groups(docs, doc_id, text, shingle, percent)
+    own = F.when(F.col("d") != key(F.lit(None)), F.col("d"))
+    return g.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(own == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, doc_id="doc_id", text="text", shingle=SHINGLE, percent=PERCENT) -> DataFrame:
+    """docs without the rows whose component has a smaller doc_id; columns unchanged."""
+    gone = near_groups(docs, doc_id, text, shingle, percent).filter("component <> d").select("d", "fp").distinct()
+    a, b = fresh(docs, "join_d", "join_fp")
+    keyed = docs.withColumns({a: key(quoted(doc_id)), b: F.xxhash64(whole(quoted(text)))})
+    return keyed.join(gone.toDF(a, b).hint("shuffle_hash"), [a, b], "left_anti").select(*map(quoted, docs.columns))
