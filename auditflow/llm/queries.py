@@ -11,6 +11,7 @@ from .mixing import mix_sources
 from .neardup import near_components
 from .packing import pack_documents
 from .quality import quality_verdicts
+from .secretscan import scan_secrets
 from .store import table
 from .substring import dedup_texts
 from .tokencount import count_tokens
@@ -43,6 +44,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
