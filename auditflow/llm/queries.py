@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .linededup import dedup_lines
+from .lm import lm_scores
 from .mixing import mix_sources
 from .neardup import near_components
 from .packing import pack_documents
@@ -18,6 +19,10 @@ from .tokencount import count_tokens
 from .topk import top_k
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
