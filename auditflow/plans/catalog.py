@@ -1,11 +1,613 @@
-"""Registered queries."""
+"""Registered queries: each operator over the relations, with SQL of the same result."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import keys, paths, text
+from ..operators import findings as fo, graph, history, metrics, review, risk, visibility
+from . import relations as rel
+from .storage import materialize, table
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(sql: str | None = None, *needs: str, also: str = ""):
+    """Register a query under its function's name; needs: relations that the SQL names."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            ctes = [rel.SQL[n] for n in needs] + ([also] if also else [])
+            _SQL[f.__name__] = (f"WITH RECURSIVE {', '.join(ctes)} " if ctes else "") + sql
+        return f
+
+    return add
+
+
+# Parts of SQL that several queries share.
+_SEV = "CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END"
+_CONF = "CASE confidence WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END"
+_BASE = "CASE severity WHEN 'CRITICAL' THEN 95 WHEN 'HIGH' THEN 75 WHEN 'MEDIUM' THEN 45 WHEN 'LOW' THEN 20 ELSE 5 END"
+_BROAD = "rule_id IN ('architecture.large-file', 'code-quality.long-function', 'code-quality.complex-file')"
+_RAW_SCORE = f"(({_BASE}) * (CASE confidence WHEN 'HIGH' THEN 110 WHEN 'MEDIUM' THEN 100 ELSE 80 END) + 50) // 100 + CASE category WHEN 'SECURITY' THEN 12 WHEN 'TESTING' THEN -12 ELSE 0 END + CASE WHEN {_BROAD} THEN -12 ELSE 0 END"
+_SCORED = f"scored AS (SELECT *, CAST(greatest(0, least(100, {_RAW_SCORE})) AS INT) AS score FROM findings)"
+
+
+def _band(score: str) -> str:
+    return f"CASE WHEN {score} >= 90 THEN 'P0' WHEN {score} >= 70 THEN 'P1' WHEN {score} >= 40 THEN 'P2' ELSE 'P3' END"
+
+
+_RISKY = f"{_SCORED}, risky AS (SELECT *, {_band('score')} AS priority FROM scored)"
+_SCOPE = "CASE WHEN split_part(path, '/', 2) = '' OR contains(split_part(path, '/', 2), '.') THEN split_part(path, '/', 1) ELSE concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)) END"
+_PEN = "CASE severity WHEN 'CRITICAL' THEN 20.0 WHEN 'HIGH' THEN 5.0 WHEN 'MEDIUM' THEN 2.0 WHEN 'LOW' THEN 0.5 ELSE 0.0 END"
+_DIR = lambda c: f"regexp_replace({c}, '/[^/]*$', '')"
+_DEP = "kind IN ('imports', 're-exports', 'depends-on')"
+_LINES = "list_filter(string_split(replace(content, chr(13), ''), chr(10)), lambda x: regexp_matches(x, '\\S'))"
+
+
+def _risky(spark, sf_dir) -> DataFrame:
+    return risk.base_score(rel.findings(spark, sf_dir))
+
+
+# ---- files and text -------------------------------------------------------------------------
+
+
+@_register("SELECT language, count(*) AS files FROM files WHERE language IS NOT NULL GROUP BY language", "files")
+def language_summary(spark, sf_dir):
+    return metrics.language_summary(rel.files(spark, sf_dir))
+
+
+@_register(f"SELECT path, CAST(len({_LINES}) AS BIGINT) AS non_empty_lines, CAST(len(regexp_extract_all(content, '\\b(if|else|elif|for|while|match|switch|case|catch) ')) AS BIGINT) + CAST(len(regexp_extract_all(content, '&&|\\|\\|')) AS BIGINT) AS branches FROM files WHERE NOT regexp_matches(content, '(?m)^\\s*(//|#|\\*|/\\*)')", "files")
+def file_metrics(spark, sf_dir):
+    f = rel.files(spark, sf_dir).filter(~F.col("content").rlike(r"(?m)^\s*(//|#|\*|/\*)"))
+    return f.select("path", text.non_empty_lines(F.col("content")).alias("non_empty_lines"), text.branches(F.col("content")).alias("branches"))
+
+
+_ROLE = "CASE WHEN contains(path, '/generated/') THEN 'generated' WHEN contains(path, '/tests/') THEN 'test' ELSE 'production' END"
+
+
+@_register(f"SELECT path, {_ROLE} AS role, contains(path, '/generated/') OR contains(path, '/tests/') AS low_signal FROM files", "files")
+def file_roles(spark, sf_dir):
+    p = F.col("path")
+    return rel.files(spark, sf_dir).select("path", paths.role(p).alias("role"), paths.low_signal(p).alias("low_signal"))
+
+
+@_register(f"SELECT 'architecture.large-file' AS rule_id, path, CASE WHEN n >= 100 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, n FROM (SELECT path, {_ROLE} AS role, CAST(len({_LINES}) AS BIGINT) AS n FROM files) WHERE role = 'production' AND n > 20", "files")
+def large_file_findings(spark, sf_dir):
+    f = rel.files(spark, sf_dir).select("path", paths.role(F.col("path")).alias("role"), text.non_empty_lines(F.col("content")).alias("n"))
+    big = f.filter((F.col("role") == "production") & (F.col("n") > 20))
+    return big.select(F.lit("architecture.large-file").alias("rule_id"), "path", F.when(F.col("n") >= 100, "HIGH").otherwise("MEDIUM").alias("severity"), "n")
+
+
+@_register("SELECT path, CASE WHEN size > 20000 THEN 'large-file' WHEN contains(path, '/generated/') OR contains(path, '/tests/') THEN 'low-signal' END AS skip_reason FROM files", "files")
+def load_decisions(spark, sf_dir):
+    return rel.files(spark, sf_dir).select("path", F.when(F.col("size") > 20000, "large-file").when(paths.low_signal(F.col("path")), "low-signal").alias("skip_reason"))
+
+
+@_register(f"SELECT count(*) AS files_discovered, count(*) FILTER (r IS NULL) AS files_analyzed, count(*) FILTER (r = 'large-file') AS large_files_skipped, count(*) FILTER (r = 'binary') AS binary_files_skipped, count(*) FILTER (r = 'low-signal') AS low_signal_skipped, CAST(sum(n) FILTER (r IS NULL) AS BIGINT) AS non_empty_lines FROM (SELECT CASE WHEN size > 20000 THEN 'large-file' WHEN contains(path, '/generated/') OR contains(path, '/tests/') THEN 'low-signal' END AS r, len({_LINES}) AS n FROM files)", "files")
+def scan_counters(spark, sf_dir):
+    f = rel.files(spark, sf_dir)
+    reason = F.when(F.col("size") > 20000, "large-file").when(paths.low_signal(F.col("path")), "low-signal")
+    return metrics.scan_counters(f.select(reason.alias("skip_reason"), text.non_empty_lines(F.col("content")).alias("non_empty_lines")))
+
+
+@_register(f"SELECT {_DIR('path')} AS directory, count(*) AS files FROM files GROUP BY 1 HAVING count(*) > 5", "files")
+def crowded_directories(spark, sf_dir):
+    return metrics.crowded_directories(rel.files(spark, sf_dir), 5)
+
+
+@_register("SELECT path, sha256(content) AS hash FROM files", "files")
+def content_hashes(spark, sf_dir):
+    return rel.files(spark, sf_dir).select("path", keys.content_hash(F.col("content")).alias("hash"))
+
+
+@_register("SELECT h AS hash, e AS entropy FROM (SELECT event_id AS h, (SELECT round(-sum(n / s * log2(n / s)), 9) FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(length(props) AS DOUBLE) AS s FROM (SELECT unnest(string_split(props, '')) AS c) GROUP BY c)) AS e FROM events)")
+def line_entropy(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("hash"), F.round(text.entropy(F.col("props")), 9).alias("entropy"))
+
+
+@_register("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'FIXME' WHEN event_id % 3 = 1 THEN 'HACK' END AS marker FROM events")
+def marker_detection(spark, sf_dir):
+    line = F.expr("CASE event_id % 3 WHEN 0 THEN concat('x = ', event_id, ' // TODO or FIXME') WHEN 1 THEN concat('TODO # HACK ', event_type) ELSE concat('FIXME ', event_type) END")
+    return table(spark, sf_dir, "events").select("event_id", text.marker(line).alias("marker"))
+
+
+# ---- findings -------------------------------------------------------------------------------
+
+
+@_register(f"SELECT finding_no, rule_id, severity, confidence FROM findings WHERE {_SEV} >= 2 AND {_CONF} >= 1 AND rule_id IN ('code-marker.todo', 'security.secret-candidate', 'architecture.large-file')", "findings")
+def findings_filter(spark, sf_dir):
+    f = fo.matching(rel.findings(spark, sf_dir), "MEDIUM", "MEDIUM", rule_ids=["code-marker.todo", "security.secret-candidate", "architecture.large-file"])
+    return f.select("finding_no", "rule_id", "severity", "confidence")
+
+
+@_register("SELECT category, count(*) AS n FROM findings WHERE rule_id NOT IN ('code-marker.todo', 'code-marker.hack') GROUP BY category", "findings")
+def disabled_rules(spark, sf_dir):
+    return fo.without_rules(rel.findings(spark, sf_dir), ["code-marker.todo", "code-marker.hack"]).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register("SELECT finding_no, CASE rule_id WHEN 'code-marker.todo' THEN 'INFO' WHEN 'framework.js.console-log' THEN 'MEDIUM' ELSE severity END AS severity FROM findings", "findings")
+def severity_overrides(spark, sf_dir):
+    o = spark.createDataFrame([("code-marker.todo", "INFO"), ("framework.js.console-log", "MEDIUM")], "rule_id string, severity string")
+    return fo.with_overrides(rel.findings(spark, sf_dir), o).select("finding_no", "severity")
+
+
+_RANKED = lambda c, labels: "CASE " + c + " " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(labels)) + " END"
+_S5, _C3 = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"), ("LOW", "MEDIUM", "HIGH")
+
+
+@_register(
+    f"SELECT finding_no, CASE WHEN severity = 'INFO' THEN default_severity WHEN {_SEV} <= {_RANKED('max_severity', _S5)} THEN severity ELSE max_severity END AS severity, "
+    f"CASE WHEN NOT contextual_confidence OR confidence = 'MEDIUM' THEN default_confidence WHEN {_CONF} <= {_RANKED('max_confidence', _C3)} THEN confidence ELSE max_confidence END AS confidence FROM findings",
+    "findings",
+)
+def enrichment(spark, sf_dir):
+    from ..functions import rules
+
+    return fo.enriched(rel.findings(spark, sf_dir).drop("category", "lifecycle", "signal_source"), rules.table(spark)).select("finding_no", "severity", "confidence")
+
+
+@_register(
+    "SELECT finding_no, concat(rule_id, ':', path, ':', substring(sha256(concat(lower(regexp_replace(title, '[0-9]+', '#')), chr(10), concat('let v = \"#\" + ', '#'))), 1, 16)) AS key FROM findings",
+    "findings",
+)
+def stable_keys(spark, sf_dir):
+    k = keys.stable_key(*(F.col(c) for c in ("rule_id", "path", "title", "description", "snippet")))
+    return rel.findings(spark, sf_dir).select("finding_no", k.alias("key"))
+
+
+@_register("SELECT finding_no, substring(sha256(concat_ws(chr(1), rule_id, path, CAST(line_start AS VARCHAR), coalesce(CAST(line_end AS VARCHAR), ''), snippet)), 1, 16) AS key FROM findings", "findings")
+def occurrence_keys(spark, sf_dir):
+    e = F.array(F.struct("path", "line_start", "line_end", "snippet"))
+    return rel.findings(spark, sf_dir).select("finding_no", keys.occurrence_key(F.col("rule_id"), F.col("title"), e).alias("key"))
+
+
+@_register(
+    f"SELECT finding_no, rule_id, path, line_start, severity, confidence, recommendation, docs_url, merged FROM (SELECT min(finding_no) AS finding_no, rule_id, path, line_start, line_end, snippet, category, title, description, package, detector, CASE max({_SEV}) WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'LOW' ELSE 'INFO' END AS severity, CASE max({_CONF}) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, coalesce(arg_min(recommendation, finding_no) FILTER (trim(recommendation) <> ''), '') AS recommendation, arg_min(docs_url, finding_no) FILTER (docs_url IS NOT NULL) AS docs_url, count(*) AS merged FROM findings GROUP BY ALL)",
+    "findings",
+)
+def finding_dedup(spark, sf_dir):
+    f = rel.findings(spark, sf_dir).withColumn("evidence", F.array(F.struct("path", "line_start", "line_end", "snippet")))
+    return fo.aggregated(f).select("finding_no", "rule_id", "path", "line_start", "severity", "confidence", "recommendation", "docs_url", "merged")
+
+
+@_register("SELECT rule_id, path, line_start, min(finding_no) AS finding_no, arg_min(severity, finding_no) AS severity FROM findings GROUP BY ALL", "findings")
+def workspace_dedup_first(spark, sf_dir):
+    return fo.first_per_place(rel.findings(spark, sf_dir)).select("rule_id", "path", "line_start", "finding_no", "severity")
+
+
+@_register(f"SELECT violation, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN trim(recommendation) = '' THEN 'empty-recommendation' END, CASE WHEN line_end < line_start THEN 'invalid-evidence-line-range' END, CASE WHEN {_SEV} >= 3 AND docs_url IS NULL THEN 'missing-docs-for-high-severity' END], lambda x: x IS NOT NULL)) AS violation FROM findings) GROUP BY violation", "findings")
+def contract_violations(spark, sf_dir):
+    f = _risky(spark, sf_dir).withColumns({"id": F.col("finding_no").cast("string"), "formula_version": F.lit("v3"), "evidence": F.array(F.struct("path", "line_start", "line_end"))})
+    return fo.violations(f).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FEEDBACK = "SELECT DISTINCT rule_id, path FROM findings WHERE finding_no % 50 = 0 UNION ALL SELECT 'security.secret-candidate', concat('gone/', n_name) FROM nation"
+
+
+def _feedback(spark, sf_dir):
+    f = rel.findings(spark, sf_dir).filter("finding_no % 50 = 0").select("rule_id", "path").distinct()
+    return f.unionByName(table(spark, sf_dir, "nation").select(F.lit("security.secret-candidate").alias("rule_id"), F.concat(F.lit("gone/"), "n_name").alias("path")))
+
+
+@_register("SELECT finding_no FROM findings f WHERE NOT EXISTS (SELECT 1 FROM feedback b WHERE b.rule_id = f.rule_id AND b.path = f.path)", "findings", also=f"feedback AS ({_FEEDBACK})")
+def suppression_anti_join(spark, sf_dir):
+    return fo.suppressed(rel.findings(spark, sf_dir), _feedback(spark, sf_dir)).select("finding_no")
+
+
+@_register("SELECT rule_id, path FROM feedback b WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE b.rule_id = f.rule_id AND b.path = f.path)", "findings", also=f"feedback AS ({_FEEDBACK})")
+def unmatched_suppressions(spark, sf_dir):
+    return fo.unmatched(_feedback(spark, sf_dir), rel.findings(spark, sf_dir)).select("rule_id", "path")
+
+
+# ---- scores ---------------------------------------------------------------------------------
+
+
+@_register("SELECT finding_no, score, priority FROM risky", "findings", also=_RISKY)
+def risk_base_score(spark, sf_dir):
+    return _risky(spark, sf_dir).select("finding_no", "score", "priority")
+
+
+_ORDER = f"score DESC, {_SEV} DESC, CASE category WHEN 'SECURITY' THEN 0 WHEN 'ARCHITECTURE' THEN 1 WHEN 'FRAMEWORK' THEN 2 WHEN 'CODE_QUALITY' THEN 3 ELSE 4 END, rule_id, concat(path, ':', line_start), finding_no"
+
+
+@_register(f"SELECT finding_no, rule_id, path, score, priority FROM risky ORDER BY {_ORDER} LIMIT 200", "findings", also=_RISKY)
+def risk_ranked_findings(spark, sf_dir):
+    """The flagship report: the 200 riskiest findings in canonical order."""
+    return fo.page(_risky(spark, sf_dir), 0, 200).select("finding_no", "rule_id", "path", "score", "priority")
+
+
+@_register(f"SELECT finding_no FROM risky ORDER BY {_ORDER} LIMIT 50 OFFSET 100", "findings", also=_RISKY)
+def finding_page(spark, sf_dir):
+    return fo.page(_risky(spark, sf_dir), 100, 50).select("finding_no")
+
+
+def _clamped(expr: str) -> str:
+    return f"CAST(greatest(0, least(100, {expr})) AS INT)"
+
+
+_OVERLAYS = f"""{_RISKY},
+clusters AS (SELECT rule_id, {_SCOPE} AS scope, count(*) AS n FROM risky GROUP BY ALL HAVING count(*) >= 3),
+s1 AS (SELECT r.*, {_clamped("r.score + coalesce(CASE WHEN c.n >= 16 THEN 7 WHEN c.n >= 6 THEN 5 WHEN c.n >= 3 THEN 3 END, 0)")} AS s FROM risky r LEFT JOIN clusters c ON r.rule_id = c.rule_id AND {_SCOPE.replace('path', 'r.path')} = c.scope),
+s2 AS (SELECT *, {_clamped("s + CASE WHEN finding_no % 2 = 0 THEN 10 ELSE -8 END")} AS t FROM s1),
+s3 AS (SELECT *, {_clamped("t + CASE WHEN finding_no % 5 = 0 THEN 12 ELSE 0 END")} AS u FROM s2),
+hot AS (SELECT package FROM findings WHERE severity IN ('HIGH', 'CRITICAL') AND package IS NOT NULL GROUP BY package HAVING count(*) > 1),
+s4 AS (SELECT *, {_clamped("u + CASE WHEN package IN (SELECT package FROM hot) THEN 5 ELSE 0 END")} AS v FROM s3)"""
+
+
+@_register(f"SELECT finding_no, v AS score, {_band('v')} AS priority FROM s4", "findings", also=_OVERLAYS)
+def risk_overlay_fold(spark, sf_dir):
+    """Cluster, baseline, review and hotspot overlays in order, clamped after each."""
+    f = risk.cluster_overlay(_risky(spark, sf_dir))
+    f = f.withColumns({"status": F.when(F.col("finding_no") % 2 == 0, "new").otherwise("existing"), "in_diff": F.col("finding_no") % 5 == 0})
+    return risk.hotspot_overlay(risk.review_overlay(risk.baseline_overlay(f))).select("finding_no", "score", "priority")
+
+
+@_register(f"SELECT rule_id, {_SCOPE} AS scope, count(*) AS n FROM findings GROUP BY ALL HAVING count(*) >= 3", "findings")
+def cluster_sizes(spark, sf_dir):
+    return risk.cluster_sizes(rel.findings(spark, sf_dir))
+
+
+@_register("SELECT package, count(*) AS n FROM findings WHERE severity IN ('HIGH', 'CRITICAL') AND package IS NOT NULL GROUP BY package HAVING count(*) > 1", "findings")
+def workspace_hotspots(spark, sf_dir):
+    return risk.hotspots(rel.findings(spark, sf_dir))
+
+
+@_register(f"SELECT rule_id, {_SCOPE} AS scope, count(*) AS n, max(score) AS max_score, min(priority) AS best_priority FROM risky GROUP BY ALL ORDER BY max_score DESC, n DESC, rule_id, scope LIMIT 20", "findings", also=_RISKY)
+def risky_clusters(spark, sf_dir):
+    return metrics.risky_clusters(_risky(spark, sf_dir))
+
+
+@_register("SELECT count(*) AS total, count(*) FILTER (priority = 'P0') AS p0, count(*) FILTER (priority = 'P1') AS p1, count(*) FILTER (priority = 'P2') AS p2, count(*) FILTER (priority = 'P3') AS p3, min(priority) AS highest_priority, CAST(floor(avg(score) + 0.5) AS INT) AS average_score FROM risky", "findings", also=_RISKY)
+def risk_summary(spark, sf_dir):
+    return metrics.risk_summary(_risky(spark, sf_dir))
+
+
+@_register(f"SELECT package, count(*) AS findings, CAST(floor(greatest(0.0, least(100.0, 100.0 - sum({_PEN}) / greatest(any_value(n) / 1000.0, 0.5)))) AS INT) AS health_score FROM findings JOIN (SELECT concat('pkg', i) AS package, 50000 * (i + 1) AS n FROM range(5) t(i)) USING (package) GROUP BY package", "findings")
+def health_score(spark, sf_dir):
+    lines = spark.createDataFrame([(f"pkg{i}", 50000 * (i + 1)) for i in range(5)], "package string, non_empty_lines long")
+    return metrics.health_score(rel.findings(spark, sf_dir).filter("package IS NOT NULL"), lines, ["package"])
+
+
+@_register(
+    "SELECT count(*) AS total, count(*) FILTER (confidence = 'LOW') AS confidence_low, count(*) FILTER (confidence = 'MEDIUM') AS confidence_medium, count(*) FILTER (confidence = 'HIGH') AS confidence_high, "
+    + ", ".join(f"count(*) FILTER (lifecycle = '{x}') AS lifecycle_{x}" for x in ("experimental", "preview", "stable", "deprecated")) + ", "
+    + ", ".join(f"count(*) FILTER (signal_source = '{x}') AS source_{x.replace('-', '_')}" for x in ("text-heuristic", "ast", "config-file", "dependency-manifest", "import-graph", "framework-detector", "git-diff", "mixed"))
+    + ", 100 AS evidence_percent, CAST((count(*) FILTER (trim(recommendation) <> '') * 100 + count(*) // 2) // count(*) AS INT) AS recommendation_percent, CAST((count(*) FILTER (severity IN ('HIGH', 'CRITICAL') AND docs_url IS NOT NULL) * 100 + count(*) FILTER (severity IN ('HIGH', 'CRITICAL')) // 2) // count(*) FILTER (severity IN ('HIGH', 'CRITICAL')) AS INT) AS high_risk_docs_percent FROM findings",
+    "findings",
+)
+def signal_quality(spark, sf_dir):
+    return metrics.signal_quality(rel.findings(spark, sf_dir))
+
+
+@_register("SELECT " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")) + " FROM findings WHERE finding_no % 5 = 0", "findings")
+def severity_counts(spark, sf_dir):
+    return metrics.severity_counts(rel.findings(spark, sf_dir).filter("finding_no % 5 = 0"))
+
+
+@_register("SELECT package, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")) + " FROM findings WHERE package IS NOT NULL GROUP BY package", "findings")
+def package_counts(spark, sf_dir):
+    return metrics.package_counts(rel.findings(spark, sf_dir))
+
+
+def _q(ids) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in ids) + ")"
+
+
+def _visibility_sql() -> str:
+    from ..functions import rules
+
+    intent = f"""CASE WHEN category = 'TESTING' THEN 'testing-gap' WHEN category = 'SECURITY' THEN 'security-risk' WHEN rule_id IN {_q(rules.RUNTIME)} THEN 'runtime-risk'
+      WHEN rule_id IN {_q(rules.IMPORT_GRAPH)} THEN 'actionable-risk' WHEN category = 'FRAMEWORK' AND rule_id IN {_q(rules.FRAMEWORK_STYLE)} THEN 'maintainability'
+      WHEN category = 'FRAMEWORK' AND direct THEN 'actionable-risk' WHEN rule_id IN {_q(rules.MAINTAINABILITY)} THEN 'maintainability' WHEN sev >= 3 THEN 'actionable-risk' ELSE 'informational' END"""
+    visible = f"""CASE WHEN rule_id IN {_q(rules.SECRET_LEAKS)} AND sev >= 3 AND confidence <> 'LOW' THEN true WHEN confidence = 'LOW' OR sev <= 1 THEN false
+      WHEN rule_id = '{rules.PACKAGE_BOUNDARY}' AND confidence = 'HIGH' THEN true WHEN lifecycle IN ('experimental', 'deprecated') THEN false
+      WHEN lifecycle = 'preview' AND confidence = 'MEDIUM' AND NOT (direct AND intent IN ('security-risk', 'runtime-risk', 'actionable-risk')) THEN false
+      WHEN intent = 'security-risk' THEN sev >= 3 WHEN intent = 'runtime-risk' THEN priority IN ('P0', 'P1') OR sev >= 3
+      WHEN intent = 'actionable-risk' THEN (rule_id IN {_q(rules.IMPORT_GRAPH)} AND priority <= 'P2') OR direct OR priority IN ('P0', 'P1') OR (sev >= 3 AND confidence = 'HIGH')
+      WHEN intent = 'maintainability' THEN rule_id NOT IN {_q(rules.STRICT_ONLY)} AND priority IN ('P0', 'P1') ELSE false END"""
+    shown = f"CASE WHEN rule_id = '{rules.PACKAGE_BOUNDARY}' AND visible AND confidence = 'HIGH' AND sev >= 2 THEN 'actionable-risk' ELSE intent END"
+    return f"{_RISKY}, v0 AS (SELECT *, {_SEV} AS sev, signal_source IN {_q(rules.DIRECT_EVIDENCE)} AS direct FROM risky), v1 AS (SELECT *, {intent} AS intent FROM v0), v2 AS (SELECT *, {visible} AS visible FROM v1), shown AS (SELECT * REPLACE ({shown} AS intent) FROM v2)"
+
+
+@_register("SELECT finding_no, intent, visible FROM shown", "findings", also=_visibility_sql())
+def visibility_decisions(spark, sf_dir):
+    f = _risky(spark, sf_dir).withColumn("has_evidence", F.lit(True))
+    return visibility.classified(f).select("finding_no", "intent", "visible")
+
+
+@_register("SELECT intent, rule_id, category, count(*) AS n FROM shown WHERE NOT visible GROUP BY ALL", "findings", also=_visibility_sql())
+def hidden_suggestion_summary(spark, sf_dir):
+    f = visibility.classified(_risky(spark, sf_dir).withColumn("has_evidence", F.lit(True)))
+    return visibility.hidden_summary(f).groupBy("intent", "rule_id", "category").agg(F.sum("n").alias("n"))
+
+
+# ---- baselines and history ------------------------------------------------------------------
+
+_BASELINE = "baseline AS (SELECT DISTINCT concat(rule_id, ':', path) AS key FROM findings WHERE finding_no % 7 = 0 UNION ALL SELECT DISTINCT concat(rule_id, ':', path, ':', line_start) AS key FROM findings WHERE finding_no % 11 = 0)"
+
+
+def _baselined(spark, sf_dir):
+    f = rel.findings(spark, sf_dir).withColumn("key", F.concat_ws(":", "rule_id", "path"))
+    own = f.filter("finding_no % 7 = 0").select("key", "rule_id", "path", F.col("title").alias("message"))
+    old = f.filter("finding_no % 11 = 0").select(F.concat_ws(":", "key", "line_start").alias("key"), "rule_id", "path", F.col("title").alias("message"))
+    return history.baseline_status(f, own.unionByName(old))
+
+
+_STATUS = f"{_BASELINE}, legacy AS (SELECT DISTINCT rule_id, path, title FROM findings WHERE finding_no % 11 = 0), stat AS (SELECT f.*, CASE WHEN concat(f.rule_id, ':', f.path) IN (SELECT key FROM baseline) OR EXISTS (SELECT 1 FROM legacy l WHERE l.rule_id = f.rule_id AND l.path = f.path AND l.title = f.title) THEN 'existing' ELSE 'new' END AS status FROM findings f)"
+
+
+@_register("SELECT finding_no, status FROM stat", "findings", also=_STATUS)
+def baseline_status(spark, sf_dir):
+    return _baselined(spark, sf_dir).select("finding_no", "status")
+
+
+@_register(f"SELECT count(*) AS failed, count(*) = 0 AS passed FROM stat WHERE status = 'new' AND {_SEV} >= 3", "findings", also=_STATUS)
+def ci_gate(spark, sf_dir):
+    return history.gate(_baselined(spark, sf_dir), new="HIGH")
+
+
+_RUNS = "SELECT concat(rule_id, '|', path, '|', line_start) AS occurrence_key, rule_id, path, severity, finding_no AS seq FROM findings"
+_DELTA = f"cur AS (SELECT occurrence_key, max(rule_id) AS rule_id, max(path) AS path, arg_max(severity, seq) AS severity FROM ({_RUNS} WHERE day >= DATE '1998-01-01') GROUP BY 1), pri AS (SELECT occurrence_key, max(rule_id) AS rule_id, max(path) AS path, arg_max(severity, seq) AS severity FROM ({_RUNS} WHERE day < DATE '1998-01-01') GROUP BY 1)"
+
+
+@_register("SELECT occurrence_key, coalesce(c.rule_id, p.rule_id) AS rule_id, coalesce(c.path, p.path) AS path, CASE WHEN p.rule_id IS NULL THEN 'new' WHEN c.rule_id IS NULL THEN 'resolved' ELSE 'persisting' END AS state, p.severity AS old_severity, c.severity AS new_severity, coalesce(c.severity <> p.severity, false) AS shifted FROM cur c FULL JOIN pri p USING (occurrence_key)", "findings", also=_DELTA)
+def run_delta(spark, sf_dir):
+    f = rel.findings(spark, sf_dir).select(F.concat_ws("|", "rule_id", "path", "line_start").alias("occurrence_key"), "rule_id", "path", "severity", F.col("finding_no").alias("seq"), "day")
+    return history.run_delta(f.filter("day >= DATE '1998-01-01'").drop("day"), f.filter("day < DATE '1998-01-01'").drop("day"))
+
+
+_EVENT_RUNS = "SELECT user_id, ts AS recorded_at, event_id AS run, CAST(length(props) AS BIGINT) * 1000 AS n_bytes FROM events"
+
+
+def _runs(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", F.col("ts").alias("recorded_at"), F.col("event_id").alias("run"), (F.length("props").cast("long") * 1000).alias("n_bytes"))
+
+
+@_register(f"SELECT user_id, run, n_bytes FROM (SELECT *, row_number() OVER w AS n, sum(n_bytes) OVER (w ROWS UNBOUNDED PRECEDING) AS b FROM ({_EVENT_RUNS}) WINDOW w AS (PARTITION BY user_id ORDER BY recorded_at DESC, run DESC)) WHERE n <= 8 AND b <= 70000")
+def keep_last_n_runs(spark, sf_dir):
+    return history.kept_runs(_runs(spark, sf_dir), ["user_id"], 8, 70000).select("user_id", "run", "n_bytes")
+
+
+@_register("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS run FROM events WHERE (user_id, event_type) IN (SELECT (user_id, event_type) FROM events WHERE event_id % 100 = 0) GROUP BY ALL")
+def history_newest_compatible(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").alias("recorded_at"), F.col("event_id").alias("run"))
+    return history.newest_compatible(e, e.filter("run % 100 = 0"), ["user_id", "event_type"]).select("user_id", "event_type", "run")
+
+
+@_register("SELECT c_custkey AS run, CASE WHEN c_custkey % 6 = 0 THEN 'workspace-mismatch' WHEN c_custkey % 4 = 0 THEN 'scope-mismatch' WHEN c_custkey % 3 = 0 THEN 'revision-range-mismatch' WHEN c_custkey % 5 = 0 THEN 'config-mismatch' END AS reason FROM customer")
+def run_comparison(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run"))
+    same = {x: F.lit("a") for x, _ in history.IDENTITY} | {"schema_version": F.lit(1)}
+    other = lambda n: F.when(F.col("run") % n == 0, "b").otherwise("a")
+    return history.mismatch(c.withColumns(same), c.withColumns(same | {"workspace": other(6), "scope": other(4), "head_revision": F.when(F.col("run") % 3 != 0, "a"), "config_fingerprint": other(5)}), "run")
+
+
+# ---- graphs ---------------------------------------------------------------------------------
+
+_NODES = "nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)"
+_DEGREES = f"{_NODES}, e AS (SELECT DISTINCT src, dst, kind FROM edges), deg AS (SELECT node, (SELECT count(*) FROM e WHERE dst = node) AS fan_in, (SELECT count(*) FROM e WHERE src = node) AS fan_out FROM nodes)"
+
+
+def _degrees(spark, sf_dir):
+    e = rel.edges(spark, sf_dir)
+    return graph.degrees(graph.nodes_of(e), e)
+
+
+@_register("SELECT node, fan_in, fan_out, CAST(CASE WHEN fan_in + fan_out = 0 THEN 0 ELSE fan_out / (fan_in + fan_out) END AS FLOAT) AS instability FROM deg", "edges", also=_DEGREES)
+def degrees(spark, sf_dir):
+    return _degrees(spark, sf_dir)
+
+
+@_register("SELECT node, fan_in, fan_out FROM deg WHERE fan_in > 0 ORDER BY fan_in DESC, fan_out DESC, node LIMIT 10", "edges", also=_DEGREES)
+def top_fan_in(spark, sf_dir):
+    return graph.top_fan_in(_degrees(spark, sf_dir), 10).select("node", "fan_in", "fan_out")
+
+
+@_register("SELECT node, fan_in, fan_out FROM deg WHERE fan_out > 0 ORDER BY fan_out DESC, fan_in DESC, node LIMIT 10", "edges", also=_DEGREES)
+def top_fan_out(spark, sf_dir):
+    return graph.top_fan_out(_degrees(spark, sf_dir), 10).select("node", "fan_in", "fan_out")
+
+
+@_register("SELECT node, CASE WHEN fan_in >= 3 OR fan_out >= 8 THEN 'hub' ELSE 'dependency' END AS impact FROM deg WHERE fan_in >= 2 OR fan_out >= 8", "edges", also=_DEGREES)
+def graph_impact_class(spark, sf_dir):
+    return risk.graph_impact(_degrees(spark, sf_dir))
+
+
+@_register("SELECT node, fan_in, fan_out FROM deg WHERE fan_in >= 2 AND floor(CAST(fan_out / (fan_in + fan_out) AS FLOAT) * 100 + 0.5) >= 60", "edges", also=_DEGREES)
+def unstable_hubs(spark, sf_dir):
+    return graph.unstable_hubs(_degrees(spark, sf_dir), 2, 60).select("node", "fan_in", "fan_out")
+
+
+@_register(f"SELECT dst AS node, string_agg(DISTINCT src, ',' ORDER BY src) AS dependents FROM edges WHERE {_DEP} GROUP BY dst", "edges")
+def direct_dependents(spark, sf_dir):
+    return graph.direct_dependents(rel.edges(spark, sf_dir)).select("node", F.array_join("dependents", ",").alias("dependents"))
+
+
+@_register(f"SELECT {_DIR('src')} AS src_dir, {_DIR('dst')} AS dst_dir, count(*) AS edges FROM edges WHERE {_DEP} AND {_DIR('src')} <> {_DIR('dst')} GROUP BY ALL", "edges")
+def directory_dependencies(spark, sf_dir):
+    return graph.directory_dependencies(rel.edges(spark, sf_dir))
+
+
+@_register("SELECT src, dst, bool_and(deferred) AS deferred FROM edges GROUP BY ALL", "edges")
+def eager_edges(spark, sf_dir):
+    return graph.edges_of(rel.edges(spark, sf_dir))
+
+
+@_register("SELECT DISTINCT src, dst, kind FROM edges WHERE NOT contains(src, '/d3/') AND NOT contains(dst, '/d3/')", "edges")
+def graph_topology(spark, sf_dir):
+    e = rel.edges(spark, sf_dir)
+    return graph.topology(graph.nodes_of(e).filter(~F.contains("node", F.lit("/d3/"))), e)
+
+
+_CHANGED = "changed AS (SELECT node FROM nodes WHERE contains(node, '7.ts') OR contains(node, '99.py'))"
+
+
+def _changed(e):
+    return graph.nodes_of(e).filter(F.contains("node", F.lit("7.ts")) | F.contains("node", F.lit("99.py")))
+
+
+@_register("SELECT DISTINCT src AS node FROM edges WHERE dst IN (SELECT node FROM changed) AND src NOT IN (SELECT node FROM changed)", "edges", also=f"{_NODES}, {_CHANGED}")
+def one_hop_blast_radius(spark, sf_dir):
+    e = rel.edges(spark, sf_dir)
+    return graph.one_hop_radius(e, _changed(e))
+
+
+@_register("SELECT node FROM reach WHERE node NOT IN (SELECT node FROM changed)", "edges", also=f"{_NODES}, {_CHANGED}, reach AS (SELECT node FROM changed UNION SELECT e.src FROM edges e JOIN reach r ON e.dst = r.node)")
+def transitive_blast_radius(spark, sf_dir):
+    e = materialize(rel.edges(spark, sf_dir))
+    return graph.blast_radius(e, _changed(e))
+
+
+@_register("SELECT seed, node, min(hop) AS hop FROM walk WHERE hop > 0 AND node NOT IN (SELECT node FROM changed) GROUP BY ALL", "edges", also=f"{_NODES}, {_CHANGED}, walk AS (SELECT node AS seed, node, 0 AS hop FROM changed UNION SELECT w.seed, e.src, w.hop + 1 FROM walk w JOIN edges e ON e.dst = w.node WHERE w.hop < 3)")
+def impact_min_hop(spark, sf_dir):
+    e = materialize(rel.edges(spark, sf_dir))
+    return graph.impact(e, _changed(e), 3)
+
+
+@_register("SELECT node, min(hop) AS hop FROM walk GROUP BY node", "edges", also=f"{_NODES}, twoway AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT min(node) AS node, 0 AS hop FROM nodes UNION SELECT b.dst, w.hop + 1 FROM walk w JOIN twoway b ON b.src = w.node WHERE w.hop < 4)")
+def neighborhood_k(spark, sf_dir):
+    e = materialize(rel.edges(spark, sf_dir))
+    return graph.neighbourhood(e, graph.nodes_of(e).agg(F.min("node").alias("node")), 4)
+
+
+@_register("SELECT DISTINCT a.a AS node, min(b) OVER (PARTITION BY a.a) AS component FROM mutual a", "edges", also="links AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges WHERE kind <> 'imports'), reach AS (SELECT src AS a, dst AS b FROM links UNION SELECT r.a, l.dst FROM reach r JOIN links l ON r.b = l.src), mutual AS (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a)")
+def scc_members(spark, sf_dir):
+    e = materialize(rel.edges(spark, sf_dir))
+    return graph.components_strong(e.select("src", "dst").unionByName(graph.reverse(e.filter("kind <> 'imports'"))))
+
+
+@_register("SELECT node FROM nodes WHERE node NOT IN (SELECT dst FROM edges WHERE src <> dst)", "edges", also=_NODES)
+def dead_nodes(spark, sf_dir):
+    e = rel.edges(spark, sf_dir)
+    return graph.dead(graph.nodes_of(e), e)
+
+
+@_register("SELECT CASE WHEN src LIKE '%.ts' THEN 'ts' ELSE 'py' END AS extension, count(*) AS edges, count(*) FILTER (deferred) AS deferred FROM edges GROUP BY 1", "edges")
+def graph_capabilities(spark, sf_dir):
+    return graph.capabilities(rel.edges(spark, sf_dir))
+
+
+@_register("SELECT src, dst, kind, deferred FROM edges WHERE src NOT IN (SELECT node FROM changed) UNION SELECT dst, src, 'imports', false FROM edges WHERE dst IN (SELECT node FROM changed)", "edges", also=f"{_NODES}, {_CHANGED}")
+def graph_patch(spark, sf_dir):
+    e = rel.edges(spark, sf_dir)
+    c = _changed(e)
+    new = e.join(c, F.col("dst") == F.col("node"), "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("imports").alias("kind"), F.lit(False).alias("deferred"))
+    return graph.patched(e, c, new)
+
+
+@_register("SELECT DISTINCT src, dst, a.l AS src_layer, b.l AS dst_layer FROM edges JOIN layer a ON src = a.node JOIN layer b ON dst = b.node WHERE b.l < a.l", "edges", also=f"{_NODES}, layer AS (SELECT node, CASE WHEN regexp_matches(node, '^src/d[0-4]/') THEN 0 WHEN regexp_matches(node, '^src/d1') THEN 1 WHEN regexp_matches(node, '^src/d') THEN 2 END AS l FROM nodes)")
+def layer_violations(spark, sf_dir):
+    layers = spark.createDataFrame([(0, "^src/d[0-4]/"), (1, "^src/d1"), (2, "^src/d")], "layer int, pattern string")
+    return graph.layer_violations(rel.edges(spark, sf_dir), layers)
+
+
+_PACKAGES = (("top", ""), ("src", "src"), ("three", "src/d3"), ("twelve", "src/d12"))
+_MEMBER = f"{_NODES}, member AS (SELECT node, CASE WHEN starts_with(node, 'src/d12/') THEN 'twelve' WHEN starts_with(node, 'src/d3/') THEN 'three' ELSE 'src' END AS package FROM nodes)"
+
+
+@_register("SELECT node, package FROM member", "edges", also=_MEMBER)
+def longest_prefix_package(spark, sf_dir):
+    return graph.package_of(graph.nodes_of(rel.edges(spark, sf_dir)), spark.createDataFrame(_PACKAGES, "package string, root string"))
+
+
+@_register("SELECT DISTINCT src, dst, a.package AS src_package, b.package AS dst_package FROM edges JOIN member a ON src = a.node JOIN member b ON dst = b.node WHERE a.package <> b.package AND dst NOT LIKE '%0.ts'", "edges", also=_MEMBER)
+def package_boundary_violations(spark, sf_dir):
+    e = rel.edges(spark, sf_dir)
+    n = graph.nodes_of(e)
+    m = graph.package_of(n, spark.createDataFrame(_PACKAGES, "package string, root string"))
+    return graph.boundary_violations(e, m, n.filter("node LIKE '%0.ts'"))
+
+
+@_register("SELECT src, dst FROM edges WHERE NOT contains(src, '/d3/') AND contains(dst, '/d3/')", "edges")
+def test_leaks(spark, sf_dir):
+    e = rel.edges(spark, sf_dir)
+    roles = graph.nodes_of(e).withColumn("role", F.when(F.contains("node", F.lit("/d3/")), "test").otherwise("production"))
+    return graph.leaks(e, roles)
+
+
+# ---- changes --------------------------------------------------------------------------------
+
+_RANGES = "ranges AS (SELECT DISTINCT path, line_start AS start, line_start + CAST(finding_no % 3 AS INT) AS stop FROM findings WHERE finding_no % 9 = 0)"
+
+
+def _ranges(spark, sf_dir):
+    return rel.findings(spark, sf_dir).filter("finding_no % 9 = 0").select("path", F.col("line_start").alias("start"), (F.col("line_start") + (F.col("finding_no") % 3).cast("int")).alias("stop")).distinct()
+
+
+@_register("SELECT finding_no FROM findings f WHERE EXISTS (SELECT 1 FROM ranges r WHERE r.path = f.path AND f.line_start BETWEEN r.start AND r.stop)", "findings", also=_RANGES)
+def changed_range_semi_join(spark, sf_dir):
+    return review.in_diff(rel.findings(spark, sf_dir), _ranges(spark, sf_dir)).select("finding_no")
+
+
+@_register("SELECT DISTINCT path, name FROM (SELECT path, title AS name, line_start AS first, coalesce(line_end, line_start + 1) AS last FROM findings) f WHERE EXISTS (SELECT 1 FROM ranges r WHERE r.path = f.path AND f.first <= r.stop AND r.start <= f.last)", "findings", also=_RANGES)
+def functions_touched(spark, sf_dir):
+    f = rel.findings(spark, sf_dir).select("path", F.col("title").alias("name"), F.col("line_start").alias("first"), F.coalesce("line_end", F.col("line_start") + 1).alias("last"))
+    return review.touched_functions(f, _ranges(spark, sf_dir)).select("path", "name").distinct()
+
+
+_ORD = lambda where: f"(SELECT path, title, finding_no, line_start, row_number() OVER (PARTITION BY path, title ORDER BY line_start, finding_no) AS ordinal FROM findings WHERE {where})"
+
+
+@_register(f"SELECT a.path, a.title, CAST(a.ordinal AS INT) AS ordinal, a.finding_no, b.finding_no AS old_finding_no FROM {_ORD('finding_no % 2 = 0')} a LEFT JOIN {_ORD('finding_no % 2 = 1')} b USING (path, title, ordinal)", "findings")
+def ordinal_match(spark, sf_dir):
+    f = rel.findings(spark, sf_dir).select("path", "title", "line_start", "finding_no")
+    m = review.matched_by_ordinal(f.filter("finding_no % 2 = 1"), f.filter("finding_no % 2 = 0"), ["path", "title"], ["line_start", "finding_no"])
+    return m.select("path", "title", "ordinal", "finding_no", "old_finding_no")
+
+
+@_register("SELECT count(DISTINCT path) AS files, CAST(sum(stop - start + 1) AS BIGINT) AS lines, count(DISTINCT path) > 5 AND sum(stop - start + 1) > 200 AS large FROM ranges", "findings", also=_RANGES)
+def diff_size(spark, sf_dir):
+    return review.diff_size(_ranges(spark, sf_dir))
+
+
+@_register("SELECT kind, path, string_agg(DISTINCT line_start, ',' ORDER BY line_start) AS lines, min(line_start) AS first_line, max(line_start) AS last_line, max(finding_no % 13) AS radius, arg_min(docs_url, finding_no) FILTER (docs_url IS NOT NULL) AS plan FROM (SELECT *, category AS kind FROM findings) GROUP BY kind, path", "findings")
+def merged_signals(spark, sf_dir):
+    s = rel.findings(spark, sf_dir).select(F.col("category").alias("kind"), "path", F.col("line_start").alias("line"), (F.col("finding_no") % 13).alias("radius"), F.col("finding_no").alias("seq"), F.col("docs_url").alias("plan"))
+    return review.merged_signals(s).withColumn("lines", F.array_join("lines", ","))
+
+
+@_register("SELECT finding_no, CASE CAST(finding_no % 6 AS INT) WHEN 0 THEN 'deploy-surface' WHEN 1 THEN 'supply-chain' WHEN 2 THEN 'secret-config' WHEN 3 THEN 'request-trust' WHEN 4 THEN 'access-control' END AS boundary FROM findings", "findings")
+def boundary_classes(spark, sf_dir):
+    p = F.expr("concat(package, CASE finding_no % 6 WHEN 0 THEN '/.github/workflows/auth.yml' WHEN 1 THEN '/web/package.json' WHEN 2 THEN '/.env.local' WHEN 3 THEN '/corsSetup.ts' WHEN 4 THEN '/userLogin.ts' ELSE '/authors.ts' END)")
+    f = rel.findings(spark, sf_dir).withColumn("package", F.coalesce("package", F.lit("root")))
+    return f.select("finding_no", review.boundary(p).alias("boundary"))
+
+
+@_register("SELECT path, CASE WHEN contains(path, '/pkg3/') THEN '@three' WHEN starts_with(path, 'tests/') THEN '@qa,@core' WHEN regexp_matches(path, '\\.rs$') THEN '@rust' ELSE '@core' END AS owners FROM (SELECT DISTINCT path FROM findings)", "findings")
+def last_match_owner(spark, sf_dir):
+    rules = spark.createDataFrame([(1, ".*", ["@core"]), (2, r"\.rs$", ["@rust"]), (3, "^tests/", ["@qa", "@core"]), (4, "/pkg3/", ["@three"])], "rule_no int, pattern string, owners array<string>")
+    return review.owners(rel.findings(spark, sf_dir), rules).select("path", F.array_join("owners", ",").alias("owners"))
+
+
+@_register("SELECT path, count(*) AS signals, any_value(n) AS importers FROM (SELECT s.node AS path, coalesce(i.n, 0) AS n FROM nodes s LEFT JOIN (SELECT dst, count(*) AS n FROM (SELECT DISTINCT src, dst FROM edges) GROUP BY dst) i ON s.node = i.dst) GROUP BY path", "edges", also=_NODES)
+def signal_importers(spark, sf_dir):
+    e = rel.edges(spark, sf_dir)
+    s = review.importer_counts(graph.nodes_of(e).select(F.col("node").alias("path")), e)
+    return s.groupBy("path").agg(F.count(F.lit(1)).alias("signals"), F.first("importers").alias("importers"))
+
+
+@_register("SELECT DISTINCT g.path, g.title AS symbol, i.package AS importer FROM (SELECT DISTINCT path, title FROM findings WHERE finding_no % 4 < 2 EXCEPT SELECT path, title FROM findings WHERE finding_no % 4 = 2) g JOIN (SELECT path, title, package FROM findings WHERE finding_no % 3 = 0 AND package IS NOT NULL) i USING (path, title)", "findings")
+def removed_export_still_imported(spark, sf_dir):
+    f = rel.findings(spark, sf_dir).select("path", F.col("title").alias("symbol"), F.col("package").alias("importer"), "finding_no")
+    return review.removed_but_imported(f.filter("finding_no % 4 < 2"), f.filter("finding_no % 4 = 2"), f.filter("finding_no % 3 = 0 AND importer IS NOT NULL")).select("path", "symbol", "importer")
+
+
+@_register("SELECT count(*) FILTER (NOT s AND g AND t = 'definitely') AS blocking, count(*) FILTER (NOT s AND t IN ('definitely', 'maybe')) AS to_review, count(*) FILTER (s) AS suppressed, CASE WHEN count(*) FILTER (NOT s AND g AND t = 'definitely') > 0 THEN 'blocked' WHEN count(*) FILTER (NOT s AND t IN ('definitely', 'maybe')) > 0 THEN 'review' ELSE 'ready' END AS verdict FROM (SELECT finding_no % 10 = 0 AS s, severity = 'CRITICAL' AS g, CASE WHEN confidence = 'LOW' THEN 'noise' WHEN severity IN ('CRITICAL', 'HIGH') THEN 'definitely' ELSE 'maybe' END AS t FROM findings)", "findings")
+def merge_readiness(spark, sf_dir):
+    kind = F.when(F.col("severity").isin("CRITICAL", "HIGH"), "taint-sql").otherwise("fs-write-added")
+    s = rel.findings(spark, sf_dir).select((F.col("finding_no") % 10 == 0).alias("suppressed"), (F.col("severity") == "CRITICAL").alias("gate_eligible"), review.tier(kind, F.lit(False), F.col("confidence") == "LOW").alias("tier"))
+    return review.readiness(s)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
