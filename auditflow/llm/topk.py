@@ -30,7 +30,7 @@ from .columns import quoted
 from .store import materialize
 
 SCALE, K, QUERY_EVERY = 256, 5, 50
-QUERY_BLOCK, CANDIDATES, DIMENSIONS = 4096, 4096, 16
+QUERY_BLOCK, TILE, CANDIDATES, DIMENSIONS = 4096, 128, 2048, 16
 
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -59,17 +59,12 @@ def _matrix(column, width: int) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def merge_best(scores, ids, k: int):
-    """The k best of each row, ties to the smaller id; empty places have id -1."""
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-
-
 class Search:
+    """The k best candidates of a block of queries, over candidates that come in batches."""
+
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, step=DIMENSIONS):
         self.ids, self.k, self.step = query_ids, k, step
-        mass = np.var(queries, axis=1).argsort()[::-1] if queries.shape[1] else np.arange(len(queries))
-        self.order = mass  # dimensions with most spread first, so that bounds get tight early
+        self.order = np.var(queries, axis=1).argsort()[::-1]  # most spread first, so bounds get tight early
         self.q = np.ascontiguousarray(queries[self.order])
         self.tails = self._tails(self.q)
         self.scores = np.full((len(query_ids), k), -np.inf)
@@ -83,33 +78,41 @@ class Search:
     def add(self, ids: np.ndarray, candidates: np.ndarray):
         c = np.ascontiguousarray(candidates[self.order])
         tails = self._tails(c)
-        cuts = list(range(0, len(c), self.step))
-        floor = self.scores[:, -1]
-        # the first block for all pairs at once, by one matrix product
-        part = self.q[: self.step].T @ c[: self.step]
-        part[self.ids[:, None] == ids[None, :]] = -np.inf
-        bound = np.outer(self.tails[1], tails[1]) * (1 + 1e-9) + 1e-6
-        qi, ci = np.nonzero(part + bound >= floor[:, None])
-        score = part[qi, ci]
-        ok = np.isfinite(score)
-        qi, ci, score = qi[ok], ci[ok], score[ok]
-        for b, at in enumerate(cuts[1:], 1):
-            score = score + np.einsum("ij,ij->j", self.q[at : at + self.step][:, qi], c[at : at + self.step][:, ci])
-            alive = score + self.tails[b + 1][qi] * tails[b + 1][ci] * (1 + 1e-9) + 1e-6 >= floor[qi]
-            qi, ci, score = qi[alive], ci[alive], score[alive]
-        self._keep(qi, ids[ci], score)
-
-    def _keep(self, qi, ids, score):
-        if not len(qi):
-            return
-        order = np.lexsort((ids, -score, qi))
-        qi, ids, score = qi[order], ids[order], score[order]
-        first = np.searchsorted(qi, np.arange(len(self.ids)))
-        rank = np.arange(len(qi)) - first[qi]
+        for lo in range(0, len(self.ids), TILE):
+            self._tile(slice(lo, lo + TILE), ids, c, tails)
+
+    def _tile(self, part: slice, ids, c, tails):
+        """One block of queries against a batch; candidates that no query needs are compacted away."""
+        floor = self.scores[part, -1][:, None]
+        alive = np.arange(len(ids))
+        score = np.zeros((len(floor), len(ids)))
+        for b, at in enumerate(range(0, len(c), self.step)):
+            block = c[at : at + self.step]
+            score += self.q[at : at + self.step, part].T @ (block if len(alive) == len(ids) else block[:, alive])
+            room = np.outer(self.tails[b + 1][part], tails[b + 1][alive]) * (1 + 1e-9) + 1e-6
+            needed = (score + room >= floor).any(axis=0)
+            if needed.mean() < 0.7:
+                alive, score = alive[needed], score[:, needed]
+        score[self.ids[part, None] == ids[alive][None, :]] = -np.inf
+        if score.shape[1] > self.k:
+            floor = np.maximum(floor, np.partition(score, -self.k, axis=1)[:, -self.k :].min(axis=1, keepdims=True))
+        row, col = np.nonzero((score >= floor) & np.isfinite(score))
+        if len(row):
+            self._keep(np.arange(len(self.ids))[part][row], ids[alive[col]], score[row, col])
+
+    def _keep(self, row, ids, score):
+        """Merge pairs into the best of their rows, ties to the smaller id."""
+        old_row, old = np.nonzero(np.isfinite(self.scores[: row.max() + 1]))
+        mine = np.isin(old_row, row)
+        old_row, old = old_row[mine], old[mine]
+        r = np.concatenate((row, old_row))
+        i = np.concatenate((ids, self.best[old_row, old]))
+        s = np.concatenate((score, self.scores[old_row, old]))
+        order = np.lexsort((i, -s, r))
+        r, i, s = r[order], i[order], s[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
         top = rank < self.k
-        s, i = np.full(self.scores.shape, -np.inf), np.full(self.best.shape, np.iinfo(np.int64).max)
-        s[qi[top], rank[top]], i[qi[top], rank[top]] = score[top], ids[top]
-        self.scores, self.best = merge_best(np.hstack((self.scores, s)), np.hstack((self.best, i)), self.k)
+        self.scores[r[top], rank[top]], self.best[r[top], rank[top]] = s[top], i[top]
 
 
 def _search(shared, k: int, step: int):
