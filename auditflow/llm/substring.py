@@ -2,24 +2,27 @@
 
 A window of k words is an edge between its first and its last k-1 words.  Only windows that
 occur in several documents matter, and those that do share their minimiser: the smallest
-fingerprint of the w-grams inside.  So the first pass emits minimisers alone, about one in five
-words, and a join keeps for each document those that another document has too.
-
-The second pass reads texts again and compacts: consecutive windows with the same minimiser form
-one path without branches inside its document, which goes on as a single row (content
-fingerprint, minimiser's document, place, window fingerprints once per distinct content).  Equal
-paths of any number of documents collapse to one row by aggregation before their windows are
-compared, so a passage shared by a third of all documents costs one path and a count.  Paths
-whose contents differ (at the ends of shared passages) meet in their windows, where the smallest
-document of each window is found.
-
-Source coordinates go back to the documents: spans of windows that a smaller document holds are
-merged per document and cut from its words.  Windows and contents are equal if two independent
-64-bit fingerprints and their lengths are.
+fingerprint of the w-grams inside, its seed.
+
+1. Texts are dealt once into groups of documents; every later pass over them reads that one
+   shuffle.  Each group emits its distinct seeds as packed buckets, and the buckets answer which
+   of a group's seeds other documents have too.
+2. Compaction: consecutive windows with one shared seed form a path without branches inside its
+   document, which goes on as a single row (seed, content fingerprint, document, place).  Equal
+   paths of any number of documents collapse by aggregation, so a passage shared by a third of
+   all documents is one path and a count.
+3. Seeds with one content need no more.  Where contents differ (at the ends of shared passages),
+   one document of each content unfolds its path into windows, and a join finds the smallest
+   document of each.
+4. Source coordinates go back to the documents: spans of windows that a smaller document holds
+   are merged per document and cut from its words.
+
+Windows and contents are equal if their seeds and their own fingerprints are: two independent
+64-bit ones.
 
 Defined cases: null or short texts have no window and keep their words.  Null doc_ids are one
 document before all others.  Rows that repeat a doc_id belong to one document: windows that only
-it holds stay.  Other columns pass through.
+it holds stay.  Other columns pass through dedup_substrings.
 """
 
 from __future__ import annotations
@@ -29,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textcore as tc
-from .columns import fresh, key, quoted, whole
-from .store import materialize
+from .columns import fresh, key, quoted, rekeyed, whole
 
 WINDOW, GRAM = 13, 5
 
@@ -56,114 +58,236 @@ def minimisers(hashes: np.ndarray, first: np.ndarray, k: int, g: int):
     return at, rows, reach[at]
 
 
-def _seeds(k: int, g: int):
-    """Distinct minimisers of every document."""
+def _places(table: pa.Table, column: str):
+    """Per slice: rows (lo, hi), words, fingerprints, and the windows' place, row and seed."""
+    for lo, hi, buf, off in tc.slices(table[column]):
+        words = tc.words(buf, off)
+        hashes = tc.fingerprints(buf, words.start, words.end)
+        yield lo, hi, words, hashes
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for lo, hi, buf, off in tc.slices(batch.column(1)):
-                words = tc.words(buf, off)
-                hashes = tc.fingerprints(buf, words.start, words.end)
-                _, rows, seed = minimisers(hashes, words.first, k, g)
-                if not len(rows):
-                    continue
-                new = np.ones(len(seed), bool)
-                new[1:] = (seed[1:] != seed[:-1]) | (rows[1:] != rows[:-1])
-                rows, seed = rows[new], seed[new]
-                order = np.lexsort((seed, rows))
-                rows, seed = rows[order], seed[order]
-                new = np.ones(len(seed), bool)
-                new[1:] = (seed[1:] != seed[:-1]) | (rows[1:] != rows[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(tc.long(seed[new])), pa.array(ids[lo:hi][rows[new]])], names=["seed", "d"])
 
-    return run
+def _packed(g: int, keys: np.ndarray, buckets: np.ndarray):
+    """Rows (bucket, g, packed keys) of sorted buckets."""
+    at = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    cuts = (np.append(at, len(keys)) * 8).astype(np.int32)
+    blobs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(keys))])
+    return pa.table({"b": pa.array(buckets[at].astype(np.int64)), "g": pa.array(np.full(len(at), g, np.int64)), "seeds": blobs})
 
 
-_PATHS = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("d", pa.int64()), ("fp", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("keys", pa.binary())])
+def _unpacked(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64)
 
 
-def _paths(k: int, g: int):
-    """Of (d, fp, text, shared seeds), the paths of consecutive windows with one shared seed."""
+def _seeds(k: int, gram: int, bits: int):
+    """Of a group's documents, their seeds by bucket; those of several documents stand twice."""
 
-    def run(batches):
-        for batch in batches:
-            ids, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            seeds = batch.column(3)
-            for lo, hi, buf, off in tc.slices(batch.column(2)):
-                mine = seeds.slice(lo, hi - lo)
-                bounds = np.asarray(mine.offsets)
-                flat = mine.values.to_numpy()[bounds[0] : bounds[-1]].view(np.uint64)
-                owner = np.repeat(np.arange(hi - lo), np.diff(bounds))
-                words = tc.words(buf, off)
-                h = [tc.fingerprints(buf, words.start, words.end, w) for w in (0, 1)]
-                at, rows, seed = minimisers(h[0], words.first, k, g)
+    def run(table: pa.Table) -> pa.Table:
+        ids, parts = table["d"].to_numpy(), []
+        for lo, hi, words, hashes in _places(table, "text"):
+            _, rows, seed = minimisers(hashes, words.first, k, gram)
+            if len(rows):
+                new = np.ones(len(seed), bool)
+                new[1:] = (seed[1:] != seed[:-1]) | (rows[1:] != rows[:-1])
+                parts.append(np.stack((seed[new], ids[lo:hi][rows[new]].view(np.uint64))))
+        g = table["g"][0].as_py()
+        if not parts:
+            return _packed(g, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        both = np.concatenate(parts, axis=1)
+        order = np.lexsort((both[1], both[0]))
+        seed, d = both[0][order], both[1][order]
+        new = np.ones(len(seed), bool)
+        new[1:] = (seed[1:] != seed[:-1]) | (d[1:] != d[:-1])
+        seed = seed[new]  # one row a document and seed
+        keep = np.ones(len(seed), bool)
+        keep[2:] = (seed[2:] != seed[1:-1]) | (seed[1:-1] != seed[:-2])
+        seed = seed[keep]  # at most two rows a seed
+        return _packed(g, seed, (seed >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(seed), np.int64))
+
+    return run
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of a bucket's rows (b, g, seeds), the seeds that stand twice or more, by group."""
+    sizes = np.array([len(x) // 8 for x in table["seeds"].to_pylist()], np.int64)
+    seed = _unpacked(table["seeds"])
+    ordered = np.sort(seed)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return table.slice(0, 0).select(["g", "seeds"])
+    at = np.minimum(np.searchsorted(twice, seed), len(twice) - 1)
+    hit = twice[at] == seed
+    g = np.repeat(table["g"].to_numpy(), sizes)[hit]
+    seed = seed[hit]
+    order = np.argsort(g, kind="stable")
+    g, seed = g[order], seed[order]
+    start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    cuts = (np.append(start, len(seed)) * 8).astype(np.int32)
+    blobs = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(seed))])
+    return pa.table({"g": pa.array(g[start]), "seeds": blobs})
+
+
+_PATH_SCHEMA = "seed long, c long, d long, fp long, start int, windows int"
+
+
+def _paths(k: int, gram: int):
+    """Of a group's shared seeds and its documents, the paths of consecutive windows with one seed."""
+    schema = pa.schema([("seed", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("fp", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+
+    def run(shared: pa.Table, docs: pa.Table) -> pa.Table:
+        hot = np.unique(_unpacked(shared["seeds"])) if shared.num_rows else np.zeros(0, np.uint64)
+        parts = []
+        if len(hot) and docs.num_rows:
+            ids, prints = docs["d"].to_numpy(), docs["fp"].to_numpy()
+            for lo, hi, words, hashes in _places(docs, "text"):
+                at, rows, seed = minimisers(hashes, words.first, k, gram)
                 if not len(rows):
                     continue
-                shared = np.isin(tc.mix(seed + tc.mix(rows.astype(np.uint64))), tc.mix(flat + tc.mix(owner.astype(np.uint64))))
-                head = shared.copy()
-                head[1:] &= ~shared[:-1] | (seed[1:] != seed[:-1]) | (rows[1:] != rows[:-1])
+                is_hot = hot[np.minimum(np.searchsorted(hot, seed), len(hot) - 1)] == seed
+                head = is_hot.copy()
+                head[1:] &= ~is_hot[:-1] | (seed[1:] != seed[:-1]) | (rows[1:] != rows[:-1])
                 a = np.flatnonzero(head)
                 if not len(a):
                     continue
-                stop = ~shared
+                stop = ~is_hot
                 stop[head] = True
                 ends = np.append(np.flatnonzero(stop), len(seed))
                 b = ends[np.searchsorted(ends, a, side="right")]
-                x, y = at[a], at[a] + (b - a) + k - 1  # first word, last word + 1
-                c = [tc.sequence(h[w], x, y, w) for w in (0, 1)]
-                every = np.flatnonzero(shared)
-                keys = np.stack([tc.sequence(h[w], at[every], at[every] + k, w) for w in (0, 1)], axis=1)
-                data = np.ascontiguousarray(keys).view(np.uint8).reshape(-1)
-                cuts = np.concatenate(([0], np.cumsum(b - a))).astype(np.int32) * 16
-                blobs = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+                x = at[a]
                 r = rows[a]
-                columns = [pa.array(tc.long(c[0])), pa.array(tc.long(c[1])), pa.array(ids[lo:hi][r]), pa.array(prints[lo:hi][r]), pa.array((x - words.first[r]).astype(np.int32)), pa.array((b - a).astype(np.int32)), blobs]
-                yield pa.RecordBatch.from_arrays(columns, schema=_PATHS)
+                content = tc.sequence(hashes, x, x + (b - a) + k - 1)
+                parts.append([tc.long(seed[a]), tc.long(content), ids[lo:hi][r], prints[lo:hi][r], (x - words.first[r]).astype(np.int32), (b - a).astype(np.int32)])
+        if not parts:
+            return schema.empty_table()
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=schema)
 
     return run
 
 
-def _unfold(batches):
-    """Of (c1, c2, d, keys), one row a window: (k1, k2, c1, c2, at, d)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(3).cast(pa.binary())
-        off = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
-        keys = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.int64).reshape(-1, 2)
-        n = np.diff(off) // 16
-        row = np.repeat(np.arange(len(n)), n)
-        at = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        c1, c2, d = (batch.column(i).to_numpy()[row] for i in range(3))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), pa.array(c1), pa.array(c2), pa.array(at), pa.array(d)], names=["k1", "k2", "c1", "c2", "at", "d"])
+def _windows(k: int):
+    """Of one place of each content and a group's documents, the contents' windows."""
+    schema = pa.schema([("k", pa.int64()), ("seed", pa.int64()), ("c", pa.int64()), ("at", pa.int32()), ("d", pa.int64())])
+
+    def run(places: pa.Table, docs: pa.Table) -> pa.Table:
+        parts = []
+        if places.num_rows and docs.num_rows:
+            pd, pf = places["d"].to_numpy(), places["fp"].to_numpy()
+            seed, content, start, n = (places[c].to_numpy() for c in ("seed", "c", "start", "windows"))
+            ids, prints = docs["d"].to_numpy(), docs["fp"].to_numpy()
+            row_of = {}
+            for i, x in enumerate(zip(ids.tolist(), prints.tolist())):
+                row_of.setdefault(x, i)  # rows equal in both have the same text
+            row = np.array([row_of[x] for x in zip(pd.tolist(), pf.tolist())], np.int64)
+            for lo, hi, words, hashes in _places(docs, "text"):
+                mine = np.flatnonzero((row >= lo) & (row < hi))
+                if not len(mine):
+                    continue
+                reps = n[mine].astype(np.int64)
+                owner = np.repeat(mine, reps)
+                at = np.arange(len(owner)) - np.repeat(np.cumsum(reps) - reps, reps)
+                first = words.first[row[owner] - lo] + start[owner] + at
+                parts.append([tc.long(tc.sequence(hashes, first, first + k)), seed[owner], content[owner], at.astype(np.int32), pd[owner]])
+        if not parts:
+            return schema.empty_table()
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=schema)
+
+    return run
+
+
+#: Documents a group has on average.
+GROUP_DOCS = 512
+
 
+def dealt(base: DataFrame, n_docs: int) -> DataFrame:
+    """base (d, text) with fp and its group g, dealt by group: one shuffle for all passes."""
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(parts, -(-n_docs // GROUP_DOCS))
+    return base.select("d", F.xxhash64("text").alias("fp"), "text", _group(F.col("d"), groups).alias("g")).repartition(parts, "g")
 
-_PATH_SCHEMA = "c1 long, c2 long, d long, fp long, start int, windows int, keys binary"
-_WINDOW_SCHEMA = "k1 long, k2 long, c1 long, c2 long, at int, d long"
 
+def _group(d, groups: int):
+    return F.pmod(F.xxhash64(d), F.lit(groups))
 
-def repeated_paths(base: DataFrame, window=WINDOW, gram=GRAM) -> DataFrame:
+
+def repeated_paths(texts: DataFrame, n_docs: int, window=WINDOW, gram=GRAM) -> DataFrame:
     """(d, fp, start, windows, at): paths of which smaller documents hold windows.
 
-    base: (d, text), d without nulls.  fp is xxhash64 of the text, start the path's first word,
-    windows its length, at the windows that smaller documents hold (null: all of them).
+    texts: dealt(...).  fp is xxhash64 of the text, start the path's first word, windows its
+    length, at the windows that smaller documents hold (null: all of them).
     """
-    content = ["c1", "c2"]
-    seeds = base.mapInArrow(_seeds(window, gram), "seed long, d long")
-    several = seeds.groupBy("seed").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select("seed")
-    mine = seeds.join(several, "seed").groupBy("d").agg(F.collect_set("seed").alias("seeds"))
-    full = base.join(mine.hint("shuffle_hash"), "d").select("d", F.xxhash64("text").alias("fp"), "text", "seeds")
-    paths = full.mapInArrow(_paths(window, gram), _PATH_SCHEMA)
-    distinct = materialize(paths.groupBy(*content).agg(F.min(F.struct("d", "keys")).alias("x"), F.max("d").alias("hi")).select(*content, F.col("x.d").alias("d"), "hi", F.col("x.keys").alias("keys")))
-    windows = distinct.select(*content, "d", "keys").mapInArrow(_unfold, _WINDOW_SCHEMA)
-    owner = windows.groupBy("k1", "k2").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select("k1", "k2", "lo")
-    later = windows.join(owner, ["k1", "k2"]).filter("lo < d").groupBy(*content).agg(F.collect_list("at").alias("at"))
-    facts = distinct.select(*content, F.col("d").alias("lo"), "hi").join(later, content, "left").filter("hi > lo OR at IS NOT NULL")
-    met = paths.drop("keys").join(facts, content).filter("d > lo OR at IS NOT NULL")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(parts, -(-n_docs // GROUP_DOCS))
+    bits = (4 * parts - 1).bit_length()
+    by_group = texts.groupBy("g")
+    seeds = by_group.applyInArrow(_seeds(window, gram, bits), "b long, g long, seeds binary")
+    shared = seeds.groupBy("b").applyInArrow(_shared, "g long, seeds binary")
+    paths = shared.groupBy("g").cogroup(by_group).applyInArrow(_paths(window, gram), _PATH_SCHEMA)
+    found = paths.groupBy("seed", "c").agg(F.min(F.struct("d", "fp", "start", "windows")).alias("x"), F.max("d").alias("hi"))
+    contents = found.select("seed", "c", F.col("x.d").alias("lo"), "x.fp", "x.start", "x.windows", "hi")
+    several = contents.groupBy("seed").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select(rekeyed(F.col("seed")).alias("s"))
+    places = contents.join(several, rekeyed(F.col("seed")) == F.col("s")).select("seed", "c", F.col("lo").alias("d"), "fp", "start", "windows", _group(F.col("lo"), groups).alias("g"))
+    windows = places.groupBy("g").cogroup(by_group).applyInArrow(_windows(window), "k long, seed long, c long, at int, d long")
+    owner = windows.groupBy("seed", "k").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select(rekeyed(F.col("seed")).alias("s"), F.col("k").alias("kk"), "lo")
+    later = windows.join(owner, (rekeyed(F.col("seed")) == F.col("s")) & (F.col("k") == F.col("kk"))).filter("lo < d")
+    later = later.groupBy("seed", "c").agg(F.collect_list("at").alias("at"))
+    facts = contents.select("seed", "c", "lo", "hi").join(later, ["seed", "c"], "left").filter("hi > lo OR at IS NOT NULL")
+    facts = facts.select(rekeyed(F.col("seed")).alias("s"), F.col("c").alias("cc"), "lo", "at")
+    met = paths.join(facts, (rekeyed(F.col("seed")) == F.col("s")) & (F.col("c") == F.col("cc"))).filter("d > lo OR at IS NOT NULL")
     return met.select("d", "fp", "start", "windows", F.when(F.col("d") == F.col("lo"), F.col("at")).alias("at"))
 
 
+def _spans_of(groups: int, paths: DataFrame) -> DataFrame:
+    return paths.withColumn("g", _group(F.col("d"), groups))
+
+
+def _cut_group(window: int):
+    """Of a group's spans and its documents, the texts without the spans."""
+    schema = pa.schema([("d", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
+
+    def run(spans: pa.Table, docs: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return schema.empty_table()
+        ids, prints = docs["d"].to_numpy(), docs["fp"].to_numpy()
+        rows_of: dict = {}
+        for i, x in enumerate(zip(ids.tolist(), prints.tolist())):
+            rows_of.setdefault(x, []).append(i)
+        own: list[list] = [[] for _ in range(docs.num_rows)]
+        if spans.num_rows:
+            listed = spans["at"].to_pylist()
+            columns = [spans[c].to_pylist() for c in ("d", "fp", "start", "windows")]
+            for d, fp, start, n, at in zip(*columns, listed):
+                for i in rows_of.get((d, fp), ()):
+                    own[i] += [(start, start + n + window - 1)] if at is None else [(start + a, start + a + window) for a in at]
+        texts, n_words, n_removed = [], [], []
+        for lo, hi, buf, off in tc.slices(docs["text"]):
+            words = tc.words(buf, off)
+            total = np.zeros(len(words.start) + 1, np.int64)
+            for i in range(lo, hi):
+                if own[i]:
+                    both = np.array(own[i], np.int64) + words.first[i - lo]
+                    np.add.at(total, both[:, 0], 1)
+                    np.add.at(total, both[:, 1], -1)
+            gone = np.cumsum(total[:-1]) > 0
+            texts += _joined(buf, words, ~gone)
+            n_words.append(words.counts)
+            n_removed.append(tc.segment_sum(gone.astype(np.int64), words.first))
+        return pa.table([pa.array(ids), pa.array(texts, pa.string()), pa.array(np.concatenate(n_words).astype(np.int64)), pa.array(np.concatenate(n_removed))], schema=schema)
+
+    return run
+
+
+def _joined(buf: np.ndarray, words: tc.Spans, keep: np.ndarray) -> list[str]:
+    """Each row's kept words, joined by one space, by one gather over the bytes."""
+    lengths = np.where(keep, words.end - words.start + 1, 0)
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    total = int(ends[-1])
+    source = np.arange(total) + np.repeat(words.start - ends[:-1], lengths)
+    out = buf[np.minimum(source, len(buf) - 1)] if len(buf) else np.zeros(0, np.uint8)
+    out[ends[1:][keep] - 1] = 32
+    data = out.tobytes()
+    at = ends[words.first]
+    return [data[a : max(a, b - 1)].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 def _cut(names: list[str], text: str, more: list[str], window: int):
     """Cut the spans, the last column (list of structs fp, start, windows, at), from the texts."""
 
@@ -195,11 +319,7 @@ def _cut(names: list[str], text: str, more: list[str], window: int):
                     np.add.at(total, x, 1)
                     np.add.at(total, x + window, -1)
                 gone = np.cumsum(total[:-1]) > 0
-                data = buf.tobytes()
-                s, e = words.start.tolist(), words.end.tolist()
-                keep = ~gone
-                for i, (x, y) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
-                    texts.append(b" ".join([data[s[w] : e[w]] for w in (np.flatnonzero(keep[x:y]) + x).tolist()]).decode())
+                texts += _joined(buf, words, ~gone)
                 n_words.append(words.counts)
                 n_removed.append(tc.segment_sum(gone.astype(np.int64), words.first))
             columns = list(batch.columns[:-2])
@@ -232,15 +352,16 @@ def dedup_substrings(docs: DataFrame, doc_id="doc_id", text="text", window=WINDO
     doc_id too is removed; kept words are joined by one space.
     """
     (d,) = fresh(docs, "join_key")
-    out = _with_spans(docs.withColumn(d, key(quoted(doc_id))), d, text, repeated_paths(plain(docs, doc_id, text), window, gram), window)
-    return out.drop(d)
+    n = docs.count()
+    paths = repeated_paths(dealt(plain(docs, doc_id, text), n), n, window, gram)
+    return _with_spans(docs.withColumn(d, key(quoted(doc_id))), d, text, paths, window).drop(d)
 
 
 def dedup_texts(docs: DataFrame, doc_id="doc_id", text="text", window=WINDOW, gram=GRAM) -> DataFrame:
-    """(doc_id, text, n_words, n_removed): dedup_substrings of two columns.
-
-    Both reads of the texts by document share one shuffle.
-    """
-    base = plain(docs, doc_id, text)
-    out = _with_spans(base, "d", "text", repeated_paths(base, window, gram), window)
+    """(doc_id, text, n_words, n_removed): dedup_substrings of two columns, by one shuffle of texts."""
+    n = docs.count()
+    texts = dealt(plain(docs, doc_id, text), n)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = _spans_of(max(parts, -(-n // GROUP_DOCS)), repeated_paths(texts, n, window, gram))
+    out = spans.groupBy("g").cogroup(texts.groupBy("g")).applyInArrow(_cut_group(window), "d long, text string, n_words long, n_removed long")
     return out.withColumn("doc_id", F.when(F.col("d") != key(F.lit(None)), F.col("d"))).drop("d")
