@@ -10,9 +10,9 @@ Texts with equal shingle sets (by 128-bit set fingerprints) form a class and go
 Classes that share a band of their signatures are candidates; a bucket is never expanded into
 all pairs.  First each member meets the bucket's smallest one.  Components of the confirmed
 links follow, and only buckets that still hold several components are looked at again: their
-members meet members of other components, best estimates first, in blocks of bounded size,
-until no unchecked pair across components is left whose estimate could stand for the bound.
-A pair counts only after its full sets were intersected.
+strays meet the members of other components in blocks of bounded size, where sets are intersected
+on the spot, best estimates first, and only confirmed links come out, one for each stray and
+other component at most.  A pair counts only after its full sets were intersected.
 
 Components come from alternating large-star and small-star contraction, all in joins and
 aggregations; no task or driver holds the graph.
@@ -27,10 +27,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from . import textcore as tc
-from .columns import fresh, key, quoted, whole
+from .columns import fresh, key, quoted, rekeyed, whole
 from .store import materialize
 
 SHINGLE, PERCENT = 4, 80
@@ -38,8 +39,7 @@ SHINGLE, PERCENT = 4, 80
 SLOTS, BANDS = 96, 24
 #: Equal slots (of 96) under which a pair cannot stand for the bound: 6 deviations below 80 %.
 LEAST_EQUAL = 52
-BLOCK = 512
-FIRST_PARTNERS, MORE_PARTNERS = 1, 8
+BLOCK, PARTNERS = 512, 32
 
 _SIGNED = pa.schema([("d", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
@@ -151,54 +151,63 @@ def _confirm(k: int, percent: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges (a, b); root is the smallest node it is connected with."""
-
-    def print_of(e):
-        r = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        return r.n, r.x
+    """(node, root) of every node of edges (a, b); root is the smallest node it is connected with.
 
+    Alternating large-star and small-star contraction, until every node points to one root that
+    points to none.
+    """
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    before = print_of(e)
-    while before[0]:
+    while True:
+        ends = e.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.lit(0)).unionByName(e.select(F.col("b").alias("a"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("r")).distinct())
+        if not ends.groupBy("a").agg(F.max("n").alias("n"), F.max("r").alias("r")).filter("n > 1 OR (n = 1 AND r = 1)").take(1):
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(rekeyed(F.col("a")).alias("k"), F.least("a", "m").alias("m"))
+        large = both.join(least, rekeyed(F.col("a")) == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(least.select(rekeyed(F.col("a")).alias("k"), "m"), rekeyed(F.col("a")) == F.col("k")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = materialize(small.unionByName(least.withColumnRenamed("m", "b")).filter("a <> b").distinct())
-        now = print_of(e)
-        if now == before:
-            break
-        before = now
     roots = e.select(F.col("b").alias("node")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.withColumn("root", F.col("node")))
 
 
-def _across(limit: int):
-    """Pairs across components within the blocks of a bucket.
+def _linked(stray: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets are similar enough to one: all counted by one search."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(sets)
+    hit = stray[np.minimum(np.searchsorted(stray, flat), len(stray) - 1)] == flat
+    both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= percent * (len(stray) + sizes - both)
+
 
-    Rows come sorted by (key, sb, rb): d, comp, signature, and side (0: stray, 1: any member).
-    For each stray and other component, its `limit` best estimates that could stand go out;
-    a pair (0, 0) tells that some had more.
+def _across(k: int, percent: int):
+    """Confirmed links (a, b) across components within the blocks of a bucket.
+
+    Rows come sorted by (key, sb, rb), with d, comp, band, bands, sig, text, and side (0: stray,
+    1: any member).  A pair is looked at in the first of its shared bands only.  Of each stray
+    and other component one link is enough, so partners are taken best estimates first, until
+    one stands or all that could stand have been intersected.
     """
 
-    def compare(d, comp, sig, side):
+    def compare(d, comp, side, band, bands, sig, sets):
         s, m = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out = []
         for i in s.tolist():
             equal = (sig[m] == sig[i]).sum(axis=1)
-            ok = np.flatnonzero((equal >= LEAST_EQUAL) & (comp[m] != comp[i]))
-            if not len(ok):
-                continue
-            other = comp[m[ok]]
-            order = np.lexsort((d[m[ok]], -equal[ok], other))
-            ok, other = ok[order], other[order]
-            rank = np.arange(len(ok)) - np.searchsorted(other, other)
-            if (rank >= limit).any():
-                out.append((0, 0))
-            out += [(max(d[i], x), min(d[i], x)) for x in d[m[ok[rank < limit]]]]
-        return out
+            ok = (equal >= LEAST_EQUAL) & (comp[m] != comp[i])
+            if band:
+                ok &= ~(bands[m, :band] == bands[i, :band]).any(axis=1)
+            ok = np.flatnonzero(ok)
+            order = np.lexsort((d[m[ok]], -equal[ok]))
+            todo = m[ok[order]]
+            while len(todo):
+                now = todo[:PARTNERS]
+                good = now[_linked(sets[i], [sets[j] for j in now.tolist()], percent)]
+                _, first = np.unique(comp[good], return_index=True)
+                for j in good[first].tolist():
+                    yield max(d[i], d[j]), min(d[i], d[j])
+                todo = todo[PARTNERS:]
+                todo = todo[~np.isin(comp[todo], comp[good])]
 
     def run(batches):
         held = None
@@ -216,10 +225,15 @@ def _across(limit: int):
             if len(bounds) < 2:
                 continue
             done = t.slice(0, bounds[-1]).combine_chunks()
-            d, comp, side = (done[c].to_numpy() for c in ("d", "comp", "side"))
+            d, comp, side, band = (done[c].to_numpy() for c in ("d", "comp", "side", "band"))
             sig = _lanes(done["sig"].chunk(0))
-            pairs = [p for a, b in zip(bounds[:-1], bounds[1:]) for p in compare(d[a:b], comp[a:b], sig[a:b], side[a:b])]
-            pairs = np.array(sorted(set(pairs)), np.int64).reshape(-1, 2)
+            bands = pa.compute.list_flatten(done["bands"].chunk(0)).to_numpy().reshape(len(d), BANDS)
+            sets = []
+            for _, _, buf, off in tc.slices(done["text"]):
+                values, first = shingle_sets(buf, off, k)
+                sets += [values[x:y] for x, y in zip(first[:-1], first[1:])]
+            found = [p for x, y in zip(bounds[:-1], bounds[1:]) for p in compare(d[x:y], comp[x:y], side[x:y], int(band[x]), bands[x:y], sig[x:y], sets[x:y])]
+            pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
@@ -230,19 +244,20 @@ def _with_end(batches):
     yield None
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame, limit: int) -> DataFrame:
-    """Candidate pairs (a, b) between components that share a bucket of members (key, d)."""
-    comp = members.join(labels, F.col("d") == F.col("node"), "left").select("key", "d", F.coalesce("root", "d").alias("comp"))
+def _cross_links(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket of members (key, band, d)."""
+    comp = members.join(labels, F.col("d") == F.col("node"), "left").select("key", "band", "d", F.coalesce("root", "d").alias("comp"))
     sizes = comp.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     buckets = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most"))
-    buckets = buckets.filter("comps > 1").select("key", F.col("most.comp").alias("main"), F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK)).cast("long").alias("rs"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most.n")) / BLOCK)).cast("long").alias("ss"))
-    x = materialize(comp.join(buckets, "key").join(sigs, "d"))
+    buckets = buckets.filter("comps > 1").select(rekeyed(F.col("key")).alias("k"), F.col("most.comp").alias("main"), F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK)).cast("long").alias("rs"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most.n")) / BLOCK)).cast("long").alias("ss"))
+    x = materialize(comp.join(buckets, rekeyed(F.col("key")) == F.col("k")).drop("k"))
     place = lambda n: F.pmod(F.xxhash64("d"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    stray = x.filter("comp <> main").select("key", place("ss").alias("sb"), every("rs").alias("rb"), "d", "comp", "sig", F.lit(0).alias("side"))
-    others = x.select("key", every("ss").alias("sb"), place("rs").alias("rb"), "d", "comp", "sig", F.lit(1).alias("side"))
-    both = stray.unionByName(others).repartition("key", "sb", "rb").sortWithinPartitions("key", "sb", "rb")
-    return materialize(both.mapInArrow(_across(limit), "a long, b long"))
+    stray = x.filter("comp <> main").select("key", place("ss").alias("sb"), every("rs").alias("rb"), "band", "d", "comp", F.lit(0).alias("side"))
+    others = x.select("key", every("ss").alias("sb"), place("rs").alias("rb"), "band", "d", "comp", F.lit(1).alias("side"))
+    full = texts.join(classes.groupBy("d").agg(F.min(F.struct("sig", "bands")).alias("s")), "d").select("d", "s.sig", "s.bands", "text")
+    both = stray.unionByName(others).join(full, "d").repartition("key", "sb", "rb").sortWithinPartitions("key", "sb", "rb")
+    return materialize(both.mapInArrow(_across(k, percent), "a long, b long").distinct())
 
 
 def near_groups(docs: DataFrame, doc_id="doc_id", text="text", shingle=SHINGLE, percent=PERCENT) -> DataFrame:
@@ -252,9 +267,9 @@ def near_groups(docs: DataFrame, doc_id="doc_id", text="text", shingle=SHINGLE,
     linked = signed.filter((F.col("n") > 0) & (F.col("d") != key(F.lit(None))))
     classes = materialize(linked.groupBy("n", "s1", "s2").agg(F.min(F.struct("d", "fp", "sig", "bands")).alias("r")).select("n", "s1", "s2", "r.*"))
     sigs = classes.groupBy("d").agg(F.min("sig").alias("sig"))  # ids are unique unless rows repeat one
-    buckets = classes.select(F.explode("bands").alias("key"), "d")
-    pivots = buckets.groupBy("key").agg(F.min("d").alias("p"), F.max("d").alias("q")).filter("p <> q").select("key", "p")
-    members = materialize(buckets.join(pivots, "key"))
+    buckets = classes.select(F.posexplode("bands").alias("band", "key"), "d")
+    pivots = buckets.groupBy("key").agg(F.min("d").alias("p"), F.max("d").alias("q")).filter("p <> q").select(rekeyed(F.col("key")).alias("k"), "p")
+    members = materialize(buckets.join(pivots, rekeyed(F.col("key")) == F.col("k")).select("key", "band", "d", "p"))
     sig_of = lambda c: sigs.select(F.col("d").alias(c), F.col("sig").alias(f"sig_{c}"))
     pairs = members.filter("d <> p").select(F.col("d").alias("a"), F.col("p").alias("b")).distinct()
     pairs = pairs.join(sig_of("a"), "a").join(sig_of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_promising, "a long, b long")
@@ -267,23 +282,8 @@ def near_groups(docs: DataFrame, doc_id="doc_id", text="text", shingle=SHINGLE,
         return pairs.join(text_of("a"), "a").join(text_of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long")
 
     links = materialize(confirmed(pairs))
-    labels = materialize(components(links))
-    limit, tried = FIRST_PARTNERS, None
-    while True:
-        found = _cross_pairs(members.select("key", "d"), labels, sigs, limit)
-        more = bool(found.filter("a = 0 AND b = 0").take(1))
-        new = found.filter("a <> b").distinct()
-        new = materialize(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
-        if new.take(1):
-            fine = materialize(confirmed(new))
-            tried = new if tried is None else tried.unionByName(new)
-            if fine.take(1):
-                links = links.unionByName(fine)
-                labels = materialize(components(links))
-                more = True
-        if not more:
-            break
-        limit *= MORE_PARTNERS
+    more = _cross_links(members.select("key", "band", "d"), components(links), classes, texts, shingle, percent)
+    labels = components(links.unionByName(more))
     named = classes.join(labels, F.col("d") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("root", "d").alias("component"))
     done = linked.drop("bands", "sig").join(named, ["n", "s1", "s2"]).select("d", "fp", "n", "component")
     rest = signed.filter(~((F.col("n") > 0) & (F.col("d") != key(F.lit(None))))).select("d", "fp", "n", F.when(F.col("d") != key(F.lit(None)), F.col("d")).alias("component"))
