@@ -52,14 +52,15 @@ def sized(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(*map(quoted, rest), quoted(text)).mapInArrow(_sizes, schema)
 
 
-def targets(sizes: dict[str | None, int], weights=WEIGHTS, cap=CAP) -> dict[str | None, float]:
+def targets(sizes: dict[str | None, int], weights=WEIGHTS, cap=CAP, total: int | None = None) -> dict[str | None, float]:
     """Shares of all sizes by weight, none above cap times its source; the excess is reshared.
 
-    Sources are weighted in code point order, null last.
+    Sources are weighted in code point order, null last.  total: all sizes, if documents that
+    belong to several sources make it differ from the sources' sum.
     """
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    total, out, free = float(sum(sizes.values())), {}, list(names)
+    total, out, free = float(sum(sizes.values()) if total is None else total), {}, list(names)
     while free:
         left = total - sum(out.values())
         share = left / sum(weight[s] for s in free)
@@ -144,7 +145,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, cap=CAP) -> DataFrame:
     for p, n in patterns.items():
         for q in p:
             sizes[q] = sizes.get(q, 0) + n
-    share = targets(sizes, weights, cap)
+    share = targets(sizes, weights, cap, sum(patterns.values()))
     flow = route(patterns, {q: round(v) for q, v in share.items()}, cap)
     rows = []
     for p, n in patterns.items():
