@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import paths, text
 
 #: Directories that are never entered, and the size limit.
-IGNORED = (".git", ".github", ".repopilot", "target", "node_modules", "dist", "build", ".next", ".nuxt", ".cache", "coverage", "vendor", "Pods", "DerivedData")
+IGNORED = (".git", ".github", "target", "node_modules", "dist", "build", ".next", ".nuxt", ".cache", "coverage", "vendor", "Pods", "DerivedData")
 MAX_BYTES = 2 * 1024 * 1024
 
 #: Languages by ending, and by whole name.
