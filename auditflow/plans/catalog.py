@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import keys, paths, text
-from ..operators import findings as fo, graph, history, metrics, review, risk, visibility
+from ..operators import decisions, findings as fo, graph, history, metrics, review, risk, visibility
+from ..sinks import reports
+from ..streaming import incremental
 from . import relations as rel
 from .storage import materialize, table
 
@@ -605,6 +607,55 @@ def merge_readiness(spark, sf_dir):
     return review.readiness(s)
 
 
+# ---- decisions, exports and incremental runs ------------------------------------------------
+
+
+@_register("SELECT path, CASE WHEN n % 5 = 0 THEN 'new-file' WHEN n % 7 = 0 THEN 'content-changed' WHEN n % 3 = 0 THEN 'config-changed' END AS miss FROM (SELECT path, CAST(regexp_extract(path, '([0-9]+)\\.txt$', 1) AS BIGINT) AS n FROM files)", "files")
+def cache_decisions(spark, sf_dir):
+    f = rel.files(spark, sf_dir).select("path", "content")
+    n = F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long")
+    old = F.when(n % 7 == 0, F.lit("other")).otherwise(keys.content_hash(F.col("content")))
+    cache = f.filter(n % 5 != 0).select("path", old.alias("hash"), F.when(n % 3 == 0, "v1").otherwise("v2").alias("config"))
+    return incremental.decisions(f, cache, "v2").select("path", "miss")
+
+
+@_register(
+    "SELECT finding_no, CASE WHEN NOT fits THEN 'not-applicable' WHEN role = 'generated' AND rule_id LIKE 'architecture.%' THEN 'suppress' WHEN sev2 < sev THEN 'lower' WHEN sev2 > sev THEN 'raise' ELSE 'keep' END AS action, "
+    "CASE sev2 WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'LOW' ELSE 'INFO' END AS severity FROM (SELECT *, CASE WHEN rule_id LIKE 'architecture.%' AND role = 'generated' THEN sev WHEN rule_id = 'code-marker.fixme' AND starts_with(path, 'src/pkg1/') THEN 3 WHEN rule_id LIKE 'architecture.%' AND role = 'test' THEN 1 ELSE sev END AS sev2 FROM "
+    f"(SELECT *, {_SEV} AS sev, NOT starts_with(rule_id, 'language.rust') OR path LIKE '%.rs' AS fits, CASE WHEN contains(path, 'generated/') THEN 'generated' WHEN starts_with(path, 'tests/') THEN 'test' ELSE 'other' END AS role FROM findings))",
+    "findings",
+)
+def knowledge_decisions(spark, sf_dir):
+    p = F.col("path")
+    language = F.when(F.endswith(p, F.lit(".rs")), "Rust").when(F.endswith(p, F.lit(".py")), "Python").otherwise("TypeScript")
+    f = rel.findings(spark, sf_dir).select("finding_no", "rule_id", "path", language.alias("language"), paths.role(p).alias("role"), "severity")
+    from ..functions import rules
+
+    ids = [r[1] for r in rules.rows()]
+    gates = spark.createDataFrame([("language.rust.panic-risk", ["Rust"])], "rule_id string, languages array<string>")
+    over = [(i, r, role, sev, None) for r in ids if r.startswith("architecture.") for i, (role, sev) in enumerate((("test", "LOW"), ("generated", None)))]
+    overlay = [(1, "code-marker.fixme", "^src/pkg1/", "HIGH", "2999-01-01", "ours"), (2, "code-marker.fixme", "^src/", None, "2000-01-01", "expired")]
+    out = decisions.decided(f, gates, spark.createDataFrame(over, "ord int, rule_id string, role string, severity string, reason string"), spark.createDataFrame(overlay, "ord int, rule_id string, pattern string, severity string, expires string, reason string"), F.current_date())
+    return out.select("finding_no", "action", "severity")
+
+
+@_register("SELECT finding_no, category FROM (SELECT *, sum(30 + finding_no % 50) OVER (PARTITION BY category ORDER BY " + _ORDER + " ROWS UNBOUNDED PRECEDING) AS used, 20000 * count(*) OVER (PARTITION BY category) // count(*) OVER () AS share FROM risky) WHERE used <= share", "findings", also=_RISKY)
+def context_budget(spark, sf_dir):
+    f = _risky(spark, sf_dir).withColumn("cost", 30 + F.col("finding_no") % 50)
+    return reports.within_budget(f, "cost", 20000).select("finding_no", "category")
+
+
+@_register("SELECT key, rule_id, path, min(severity) AS severity, arg_min(title, (severity, title)) AS message FROM (SELECT *, concat(rule_id, ':', path) AS key FROM findings) GROUP BY key, rule_id, path", "findings")
+def baseline_export(spark, sf_dir):
+    return reports.baseline(rel.findings(spark, sf_dir).withColumn("key", F.concat_ws(":", "rule_id", "path")))
+
+
+@_register("SELECT n_nationkey AS entry, n_nationkey % 3 = 0 AS expired FROM nation")
+def expired_suppressions(spark, sf_dir):
+    text_ = F.expr("CASE n_nationkey % 3 WHEN 0 THEN '2020-02-29' WHEN 1 THEN '2999-12-31' ELSE '2020-02-31' END")
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("entry"), review.expired(text_, F.current_date()).alias("expired"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
