@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ..functions.paths import extension, parent
 from ..plans.storage import materialize
@@ -146,8 +147,10 @@ def components_strong(edges: DataFrame) -> DataFrame:
     found = []
     while True:
         while True:  # trim
-            kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            kept = materialize(kept.select("src", "dst"))
+            kept = e
+            for _ in range(3):  # steps a round
+                kept = kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            kept = materialize(kept)
             before, after = e.count(), kept.count()
             e = kept
             if before == after:
@@ -156,8 +159,11 @@ def components_strong(edges: DataFrame) -> DataFrame:
             break
         colour = materialize(nodes_of(e).withColumn("c", F.col("node")))
         while True:
-            offers = e.join(colour, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c")
-            new = materialize(colour.unionByName(offers).groupBy("node").agg(F.max("c").alias("c")))
+            new = colour
+            for _ in range(3):  # steps a round
+                offers = e.join(new, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c")
+                new = new.unionByName(offers).groupBy("node").agg(F.max("c").alias("c"))
+            new = materialize(new)
             same = new.exceptAll(colour).isEmpty()
             colour = new
             if same:
@@ -183,6 +189,21 @@ def cycles(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "component")
 
 
+def shortest_cycles(edges: DataFrame, components: DataFrame, starts: int = 64) -> DataFrame:
+    """(component, start, length): the shortest cycle through one of a component's first nodes.
+
+    Of equally short ones, the first start counts.  A self loop has length 1.
+    """
+    c = materialize(components)
+    e = edges.select("src", "dst").distinct().join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
+    e = materialize(e)
+    w = Window.partitionBy("component").orderBy("node")
+    first = c.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= starts).select("component", F.col("node").alias("start"), "node")
+    reach = _spread(e, first, None, ["component", "start"])
+    closing = reach.join(e, F.col("node") == F.col("src")).filter("dst = start").groupBy("component", "start").agg((F.min("hop") + 1).alias("length"))
+    return closing.groupBy("component").agg(F.min(F.struct("length", "start")).alias("x")).select("component", "x.start", "x.length")
+
+
 def dead(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that nothing imports."""
     return nodes.join(edges.filter("src <> dst").select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select("node")

@@ -484,6 +484,16 @@ def scc_members(spark, sf_dir):
     return graph.components_strong(e.select("src", "dst").unionByName(graph.reverse(e.filter("kind <> 'imports'"))))
 
 
+_STRONG = "links AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges WHERE kind <> 'imports'), reach AS (SELECT src AS a, dst AS b FROM links UNION SELECT r.a, l.dst FROM reach r JOIN links l ON r.b = l.src), comp AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a), first AS (SELECT node, component FROM comp QUALIFY row_number() OVER (PARTITION BY component ORDER BY node) <= 2), walk AS (SELECT component, node AS start, node, 0 AS hop FROM first UNION SELECT w.component, w.start, l.dst, w.hop + 1 FROM walk w JOIN links l ON l.src = w.node JOIN comp c ON c.node = l.dst AND c.component = w.component WHERE w.hop < 12 AND NOT (w.hop > 0 AND w.node = w.start))"
+
+
+@_register("SELECT component, arg_min(start, (length, start)) AS start, min(length) AS length FROM (SELECT component, start, min(hop) AS length FROM walk WHERE hop > 0 AND node = start GROUP BY component, start) GROUP BY component", "edges", also=_STRONG)
+def shortest_cycles(spark, sf_dir):
+    e = materialize(rel.edges(spark, sf_dir))
+    links = e.select("src", "dst").unionByName(graph.reverse(e.filter("kind <> 'imports'")))
+    return graph.shortest_cycles(links, graph.components_strong(links), 2)
+
+
 @_register("SELECT node FROM nodes WHERE node NOT IN (SELECT dst FROM edges WHERE src <> dst)", "edges", also=_NODES)
 def dead_nodes(spark, sf_dir):
     e = rel.edges(spark, sf_dir)

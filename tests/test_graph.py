@@ -20,6 +20,7 @@ def test_tiny(spark):
     e = edges(spark, TINY)
     assert names(graph.components_strong(e), "node", "component") == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d")]
     assert names(graph.cycles(graph.components_strong(e)), "component", "size") == [("a", 3), ("d", 1)]
+    assert names(graph.shortest_cycles(e, graph.components_strong(e)), "component", "start", "length") == [("a", "a", 2), ("d", "d", 1)]
     seeds = spark.createDataFrame([("b",)], "node string")
     assert names(graph.blast_radius(e, seeds), "node") == ["a", "c", "e"]
     assert names(graph.one_hop_radius(e, seeds), "node") == ["a"]
