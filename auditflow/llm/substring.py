@@ -29,7 +29,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from . import textcore as tc
 from .columns import fresh, key, quoted, rekeyed, whole
@@ -58,12 +60,38 @@ def minimisers(hashes: np.ndarray, first: np.ndarray, k: int, g: int):
     return at, rows, reach[at]
 
 
-def _places(table: pa.Table, column: str):
-    """Per slice: rows (lo, hi), words, fingerprints, and the windows' place, row and seed."""
-    for lo, hi, buf, off in tc.slices(table[column]):
+def _squeeze(batches):
+    """(d, fp, text, g) with the text compressed: what is dealt is as small as it can be."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    schema = pa.schema([("d", pa.int64()), ("fp", pa.int64()), ("z", pa.binary()), ("g", pa.int64())])
+    for b in batches:
+        z = pa.array([squeeze(t) for t in b.column(2).cast(pa.binary()).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), z, b.column(3)], schema=schema)
+
+
+def _texts(table: pa.Table) -> pa.Array:
+    expand = zstandard.ZstdDecompressor().decompress
+    return pa.array([expand(z) for z in table["z"].to_pylist()], pa.large_binary())
+
+
+def _places(table: pa.Table):
+    """Per slice: rows (lo, hi), words and their fingerprints."""
+    for lo, hi, buf, off in tc.slices(_texts(table)):
         words = tc.words(buf, off)
-        hashes = tc.fingerprints(buf, words.start, words.end)
-        yield lo, hi, words, hashes
+        yield lo, hi, words, tc.fingerprints(buf, words.start, words.end)
+
+
+def _ordinals(table: pa.Table) -> np.ndarray:
+    """Of each row, the rank of its text's fingerprint among those of its doc_id: 0 unless ids repeat."""
+    ids, prints = table["d"].to_numpy(), table["fp"].to_numpy()
+    order = np.lexsort((prints, ids))
+    d, f = ids[order], prints[order]
+    new_d = np.concatenate(([True], d[1:] != d[:-1]))
+    new = new_d | np.concatenate(([True], f[1:] != f[:-1]))
+    at = np.cumsum(new) - 1
+    out = np.empty(len(ids), np.int32)
+    out[order] = at - at[np.flatnonzero(new_d)][np.cumsum(new_d) - 1]
+    return out
 
 
 def _packed(g: int, keys: np.ndarray, buckets: np.ndarray):
@@ -83,7 +111,7 @@ def _seeds(k: int, gram: int, bits: int):
 
     def run(table: pa.Table) -> pa.Table:
         ids, parts = table["d"].to_numpy(), []
-        for lo, hi, words, hashes in _places(table, "text"):
+        for lo, hi, words, hashes in _places(table):
             _, rows, seed = minimisers(hashes, words.first, k, gram)
             if len(rows):
                 new = np.ones(len(seed), bool)
@@ -126,19 +154,19 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array(g[start]), "seeds": blobs})
 
 
-_PATH_SCHEMA = "seed long, c long, d long, fp long, start int, windows int"
+_PATH_SCHEMA = "seed long, c long, d long, r int, start int, windows int"
 
 
 def _paths(k: int, gram: int):
     """Of a group's shared seeds and its documents, the paths of consecutive windows with one seed."""
-    schema = pa.schema([("seed", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("fp", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+    schema = pa.schema([("seed", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("r", pa.int32()), ("start", pa.int32()), ("windows", pa.int32())])
 
     def run(shared: pa.Table, docs: pa.Table) -> pa.Table:
         hot = np.unique(_unpacked(shared["seeds"])) if shared.num_rows else np.zeros(0, np.uint64)
         parts = []
         if len(hot) and docs.num_rows:
-            ids, prints = docs["d"].to_numpy(), docs["fp"].to_numpy()
-            for lo, hi, words, hashes in _places(docs, "text"):
+            ids, copy = docs["d"].to_numpy(), _ordinals(docs)
+            for lo, hi, words, hashes in _places(docs):
                 at, rows, seed = minimisers(hashes, words.first, k, gram)
                 if not len(rows):
                     continue
@@ -155,7 +183,7 @@ def _paths(k: int, gram: int):
                 x = at[a]
                 r = rows[a]
                 content = tc.sequence(hashes, x, x + (b - a) + k - 1)
-                parts.append([tc.long(seed[a]), tc.long(content), ids[lo:hi][r], prints[lo:hi][r], (x - words.first[r]).astype(np.int32), (b - a).astype(np.int32)])
+                parts.append([tc.long(seed[a]), tc.long(content), ids[lo:hi][r], copy[lo:hi][r], (x - words.first[r]).astype(np.int32), (b - a).astype(np.int32)])
         if not parts:
             return schema.empty_table()
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=schema)
@@ -170,14 +198,13 @@ def _windows(k: int):
     def run(places: pa.Table, docs: pa.Table) -> pa.Table:
         parts = []
         if places.num_rows and docs.num_rows:
-            pd, pf = places["d"].to_numpy(), places["fp"].to_numpy()
+            pd, pr = places["d"].to_numpy(), places["r"].to_numpy()
             seed, content, start, n = (places[c].to_numpy() for c in ("seed", "c", "start", "windows"))
-            ids, prints = docs["d"].to_numpy(), docs["fp"].to_numpy()
             row_of = {}
-            for i, x in enumerate(zip(ids.tolist(), prints.tolist())):
+            for i, x in enumerate(zip(docs["d"].to_pylist(), _ordinals(docs).tolist())):
                 row_of.setdefault(x, i)  # rows equal in both have the same text
-            row = np.array([row_of[x] for x in zip(pd.tolist(), pf.tolist())], np.int64)
-            for lo, hi, words, hashes in _places(docs, "text"):
+            row = np.array([row_of[x] for x in zip(pd.tolist(), pr.tolist())], np.int64)
+            for lo, hi, words, hashes in _places(docs):
                 mine = np.flatnonzero((row >= lo) & (row < hi))
                 if not len(mine):
                     continue
@@ -201,7 +228,8 @@ def dealt(base: DataFrame, n_docs: int) -> DataFrame:
     """base (d, text) with fp and its group g, dealt by group: one shuffle for all passes."""
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = max(parts, -(-n_docs // GROUP_DOCS))
-    return base.select("d", F.xxhash64("text").alias("fp"), "text", _group(F.col("d"), groups).alias("g")).repartition(parts, "g")
+    small = base.select("d", F.xxhash64("text").alias("fp"), "text", _group(F.col("d"), groups).alias("g")).mapInArrow(_squeeze, "d long, fp long, z binary, g long")
+    return small.repartition(parts, "g")
 
 
 def _group(d, groups: int):
@@ -209,10 +237,10 @@ def _group(d, groups: int):
 
 
 def repeated_paths(texts: DataFrame, n_docs: int, window=WINDOW, gram=GRAM) -> DataFrame:
-    """(d, fp, start, windows, at): paths of which smaller documents hold windows.
+    """(d, r, start, windows, at): paths of which smaller documents hold windows.
 
-    texts: dealt(...).  fp is xxhash64 of the text, start the path's first word, windows its
-    length, at the windows that smaller documents hold (null: all of them).
+    texts: dealt(...).  r is the text's rank among those of its doc_id, start the path's first
+    word, windows its length, at the windows that smaller documents hold (null: all of them).
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = max(parts, -(-n_docs // GROUP_DOCS))
@@ -221,10 +249,11 @@ def repeated_paths(texts: DataFrame, n_docs: int, window=WINDOW, gram=GRAM) -> D
     seeds = by_group.applyInArrow(_seeds(window, gram, bits), "b long, g long, seeds binary")
     shared = seeds.groupBy("b").applyInArrow(_shared, "g long, seeds binary")
     paths = shared.groupBy("g").cogroup(by_group).applyInArrow(_paths(window, gram), _PATH_SCHEMA)
-    found = paths.groupBy("seed", "c").agg(F.min(F.struct("d", "fp", "start", "windows")).alias("x"), F.max("d").alias("hi"))
-    contents = found.select("seed", "c", F.col("x.d").alias("lo"), "x.fp", "x.start", "x.windows", "hi")
+    found = paths.groupBy("seed", "c").agg(F.min(F.struct("d", "r", "start", "windows")).alias("x"), F.max("d").alias("hi"))
+    contents = found.select("seed", "c", F.col("x.d").alias("lo"), "x.r", "x.start", "x.windows", "hi")
     several = contents.groupBy("seed").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select(rekeyed(F.col("seed")).alias("s"))
-    places = contents.join(several, rekeyed(F.col("seed")) == F.col("s")).select("seed", "c", F.col("lo").alias("d"), "fp", "start", "windows", _group(F.col("lo"), groups).alias("g"))
+    # the filter holds for all; it keeps both uses of the aggregate the same, so that they share its shuffle
+    places = contents.filter("hi >= lo").join(several, rekeyed(F.col("seed")) == F.col("s")).select("seed", "c", F.col("lo").alias("d"), "r", "start", "windows", _group(F.col("lo"), groups).alias("g"))
     windows = places.groupBy("g").cogroup(by_group).applyInArrow(_windows(window), "k long, seed long, c long, at int, d long")
     owner = windows.groupBy("seed", "k").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select(rekeyed(F.col("seed")).alias("s"), F.col("k").alias("kk"), "lo")
     later = windows.join(owner, (rekeyed(F.col("seed")) == F.col("s")) & (F.col("k") == F.col("kk"))).filter("lo < d")
@@ -232,7 +261,7 @@ def repeated_paths(texts: DataFrame, n_docs: int, window=WINDOW, gram=GRAM) -> D
     facts = contents.select("seed", "c", "lo", "hi").join(later, ["seed", "c"], "left").filter("hi > lo OR at IS NOT NULL")
     facts = facts.select(rekeyed(F.col("seed")).alias("s"), F.col("c").alias("cc"), "lo", "at")
     met = paths.join(facts, (rekeyed(F.col("seed")) == F.col("s")) & (F.col("c") == F.col("cc"))).filter("d > lo OR at IS NOT NULL")
-    return met.select("d", "fp", "start", "windows", F.when(F.col("d") == F.col("lo"), F.col("at")).alias("at"))
+    return met.select("d", "r", "start", "windows", F.when(F.col("d") == F.col("lo"), F.col("at")).alias("at"))
 
 
 def _spans_of(groups: int, paths: DataFrame) -> DataFrame:
@@ -246,19 +275,19 @@ def _cut_group(window: int):
     def run(spans: pa.Table, docs: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        ids, prints = docs["d"].to_numpy(), docs["fp"].to_numpy()
+        ids = docs["d"].to_numpy()
         rows_of: dict = {}
-        for i, x in enumerate(zip(ids.tolist(), prints.tolist())):
+        for i, x in enumerate(zip(ids.tolist(), _ordinals(docs).tolist())):
             rows_of.setdefault(x, []).append(i)
         own: list[list] = [[] for _ in range(docs.num_rows)]
         if spans.num_rows:
             listed = spans["at"].to_pylist()
-            columns = [spans[c].to_pylist() for c in ("d", "fp", "start", "windows")]
-            for d, fp, start, n, at in zip(*columns, listed):
-                for i in rows_of.get((d, fp), ()):
+            columns = [spans[c].to_pylist() for c in ("d", "r", "start", "windows")]
+            for d, r, start, n, at in zip(*columns, listed):
+                for i in rows_of.get((d, r), ()):
                     own[i] += [(start, start + n + window - 1)] if at is None else [(start + a, start + a + window) for a in at]
         texts, n_words, n_removed = [], [], []
-        for lo, hi, buf, off in tc.slices(docs["text"]):
+        for lo, hi, buf, off in tc.slices(_texts(docs)):
             words = tc.words(buf, off)
             total = np.zeros(len(words.start) + 1, np.int64)
             for i in range(lo, hi):
@@ -353,7 +382,10 @@ def dedup_substrings(docs: DataFrame, doc_id="doc_id", text="text", window=WINDO
     """
     (d,) = fresh(docs, "join_key")
     n = docs.count()
-    paths = repeated_paths(dealt(plain(docs, doc_id, text), n), n, window, gram)
+    base = plain(docs, doc_id, text)
+    prints = base.select("d", F.xxhash64("text").alias("fp")).distinct()
+    ranks = prints.withColumn("r", F.dense_rank().over(Window.partitionBy("d").orderBy("fp")) - 1)
+    paths = repeated_paths(dealt(base, n), n, window, gram).join(ranks, ["d", "r"])
     return _with_spans(docs.withColumn(d, key(quoted(doc_id))), d, text, paths, window).drop(d)
 
 
