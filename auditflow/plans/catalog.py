@@ -66,8 +66,7 @@ def language_summary(spark, sf_dir):
 
 @_register(f"SELECT path, CAST(len({_LINES}) AS BIGINT) AS non_empty_lines, CAST(len(regexp_extract_all(content, '\\b(if|else|elif|for|while|match|switch|case|catch) ')) AS BIGINT) + CAST(len(regexp_extract_all(content, '&&|\\|\\|')) AS BIGINT) AS branches FROM files WHERE NOT regexp_matches(content, '(?m)^\\s*(//|#|\\*|/\\*)')", "files")
 def file_metrics(spark, sf_dir):
-    f = rel.files(spark, sf_dir).filter(~F.col("content").rlike(r"(?m)^\s*(//|#|\*|/\*)"))
-    return f.select("path", text.non_empty_lines(F.col("content")).alias("non_empty_lines"), text.branches(F.col("content")).alias("branches"))
+    return rel.files(spark, sf_dir).select("path", text.non_empty_lines(F.col("content")).alias("non_empty_lines"), text.branches(F.col("content")).alias("branches"))
 
 
 _ROLE = "CASE WHEN contains(path, '/generated/') THEN 'generated' WHEN contains(path, '/tests/') THEN 'test' ELSE 'production' END"
