@@ -490,7 +490,7 @@ _STRONG = "links AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges
 def shortest_cycles(spark, sf_dir):
     e = materialize(rel.edges(spark, sf_dir))
     links = e.select("src", "dst").unionByName(graph.reverse(e.filter("kind <> 'imports'")))
-    return graph.shortest_cycles(links, graph.components_strong(links), 2)
+    return graph.shortest_cycles(links, graph.components_strong(links))
 
 
 @_register("SELECT node FROM nodes WHERE node NOT IN (SELECT dst FROM edges WHERE src <> dst)", "edges", also=_NODES)

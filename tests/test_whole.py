@@ -11,3 +11,12 @@ def test_file_metrics_has_a_row_for_every_file(spark, tmp_path):
     got = {r.path: (r.non_empty_lines, r.branches) for r in catalog.queries()["file_metrics"](spark, str(tmp_path)).collect()}
     assert len(got) == len(texts)
     assert [got[f"s/en/doc{i}.txt"] for i in (1, 2, 3, 4)] == [(3, 2), (4, 2), (1, 0), (0, 0)]
+
+
+def test_shortest_cycles_looks_past_the_first_two_nodes(spark, tmp_path):
+    """A ring of six parts whose last two also point at each other."""
+    pairs = [(1, 2), (2, 3), (3, 5), (5, 6), (6, 7), (7, 1), (7, 6)]
+    rows = [(n, part, 1, line, 1.0) for n, pair in enumerate(pairs) for line, part in enumerate(pair, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [tuple(r) for r in catalog.queries()["shortest_cycles"](spark, str(tmp_path)).select("component", "start", "length").collect()]
+    assert got == [("src/d1/m1.py", "src/d6/m6.py", 2)]
