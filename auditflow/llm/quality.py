@@ -34,8 +34,12 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 GROWTH, LEAST = 1.02, 1e-6
 #: A group of fewer documents takes its language's fences, and a smaller language all documents'.
 MIN_GROUP = 200
-#: Fences stand REACH times the middle half's width outside it, at least SLACK times the median.
+#: Upper fences stand REACH times the middle half's width over it, at least SLACK times the median.
 REACH, SLACK = 8.0, 1.0
+#: Lower fences lie on a log scale, so that they are over 0: the first quartile divided by the
+#: quartiles' quotient to the power of REACH, at least by SHRINK.  Only short words are a fault;
+#: fewer symbols, equal lines or repeats than usual are none, so those have no lower fence.
+SHRINK, LOWER = 2.0, ("word_length",)
 #: How many groups' fences may be broadcast; more are joined by shuffle.
 BROADCAST_GROUPS = 20_000
 
@@ -145,13 +149,16 @@ def fences(stats: DataFrame, min_group=MIN_GROUP, reach=REACH, slack=SLACK) -> D
     joined = own.join(by_lang, own.lang.eqNullSafe(by_lang.l) & (own.metric == by_lang.lm)).join(F.broadcast(overall), F.col("metric") == F.col("am"))  # one row a metric
     q = F.when(F.col("total") >= min_group, F.col("q")).when(F.col("lt") >= min_group, F.col("lq")).otherwise(F.col("aq"))
     wide = joined.select("lang", "source", "metric", q.alias("q"))
-    room = F.greatest(reach * (F.col("q")[2] - F.col("q")[0]), slack * F.col("q")[1])
-    low, high = F.col("q")[0] - room, F.col("q")[2] + room
-    return wide.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, x)).alias(f"{side}_{m}") for m in values for side, x in (("low", low), ("high", high))))
+    q1, q2, q3 = (F.col("q")[i] for i in range(3))
+    high = q3 + F.greatest(reach * (q3 - q1), slack * q2)
+    low = F.when(q1 > 0, q1 / F.greatest(F.lit(SHRINK), F.pow(q3 / q1, F.lit(reach)))).otherwise(0.0)
+    sides = [(m, "high", high) for m in values] + [(m, "low", low) for m in LOWER]
+    return wide.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, x)).alias(f"{side}_{m}") for m, side, x in sides))
 
 
-#: The least upper fence of each ratio: at or under it a document never fails.
-FLOORS = {"word_length": 14.0, "symbols": 0.5, "dup_lines": 0.05, "repeats": 0.3}
+#: The least upper fence of each ratio: at or under it a document never fails.  That of repeats is
+#: under the base rule's bound; that of equal lines is for short ones, as long ones are repeats.
+FLOORS = {"word_length": 8.0, "symbols": 0.5, "dup_lines": 0.02, "repeats": 0.2}
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -173,7 +180,9 @@ def judged(stats: DataFrame, limits: DataFrame, lang: str, source: str, names: l
     failed = base_failed(quoted(names[0]), quoted(names[4]))
     fits = F.lit(True)
     for m, v in ratios(*map(quoted, names)).items():
-        fits = fits & (v <= F.greatest(F.col(f"lim__high_{m}"), F.lit(FLOORS[m]))) & (v >= F.col(f"lim__low_{m}"))
+        fits = fits & (v <= F.greatest(F.col(f"lim__high_{m}"), F.lit(FLOORS[m])))
+        if m in LOWER:
+            fits = fits & (v >= F.col(f"lim__low_{m}"))
     joined = joined.withColumns({out[0]: failed, out[1]: ~failed & F.coalesce(fits, F.lit(True))})
     return joined.drop(*group.columns)
 
