@@ -29,3 +29,14 @@ def test_each_quality_fence_rejects_its_outlier(spark):
     got = {r.doc_id: r for r in quality.quality_verdicts(frame(spark, rows)).collect()}
     assert all(r.kept for i, r in got.items() if i < 1000)
     assert {n: (got[1000 + i].base_failed, got[1000 + i].kept) for i, n in enumerate(bad)} == {n: (False, False) for n in bad}
+
+
+def test_pipeline_takes_five_word_shingles(spark):
+    """Three spread edits of 120 words: 0.81 alike by four words, 0.77 by five."""
+    import corpus_pipeline
+
+    a = [f"w{i}" for i in range(120)]
+    b = [f"new{i}" if i in (20, 60, 100) else w for i, w in enumerate(a)]
+    rows = [(1, " ".join(a), "en", "s", 0), (2, " ".join(b), "en", "s", 0), (3, " ".join(a), "en", "s", 0)]
+    kept = {r.doc_id for r in corpus_pipeline.minhash_dedup(spark, frame(spark, rows), "").collect()}
+    assert kept == {1, 2}
