@@ -4,7 +4,7 @@ One vectorised pass takes counts of every text.  Ratios made of them go into rel
 quantile sketches, one per language, source and ratio: a sketch is the count of values in
 each of the buckets (g**(i-1), g**i], so that sketches merge by adding counts, in any order
 and with the same result.  The groups of a language, and all of them, merge into sketches of
-their own, which stand in for groups with too few documents.  Fences far outside the middle
+their own, to which the quartiles of groups with few documents shrink.  Fences far outside the middle
 half of a group replace fixed cutoffs; they are joined to the documents and filter them.
 
 Defined cases: null text has no words and fails the base rule.  Null language or source is a
@@ -32,8 +32,8 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 #: Growth of the sketch's buckets (values are right to 1 %), and the smallest value it tells from 0.
 GROWTH, LEAST = 1.02, 1e-6
-#: A group of fewer documents takes its language's fences, and a smaller language all documents'.
-MIN_GROUP = 200
+#: A language's quartiles count as so many documents of each of its groups, those of all documents as so many of each language.
+PRIOR = 200
 #: Upper fences stand REACH times the middle half's width over it, at least SLACK times the median.
 REACH, SLACK = 8.0, 1.0
 #: Lower fences lie on a log scale, so that they are over 0: the first quartile divided by the
@@ -134,11 +134,11 @@ def quantiles(sketches: DataFrame, by: list[str], points: tuple[float, ...]) ->
     return ranked.groupBy(*by, "metric").agg(F.max("total").alias("total"), F.array(*at).alias("q"))
 
 
-def fences(stats: DataFrame, min_group=MIN_GROUP, reach=REACH, slack=SLACK) -> DataFrame:
+def fences(stats: DataFrame, prior=PRIOR, reach=REACH, slack=SLACK) -> DataFrame:
     """(lang, source, low_*, high_*): what each language and source lets pass.
 
-    stats: lang, source and the columns STATS.  A group with fewer than min_group documents
-    takes the fences of its language, a language with fewer those of all documents.
+    stats: lang, source and the columns STATS.  A group's quartiles are its own and its language's,
+    a language's its own and those of all documents, weighted by counts: prior documents for the latter.
     """
     values = ratios(*map(F.col, STATS))
     fine = materialize(sketch(stats, ["lang", "source"], values))
@@ -147,8 +147,11 @@ def fences(stats: DataFrame, min_group=MIN_GROUP, reach=REACH, slack=SLACK) -> D
     by_lang = quantiles(merge(fine, ["lang"]), ["lang"], points).select(F.col("lang").alias("l"), F.col("metric").alias("lm"), F.col("total").alias("lt"), F.col("q").alias("lq"))
     overall = quantiles(merge(fine, []), [], points).select(F.col("metric").alias("am"), F.col("q").alias("aq"))
     joined = own.join(by_lang, own.lang.eqNullSafe(by_lang.l) & (own.metric == by_lang.lm)).join(F.broadcast(overall), F.col("metric") == F.col("am"))  # one row a metric
-    q = F.when(F.col("total") >= min_group, F.col("q")).when(F.col("lt") >= min_group, F.col("lq")).otherwise(F.col("aq"))
-    wide = joined.select("lang", "source", "metric", q.alias("q"))
+
+    def shrunk(own, n, wider):
+        return F.zip_with(own, wider, lambda a, b: (n * a + prior * b) / (n + prior))
+
+    wide = joined.select("lang", "source", "metric", shrunk(F.col("q"), F.col("total"), shrunk(F.col("lq"), F.col("lt"), F.col("aq"))).alias("q"))
     q1, q2, q3 = (F.col("q")[i] for i in range(3))
     high = q3 + F.greatest(reach * (q3 - q1), slack * q2)
     low = F.when(q1 > 0, q1 / F.greatest(F.lit(SHRINK), F.pow(q3 / q1, F.lit(reach)))).otherwise(0.0)

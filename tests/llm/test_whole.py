@@ -31,6 +31,16 @@ def test_each_quality_fence_rejects_its_outlier(spark):
     assert {n: (got[1000 + i].base_failed, got[1000 + i].kept) for i, n in enumerate(bad)} == {n: (False, False) for n in bad}
 
 
+def test_quality_fences_have_no_jump_by_size(spark):
+    """Long words in a small source of a language of short ones."""
+    stat = "lang string, source string, " + ", ".join(f"{s} long" for s in quality.STATS)
+    high = {}
+    for n in (199, 200):
+        rows = [("en", "big", 100, 300, 0, 0, 0)] * 1000 + [("en", "small", 100, 900, 0, 0, 0)] * n
+        high[n] = {r.source: r.high_word_length for r in quality.fences(spark.createDataFrame(rows, stat)).collect()}["small"]
+    assert 6.5 < high[199] <= high[200] < 1.01 * high[199]
+
+
 def test_pipeline_takes_five_word_shingles(spark):
     """Three spread edits of 120 words: 0.81 alike by four words, 0.77 by five."""
     import corpus_pipeline
