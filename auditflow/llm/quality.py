@@ -4,11 +4,15 @@ One vectorised pass takes counts of every text.  Ratios made of them go into rel
 quantile sketches, one per language, source and ratio: a sketch is the count of values in
 each of the buckets (g**(i-1), g**i], so that sketches merge by adding counts, in any order
 and with the same result.  The groups of a language, and all of them, merge into sketches of
-their own, to which the quartiles of groups with few documents shrink.  Fences far outside the middle
-half of a group replace fixed cutoffs; they are joined to the documents and filter them.
+their own, to which the quartiles of groups with few documents shrink.  Fences outside the middle
+half of a group replace fixed cutoffs; they are joined to the documents and filter them.  A text
+fails where it stands outside its group's fence by more than an allowance for chance, so one text
+passes in a corpus where its like are common and fails in another.
 
 Defined cases: null text has no words and fails the base rule.  Null language or source is a
-group like any other.  Repeated rows are judged each for itself.  Other columns pass through.
+group like any other.  Repeated rows are judged each for itself.  An empty table has no fences and
+no rows.  Very long texts are counted whole, one at a time.  Other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -34,12 +38,15 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 GROWTH, LEAST = 1.02, 1e-6
 #: A language's quartiles count as so many documents of each of its groups, those of all documents as so many of each language.
 PRIOR = 200
-#: Upper fences stand REACH times the middle half's width over it, at least SLACK times the median.
-REACH, SLACK = 8.0, 1.0
-#: Lower fences lie on a log scale, so that they are over 0: the first quartile divided by the
-#: quartiles' quotient to the power of REACH, at least by SHRINK.  Only short words are a fault;
-#: fewer symbols, equal lines or repeats than usual are none, so those have no lower fence.
-SHRINK, LOWER = 2.0, ("word_length",)
+#: Fences stand REACH times the middle half's width outside of it, on both sides.
+REACH = 3.0
+#: Word length and symbols are means over words, which chance moves by the root of (variance a word /
+#: words); NOISE times that is let pass.  Lines and passages recur in bunches, of any size of text:
+#: so much of a text may recur over the fence.
+NOISE, VARIANCE = 3.0, {"word_length": 9.0, "symbols": 1.0}
+BUNCH = {"dup_lines": 0.025, "repeats": 0.2}
+#: Ratios with a lower fence: fewer symbols, equal lines or repeats than usual are no fault.
+LOWER = ("word_length",)
 #: How many groups' fences may be broadcast; more are joined by shuffle.
 BROADCAST_GROUPS = 20_000
 
@@ -134,15 +141,16 @@ def quantiles(sketches: DataFrame, by: list[str], points: tuple[float, ...]) ->
     return ranked.groupBy(*by, "metric").agg(F.max("total").alias("total"), F.array(*at).alias("q"))
 
 
-def fences(stats: DataFrame, prior=PRIOR, reach=REACH, slack=SLACK) -> DataFrame:
+def fences(stats: DataFrame, prior=PRIOR, reach=REACH) -> DataFrame:
     """(lang, source, low_*, high_*): what each language and source lets pass.
 
     stats: lang, source and the columns STATS.  A group's quartiles are its own and its language's,
     a language's its own and those of all documents, weighted by counts: prior documents for the latter.
+    Fences are wider by how far a group's quartiles are from those around it, weighted alike.
     """
     values = ratios(*map(F.col, STATS))
     fine = materialize(sketch(stats, ["lang", "source"], values))
-    points = (0.25, 0.5, 0.75)
+    points = (0.25, 0.75)
     own = quantiles(fine, ["lang", "source"], points)
     by_lang = quantiles(merge(fine, ["lang"]), ["lang"], points).select(F.col("lang").alias("l"), F.col("metric").alias("lm"), F.col("total").alias("lt"), F.col("q").alias("lq"))
     overall = quantiles(merge(fine, []), [], points).select(F.col("metric").alias("am"), F.col("q").alias("aq"))
@@ -151,17 +159,16 @@ def fences(stats: DataFrame, prior=PRIOR, reach=REACH, slack=SLACK) -> DataFrame
     def shrunk(own, n, wider):
         return F.zip_with(own, wider, lambda a, b: (n * a + prior * b) / (n + prior))
 
-    wide = joined.select("lang", "source", "metric", shrunk(F.col("q"), F.col("total"), shrunk(F.col("lq"), F.col("lt"), F.col("aq"))).alias("q"))
-    q1, q2, q3 = (F.col("q")[i] for i in range(3))
-    high = q3 + F.greatest(reach * (q3 - q1), slack * q2)
-    low = F.when(q1 > 0, q1 / F.greatest(F.lit(SHRINK), F.pow(q3 / q1, F.lit(reach)))).otherwise(0.0)
+    both = joined.select("lang", "source", "metric", "total", "q", shrunk(F.col("lq"), F.col("lt"), F.col("aq")).alias("wider"))
+    own, n = F.col("q"), F.col("total")
+    middle = shrunk(own, n, F.col("wider"))
+    # where a group and its surroundings differ, which of them holds is in doubt: their weighted deviation
+    doubt = F.sqrt(n * prior) / (n + prior)
+    width = reach * (middle[1] - middle[0])
+    high = middle[1] + width + doubt * F.abs(own[1] - F.col("wider")[1])
+    low = middle[0] - width - doubt * F.abs(own[0] - F.col("wider")[0])
     sides = [(m, "high", high) for m in values] + [(m, "low", low) for m in LOWER]
-    return wide.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, x)).alias(f"{side}_{m}") for m, side, x in sides))
-
-
-#: The least upper fence of each ratio: at or under it a document never fails.  That of repeats is
-#: under the base rule's bound; that of equal lines is for short ones, as long ones are repeats.
-FLOORS = {"word_length": 8.0, "symbols": 0.5, "dup_lines": 0.02, "repeats": 0.2}
+    return both.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, x)).alias(f"{side}_{m}") for m, side, x in sides))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -182,10 +189,12 @@ def judged(stats: DataFrame, limits: DataFrame, lang: str, source: str, names: l
         joined = salted.join(each, hit & (F.col("lim__s") == F.col("lim__r")), "left").drop("lim__s", "lim__r")
     failed = base_failed(quoted(names[0]), quoted(names[4]))
     fits = F.lit(True)
+    words = F.greatest(quoted(names[0]), F.lit(1))
     for m, v in ratios(*map(quoted, names)).items():
-        fits = fits & (v <= F.greatest(F.col(f"lim__high_{m}"), F.lit(FLOORS[m])))
+        chance = NOISE * F.sqrt(VARIANCE[m] / words) if m in VARIANCE else F.lit(BUNCH[m])
+        fits = fits & (v <= F.col(f"lim__high_{m}") + chance)
         if m in LOWER:
-            fits = fits & (v >= F.col(f"lim__low_{m}"))
+            fits = fits & (v >= F.col(f"lim__low_{m}") - chance)
     joined = joined.withColumns({out[0]: failed, out[1]: ~failed & F.coalesce(fits, F.lit(True))})
     return joined.drop(*group.columns)
 
