@@ -29,8 +29,6 @@ held one at a time.  Other columns pass through dedup_substrings, whatever their
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -44,7 +42,7 @@ from .store import materialize
 
 WINDOW, GRAM = 13, 5
 #: Bytes of text a group has on average.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
 #: A place is a text's rank among those of its doc_id, and the number of a word.
 WORD_BITS = 40
 _WORD = (1 << WORD_BITS) - 1
@@ -443,6 +441,29 @@ def _gathered(start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(start - ahead, lengths)
 
 
+#: Words that are gathered at a time, which bounds the memory that a group's spans take.
+AT_ONCE = 1 << 17
+
+
+def _portions(sizes: np.ndarray):
+    """(lo, hi) of runs of about AT_ONCE in all."""
+    upto, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + AT_ONCE, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def _before(d: np.ndarray, place: np.ndarray, at_d: np.ndarray, at_place: np.ndarray, equal: bool) -> np.ndarray:
+    """How many of the pairs (d, place) are less than (equal: or the same as) each of the others."""
+    n = len(d)
+    late = np.concatenate((np.zeros(n, np.int8), np.full(len(at_d), 1 if equal else -1, np.int8)))
+    order = np.lexsort((late, np.concatenate((place, at_place)), np.concatenate((d, at_d))))
+    out = np.empty(n + len(at_d), np.int64)
+    out[order] = np.cumsum(order < n)
+    return out[n:]
+
+
 def _words_of(k: int):
     """Of unitigs (to < 0), requests (to: the group that asks) and their documents, for each group
     that asks the words of all unitigs that its requests touch."""
@@ -454,13 +475,11 @@ def _words_of(k: int):
         ud, up, un = (x[is_unitig][order] for x in (d, place, windows))
         if not len(ud) or is_unitig.all() or not docs.num_rows:
             return _send(np.zeros(0, np.int64), [])
-        unitigs = list(zip(ud.tolist(), up.tolist()))
-        touched = []
-        for t, x, y, n in zip(*(c[~is_unitig].tolist() for c in (to, d, place, windows))):
-            i = max(0, bisect.bisect_right(unitigs, (x, y)) - 1)
-            touched += [(t, j) for j in range(i, bisect.bisect_left(unitigs, (x, y + n)))]
-        pairs = np.unique(np.array(touched, np.int64).reshape(-1, 2), axis=0)
-        t, u = pairs[:, 0], pairs[:, 1]
+        t, x, y, n = (c[~is_unitig] for c in (to, d, place, windows))
+        lo = np.maximum(_before(ud, up, x, y, True) - 1, 0)
+        n = np.maximum(_before(ud, up, x, y + n, False) - lo, 0)
+        pairs = np.unique(np.stack((np.repeat(t, n), _gathered(lo, n))), axis=1)
+        t, u = pairs
         start, stop = up[u], up[u] + un[u] + k - 1
         new = _changes(t) | _changes(ud[u])
         new[1:] |= start[1:] > stop[:-1]
@@ -473,13 +492,15 @@ def _words_of(k: int):
         squeeze = zstandard.ZstdCompressor(level=3).compress
         out_to, out = [], []
         for lo, hi in zip(np.flatnonzero(_changes(t)).tolist(), [*(np.flatnonzero(_changes(t))[1:]).tolist(), len(t)]):
-            w = _gathered(words.first[row[lo:hi]] + (start[lo:hi] & _WORD), n[lo:hi])
-            lengths = words.end[w] - words.start[w]
+            first, lengths, body = words.first[row[lo:hi]] + (start[lo:hi] & _WORD), [], []
+            for i, j in _portions(n[lo:hi]):
+                w = _gathered(first[i:j], n[lo + i : lo + j])
+                lengths.append(words.end[w] - words.start[w])
+                body.append(buf[_gathered(words.start[w], lengths[-1])].tobytes())
             head_ = pack([x[lo:hi], start[lo:hi], n[lo:hi]])
-            sizes = pack([lengths])
-            body = squeeze(buf[_gathered(words.start[w], lengths)].tobytes())
+            sizes = pack([np.concatenate(lengths)])
             out_to.append(int(t[lo]))
-            out.append(np.array([len(head_), len(sizes)], np.int64).tobytes() + head_ + sizes + body)
+            out.append(np.array([len(head_), len(sizes)], np.int64).tobytes() + head_ + sizes + squeeze(b"".join(body)))
         return pa.table({"to": pa.array(out_to, pa.int64()), "data": pa.array(out, pa.binary())})
 
     return run
@@ -502,15 +523,15 @@ class _Words:
         self.start = self.end - lengths
         first = np.cumsum(n) - n
         order = np.lexsort((place, d))
-        self.ranges = list(zip(d[order].tolist(), place[order].tolist()))
-        self.first, self.n = first[order].tolist(), n[order].tolist()
+        self.d, self.place, self.first, self.n = d[order], place[order], first[order], n[order]
 
-    def find(self, d: int, place: int, n: int) -> int:
+    def find(self, d: np.ndarray, place: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The first of n words of d from place on, or -1."""
-        i = bisect.bisect_right(self.ranges, (d, place)) - 1
-        if i < 0 or self.ranges[i][0] != d or place + n > self.ranges[i][1] + self.n[i]:
-            return -1
-        return self.first[i] + place - self.ranges[i][1]
+        if not len(self.d):
+            return np.full(len(d), -1)
+        i = np.maximum(_before(self.d, self.place, d, place, True) - 1, 0)
+        held = (self.d[i] == d) & (self.place[i] <= place) & (place + n <= self.place[i] + self.n[i])
+        return np.where(held, self.first[i] + place - self.place[i], -1)
 
 
 def equal_words(buf, start, end, other, other_start, other_end) -> np.ndarray:
@@ -534,11 +555,13 @@ def _cut(window: int):
         theirs = _Words([b for b in spans["data"].to_pylist() if b is not None])
         rows_of = _rows_of(docs)
         own: list[list] = [[] for _ in range(docs.num_rows)]
-        for a, b, d, place, n in zip(*(spans.filter(pa.compute.is_null(spans["data"]))[c].to_pylist() for c in ("a", "b", "d", "place", "windows"))):
-            at = theirs.find(a, b, n + window - 1)
-            if at >= 0:
-                for i in rows_of[d, place >> WORD_BITS]:
-                    own[i].append((place & _WORD, n, at))
+        own_spans = spans.filter(pa.compute.is_null(spans["data"]))
+        a, b, d, place, n = (own_spans[c].to_numpy() for c in ("a", "b", "d", "place", "windows"))
+        at = theirs.find(a, b, n + window - 1)
+        found = at >= 0
+        for x, y, z, m in zip(*(c[found].tolist() for c in (d, place, n, at))):
+            for i in rows_of[x, y >> WORD_BITS]:
+                own[i].append((y & _WORD, z, m))
         texts, n_words, n_removed = [], [], []
         for lo, hi, buf, off in tc.slices(_texts(docs)):
             words = tc.words(buf, off)
@@ -546,13 +569,14 @@ def _cut(window: int):
             mine = [(words.first[i - lo] + s, n, at) for i in range(lo, hi) for s, n, at in own[i]]
             if mine:
                 s, n, at = np.array(mine, np.int64).T
-                x, y = _gathered(s, n + window - 1), _gathered(at, n + window - 1)
-                wrong = np.concatenate(([0], np.cumsum(~equal_words(buf, words.start[x], words.end[x], theirs.buf, theirs.start[y], theirs.end[y]))))
-                ahead = np.cumsum(n + window - 1) - (n + window - 1)
-                first = _gathered(ahead, n)  # every window's first word, in x
-                stands = wrong[first + window] == wrong[first]
-                np.add.at(total, x[first[stands]], 1)
-                np.add.at(total, x[first[stands]] + window, -1)
+                for i, j in _portions(n + window - 1):
+                    many = n[i:j] + window - 1
+                    x, y = _gathered(s[i:j], many), _gathered(at[i:j], many)
+                    wrong = np.concatenate(([0], np.cumsum(~equal_words(buf, words.start[x], words.end[x], theirs.buf, theirs.start[y], theirs.end[y]))))
+                    first = _gathered(np.cumsum(many) - many, n[i:j])  # every window's first word, in x
+                    stands = x[first[wrong[first + window] == wrong[first]]]
+                    np.add.at(total, stands, 1)
+                    np.add.at(total, stands + window, -1)
             gone = np.cumsum(total[:-1]) > 0
             texts += _joined(buf, words, ~gone)
             n_words.append(words.counts)
