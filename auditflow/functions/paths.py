@@ -142,3 +142,29 @@ def risk_roles(path: Column, content: Column | None = None) -> Column:
         F.when(low_signal(path), F.lit("low-signal-path")), F.when(base_name(low).isin(*ENTRYPOINTS), F.lit("entrypoint")), F.when(low.rlike(r"controller|(^|/)controllers?/"), F.lit("controller")),
         F.when(low.rlike(r"(^|/)services?/|service\.[a-z]+$"), F.lit("service")), F.when(has_component(low, ("domain",)), F.lit("domain")), F.when(low.rlike(r"\.(jsx|tsx)$"), F.lit("react-component")),
     ))
+
+
+#: Kinds of modules, in the order in which their patterns are tried.
+MODULE_KINDS = ("ui", "infrastructure", "domain", "cli", "shared", "feature")
+
+
+def module_kind(path: Column, patterns: dict[str, list[str]]) -> Column:
+    """The first kind one of whose patterns (regular expressions) matches; unknown for none."""
+    out = F.lit("unknown")
+    for kind in reversed(MODULE_KINDS):
+        for p in patterns.get(kind, ()):
+            out = F.when(path.rlike(p), kind).otherwise(out)
+    return out
+
+
+#: Languages by the ending of a name, and by whole name.
+LANGUAGES = {"rs": "Rust", "py": "Python", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "go": "Go", "java": "Java", "kt": "Kotlin", "cs": "C#", "c": "C", "h": "C Header", "cpp": "C++", "cc": "C++", "swift": "Swift", "scala": "Scala", "rb": "Ruby", "php": "PHP", "dart": "Dart", "sh": "Shell", "html": "HTML", "css": "CSS", "scss": "SCSS", "json": "JSON", "toml": "TOML", "yaml": "YAML", "yml": "YAML", "md": "Markdown", "tf": "Terraform", "sql": "SQL", "nix": "Nix"}
+NAMES = {"dockerfile": "Dockerfile", "makefile": "Makefile"}
+
+
+def language(path: Column) -> Column:
+    """The language of a file by its name, null for none known."""
+    name = F.lower(base_name(path))
+    table = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    names = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
+    return F.coalesce(F.element_at(names, name), F.element_at(table, F.regexp_extract(name, r"^.+\.([^.]*)$", 1)))

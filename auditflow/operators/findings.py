@@ -121,3 +121,16 @@ def page(findings: DataFrame, offset: int, limit: int) -> DataFrame:
 
 def numbered(df: DataFrame, by: list[str], order: list, name: str = "ordinal") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def union(streams: list[DataFrame]) -> DataFrame:
+    """Findings of several rules as one relation; what a stream lacks is null."""
+    out = streams[0]
+    for s in streams[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return out
+
+
+def with_status_order(findings: DataFrame, status: DataFrame, key: str = "finding_no") -> DataFrame:
+    """findings beside their status (key, ...), in the canonical order of findings."""
+    return findings.join(status, key, "left").orderBy(*canonical_order(), key)

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..functions.paths import extension, parent
+from ..functions.paths import extension, has_component, parent
 from ..plans.storage import materialize
 
 #: The edge kinds that are dependencies.
@@ -63,9 +63,8 @@ def unstable_hubs(d: DataFrame, fan_in: int = 5, percent: int = 75) -> DataFrame
 
 
 def direct_dependents(edges: DataFrame) -> DataFrame:
-    """(node, dependents): sorted importers over dependency kinds."""
-    e = edges.filter(F.col("kind").isin(*DEPENDENCY_KINDS))
-    return e.groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_set("src")).alias("dependents"))
+    """(node, dependent) once each, over dependency kinds; a hub's importers are rows, not one list."""
+    return edges.filter(F.col("kind").isin(*DEPENDENCY_KINDS)).select(F.col("dst").alias("node"), F.col("src").alias("dependent")).distinct()
 
 
 def dependent_counts(edges: DataFrame) -> DataFrame:
@@ -231,10 +230,9 @@ def layer_violations(edges: DataFrame, layers: DataFrame) -> DataFrame:
     layers: (layer, pattern); a file's layer is the first whose pattern matches its path.
     """
 
-    def layer(nodes):
-        return nodes.join(F.broadcast(layers), F.expr("node RLIKE pattern"), "left").groupBy("node").agg(F.min("layer").alias("layer"))  # layers: a configured list
+    from .patterns import first_match
 
-    of = materialize(layer(nodes_of(edges)))
+    of = materialize(nodes_of(edges).withColumn("layer", first_match(F.col("node"), layers, "layer", "pattern")))
     j = edges.select("src", "dst").distinct().join(of.toDF("src", "src_layer"), "src").join(of.toDF("dst", "dst_layer"), "dst")
     return j.filter("dst_layer < src_layer").select("src", "dst", "src_layer", "dst_layer")
 
@@ -255,3 +253,209 @@ def boundary_violations(edges: DataFrame, membership: DataFrame, public: DataFra
     m = membership
     j = edges.select("src", "dst").distinct().join(m.toDF("src", "src_package"), "src").join(m.toDF("dst", "dst_package"), "dst").filter("src_package <> dst_package")
     return j.join(public.select(F.col("node").alias("dst")).distinct(), "dst", "left_anti").select("src", "dst", "src_package", "dst_package")
+
+
+# ---- rules, summaries and snapshots ---------------------------------------------------------
+
+#: Default limits of fan-out and of lists in summaries.
+MAX_FAN_OUT, TOP_FILES, TOP_CYCLES, CYCLE_DEPTH = 15, 10, 10, 512
+
+
+def excessive_fan_out(d: DataFrame, facades: DataFrame | None = None, most: int = MAX_FAN_OUT) -> DataFrame:
+    """(node, fan_out) of files that import more than `most` others; facades (node) are exempt."""
+    rows = d.filter(F.col("fan_out") > most)
+    return (rows if facades is None else rows.join(facades.select("node"), "node", "left_anti")).select("node", "fan_out")
+
+
+def rust_facades(files: DataFrame) -> DataFrame:
+    """(node): lib.rs and mod.rs whose lines only declare or re-export modules."""
+    line = F.trim(F.translate("line", "\t\r", "  "))
+    plain = F.regexp_replace(F.regexp_replace(line, r";$", ""), r"^pub(\((crate|super)\))? ", "")
+    declares = F.startswith(plain, F.lit("mod ")) | F.startswith(plain, F.lit("use ")) | F.startswith(plain, F.lit("extern crate "))
+    skip = (line == "") | F.startswith(line, F.lit("//")) | F.startswith(line, F.lit("#["))
+    each = files.filter(F.col("path").rlike(r"(^|/)(lib|mod)\.rs$")).select("path", F.explode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("line"))
+    judged = each.groupBy("path").agg(F.count_if(~skip & declares).alias("yes"), F.count_if(~skip & ~declares).alias("no"))
+    return judged.filter("yes > 0 AND no = 0").select(F.col("path").alias("node"))
+
+
+#: Files that are reached by name, by a loader or by a router, not by an import.
+LOADED_PY = ("conftest.py", "wagtail_hooks.py", "apps.py", "admin.py", "urls.py", "wsgi.py", "asgi.py", "__init__.py")
+ROUTED = ("page", "layout", "_layout", "route", "template", "loading", "error", "not-found", "+not-found", "+html", "_app", "_document")
+VENDORED, EXAMPLE_TREES = ("vendor", "vendors", "node_modules", "third_party"), ("docs_src", "doc_src", "docs-src", "examples", "samples")
+
+
+def reached_without_import(path: Column, executable: Column | None = None) -> Column:
+    """Whether a file is used without anything importing it: by a tool, build, framework, router or browser."""
+    low = F.lower(path)
+    name = F.element_at(F.split(low, "/"), -1)
+    within = lambda *names: has_component(low, names)
+    stem = F.regexp_extract(name, r"^(.*)\.(?:mts|cts|mjs|cjs|tsx|jsx|ts|js|kts)$", 1)  # of scripts only
+    script = stem != ""
+    python = F.endswith(name, F.lit(".py"))
+    example = F.arrays_overlap(F.slice(F.split(low, "/"), 1, 3), F.array(*map(F.lit, EXAMPLE_TREES)))
+    browser = within("entrypoints", "static_src", "static") | (script & stem.rlike(r"(^|[.-])(worker|sw)([.-]|$)"))
+    binary = within("bin") | stem.isin("bin", "cli")
+    build = name.rlike(r"\.gradle(\.kts)?$") | stem.isin("gulpfile", "gruntfile")
+    tool = script & (stem.rlike(r"\.(config|conf)$") | stem.rlike(r"^\..*rc$"))
+    autoload = (script & stem.rlike(r"\.(stories|story)$")) | (python & (low.rlike(r"(^|/)management/commands/") | within("migrations", "templatetags") | name.isin(*LOADED_PY)))
+    routed = stem.isin(*ROUTED) & within("app", "pages")
+    out = name.rlike(r"\.d\.[mc]?ts$") | within(*VENDORED) | example | browser | binary | build | tool | autoload | routed | within("scripts")
+    return out if executable is None else out | (executable & within("commands"))
+
+
+#: Languages, by ending, whose imports name files, so that nothing importing one means something.
+ABSENCE_ENDINGS = ("rs", "ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go")
+
+
+def dead_modules(files: DataFrame, d: DataFrame, unresolved: DataFrame, resolved_edges: DataFrame) -> DataFrame:
+    """(path, confidence): production files that nothing imports and nothing else reaches.
+
+    files: (path, role, entrypoint, public, has_inline_tests).  unresolved: (ext, spec) of local
+    imports that mean no file; resolved_edges: (ext, edges).  A file is skipped if an unresolved
+    import might mean it, or if its language has more unresolved imports than edges; with any
+    unresolved import left, confidence is LOW.
+    """
+    n = unresolved.agg(F.count(F.lit(1)).alias("_unresolved"))
+    stems = unresolved.select(F.explode(import_stems(F.col("spec"))).alias("_stem")).select(F.lower("_stem").alias("_stem")).distinct()
+    by_ext = unresolved.groupBy("ext").agg(F.count(F.lit(1)).alias("_u")).join(resolved_edges, "ext", "left").filter("_u > coalesce(edges, 0)").select(F.col("ext").alias("_unmapped"))
+    p = F.col("path")
+    ext = extension(p)
+    stem = F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    rows = files.join(d.filter("fan_in > 0").select(F.col("node").alias("path")), "path", "left_anti")
+    rows = rows.filter((F.col("role") == "production") & ~F.col("entrypoint") & ~F.col("public") & ~F.col("has_inline_tests") & ext.isin(*ABSENCE_ENDINGS) & ~reached_without_import(p))
+    rows = rows.join(stems, F.lower(stem) == F.col("_stem"), "left_anti").join(by_ext, ext == F.col("_unmapped"), "left_anti")
+    return rows.crossJoin(n).select("path", F.when(F.col("_unresolved") > 0, "LOW").otherwise("HIGH").alias("confidence"))  # n is one row
+
+
+def import_stems(spec: Column) -> Column:
+    """File stems that an import may mean: its last segment's first and last dotted parts."""
+    last = F.element_at(F.split(F.regexp_replace(F.trim(spec), "/+$", ""), r"[/\\]"), -1)
+    parts = F.split(last, r"\.")
+    return F.filter(F.array_distinct(F.array(F.element_at(parts, 1), F.element_at(parts, -1))), lambda s: s != "")
+
+
+def readiness(claim: Column, file_nodes: Column, unresolved: Column, target_unresolved: Column, ext_unresolved: Column, ext_edges: Column) -> Column:
+    """What the graph can answer: available, limited, or why it is unavailable.
+
+    Claims: presence, absence, target-absence.  Presence always holds; an absence is only as good
+    as the resolved part of the graph.
+    """
+    target = claim == "target-absence"
+    return (
+        F.when(claim == "presence", "available").when(file_nodes == 0, "no-file-graph").when(target & target_unresolved, "unresolved-target")
+        .when(target & (ext_unresolved > 0) & (ext_edges < ext_unresolved), "language-unmapped").when(unresolved > 0, "limited").otherwise("available")
+    )
+
+
+def hubs(d: DataFrame, k: int = TOP_FILES) -> DataFrame:
+    """(kind, node, fan_in, fan_out, truncated): the top hubs by fan-out and dependencies by fan-in.
+
+    One row more than asked for tells whether the list was cut; both lists have k + 1 rows at most.
+    """
+
+    def top(kind, df):
+        numbered = df.limit(k + 1).withColumn("kind", F.lit(kind))
+        first, other = ("fan_out", "fan_in") if kind == "hub" else ("fan_in", "fan_out")
+        w = Window.partitionBy("kind").orderBy(F.desc(first), F.desc(other), "node")
+        all_ = Window.partitionBy("kind")
+        return numbered.withColumns({"n": F.row_number().over(w), "truncated": F.count(F.lit(1)).over(all_) > k}).filter(F.col("n") <= k).select("kind", "node", "fan_in", "fan_out", "truncated")
+
+    return top("hub", top_fan_out(d, k + 1)).unionByName(top("dependency", top_fan_in(d, k + 1)))
+
+
+def bounded_cycles(edges: DataFrame, most: int = TOP_CYCLES, depth: int = CYCLE_DEPTH, max_edges: int = 1_000_000) -> DataFrame:
+    """(cycle, truncated): up to `most` cycles that a depth-first walk meets, each from its smallest node.
+
+    The walk's order decides which cycles are met, so it is one walk over the edges inside strong
+    components, which are few; more than max_edges of them raise an error instead of filling memory.
+    """
+    spark = edges.sparkSession
+    c = components_strong(edges)
+    inside = edges.select("src", "dst").distinct().join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
+    rows = inside.orderBy("src", "dst").limit(max_edges + 1).collect()
+    if len(rows) > max_edges:
+        raise ValueError(f"more than {max_edges} edges lie on cycles")
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r.src, []).append(r.dst)
+    found, state = [], {}
+    for start in sorted(out):
+        if state.get(start) or len(found) > most:
+            continue
+        stack, todo = [], [(start, iter(out[start]))]
+        state[start] = 1
+        stack.append(start)
+        while todo:
+            node, targets = todo[-1]
+            step = next(targets, None) if len(found) <= most else None
+            if step is None:
+                todo.pop()
+                stack.pop()
+                state[node] = 2
+            elif state.get(step) == 1:
+                found.append(stack[stack.index(step) :])
+            elif step not in state and len(todo) <= depth:
+                state[step] = 1
+                stack.append(step)
+                todo.append((step, iter(out.get(step, ()))))
+    turned = sorted({tuple(p[p.index(min(p)) :] + p[: p.index(min(p))]) for p in found})
+    return spark.createDataFrame([(list(p), len(turned) > most) for p in turned[:most]], "cycle array<string>, truncated boolean")
+
+
+def contained(edges: DataFrame) -> DataFrame:
+    """edges without those from a Rust module file to the files of its own module directory."""
+    name = F.regexp_replace(F.element_at(F.split("src", "/"), -1), r"\.rs$", "")
+    dir_ = parent(F.col("src"))
+    own = F.when(name.isin("mod", "lib", "main"), dir_).otherwise(F.concat_ws("/", F.when(dir_ != "", dir_), name))
+    rust = F.endswith("src", F.lit(".rs")) & F.endswith("dst", F.lit(".rs"))
+    base = F.element_at(F.split("dst", "/"), -1)
+    up = parent(F.col("dst"))
+    inner = ((up == own) & (base != F.element_at(F.split("src", "/"), -1))) | ((base == "mod.rs") & (parent(up) == own) & (up != ""))
+    return edges.filter(~(rust & inner))
+
+
+def snapshot(files: DataFrame, imports: DataFrame, packages: DataFrame, tests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, kind, label) and edges (src, dst, kind, confidence) of a repository.
+
+    imports: (src, spec, dst), dst null where no file is meant: relative ones are gaps of low
+    confidence, others depend on something external.  packages: (path, package).  tests: (src, dst).
+    """
+    local = imports.filter("dst IS NOT NULL AND dst <> src")
+    other = imports.filter("dst IS NULL AND trim(spec) <> ''").withColumn("spec", F.trim("spec"))
+    file_id, ext_id = lambda c: F.concat(F.lit("file:"), c), lambda c: F.concat(F.lit("external:"), c)
+    edge = lambda df, a, b, kind, conf: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("kind"), conf.alias("confidence"))
+    edges = edge(local, file_id(F.col("src")), file_id(F.col("dst")), "imports", F.lit("HIGH"))
+    edges = edges.unionByName(edge(other, file_id(F.col("src")), ext_id(F.col("spec")), "depends-on", F.when(F.startswith("spec", F.lit(".")), "LOW").otherwise("MEDIUM")))
+    edges = edges.unionByName(edge(tests, file_id(F.col("src")), file_id(F.col("dst")), "test-of", F.lit("HIGH")))
+    nodes = files.select(file_id(F.col("path")).alias("id"), F.lit("file").alias("kind"), F.col("path").alias("label"))
+    nodes = nodes.unionByName(other.select(ext_id(F.col("spec")).alias("id"), F.lit("external").alias("kind"), F.col("spec").alias("label")).distinct())
+    nodes = nodes.unionByName(packages.select(F.concat(F.lit("package:"), "package").alias("id"), F.lit("package").alias("kind"), F.col("package").alias("label")).distinct())
+    return nodes.distinct(), edges.groupBy("src", "dst", "kind").agg(F.max_by("confidence", F.when(F.col("confidence") == "HIGH", 2).when(F.col("confidence") == "MEDIUM", 1).otherwise(0)).alias("confidence"))
+
+
+def snapshot_capabilities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: file and external nodes, and dependency edges by confidence."""
+    n = nodes.agg(F.count_if(F.col("kind") == "file").alias("file_nodes"), F.count_if(F.col("kind") == "external").alias("external_nodes"))
+    of = lambda c: F.count_if(F.col("confidence") == c)
+    e = edges.filter(F.col("kind").isin(*DEPENDENCY_KINDS)).agg(of("HIGH").alias("resolved_edges"), of("MEDIUM").alias("external_edges"), of("LOW").alias("unresolved_edges"))
+    return n.crossJoin(e)  # one row each
+
+
+def coupling_snapshot(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The snapshot of a plain import graph: files only, all edges of high confidence."""
+    e = edges.select("src", "dst").distinct()
+    nodes = nodes_of(e).select(F.concat(F.lit("file:"), "node").alias("id"), F.lit("file").alias("kind"), F.col("node").alias("label"))
+    return nodes, e.select(F.concat(F.lit("file:"), "src").alias("src"), F.concat(F.lit("file:"), "dst").alias("dst"), F.lit("imports").alias("kind"), F.lit("HIGH").alias("confidence"))
+
+
+def context_summary(edges: DataFrame, changed: DataFrame, k: int = TOP_FILES) -> DataFrame:
+    """(section, item, n, truncated): files, edges, top hubs and dependencies, and what depends on changed files."""
+    d = degrees(nodes_of(edges), edges)
+    row = lambda df, section, item, n, cut: df.select(F.lit(section).alias("section"), item.alias("item"), n.cast("long").alias("n"), cut.alias("truncated"))
+    no = F.lit(False)
+    totals = d.agg(F.count(F.lit(1)).alias("f")).crossJoin(edges.select("src", "dst").distinct().agg(F.count(F.lit(1)).alias("e")))  # one row each
+    out = row(totals, "files", F.lit("files"), F.col("f"), no).unionByName(row(totals, "import-edges", F.lit("edges"), F.col("e"), no))
+    h = hubs(d, k)
+    out = out.unionByName(row(h.filter("kind = 'hub'"), "hub", F.col("node"), F.col("fan_out"), F.col("truncated"))).unionByName(row(h.filter("kind = 'dependency'"), "dependency", F.col("node"), F.col("fan_in"), F.col("truncated")))
+    near = dependent_counts(edges).join(changed.select("node").distinct(), "node", "left_semi")
+    return out.unionByName(row(near, "changed-blast-radius", F.col("node"), F.col("dependents"), no))

@@ -87,3 +87,36 @@ def package_counts(findings: DataFrame) -> DataFrame:
 def crowded_directories(files: DataFrame, most: int = 20) -> DataFrame:
     """(directory, files) of directories with more than `most` files."""
     return files.groupBy(parent(F.col("path")).alias("directory")).agg(F.count(F.lit(1)).alias("files")).filter(F.col("files") > most)
+
+
+def maintainability_score(classified: DataFrame, lines: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The health score over what the default profile hides; classified: severity and visible."""
+    return health_score(classified.filter("NOT visible"), lines, by).withColumnRenamed("health_score", "maintainability_score")
+
+
+def recomputed(findings: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row: what a report's figures are after a filter."""
+    quality = signal_quality(findings).select(F.col("total").alias("visible"), "evidence_percent", "recommendation_percent", "high_risk_docs_percent")
+    return quality.crossJoin(health_score(findings, lines).select("health_score"))  # one row each
+
+
+def repository_facts(files: DataFrame) -> DataFrame:
+    """(language, files, non_empty_lines, total_files, files_with_language) by language, most files first."""
+    n = files.agg(F.count(F.lit(1)).alias("total_files"), F.count("language").alias("files_with_language"))
+    by = files.filter("language IS NOT NULL").groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.sum("non_empty_lines").alias("non_empty_lines"))
+    return by.crossJoin(n).orderBy(F.desc("files"), F.desc("non_empty_lines"), "language")  # n is one row
+
+
+def merged_packages(summaries: list[DataFrame]) -> DataFrame:
+    """One row: counters of several packages' scans (as scan_counters gives them) added up."""
+    out = summaries[0]
+    for s in summaries[1:]:
+        out = out.unionByName(s)
+    return out.agg(*(F.sum(c).alias(c) for c in summaries[0].columns))
+
+
+def rule_scopes(findings: DataFrame) -> DataFrame:
+    """(rule_id, scope, n, worst): findings by rule and area."""
+    from ..functions.ranks import SEVERITIES, severity_rank
+
+    return findings.groupBy("rule_id", cluster_scope(F.col("path")).alias("scope")).agg(F.count(F.lit(1)).alias("n"), label(F.max(severity_rank(F.col("severity"))), SEVERITIES).alias("worst"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import base_name, tokens
+from .patterns import first_match
 
 LARGE_FILES, LARGE_LINES, GREW, DEEP = 5, 200, 50, 3
 
@@ -95,8 +96,7 @@ def removed_but_imported(before: DataFrame, after: DataFrame, imports: DataFrame
 
 def owners(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, owners): owners of the last rule whose pattern matches; rules: (rule_no, pattern, owners)."""
-    hit = paths.select("path").distinct().join(F.broadcast(rules), F.expr("path RLIKE pattern"), "left")  # rules: one file's lines
-    return hit.groupBy("path").agg(F.max_by("owners", "rule_no").alias("owners"))
+    return paths.select("path").distinct().withColumn("owners", first_match(F.col("path"), rules, "rule_no", "pattern", "owners", last=True))
 
 
 def ownership_summary(owned: DataFrame) -> DataFrame:

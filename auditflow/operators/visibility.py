@@ -46,29 +46,29 @@ def decision(script_boundary: Column | None = None) -> Column:
     script = F.lit(False) if script_boundary is None else script_boundary
     backed = direct & purpose.isin("security-risk", "runtime-risk", "actionable-risk")
     return (
-        F.when(_in(rules.SECRET_LEAKS) & high & ~low, _verdict(True, "validated secret or private key candidate", "security-risk"))
-        .when(low, _verdict(False, "low-confidence findings are strict-mode suggestions by default"))
-        .when(sev <= 1, _verdict(False, "low-severity findings are strict-mode suggestions by default"))
-        .when((F.col("rule_id") == rules.PACKAGE_BOUNDARY) & (F.col("confidence") == "HIGH") & (F.col("signal_source") == "import-graph") & F.col("has_evidence"), _verdict(True, "manifest-backed package boundary violation", "actionable-risk"))
-        .when(F.col("lifecycle") == "experimental", _verdict(False, "experimental rules are strict-mode suggestions by default"))
-        .when(F.col("lifecycle") == "deprecated", _verdict(False, "deprecated rules are hidden in the default profile"))
-        .when((F.col("lifecycle") == "preview") & (F.col("confidence") == "MEDIUM") & ~backed, _verdict(False, "medium-confidence preview finding lacks direct actionable evidence"))
-        .when((purpose == "security-risk") & high, _verdict(True, "high-confidence security risk"))
-        .when(purpose == "security-risk", _verdict(False, "security signal is below the default confidence/severity threshold"))
-        .when((purpose == "runtime-risk") & script, _verdict(False, "process exit in script/tooling boundary is a strict-mode suggestion"))
-        .when((purpose == "runtime-risk") & urgent, _verdict(True, "high-priority runtime risk"))
-        .when((purpose == "runtime-risk") & high, _verdict(True, "high-severity runtime risk"))
-        .when(purpose == "runtime-risk", _verdict(False, "runtime signal is not actionable enough for the default profile"))
-        .when((purpose == "actionable-risk") & _in(rules.IMPORT_GRAPH) & (priority_rank(F.col("priority")) <= 2), _verdict(True, "stable import-graph architecture risk"))
-        .when((purpose == "actionable-risk") & backed, _verdict(True, "evidence-backed actionable risk"))
-        .when((purpose == "actionable-risk") & urgent, _verdict(True, "high-priority actionable risk"))
-        .when((purpose == "actionable-risk") & high & (F.col("confidence") == "HIGH"), _verdict(True, "high-severity high-confidence actionable risk"))
-        .when(purpose == "actionable-risk", _verdict(False, "actionable signal is below the default visibility threshold"))
-        .when((purpose == "maintainability") & _in(rules.STRICT_ONLY), _verdict(False, "broad maintainability heuristics are strict-mode suggestions"))
-        .when((purpose == "maintainability") & urgent, _verdict(True, "high-priority maintainability risk"))
-        .when(purpose == "maintainability", _verdict(False, "maintainability signal is below the default priority threshold"))
-        .when(purpose == "testing-gap", _verdict(False, "testing gaps are hidden in the default profile"))
-        .otherwise(_verdict(False, "informational findings are hidden in the default profile"))
+        F.when(_in(rules.SECRET_LEAKS) & high & ~low, _verdict(True, "leaked-secret", "security-risk"))
+        .when(low, _verdict(False, "low-confidence"))
+        .when(sev <= 1, _verdict(False, "low-severity"))
+        .when((F.col("rule_id") == rules.PACKAGE_BOUNDARY) & (F.col("confidence") == "HIGH") & (F.col("signal_source") == "import-graph") & F.col("has_evidence"), _verdict(True, "package-boundary", "actionable-risk"))
+        .when(F.col("lifecycle") == "experimental", _verdict(False, "experimental-rule"))
+        .when(F.col("lifecycle") == "deprecated", _verdict(False, "deprecated-rule"))
+        .when((F.col("lifecycle") == "preview") & (F.col("confidence") == "MEDIUM") & ~backed, _verdict(False, "preview-without-evidence"))
+        .when((purpose == "security-risk") & high, _verdict(True, "security"))
+        .when(purpose == "security-risk", _verdict(False, "security-below-threshold"))
+        .when((purpose == "runtime-risk") & script, _verdict(False, "exit-in-script"))
+        .when((purpose == "runtime-risk") & urgent, _verdict(True, "runtime-urgent"))
+        .when((purpose == "runtime-risk") & high, _verdict(True, "runtime-severe"))
+        .when(purpose == "runtime-risk", _verdict(False, "runtime-below-threshold"))
+        .when((purpose == "actionable-risk") & _in(rules.IMPORT_GRAPH) & (priority_rank(F.col("priority")) <= 2), _verdict(True, "import-graph"))
+        .when((purpose == "actionable-risk") & backed, _verdict(True, "evidence-backed"))
+        .when((purpose == "actionable-risk") & urgent, _verdict(True, "actionable-urgent"))
+        .when((purpose == "actionable-risk") & high & (F.col("confidence") == "HIGH"), _verdict(True, "actionable-severe"))
+        .when(purpose == "actionable-risk", _verdict(False, "actionable-below-threshold"))
+        .when((purpose == "maintainability") & _in(rules.STRICT_ONLY), _verdict(False, "strict-only"))
+        .when((purpose == "maintainability") & urgent, _verdict(True, "maintainability-urgent"))
+        .when(purpose == "maintainability", _verdict(False, "maintainability-below-threshold"))
+        .when(purpose == "testing-gap", _verdict(False, "testing-gap"))
+        .otherwise(_verdict(False, "informational"))
     )
 
 
@@ -83,6 +83,10 @@ def profile(classified_: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def hidden_summary(classified_: DataFrame) -> DataFrame:
-    """(intent, rule_id, category, reason, n) of what the default profile hides, most first."""
-    n = classified_.filter("NOT visible").groupBy("intent", "rule_id", "category", "reason").agg(F.count(F.lit(1)).alias("n"))
-    return n.orderBy(F.desc("n"), "intent", "rule_id", "reason")
+    """(intent, rule_id, category, reason, n) of what the default profile hides."""
+    return classified_.filter("NOT visible").groupBy("intent", "rule_id", "category", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def hidden_order() -> list[Column]:
+    """The order of a hidden summary in reports: most first."""
+    return [F.desc("n"), F.col("intent"), F.col("rule_id"), F.col("reason")]

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import keys, paths, text
-from ..operators import decisions, findings as fo, graph, history, metrics, review, risk, visibility
+from ..operators import decisions, findings as fo, graph, history, metrics, review, risk, textrules, visibility
 from ..sinks import reports
+from ..sources import repository
 from ..streaming import incremental
 from . import relations as rel
 from .storage import materialize, table
@@ -64,7 +65,12 @@ def language_summary(spark, sf_dir):
     return metrics.language_summary(rel.files(spark, sf_dir))
 
 
-@_register(f"SELECT path, CAST(len({_LINES}) AS BIGINT) AS non_empty_lines, CAST(len(regexp_extract_all(content, '\\b(if|else|elif|for|while|match|switch|case|catch) ')) AS BIGINT) + CAST(len(regexp_extract_all(content, '&&|\\|\\|')) AS BIGINT) AS branches FROM files WHERE NOT regexp_matches(content, '(?m)^\\s*(//|#|\\*|/\\*)')", "files")
+_CODE = "array_to_string(list_filter(string_split(replace(coalesce(content, ''), chr(13), ''), chr(10)), lambda x: NOT regexp_matches(x, '^[ \\t]*(//|#|\\*|/\\*)')), chr(10))"
+_ALL_LINES = _LINES.replace("replace(content,", "replace(coalesce(content, ''),")
+_BRANCHES = f"CAST(len(regexp_extract_all({_CODE}, '\\b(if|else|elif|for|while|match|switch|case|catch) ')) AS BIGINT) + CAST(len(regexp_extract_all({_CODE}, '&&|\\|\\|')) AS BIGINT)"
+
+
+@_register(f"SELECT path, CAST(len({_ALL_LINES}) AS BIGINT) AS non_empty_lines, {_BRANCHES} AS branches FROM files", "files")
 def file_metrics(spark, sf_dir):
     return rel.files(spark, sf_dir).select("path", text.non_empty_lines(F.col("content")).alias("non_empty_lines"), text.branches(F.col("content")).alias("branches"))
 
@@ -78,23 +84,23 @@ def file_roles(spark, sf_dir):
     return rel.files(spark, sf_dir).select("path", paths.role(p).alias("role"), paths.low_signal(p).alias("low_signal"))
 
 
-@_register(f"SELECT 'architecture.large-file' AS rule_id, path, CASE WHEN n >= 100 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, n FROM (SELECT path, {_ROLE} AS role, CAST(len({_LINES}) AS BIGINT) AS n FROM files) WHERE role = 'production' AND n > 20", "files")
+@_register("SELECT 'architecture.large-file' AS rule_id, path, CASE WHEN n >= 1000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 1 AS line_start FROM tall WHERE n > 300", "tall")
 def large_file_findings(spark, sf_dir):
-    f = rel.files(spark, sf_dir).select("path", paths.role(F.col("path")).alias("role"), text.non_empty_lines(F.col("content")).alias("n"))
-    big = f.filter((F.col("role") == "production") & (F.col("n") > 20))
-    return big.select(F.lit("architecture.large-file").alias("rule_id"), "path", F.when(F.col("n") >= 100, "HIGH").otherwise("MEDIUM").alias("severity"), "n")
+    f = rel.tall(spark, sf_dir)
+    return textrules.large_files(f.select("path", paths.role(F.col("path")).alias("role"), text.non_empty_lines(F.col("content")).alias("non_empty_lines")))
+
 
+_SKIP = f"CASE WHEN strlen(coalesce(content, '')) > 20000 THEN 'large-file' WHEN contains(path, '/generated/') OR contains(path, '/tests/') THEN 'low-signal' END"
 
-@_register("SELECT path, CASE WHEN size > 20000 THEN 'large-file' WHEN contains(path, '/generated/') OR contains(path, '/tests/') THEN 'low-signal' END AS skip_reason FROM files", "files")
+
+@_register(f"SELECT path, {_SKIP} AS skip_reason FROM files", "files")
 def load_decisions(spark, sf_dir):
-    return rel.files(spark, sf_dir).select("path", F.when(F.col("size") > 20000, "large-file").when(paths.low_signal(F.col("path")), "low-signal").alias("skip_reason"))
+    return repository.from_table(rel.files(spark, sf_dir), max_bytes=20000).select("path", "skip_reason")
 
 
-@_register(f"SELECT count(*) AS files_discovered, count(*) FILTER (r IS NULL) AS files_analyzed, count(*) FILTER (r = 'large-file') AS large_files_skipped, count(*) FILTER (r = 'binary') AS binary_files_skipped, count(*) FILTER (r = 'low-signal') AS low_signal_skipped, CAST(sum(n) FILTER (r IS NULL) AS BIGINT) AS non_empty_lines FROM (SELECT CASE WHEN size > 20000 THEN 'large-file' WHEN contains(path, '/generated/') OR contains(path, '/tests/') THEN 'low-signal' END AS r, len({_LINES}) AS n FROM files)", "files")
+@_register(f"SELECT count(*) AS files_discovered, count(*) FILTER (r IS NULL) AS files_analyzed, count(*) FILTER (r = 'large-file') AS large_files_skipped, count(*) FILTER (r = 'binary') AS binary_files_skipped, count(*) FILTER (r = 'low-signal') AS low_signal_skipped, CAST(sum(n) FILTER (r IS NULL) AS BIGINT) AS non_empty_lines FROM (SELECT {_SKIP} AS r, len({_ALL_LINES}) AS n FROM files)", "files")
 def scan_counters(spark, sf_dir):
-    f = rel.files(spark, sf_dir)
-    reason = F.when(F.col("size") > 20000, "large-file").when(paths.low_signal(F.col("path")), "low-signal")
-    return metrics.scan_counters(f.select(reason.alias("skip_reason"), text.non_empty_lines(F.col("content")).alias("non_empty_lines")))
+    return metrics.scan_counters(repository.from_table(rel.files(spark, sf_dir), max_bytes=20000))
 
 
 @_register(f"SELECT {_DIR('path')} AS directory, count(*) AS files FROM files GROUP BY 1 HAVING count(*) > 5", "files")
@@ -112,12 +118,6 @@ def line_entropy(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("hash"), F.round(text.entropy(F.col("props")), 9).alias("entropy"))
 
 
-@_register("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'FIXME' WHEN event_id % 3 = 1 THEN 'HACK' END AS marker FROM events")
-def marker_detection(spark, sf_dir):
-    line = F.expr("CASE event_id % 3 WHEN 0 THEN concat('x = ', event_id, ' // TODO or FIXME') WHEN 1 THEN concat('TODO # HACK ', event_type) ELSE concat('FIXME ', event_type) END")
-    return table(spark, sf_dir, "events").select("event_id", text.marker(line).alias("marker"))
-
-
 # ---- findings -------------------------------------------------------------------------------
 
 
@@ -169,12 +169,13 @@ def occurrence_keys(spark, sf_dir):
 
 
 @_register(
-    f"SELECT finding_no, rule_id, path, line_start, severity, confidence, recommendation, docs_url, merged FROM (SELECT min(finding_no) AS finding_no, rule_id, path, line_start, line_end, snippet, category, title, description, package, detector, CASE max({_SEV}) WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'LOW' ELSE 'INFO' END AS severity, CASE max({_CONF}) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, coalesce(arg_min(recommendation, finding_no) FILTER (trim(recommendation) <> ''), '') AS recommendation, arg_min(docs_url, finding_no) FILTER (docs_url IS NOT NULL) AS docs_url, count(*) AS merged FROM findings GROUP BY ALL)",
+    f"SELECT finding_no, rule_id, path, line_start, severity, confidence, recommendation, docs_url, merged, concat_ws(':', path, line_start, coalesce(CAST(line_end AS VARCHAR), '-'), snippet) AS evidence FROM (SELECT min(finding_no) AS finding_no, rule_id, path, line_start, line_end, snippet, category, title, description, package, detector, CASE max({_SEV}) WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'LOW' ELSE 'INFO' END AS severity, CASE max({_CONF}) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, coalesce(arg_min(recommendation, finding_no) FILTER (trim(recommendation) <> ''), '') AS recommendation, arg_min(docs_url, finding_no) FILTER (docs_url IS NOT NULL) AS docs_url, count(*) AS merged FROM findings GROUP BY ALL)",
     "findings",
 )
 def finding_dedup(spark, sf_dir):
     f = rel.findings(spark, sf_dir).withColumn("evidence", F.array(F.struct("path", "line_start", "line_end", "snippet")))
-    return fo.aggregated(f).select("finding_no", "rule_id", "path", "line_start", "severity", "confidence", "recommendation", "docs_url", "merged")
+    e = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["path"], e["line_start"], F.coalesce(e["line_end"].cast("string"), F.lit("-")), e["snippet"])), ";")
+    return fo.aggregated(f).select("finding_no", "rule_id", "path", "line_start", "severity", "confidence", "recommendation", "docs_url", "merged", e.alias("evidence"))
 
 
 @_register("SELECT rule_id, path, line_start, min(finding_no) AS finding_no, arg_min(severity, finding_no) AS severity FROM findings GROUP BY ALL", "findings")
@@ -306,26 +307,30 @@ def _visibility_sql() -> str:
     intent = f"""CASE WHEN category = 'TESTING' THEN 'testing-gap' WHEN category = 'SECURITY' THEN 'security-risk' WHEN rule_id IN {_q(rules.RUNTIME)} THEN 'runtime-risk'
       WHEN rule_id IN {_q(rules.IMPORT_GRAPH)} THEN 'actionable-risk' WHEN category = 'FRAMEWORK' AND rule_id IN {_q(rules.FRAMEWORK_STYLE)} THEN 'maintainability'
       WHEN category = 'FRAMEWORK' AND direct THEN 'actionable-risk' WHEN rule_id IN {_q(rules.MAINTAINABILITY)} THEN 'maintainability' WHEN sev >= 3 THEN 'actionable-risk' ELSE 'informational' END"""
-    visible = f"""CASE WHEN rule_id IN {_q(rules.SECRET_LEAKS)} AND sev >= 3 AND confidence <> 'LOW' THEN true WHEN confidence = 'LOW' OR sev <= 1 THEN false
-      WHEN rule_id = '{rules.PACKAGE_BOUNDARY}' AND confidence = 'HIGH' THEN true WHEN lifecycle IN ('experimental', 'deprecated') THEN false
-      WHEN lifecycle = 'preview' AND confidence = 'MEDIUM' AND NOT (direct AND intent IN ('security-risk', 'runtime-risk', 'actionable-risk')) THEN false
-      WHEN intent = 'security-risk' THEN sev >= 3 WHEN intent = 'runtime-risk' THEN priority IN ('P0', 'P1') OR sev >= 3
-      WHEN intent = 'actionable-risk' THEN (rule_id IN {_q(rules.IMPORT_GRAPH)} AND priority <= 'P2') OR direct OR priority IN ('P0', 'P1') OR (sev >= 3 AND confidence = 'HIGH')
-      WHEN intent = 'maintainability' THEN rule_id NOT IN {_q(rules.STRICT_ONLY)} AND priority IN ('P0', 'P1') ELSE false END"""
+    graph_ids = _q(rules.IMPORT_GRAPH)
+    why = f"""CASE WHEN rule_id IN {_q(rules.SECRET_LEAKS)} AND sev >= 3 AND confidence <> 'LOW' THEN '+leaked-secret' WHEN confidence = 'LOW' THEN '-low-confidence' WHEN sev <= 1 THEN '-low-severity'
+      WHEN rule_id = '{rules.PACKAGE_BOUNDARY}' AND confidence = 'HIGH' THEN '+package-boundary' WHEN lifecycle = 'experimental' THEN '-experimental-rule' WHEN lifecycle = 'deprecated' THEN '-deprecated-rule'
+      WHEN lifecycle = 'preview' AND confidence = 'MEDIUM' AND NOT (direct AND intent IN ('security-risk', 'runtime-risk', 'actionable-risk')) THEN '-preview-without-evidence'
+      WHEN intent = 'security-risk' THEN CASE WHEN sev >= 3 THEN '+security' ELSE '-security-below-threshold' END
+      WHEN intent = 'runtime-risk' THEN CASE WHEN priority IN ('P0', 'P1') THEN '+runtime-urgent' WHEN sev >= 3 THEN '+runtime-severe' ELSE '-runtime-below-threshold' END
+      WHEN intent = 'actionable-risk' THEN CASE WHEN rule_id IN {graph_ids} AND priority <= 'P2' THEN '+import-graph' WHEN direct THEN '+evidence-backed' WHEN priority IN ('P0', 'P1') THEN '+actionable-urgent' WHEN sev >= 3 AND confidence = 'HIGH' THEN '+actionable-severe' ELSE '-actionable-below-threshold' END
+      WHEN intent = 'maintainability' THEN CASE WHEN rule_id IN {_q(rules.STRICT_ONLY)} THEN '-strict-only' WHEN priority IN ('P0', 'P1') THEN '+maintainability-urgent' ELSE '-maintainability-below-threshold' END
+      WHEN intent = 'testing-gap' THEN '-testing-gap' ELSE '-informational' END"""
+    visible = f"starts_with({why}, '+') AS visible, substring({why}, 2)"
     shown = f"CASE WHEN rule_id = '{rules.PACKAGE_BOUNDARY}' AND visible AND confidence = 'HIGH' AND sev >= 2 THEN 'actionable-risk' ELSE intent END"
-    return f"{_RISKY}, v0 AS (SELECT *, {_SEV} AS sev, signal_source IN {_q(rules.DIRECT_EVIDENCE)} AS direct FROM risky), v1 AS (SELECT *, {intent} AS intent FROM v0), v2 AS (SELECT *, {visible} AS visible FROM v1), shown AS (SELECT * REPLACE ({shown} AS intent) FROM v2)"
+    return f"{_RISKY}, v0 AS (SELECT *, {_SEV} AS sev, signal_source IN {_q(rules.DIRECT_EVIDENCE)} AS direct FROM risky), v1 AS (SELECT *, {intent} AS intent FROM v0), v2 AS (SELECT *, {visible} AS reason FROM v1), shown AS (SELECT * REPLACE ({shown} AS intent) FROM v2)"
 
 
-@_register("SELECT finding_no, intent, visible FROM shown", "findings", also=_visibility_sql())
+@_register("SELECT finding_no, intent, visible, reason FROM shown", "findings", also=_visibility_sql())
 def visibility_decisions(spark, sf_dir):
     f = _risky(spark, sf_dir).withColumn("has_evidence", F.lit(True))
-    return visibility.classified(f).select("finding_no", "intent", "visible")
+    return visibility.classified(f).select("finding_no", "intent", "visible", "reason")
 
 
-@_register("SELECT intent, rule_id, category, count(*) AS n FROM shown WHERE NOT visible GROUP BY ALL", "findings", also=_visibility_sql())
+@_register("SELECT intent, rule_id, category, reason, count(*) AS n FROM shown WHERE NOT visible GROUP BY ALL", "findings", also=_visibility_sql())
 def hidden_suggestion_summary(spark, sf_dir):
     f = visibility.classified(_risky(spark, sf_dir).withColumn("has_evidence", F.lit(True)))
-    return visibility.hidden_summary(f).groupBy("intent", "rule_id", "category").agg(F.sum("n").alias("n"))
+    return visibility.hidden_summary(f)
 
 
 # ---- baselines and history ------------------------------------------------------------------
@@ -427,7 +432,7 @@ def unstable_hubs(spark, sf_dir):
 
 @_register(f"SELECT dst AS node, string_agg(DISTINCT src, ',' ORDER BY src) AS dependents FROM edges WHERE {_DEP} GROUP BY dst", "edges")
 def direct_dependents(spark, sf_dir):
-    return graph.direct_dependents(rel.edges(spark, sf_dir)).select("node", F.array_join("dependents", ",").alias("dependents"))
+    return graph.direct_dependents(rel.edges(spark, sf_dir)).groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("dependent")), ",").alias("dependents"))
 
 
 @_register(f"SELECT {_DIR('src')} AS src_dir, {_DIR('dst')} AS dst_dir, count(*) AS edges FROM edges WHERE {_DEP} AND {_DIR('src')} <> {_DIR('dst')} GROUP BY ALL", "edges")
@@ -483,10 +488,7 @@ def scc_members(spark, sf_dir):
     return graph.components_strong(e.select("src", "dst").unionByName(graph.reverse(e.filter("kind <> 'imports'"))))
 
 
-_STRONG = "links AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges WHERE kind <> 'imports'), reach AS (SELECT src AS a, dst AS b FROM links UNION SELECT r.a, l.dst FROM reach r JOIN links l ON r.b = l.src), comp AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a), first AS (SELECT node, component FROM comp QUALIFY row_number() OVER (PARTITION BY component ORDER BY node) <= 2), walk AS (SELECT component, node AS start, node, 0 AS hop FROM first UNION SELECT w.component, w.start, l.dst, w.hop + 1 FROM walk w JOIN links l ON l.src = w.node JOIN comp c ON c.node = l.dst AND c.component = w.component WHERE w.hop < 12 AND NOT (w.hop > 0 AND w.node = w.start))"
-
-
-@_register("SELECT component, arg_min(start, (length, start)) AS start, min(length) AS length FROM (SELECT component, start, min(hop) AS length FROM walk WHERE hop > 0 AND node = start GROUP BY component, start) GROUP BY component", "edges", also=_STRONG)
+@_register()  # no SQL walks all 64 starts of a component in bounded time; tests hold it against brute force
 def shortest_cycles(spark, sf_dir):
     e = materialize(rel.edges(spark, sf_dir))
     links = e.select("src", "dst").unionByName(graph.reverse(e.filter("kind <> 'imports'")))
@@ -665,6 +667,9 @@ def expired_suppressions(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("entry"), review.expired(text_, F.current_date()).alias("expired"))
 
 
+from . import code_catalog, report_catalog  # noqa: E402, F401  they register more queries
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -13,8 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = getattr(spark, "_auditflow_dir", None) or "file://" + tempfile.mkdtemp(prefix="auditflow-")
         spark._auditflow_dir = found

@@ -6,10 +6,13 @@ rows as files instead.
 
 from __future__ import annotations
 
+import html
 import json
+import os
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.keys import stable_key
 from ..operators.findings import canonical_order
 
 SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -18,6 +21,12 @@ LEVELS = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "not
 LIMIT = 10_000
 
 
+def keyed(findings: DataFrame) -> DataFrame:
+    """findings with stable_key, by what they have of title, description and snippet."""
+    col = lambda c: F.col(c) if c in findings.columns else F.lit(None).cast("string")
+    return findings if "stable_key" in findings.columns else findings.withColumn("stable_key", stable_key(F.col("rule_id"), F.col("path"), F.coalesce(col("title"), F.lit("")), F.coalesce(col("description"), F.lit("")), col("snippet")))
+
+
 def ordered(findings: DataFrame, limit: int = LIMIT) -> list[dict]:
     return [r.asDict(recursive=True) for r in findings.orderBy(*canonical_order()).limit(limit).collect()]
 
@@ -28,7 +37,7 @@ def to_json(findings: DataFrame, summary: DataFrame | None = None, limit: int =
 
 
 def to_sarif(findings: DataFrame, limit: int = LIMIT) -> str:
-    rows = ordered(findings, limit)
+    rows = ordered(keyed(findings), limit)
     rules = {}
     for r in rows:
         rules.setdefault(r["rule_id"], r)
@@ -37,7 +46,7 @@ def to_sarif(findings: DataFrame, limit: int = LIMIT) -> str:
         place = {"artifactLocation": {"uri": r["path"]}} | ({"region": {"startLine": r["line_start"]}} if r.get("line_start") else {})
         results.append({
             "ruleId": r["rule_id"], "level": LEVELS[r["severity"]], "message": {"text": r.get("title") or r["rule_id"]}, "locations": [{"physicalLocation": place}],
-            "partialFingerprints": {"primaryLocationLineHash/v1": f"{r['rule_id']}:{r['path']}:{r.get('line_start')}"}, "properties": {"score": r.get("score"), "priority": r.get("priority")},
+            "partialFingerprints": {"stableKey/v1": r["stable_key"]}, "properties": {"score": r.get("score"), "priority": r.get("priority")},
         })
     driver = {"name": "auditflow", "rules": [{"id": k, "name": k, "shortDescription": {"text": v.get("title") or k}} for k, v in sorted(rules.items())]}
     return json.dumps({"$schema": SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]}, indent=2)
@@ -72,6 +81,57 @@ def within_budget(findings: DataFrame, cost: str, budget: int) -> DataFrame:
     n = findings.groupBy("category").agg(F.count(F.lit(1)).alias("_n"))
     total = n.agg(F.sum("_n").alias("_t"))
     share = n.crossJoin(F.broadcast(total)).select("category", F.floor(F.lit(budget) * F.col("_n") / F.col("_t")).alias("_share"))  # one row
-    w = Window.partitionBy("category").orderBy(*canonical_order(), "finding_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    used = findings.withColumn("_used", F.sum(cost).over(w)).join(F.broadcast(share), "category")  # five categories
-    return used.filter("_used <= _share").drop("_used", "_share")
+    # sums by score find the score at which a category's share runs out; only its findings are ordered
+    by_score = findings.groupBy("category", "score").agg(F.sum(cost).alias("_c"))
+    upto = Window.partitionBy("category").orderBy(F.desc("score"))  # at most 101 scores a category
+    sums = by_score.withColumn("_before", F.sum("_c").over(upto) - F.col("_c")).join(F.broadcast(share), "category")  # five categories
+    open_ = sums.filter("_before < _share").select(F.col("category").alias("_k"), F.col("score").alias("_s"), "_before", "_share", (F.col("_before") + F.col("_c") <= F.col("_share")).alias("_all"))
+    near = findings.join(F.broadcast(open_), (F.col("category") == F.col("_k")) & (F.col("score") == F.col("_s")))  # 5 x 101 rows
+    w = Window.partitionBy("category", "score").orderBy(*canonical_order(), "finding_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    some = near.filter("NOT _all").withColumn("_used", F.col("_before") + F.sum(cost).over(w)).filter("_used <= _share")
+    return near.filter("_all").select(*findings.columns).unionByName(some.select(*findings.columns))
+
+
+#: The formats of reports, by name.
+FORMATS = ("console", "html", "json", "markdown", "sarif")
+
+
+def to_console(findings: DataFrame, limit: int = 50) -> str:
+    rows = ordered(findings, limit)
+    return "".join(f"{r.get('priority')} {r['severity']:<8} {r['rule_id']} {r['path']}:{r['line_start']}\n" for r in rows) or "no findings\n"
+
+
+def to_html(findings: DataFrame, title: str = "Audit", limit: int = 500) -> str:
+    rows = ordered(findings, limit)
+    cell = lambda v: f"<td>{html.escape(str(v))}</td>"
+    body = "".join("<tr>" + "".join(map(cell, (r.get("priority"), r.get("score"), r["severity"], r["rule_id"], f"{r['path']}:{r['line_start']}", r.get("title", "")))) + "</tr>\n" for r in rows)
+    head = "".join(f"<th>{h}</th>" for h in ("Priority", "Score", "Severity", "Rule", "Place", "Title"))
+    return f'<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>{html.escape(title)}</title></head>\n<body><h1>{html.escape(title)}</h1>\n<table><thead><tr>{head}</tr></thead>\n<tbody>\n{body}</tbody></table></body></html>\n'
+
+
+def render(findings: DataFrame, fmt: str, **options) -> str:
+    """A report in one of FORMATS."""
+    if fmt not in FORMATS:
+        raise ValueError(f"{fmt} is not one of {', '.join(FORMATS)}")
+    return {"console": to_console, "html": to_html, "json": to_json, "markdown": to_markdown, "sarif": to_sarif}[fmt](findings, **options)
+
+
+def receipt(findings: DataFrame, files: DataFrame, hidden: DataFrame, git: dict | None = None) -> dict:
+    """What an audit looked at and found: counts of files by reason and language, of findings by severity, and of what is hidden."""
+    from ..operators import metrics
+
+    scope = metrics.scan_counters(files).first().asDict()
+    severities = metrics.severity_counts(findings).first().asDict()
+    languages = {r.language: r.files for r in metrics.language_summary(files).collect()}  # one row a language
+    reasons = [r.asDict() for r in hidden.limit(LIMIT).collect()]
+    return {"schema_version": 1, "tool": "auditflow", "git": git or {}, "scope": scope, "findings": severities | {"total": sum(severities.values())}, "hidden": reasons, "languages": languages}
+
+
+def snapshot_marker(path: str, revision: str, fingerprint: str, n_findings: int) -> dict:
+    """Write down that a state was audited; the file is replaced as a whole."""
+    marker = {"schema_version": 1, "revision": revision, "fingerprint": fingerprint, "findings": n_findings}
+    part = f"{path}.part"
+    with open(part, "w", encoding="utf-8") as f:
+        json.dump(marker, f, indent=2)
+    os.replace(part, path)
+    return marker

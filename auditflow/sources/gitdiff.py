@@ -58,11 +58,17 @@ def changes(spark: SparkSession, diff: str) -> tuple[DataFrame, DataFrame, DataF
 
 def diff_of(repo: str, base: str | None = None, head: str | None = None) -> str:
     """The diff of the working tree, or between two revisions; untracked files count as added."""
-    git = lambda *a: subprocess.run(["git", "-C", repo, *a], capture_output=True, text=True, check=False).stdout
+
+    def git(*a: str, fine: tuple[int, ...] = (0,)) -> str:
+        r = subprocess.run(["git", "-C", repo, *a], capture_output=True, text=True, check=False)
+        if r.returncode not in fine:
+            raise RuntimeError(f"git {a[0]}: {r.stderr.strip()}")
+        return r.stdout
+
     common = ["diff", "--unified=0", "--no-color", "--no-ext-diff"]
     if base:
         return git(*common, f"{base}..{head}" if head else base)
-    new = "".join(git(*common, "--no-index", "/dev/null", p) for p in git("ls-files", "--others", "--exclude-standard").splitlines())
+    new = "".join(git(*common, "--no-index", "/dev/null", p, fine=(0, 1)) for p in git("ls-files", "--others", "--exclude-standard").splitlines())
     return git(*common, "HEAD") + new
 
 

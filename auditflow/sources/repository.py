@@ -16,14 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import paths, text
 
 #: Directories that are never entered, and the size limit.
-IGNORED = (".git", ".github", "target", "node_modules", "dist", "build", ".next", ".nuxt", ".cache", "coverage", "vendor", "Pods", "DerivedData")
+IGNORED = (".git", ".github", ".auditflow", "target", "node_modules", "dist", "build", ".next", ".nuxt", ".cache", "coverage", "vendor", "Pods", "DerivedData")
 MAX_BYTES = 2 * 1024 * 1024
 
-#: Languages by ending, and by whole name.
-LANGUAGES = {"rs": "Rust", "py": "Python", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "go": "Go", "java": "Java", "kt": "Kotlin", "cs": "C#", "c": "C", "h": "C Header", "cpp": "C++", "cc": "C++", "swift": "Swift", "scala": "Scala", "rb": "Ruby", "php": "PHP", "dart": "Dart", "sh": "Shell", "html": "HTML", "css": "CSS", "scss": "SCSS", "json": "JSON", "toml": "TOML", "yaml": "YAML", "yml": "YAML", "md": "Markdown", "tf": "Terraform", "sql": "SQL", "nix": "Nix"}
-NAMES = {"dockerfile": "Dockerfile", "makefile": "Makefile"}
-
-
 def ignore_patterns(raw: str) -> list[str]:
     """The globs that an ignore entry stands for: a bare name four, a path two."""
     p = raw.strip().strip("/")
@@ -67,7 +62,7 @@ def walk(root: str, exclude: tuple[str, ...] = (), max_files: int | None = None)
 
 def language_of(path: str) -> str | None:
     name = path.rsplit("/", 1)[-1].lower()
-    return NAMES.get(name) or LANGUAGES.get(name.rsplit(".", 1)[-1] if "." in name[1:] else "")
+    return paths.NAMES.get(name) or paths.LANGUAGES.get(name.rsplit(".", 1)[-1] if "." in name[1:] else "")
 
 
 def _load(root: str, max_bytes: int):
@@ -114,3 +109,17 @@ def in_memory(files: DataFrame, path: str, content: str, language: str | None =
     """Any table with a text column as a files relation."""
     lang = F.col(language) if language else F.lit(None).cast("string")
     return measured(files.select(F.col(path).alias("path"), lang.alias("language"), F.lit(None).cast("string").alias("skip_reason"), F.length(content).cast("long").alias("size"), F.col(content).alias("content")))
+
+
+def from_table(files: DataFrame, max_bytes=MAX_BYTES, include_low_signal=False) -> DataFrame:
+    """A table (path, content as text or bytes, and others) under the rules of load().
+
+    Bytes that are no UTF-8 are binary; skipped files keep no content.
+    """
+    body = F.col("content")
+    size = F.coalesce(F.octet_length(body), F.lit(0))
+    valid = F.is_valid_utf8(body.cast("string")) if files.schema["content"].dataType.typeName() == "binary" else F.lit(True)
+    low = F.lit(False) if include_low_signal else paths.low_signal(F.col("path"))
+    reason = F.when((size > max_bytes) if max_bytes else F.lit(False), "large-file").when(low, "low-signal").when(~F.coalesce(valid, F.lit(True)), "binary")
+    out = files.withColumns({"skip_reason": reason, "size": size.cast("long")})
+    return measured(out.withColumn("content", F.when(F.col("skip_reason").isNull(), body.cast("string"))))
