@@ -62,11 +62,16 @@ def unstable_hubs(d: DataFrame, fan_in: int = 5, percent: int = 75) -> DataFrame
     return d.filter((F.col("fan_in") >= fan_in) & (F.floor(F.col("instability") * 100 + 0.5) >= percent))
 
 
-def direct_dependents(edges: DataFrame) -> DataFrame:
+def dependent_pairs(edges: DataFrame) -> DataFrame:
     """(node, dependent) once each, over dependency kinds; a hub's importers are rows, not one list."""
     return edges.filter(F.col("kind").isin(*DEPENDENCY_KINDS)).select(F.col("dst").alias("node"), F.col("src").alias("dependent")).distinct()
 
 
+def direct_dependents(edges: DataFrame) -> DataFrame:
+    """(node, dependents): sorted importers as lists, for graphs whose hubs fit a row."""
+    return dependent_pairs(edges).groupBy("node").agg(F.array_sort(F.collect_list("dependent")).alias("dependents"))
+
+
 def dependent_counts(edges: DataFrame) -> DataFrame:
     e = edges.filter(F.col("kind").isin(*DEPENDENCY_KINDS)).select("src", "dst").distinct()
     return e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("dependents"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 import posixpath
 import re
 from collections.abc import Iterator
@@ -10,6 +11,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.paths import parent
+
 _JS = re.compile(r"""(?:\bimport\s+(?:type\s+)?(?:[\w*{}\s,$]+\s+from\s+)?|\bexport\s+[\w*{}\s,$]+\s+from\s+|\brequire\s*\(\s*)['"]([^'"\n]+)['"]""")
 _JS_LAZY = re.compile(r"""\bimport\s*\(\s*['"]([^'"\n]+)['"]""")
 _RUST = re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:use\s+((?:crate|self|super)(?:::\w+)+)|mod\s+(\w+)\s*;)", re.M)
@@ -54,17 +57,41 @@ def imports_of(text: str | None, language: str | None) -> list[tuple[str, bool,
     return [(m, False, False) for m in pattern.findall(text)] if pattern else []
 
 
-def candidates(spec: str, path: str, language: str | None, module: str = "") -> list[str]:
-    """Paths that an import may mean, the likeliest first; none if it is external."""
+def alias_targets(spec: str, aliases: dict[str, list[str]]) -> list[str]:
+    """What a specifier means under path aliases (a pattern with one * at most -> targets)."""
+    out = []
+    for pattern in sorted(aliases, key=lambda p: -len(p.split("*")[0])):
+        head, star, tail = pattern.partition("*")
+        if spec == pattern or star and spec.startswith(head) and spec.endswith(tail) and len(spec) >= len(head) + len(tail):
+            out += [t.replace("*", spec[len(head) : len(spec) - len(tail)] if star else "") for t in aliases[pattern]]
+    return out
+
+
+def tsconfig_aliases(text: str) -> dict[str, list[str]]:
+    """The aliases of a tsconfig.json, its targets below baseUrl; comments and last commas are allowed."""
+    bare = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
+    try:
+        options = json.loads(re.sub(r",(\s*[}\]])", r"\1", bare)).get("compilerOptions", {})
+    except (ValueError, AttributeError):
+        return {}
+    base = options.get("baseUrl", ".")
+    return {p: [posixpath.normpath(posixpath.join(base, t)) for t in targets] for p, targets in options.get("paths", {}).items()}
+
+
+def candidates(spec: str, path: str, language: str | None, module: str = "", aliases: dict[str, list[str]] | None = None) -> list[str]:
+    """Paths that an import may mean, the likeliest first; none if it is external.
+
+    A path that ends in / is a directory: the import means its files.
+    """
     here = posixpath.dirname(path)
     at = lambda *p: posixpath.normpath(posixpath.join(*p))
     if language in ("JavaScript", "TypeScript"):
-        if not spec.startswith("."):
-            return []
-        base = at(here, spec)
-        ends = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "json")
-        plain = re.sub(r"\.[cm]?js$", "", base)
-        return [base, *(f"{plain}.{e}" for e in ends), *(f"{base}/index.{e}" for e in ends)]
+        bases = [at(here, spec)] if spec.startswith(".") else alias_targets(spec, aliases or {})
+        ends, out = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "json"), []
+        for base in bases:
+            plain = re.sub(r"\.[cm]?js$", "", base)
+            out += [base, *(f"{plain}.{e}" for e in ends), *(f"{base}/index.{e}" for e in ends)]
+        return out
     if language == "Python":
         dots = len(spec) - len(spec.lstrip("."))
         tail = spec[dots:].replace(".", "/")
@@ -84,34 +111,42 @@ def candidates(spec: str, path: str, language: str | None, module: str = "") ->
         top = {"crate": crate, "self": own, "super": posixpath.dirname(own)}[root]
         return [c for n in range(len(rest), 0, -1) for c in (at(top, *rest[:n]) + ".rs", at(top, *rest[:n], "mod.rs"))]
     if language == "Go":
-        return [at(spec[len(module) :].strip("/") or ".", "*.go")] if module and spec.startswith(module) else []
+        inside = module and (spec == module or spec.startswith(module + "/"))
+        return [(spec[len(module) :].strip("/") or ".") + "/"] if inside else []
     if language in ("Java", "Kotlin"):
         p = spec.replace(".", "/")
         return [f"{top}{p}.{e}" for top in ("", "src/main/java/", "src/main/kotlin/", "src/") for e in ("java", "kt")]
     return []
 
 
-def _extract(module: str):
+def _extract(module: str, aliases: dict[str, list[str]] | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, language, text in zip(b["path"], b["language"], b["content"]):
                 for spec, deferred, guarded in imports_of(text, language):
-                    rows.append((path, spec, deferred, guarded, candidates(spec, path, language, module)))
+                    rows.append((path, spec, deferred, guarded, candidates(spec, path, language, module, aliases)))
             yield pd.DataFrame(rows, columns=["src", "spec", "deferred", "guarded", "candidates"])
 
     return run
 
 
-def imports(files: DataFrame, module: str = "") -> DataFrame:
-    """(src, spec, deferred, guarded, candidates) of files (path, language, content)."""
-    return files.select("path", "language", "content").mapInPandas(_extract(module), "src string, spec string, deferred boolean, guarded boolean, candidates array<string>")
+def imports(files: DataFrame, module: str = "", aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """(src, spec, deferred, guarded, candidates) of files (path, language, content).
+
+    module is Go's module path, aliases are those of tsconfig_aliases().
+    """
+    return files.select("path", "language", "content").mapInPandas(_extract(module, aliases), "src string, spec string, deferred boolean, guarded boolean, candidates array<string>")
 
 
 def resolved(found: DataFrame, files: DataFrame) -> DataFrame:
     """imports with dst: the first candidate that is a file; null where none is."""
     each = found.select("src", "spec", F.posexplode("candidates").alias("i", "dst"))
-    hit = each.join(files.select(F.col("path").alias("dst")), "dst", "left_semi").groupBy("src", "spec").agg(F.min_by("dst", "i").alias("dst"))
+    # of a directory (Go's package), its first source file stands for it
+    go = files.filter(F.endswith("path", F.lit(".go")) & ~F.endswith("path", F.lit("_test.go")))
+    first = go.groupBy(F.concat(F.when(parent(F.col("path")) == "", ".").otherwise(parent(F.col("path"))), F.lit("/")).alias("dst")).agg(F.min("path").alias("means"))
+    known = files.select(F.col("path").alias("dst"), F.col("path").alias("means")).unionByName(first)
+    hit = each.join(known, "dst").groupBy("src", "spec").agg(F.min_by("means", "i").alias("dst"))
     return found.join(hit, ["src", "spec"], "left")
 
 

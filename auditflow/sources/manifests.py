@@ -96,13 +96,25 @@ BASELINE = "schema_version int, tool string, created_at string, root string, fin
 RECEIPT = "schema_version int, recorded_at string, revision string, comparison struct<workspace string, analysis_target string, scope string, base_revision string, head_revision string, profile string, config_fingerprint string, selection_fingerprint string, overlay_fingerprint string, analysis_schema string>, findings array<struct<baseline_id string, occurrence_key string, rule_id string, severity string, path string>>"
 
 
+#: Fixed value: the schema version of baselines.
+BASELINE_VERSION = 1
+
+
 def baseline(spark: SparkSession, path: str) -> DataFrame:
-    """(key, rule_id, severity, path, message) of a baseline file."""
-    return spark.read.schema(BASELINE).option("mode", "FAILFAST").json(path, multiLine=True).select(F.inline("findings"))
+    """(key, rule_id, severity, path, message) of a baseline file; another version is an error."""
+    df = spark.read.schema(BASELINE).option("mode", "FAILFAST").json(path, multiLine=True)
+    if wrong := [r.schema_version for r in df.select("schema_version").limit(2).collect() if r.schema_version != BASELINE_VERSION]:
+        raise ValueError(f"{path}: schema version {wrong[0]}, not {BASELINE_VERSION}")
+    return df.select(F.inline("findings"))
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """Run receipts of a ledger, one a line; lines that are no receipts are left out."""
+    """Run receipts of a ledger, one a line; lines that are no receipts are left out.
+
+    Where the ledger is missing, its backup (the same name with .bak) is read.
+    """
+    if not os.path.exists(path.removeprefix("file://")) and os.path.exists(path.removeprefix("file://") + ".bak"):
+        path += ".bak"
     raw = spark.read.schema(RECEIPT + ", broken string").option("columnNameOfCorruptRecord", "broken").json(path)
     return raw.filter("broken IS NULL AND schema_version IS NOT NULL").drop("broken")
 

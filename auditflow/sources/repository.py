@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,24 +39,61 @@ def matches(path: str, patterns: list[str]) -> bool:
     return False
 
 
-def _gitignore(root: str) -> list[str]:
-    try:
-        with open(os.path.join(root, ".gitignore"), encoding="utf-8") as f:
-            lines = [x.strip() for x in f]
-    except OSError:
-        return []
-    return [g for x in lines if x and x[0] not in "#!" for g in ignore_patterns(x)]
+class Ignore:
+    """The rules of .gitignore files: of a directory and those above it, the last that matches decides.
+
+    A rule with ! lets in again, one that ends in / is about directories, and one with another /
+    stands for its own directory's paths only.
+    """
+
+    def __init__(self):
+        self.rules: list[tuple[str, re.Pattern, bool, bool]] = []
+
+    def read(self, path: str, below: str) -> None:
+        """Rules of a file for paths below a directory ('' or one that ends in /)."""
+        try:
+            with open(path, encoding="utf-8") as f:
+                lines = f.read().splitlines()
+        except (OSError, UnicodeDecodeError):
+            return
+        for line in lines:
+            line = line.rstrip()
+            if not line or line.startswith("#"):
+                continue
+            again = line.startswith("!")
+            body = line[again:].removeprefix("\\")
+            folder, body = body.endswith("/"), body.rstrip("/")
+            anchored, body = "/" in body, body.lstrip("/")
+            parts = re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|\[[^]]+\]|[^*?\[/]+|/|.", body)
+            turn = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]", "/": "/"}
+            text = "".join(turn.get(p) or (p if p[0] == "[" and len(p) > 1 else re.escape(p)) for p in parts)
+            self.rules.append((below, re.compile(("" if anchored else "(?:.*/)?") + text + "$"), folder, again))
+
+    def hides(self, path: str, folder: bool) -> bool:
+        for below, pattern, only_folders, again in reversed(self.rules):
+            if path.startswith(below) and (folder or not only_folders) and pattern.match(path[len(below) :]):
+                return not again
+        return False
+
+
+def _global_ignore() -> str:
+    """The user's own ignore file, where Git looks for it by default."""
+    home = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    return os.path.join(home, "git", "ignore")
 
 
 def walk(root: str, exclude: tuple[str, ...] = (), max_files: int | None = None) -> list[str]:
     """Files below root, hidden ones too, in component order; ignored directories are not entered."""
-    patterns = [g for x in (*IGNORED, *exclude) for g in ignore_patterns(x)] + _gitignore(root)
-    found = []
+    patterns = [g for x in (*IGNORED, *exclude) for g in ignore_patterns(x)]
+    ignore, found = Ignore(), []
+    ignore.read(_global_ignore(), "")
+    ignore.read(os.path.join(root, ".git", "info", "exclude"), "")
     for top, dirs, names in os.walk(root):
         rel = os.path.relpath(top, root).replace(os.sep, "/")
         inside = "" if rel == "." else rel + "/"
-        dirs[:] = sorted(d for d in dirs if not matches(inside + d, patterns))
-        found += [inside + n for n in names if not matches(inside + n, patterns)]
+        ignore.read(os.path.join(top, ".gitignore"), inside)
+        dirs[:] = sorted(d for d in dirs if not matches(inside + d, patterns) and not ignore.hides(inside + d, True))
+        found += [inside + n for n in names if not matches(inside + n, patterns) and not ignore.hides(inside + n, False)]
     found.sort(key=lambda p: p.split("/"))
     return found[:max_files] if max_files else found
 

@@ -127,7 +127,7 @@ def braced(text: str, language: str) -> list[_Function]:
                     f["fn"].last = line
                     done.append(f["fn"])
                 header, pending, loop, parens, begun = f["saved"] or ([], False, False, 0, begun)
-        elif t == ";" and not parens:
+        elif t == ";" and not parens and not (language == "Go" and pending):
             header, pending, loop = [], False, False
         else:
             if not header:
