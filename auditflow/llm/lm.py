@@ -1,23 +1,34 @@
 """Scoring texts by a log-bilinear language model beside a smoothed unigram base.
 
-Everything that is learned comes from counts over all training texts, combined in each task and
-summed by Spark: word counts, and pair counts of the frequent words at distances 1 and 2.
-
-For each distance, a log-bilinear model s(h, w) = r_h C q_w + b_w over a short list of words and
-three classes (further head words, rare words, the end) is trained in numpy by noise-contrastive
-estimation: data pairs against k noise words a pair from the unigram distribution, both with
-their expected counts, so that a step is a few matrix products and training is deterministic.
-One batched product R C Q' + b and a softmax of its rows then give normalised probabilities for
-all contexts; the distances are mixed.  A word's share of its class is its count's; of the rare
-class, the one unknown word has the share of words seen once (what leaving a text out makes
-unknown).  So the model spreads one unit over the same tokens as the base: the known words, the
-end and one unknown word.
-
-Head words (at most ``head``) and the model's tables are broadcast, which bounds them; the counts
+Word counts come from all training texts, combined in each task and summed by Spark.  The model
+predicts each token from the few before it: the context is the sum of its tokens' vectors, each
+weighted by its distance, h = sum_d c_d * r(w_-d), and a token scores h . q_w + b_w.  Listed words
+(the most frequent ones) and the end have vectors of their own; a context word off the list has
+that of its last two bytes, so that it still tells of its language.
+
+A token is predicted in two steps, its class and itself in the class; listed words are classed by
+rank.  Both steps are trained by noise-contrastive estimation with sampled noise: classes against
+noise classes shared by a batch, words against noise words of their class, both from the unigram
+distribution.  A softmax over the classes and one over the class's words, each a batched matrix
+product, give normalised probabilities.
+
+Training goes over all training texts where they lie.  Each round, every task starts from the
+broadcast parameters, learns from its texts batch by batch, and sends what changed, weighted by
+how often; the weighted changes are added up by blocks of rows, and come to the driver as a table
+of the parameters' own size.  Rounds take halves of the texts by turns; small corpora are gone
+through more often, so that at least ``least`` tokens are learned from.
+
+All words off the list are one class.  A word's share of it is its count's; the one unknown word
+has the share of words seen once (what leaving a text out makes unknown).  So the model spreads
+one unit over the same tokens as the base: the known words, the end and one unknown word.
+
+The ``head`` most frequent words' counts and the model are broadcast, which bounds them; the counts
 of all other words reach the texts by a join.
 
 Defined cases: null or empty text is the end token alone; a null doc_id counts as the empty text
-for the split.  Repeated rows are scored each for itself.
+for the split.  Repeated rows are scored each for itself.  An empty table has no rows; without
+training texts the model is the untrained one.  Very long texts are held one at a time.  Other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,14 +42,21 @@ from .columns import quoted, whole
 from .store import materialize
 
 FOLDS, ADD = 10, 0.1
-HEAD, IDS, DIM, NOISE, STEPS, RATE = 1 << 19, 512, 24, 8, 120, 0.05
-DISTANCES = (0.65, 0.35)  # weights of the models for distances 1, 2
-#: Words seen less often are rare at any size of corpus: they stand for those never seen.
-LEAST_HEAD = 3
+#: Words whose counts are broadcast, words with vectors of their own, and words a class.
+HEAD, LISTED, CLASS = 1 << 19, 1 << 16, 256
+#: Words seen less often are off the list at any size of corpus: they stand for those never seen.
+LEAST_COUNT = 3
+DIM, DISTANCES, BATCH, NOISE_CLASSES, NOISE = 16, 4, 4096, 64, 4
+RATE, START = 0.1, 30.0
+#: Tokens that are learned from at least, and bytes of text a training task has on average.
+LEAST, TASK_BYTES = 4_000_000, 16 << 20
+#: How often a small corpus is gone through at most.
+MOST_PASSES = 12
+#: Vectors of context words off the list, by their last two bytes.
+ENDINGS = 1024
+BLOCK = 4096
 FLUSH = 2_000_000
 
-#: The last ids: words past the short list, words past the head, the end token (as context: the start).
-MID, RARE, STOP = IDS - 3, IDS - 2, IDS - 1
 END_PRINT = np.uint64(0x1B873593CC9E2D51)
 
 
@@ -83,17 +101,16 @@ def _count_words(batches):
 
 
 class Head:
-    """Frequent words: sorted fingerprints, counts, and model ids."""
+    """Frequent words: sorted fingerprints, counts, and places on the list (-1: off it)."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, listed: int = LISTED):
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[order]
-        self.ids = np.full(len(keys), MID, np.int32)
+        self.ids = np.full(len(keys), -1, np.int32)
         best = np.lexsort((self.keys, -self.counts))
-        best = best[self.keys[best] != END_PRINT][: IDS - 3]
+        best = best[(self.keys[best] != END_PRINT) & (self.counts[best] >= LEAST_COUNT)][:listed]
         self.ids[best] = np.arange(len(best))
-        self.ids[self.keys == END_PRINT] = STOP
-        self.mid = max(1, int(self.counts[self.ids == MID].sum()))
+        self.listed = self.counts[best]
 
     def find(self, prints: np.ndarray) -> np.ndarray:
         """Place in keys, or -1."""
@@ -102,100 +119,258 @@ class Head:
         at = np.minimum(np.searchsorted(self.keys, prints), len(self.keys) - 1)
         return np.where(self.keys[at] == prints, at, -1)
 
-    def model_ids(self, place: np.ndarray, prints: np.ndarray) -> np.ndarray:
-        out = np.full(len(place), RARE, np.int32)
+    def words(self, place: np.ndarray) -> np.ndarray:
+        """Places on the list, -1 for words off it and the end."""
+        out = np.full(len(place), -1, np.int32)
         out[place >= 0] = self.ids[place[place >= 0]]
-        out[prints == END_PRINT] = STOP
         return out
 
 
-def _contexts(ids: np.ndarray, first: np.ndarray, distance: int) -> np.ndarray:
-    """The id `distance` tokens before each token; before a row's first token: STOP."""
-    out = np.full(len(ids), STOP, np.int32)
-    out[distance:] = ids[:-distance] if distance < len(ids) else ids[:0]
+def contexts(tokens: np.ndarray, first: np.ndarray, start: int, distances=DISTANCES) -> np.ndarray:
+    """(tokens, distances): the tokens before each one in its row, `start` before the first."""
+    out = np.full((len(tokens), distances), start, np.int32)
     row_first = np.repeat(first[:-1], np.diff(first))
-    out[np.arange(len(ids)) - row_first < distance] = STOP
+    at = np.arange(len(tokens))
+    for d in range(1, distances + 1):
+        inside = at[d:][at[d:] - d >= row_first[d:]] if d < len(at) else at[:0]
+        out[inside, d - 1] = tokens[inside - d]
     return out
 
 
-def _count_contexts(shared):
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Vectors:
+    """The model's parameters, by name: tables of rows, biases last in a row where there are any."""
+
+    def __init__(self, word_counts: np.ndarray, other: int, ends: int, dim=DIM, distances=DISTANCES, size=CLASS, seed=7):
+        rng = np.random.default_rng(seed)
+        n = len(word_counts)
+        self.dim, self.size, self.n_words = dim, size, n
+        self.n_groups = -(-n // size)  # classes of listed words
+        self.other, self.end = self.n_groups, self.n_groups + 1
+        self.start = n + ENDINGS  # the context before a text
+        of = np.arange(n) // size
+        mass = np.bincount(of, weights=word_counts, minlength=self.n_groups) if n else np.zeros(0)
+        classes = np.concatenate((mass, [other, ends])) + 0.5
+        self.p_class = classes / classes.sum()
+        self.p_word = (word_counts / mass[of] if n else np.zeros(0)).astype(np.float32)
+        self.upto = np.cumsum(word_counts).astype(np.float64)  # noise words are drawn by inversion
+        self.mass, self.before = mass, np.concatenate(([0.0], np.cumsum(mass)[:-1])) if n else np.zeros(0)
+        f = np.float32
+        self.tables = {
+            "context": rng.normal(0, 0.1, (n + ENDINGS + 1, dim)).astype(f),
+            "weights": np.full((distances, dim), 1 / distances, f),
+            "classes": np.concatenate((np.zeros((len(classes), dim)), np.log(self.p_class)[:, None]), axis=1).astype(f),
+            "words": np.concatenate((np.zeros((n, dim)), np.log(self.p_word)[:, None]), axis=1).astype(f),
+        }
+
+    def classes_of(self, words: np.ndarray, is_end: np.ndarray) -> np.ndarray:
+        out = np.where(words >= 0, words // self.size, self.other)
+        out[is_end] = self.end
+        return out
+
+    def hidden(self, ctx: np.ndarray) -> np.ndarray:
+        """The sum of the context's vectors, each weighted by its distance."""
+        t = self.tables
+        return np.einsum("bkd,kd->bd", t["context"][ctx], t["weights"])
+
+    def log_probs(self, ctx: np.ndarray, words: np.ndarray, is_end: np.ndarray) -> np.ndarray:
+        """Natural log of each token's class, and of a listed word in its class."""
+        t, d = self.tables, self.dim
+        h, y = self.hidden(ctx), self.classes_of(words, is_end)
+        out = np.empty(len(h))
+        for lo in range(0, len(h), 1 << 15):
+            s = h[lo : lo + (1 << 15)] @ t["classes"][:, :d].T + t["classes"][:, d]
+            out[lo : lo + len(s)] = _log_softmax_at(s, y[lo : lo + len(s)])
+        order = np.argsort(y, kind="stable")
+        cuts = np.searchsorted(y[order], np.arange(self.n_groups + 1))
+        for c in range(self.n_groups):
+            mine = order[cuts[c] : cuts[c + 1]]
+            if len(mine):
+                block = t["words"][c * self.size : (c + 1) * self.size]
+                out[mine] += _log_softmax_at(h[mine] @ block[:, :d].T + block[:, d], words[mine] - c * self.size)
+        return out
+
+
+def _log_softmax_at(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    top = s.max(axis=1)
+    return (s[np.arange(len(s)), at] - top - np.log(np.exp(s - top[:, None]).sum(axis=1))).astype(np.float64)
+
+
+class Trainer:
+    """Noise-contrastive steps on a copy of the parameters, with the number of times each row was met."""
+
+    def __init__(self, vectors: Vectors, rate=RATE, seed=0):
+        self.v, self.rate = vectors, rate
+        self.base = vectors.tables
+        self.tables = {k: x.copy() for k, x in vectors.tables.items()}
+        self.met = {k: np.zeros(len(x), np.int64) for k, x in vectors.tables.items()}
+        self.squares = {k: np.full(len(x), START, np.float32) for k, x in vectors.tables.items()}
+        self.rng = np.random.default_rng(seed)
+
+    def _add(self, name: str, rows: np.ndarray, grads: np.ndarray) -> None:
+        """An adaptive step up the gradient, summed by row."""
+        table, n = self.tables[name], len(self.tables[name])
+        times = np.bincount(rows, minlength=n)
+        some = np.flatnonzero(times)
+        total = np.empty((len(some), grads.shape[1]), np.float32)
+        for d in range(grads.shape[1]):
+            total[:, d] = np.bincount(rows, weights=grads[:, d], minlength=n)[some]
+        self.squares[name][some] += (total**2).mean(axis=1)
+        table[some] += self.rate / np.sqrt(self.squares[name][some])[:, None] * total
+        self.met[name] += times
+
+    def step(self, ctx: np.ndarray, words: np.ndarray, is_end: np.ndarray) -> None:
+        v, t, d, rng = self.v, self.tables, self.v.dim, self.rng
+        e = t["context"][ctx]
+        h = np.einsum("bkd,kd->bd", e, t["weights"])
+        ones = np.ones((len(h), 1), np.float32)
+        y = v.classes_of(words, is_end)
+        noise = rng.choice(len(v.p_class), NOISE_CLASSES, p=v.p_class)
+        q = t["classes"]
+        right = 1 - _sigmoid((h * q[y, :d]).sum(axis=1) + q[y, d] - np.log(NOISE_CLASSES * v.p_class[y]))
+        wrong = -_sigmoid(h @ q[noise, :d].T + q[noise, d] - np.log(NOISE_CLASSES * v.p_class[noise]))
+        back = right[:, None] * q[y, :d] + wrong @ q[noise, :d]  # the gradient by h
+        wide = np.concatenate((h, ones), axis=1)
+        class_rows, class_grads = np.concatenate((y, noise)), np.concatenate((right[:, None] * wide, wrong.T @ wide))
+        mine = np.flatnonzero(words >= 0)
+        if len(mine):
+            w, hw, c = words[mine], h[mine], y[mine]
+            drawn = v.before[c][:, None] + rng.random((len(mine), NOISE)) * v.mass[c][:, None]
+            others = np.clip(np.searchsorted(v.upto, drawn, side="right"), (c * v.size)[:, None], np.minimum((c + 1) * v.size, v.n_words)[:, None] - 1)
+            q = t["words"]
+            right = 1 - _sigmoid((hw * q[w, :d]).sum(axis=1) + q[w, d] - np.log(NOISE * v.p_word[w]))
+            away = q[others]
+            wrong = -_sigmoid(np.einsum("bd,bkd->bk", hw, away[:, :, :d]) + away[:, :, d] - np.log(NOISE * v.p_word[others]))
+            back[mine] += right[:, None] * q[w, :d] + np.einsum("bk,bkd->bd", wrong, away[:, :, :d])
+            wide = np.concatenate((hw, ones[: len(mine)]), axis=1)
+            grads = np.concatenate((right[:, None] * wide, (wrong[:, :, None] * wide[:, None, :]).reshape(-1, d + 1)))
+            self._add("words", np.concatenate((w, others.ravel())), grads)
+        self._add("classes", class_rows, class_grads)
+        by_distance = np.einsum("bd,bkd->kd", back, e)
+        self._add("context", ctx.ravel(), (back[:, None, :] * t["weights"]).reshape(-1, d))
+        k = np.arange(len(by_distance))
+        self._add("weights", k, by_distance * 0.1)
+
+    def changes(self):
+        """(table, block, rows' numbers in it, times met, change) of what was met."""
+        for name, table in self.tables.items():
+            for lo in range(0, len(table), BLOCK):
+                some = np.flatnonzero(self.met[name][lo : lo + BLOCK])
+                if len(some):
+                    yield name, lo // BLOCK, some, self.met[name][lo + some], table[lo + some] - self.base[name][lo + some]
+
+
+_CHANGES = "name string, block int, data binary"
+
+
+def _pack(rows: np.ndarray, weights: np.ndarray, values: np.ndarray, kind) -> bytes:
+    return np.array([len(rows), values.shape[1]], np.int64).tobytes() + rows.astype(np.int16).tobytes() + weights.astype(np.float64).tobytes() + values.astype(kind).tobytes()
+
+
+def _unpack(data: bytes, kind):
+    n, d = np.frombuffer(data, np.int64, 2).tolist()
+    at = 16 + 2 * n
+    return np.frombuffer(data, np.int16, n, 16), np.frombuffer(data, np.float64, n, at), np.frombuffer(data, kind, n * d, at + 8 * n).reshape(n, d)
+
+
+def _learn(shared, seed: int, again: int):
+    """Learn from a task's texts, and send the changes.
+
+    again: how often to go through them; they are held for it, which only small corpora are.
+    """
+
     def run(batches):
-        head = shared.value
-        pairs = np.zeros(len(DISTANCES) * IDS * IDS, np.int64)
+        model = shared.value
+        trainer, held = Trainer(model.vectors, seed=seed), []
+
+        def learn(ctx, words, is_end):
+            for lo in range(0, len(words), BATCH):
+                trainer.step(ctx[lo : lo + BATCH], words[lo : lo + BATCH], is_end[lo : lo + BATCH])
+
         for batch in batches:
             for _, _, buf, off in tc.slices(batch.column(0)):
-                _, prints, first, _ = _tokens(buf, off)
-                ids = head.model_ids(head.find(prints), prints)
-                for d in range(len(DISTANCES)):
-                    cell = (d * IDS + _contexts(ids, first, d + 1).astype(np.int64)) * IDS + ids
-                    pairs += np.bincount(cell, minlength=len(pairs))
-        cells = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(pairs[cells])], names=["cell", "n"])
+                t = model.tokens(buf, off)
+                learn(t.ctx, t.words, t.is_end)
+                if again > 1:
+                    held.append((t.ctx, t.words, t.is_end))
+        for _ in range(again - 1):
+            for x in held:
+                learn(*x)
+        out = [(n, b, _pack(rows, met, change, np.float16)) for n, b, rows, met, change in trainer.changes()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["name", "block", "data"])
 
     return run
 
 
-def train_nce(pairs: np.ndarray, dim=DIM, noise=NOISE, steps=STEPS, rate=RATE, seed=7) -> np.ndarray:
-    """Log-probabilities (contexts, words) of a log-bilinear model trained on pair counts."""
-    n_ctx, n_words = pairs.shape
-    rng = np.random.default_rng(seed)
-    total = max(1.0, float(pairs.sum()))
-    q_noise = (pairs.sum(axis=0) + 0.5) / (total + 0.5 * n_words)
-    data = (pairs / total).astype(np.float64)
-    of_ctx = data.sum(axis=1, keepdims=True)
-    against = noise * of_ctx * q_noise  # expected noise weight of each pair
-    p = {"r": rng.normal(0, 0.1, (n_ctx, dim)), "c": np.eye(dim), "q": rng.normal(0, 0.1, (n_words, dim)), "b": np.log(q_noise)}
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    s = {k: np.zeros_like(v) for k, v in p.items()}
-    shift = np.log(noise * q_noise)
-    for t in range(1, steps + 1):
-        rc = p["r"] @ p["c"]
-        delta = np.clip(rc @ p["q"].T + p["b"] - shift, -60, 60)
-        right = 1 / (1 + np.exp(-delta))
-        g = data * (1 - right) - against * right  # ascent direction of the NCE objective, by score
-        grads = {"r": g @ p["q"] @ p["c"].T, "c": p["r"].T @ (g @ p["q"]), "q": g.T @ rc, "b": g.sum(axis=0)}
-        for k, v in grads.items():
-            m[k] = 0.9 * m[k] + 0.1 * v
-            s[k] = 0.999 * s[k] + 0.001 * v * v
-            p[k] += rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-10)
-    score = p["r"] @ p["c"] @ p["q"].T + p["b"]
-    score -= score.max(axis=1, keepdims=True)
-    return score - np.log(np.exp(score).sum(axis=1, keepdims=True))
+def _merged(table: pa.Table) -> pa.Table:
+    """Changes of a block, averaged over tasks by how often each met a row."""
+    total = weight = None
+    for data in table["data"].to_pylist():
+        rows, met, change = _unpack(data, np.float16)
+        if total is None:
+            total, weight = np.zeros((BLOCK, change.shape[1])), np.zeros(BLOCK)
+        total[rows] += met[:, None] * change.astype(np.float64)
+        weight[rows] += met
+    some = np.flatnonzero(weight)
+    data = _pack(some, weight[some], total[some] / weight[some, None], np.float32)
+    return pa.table({"name": table["name"].slice(0, 1), "block": table["block"].slice(0, 1), "data": pa.array([data], pa.binary())})
+
+
+class Tokens:
+    """What the model sees of a slice's tokens."""
+
+    __slots__ = ("spans", "prints", "first", "at", "place", "words", "is_end", "ctx")
 
 
 class Model:
     """Probabilities over the known words, the end and one unknown word, as the base has them."""
 
-    def __init__(self, head: Head, pairs: np.ndarray, n: int, v: int, once: int):
-        self.head = head
-        self.tables = [np.exp(train_nce(p)) for p in pairs]
-        self.n, self.v = n, v
+    def __init__(self, head: Head, n: int, v: int, once: int, dim=DIM):
+        self.head, self.n, self.v = head, n, v
         self.log_all = np.log10(n + ADD * (v + 1))
-        in_head = int(head.counts.sum())
-        self.rare = max(1, n - in_head)  # training tokens of the rare class
+        ends = int(head.counts[head.keys == END_PRINT].sum())
+        self.rest = n - int(head.listed.sum()) - ends  # training tokens off the list
         # a training token that occurs once would be unknown if its text were held out
-        self.unknown = min(max(once / self.rare, 0.01), 0.99)
+        self.unknown = min(max(once / self.rest, 0.01), 0.99) if self.rest else 1.0
+        self.vectors = Vectors(head.listed, self.rest, ends, dim)
+
+    def tokens(self, buf, off) -> Tokens:
+        t = Tokens()
+        t.spans, t.prints, t.first, t.at = _tokens(buf, off)
+        t.place = self.head.find(t.prints)
+        t.words = self.head.words(t.place)
+        t.is_end = t.prints == END_PRINT
+        low = tc.LOWER[buf] if len(buf) else np.zeros(1, np.uint8)
+        last = low[t.spans.end - 1].astype(np.int64)
+        second = np.where(t.spans.end - t.spans.start > 1, low[np.maximum(t.spans.end - 2, 0)], 0).astype(np.int64)
+        seen = np.full(len(t.prints), self.vectors.start, np.int32)  # an end is no context: rows end there
+        seen[t.at] = self.vectors.n_words + (second * 257 + last) % ENDINGS
+        seen[t.words >= 0] = t.words[t.words >= 0]
+        t.ctx = contexts(seen, t.first, self.vectors.start)
+        return t
+
+    def log_probs(self, t: Tokens) -> np.ndarray:
+        """log10 of each token's probability; words off the list that the head does not know count as unknown."""
+        out = self.vectors.log_probs(t.ctx, t.words, t.is_end) / np.log(10)
+        other = (t.words < 0) & ~t.is_end
+        counted = other & (t.place >= 0)
+        out[other & ~counted] += np.log10(self.unknown)
+        out[counted] += np.log10((1 - self.unknown) * self.head.counts[t.place[counted]] / max(1, self.rest))
+        return out
 
     def score(self, buf, off):
-        """Per row: tokens, known head tokens, base score and score with rare words as unknown,
-        and the rare words' prints and rows."""
-        head = self.head
-        words, prints, first, at = _tokens(buf, off)
-        place = head.find(prints)
-        ids = head.model_ids(place, prints)
-        p = np.zeros(len(ids))
-        for d, w in enumerate(DISTANCES):
-            p += w * self.tables[d][_contexts(ids, first, d + 1), ids]
-        known = place >= 0
-        counts = np.zeros(len(ids))
-        counts[known] = head.counts[place[known]]
-        mid, rare = ids == MID, ids == RARE
-        p[mid] *= counts[mid] / head.mid
-        p[rare] *= self.unknown
-        logs = np.log10(np.maximum(p, 1e-300))
+        """Per row: tokens, tokens that the head knows, base score and score with others as unknown,
+        and the others' prints and rows."""
+        t = self.tokens(buf, off)
+        known = t.place >= 0
+        counts = np.zeros(len(t.words))
+        counts[known] = self.head.counts[t.place[known]]
         base = np.log10(counts + ADD) - self.log_all
-        other = np.flatnonzero(rare[at])
-        return np.diff(first), tc.segment_sum(known.astype(np.int64), first), _row_sums(base, first), _row_sums(logs, first), prints[at[other]], words.rows[other]
+        other = np.flatnonzero(~known[t.at])
+        return np.diff(t.first), tc.segment_sum(known.astype(np.int64), t.first), _row_sums(base, t.first), _row_sums(self.log_probs(t), t.first), t.prints[t.at[other]], t.spans.rows[other]
 
 
 def _row_sums(x, first):
@@ -226,28 +401,44 @@ def _score(shared):
     return run
 
 
-def fit(train: DataFrame, counts: DataFrame, head_size=HEAD) -> Model:
-    """The model of texts (one column) and their word counts (h, c)."""
+def trained(model: Model, train: DataFrame, least=LEAST, task_bytes=TASK_BYTES) -> Model:
+    """The model, trained on all texts of train (one column) in rounds of half of them each."""
     spark = train.sparkSession
+    n_bytes = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if not n_bytes:
+        return model
+    passes = min(MOST_PASSES, 1 + int(least // max(1, model.n))) if least > 0 else 0
+    rounds, again = 2 * min(passes, 4), -(-passes // 4)
+    tasks = max(1, -(-n_bytes // (2 * task_bytes)))
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    for r in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+        sent = train.filter(half == r % 2).coalesce(tasks).mapInArrow(_learn(shared, r, again), _CHANGES)
+        got = sent.groupBy("name", "block").applyInArrow(_merged, _CHANGES).toArrow()  # as large as the model
+        for name, block, data in zip(*(got[c].to_pylist() for c in ("name", "block", "data"))):
+            rows, _, change = _unpack(data, np.float32)
+            model.vectors.tables[name][block * BLOCK + rows.astype(np.int64)] += change
+        shared.unpersist()
+    return model
+
+
+def fit(train: DataFrame, counts: DataFrame, head_size=HEAD, listed=LISTED, least=LEAST) -> Model:
+    """The model of texts (one column) and their word counts (h, c)."""
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     level = F.floor(F.log2("c") * 16).cast("int")
-    found, least = 0, 1 << 30
+    found, lowest = 0, 1 << 30
     is_end = F.col("h") == int(END_PRINT.view(np.int64))
-    frequent = counts.filter((F.col("c") >= LEAST_HEAD) & ~is_end)
+    frequent = counts.filter((F.col("c") >= LEAST_COUNT) & ~is_end)
     for r in sorted(frequent.groupBy(level.alias("l")).count().collect(), reverse=True):  # under 16 rows a doubling of counts
         if found + r["count"] > head_size:
             break
-        found, least = found + r["count"], r["l"]
-    got = frequent.filter(level >= least).unionByName(counts.filter(is_end)).toArrow()  # head_size + 1 rows at most
-    head = Head(got["h"].to_numpy().view(np.uint64), got["c"].to_numpy())
-    shared = spark.sparkContext.broadcast(head)
-    cells = train.mapInArrow(_count_contexts(shared), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # bounded by the tables' size
-    pairs = np.zeros(len(DISTANCES) * IDS * IDS)
-    pairs[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    return Model(head, pairs.reshape(len(DISTANCES), IDS, IDS), int(totals.n or 0), int(totals.v), int(totals.once or 0))
+        found, lowest = found + r["count"], r["l"]
+    got = frequent.filter(level >= lowest).unionByName(counts.filter(is_end)).toArrow()  # head_size + 1 rows at most
+    head = Head(got["h"].to_numpy().view(np.uint64), got["c"].to_numpy(), listed)
+    return trained(Model(head, int(totals.n or 0), int(totals.v), int(totals.once or 0)), train, least)
 
 
-def lm_scores(docs: DataFrame, doc_id="doc_id", text="text", folds=FOLDS, head_size=HEAD) -> DataFrame:
+def lm_scores(docs: DataFrame, doc_id="doc_id", text="text", folds=FOLDS, head_size=HEAD, listed=LISTED, least=LEAST) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Texts whose doc_id's crc32 leaves 0 modulo folds are held out; all others are learned from.
@@ -257,14 +448,14 @@ def lm_scores(docs: DataFrame, doc_id="doc_id", text="text", folds=FOLDS, head_s
     base = docs.select(quoted(doc_id).cast("long").alias("doc_id"), held.alias("held_out"), whole(quoted(text)).alias("text"))
     train = base.filter(~F.col("held_out")).select("text")
     counts = materialize(train.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
-    model = fit(train, counts, head_size)
+    model = fit(train, counts, head_size, listed, least)
     shared = spark.sparkContext.broadcast(model)
     scored = base.mapInArrow(_score(shared), _SCORED)
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()))
     rare = scored.filter(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     gain = F.log10(F.col("c") + ADD) - F.log10(F.lit(ADD))
     # a known rare word: its share of the class in the unknown word's place
-    likelier = F.log10(F.col("c")) + float(np.log10((1 - model.unknown) / model.rare / model.unknown))
+    likelier = F.log10(F.col("c")) + float(np.log10(max(1 - model.unknown, 1e-12) / max(1, model.rest) / model.unknown))
     more = rare.join(counts, "h").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * gain).alias("gain"), F.sum(F.col("times") * likelier).alias("likelier"))
     out = scored.drop("rare", "times").join(more, "row", "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("likelier", F.lit(0.0))).alias("score"))

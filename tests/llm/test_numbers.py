@@ -198,49 +198,76 @@ def test_lm(spark, small):
     assert lm.lm_scores(docs.limit(0)).count() == 0
 
 
-def test_model_is_normalised(spark):
-    """Over known words, the end and the unknown word, probabilities after any context sum to one."""
-    rng = random.Random(1)
-    texts = [" ".join(rng.choices([f"w{i}" for i in range(700)], weights=[1 / (i + 1) for i in range(700)], k=60)) for _ in range(200)]
+def _zipf(rng, n_words, n_texts, length=60):
+    return [" ".join(rng.choices([f"w{i}" for i in range(n_words)], weights=[1 / (i + 1) for i in range(n_words)], k=length)) for _ in range(n_texts)]
+
+
+@pytest.mark.parametrize("texts, listed", [(_zipf(random.Random(1), 700, 200), 300), (_zipf(random.Random(2), 700, 200), 1 << 16), (["a b c a b c a b c"] * 4, 1 << 16), (["x y z"], 1 << 16)])
+def test_model_is_normalised(spark, texts, listed):
+    """Over known words, the end and the unknown word, probabilities after any context sum to one.
+
+    Also where every word is listed, and where none is.
+    """
     train = spark.createDataFrame([(t,) for t in texts], "text string")
     counts = train.mapInArrow(lm._count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    model = lm.fit(train, counts)
-    vocabulary = sorted({w for t in texts for w in t.split()})
-    assert all(np.allclose(t.sum(axis=1), 1) for t in model.tables)
-    probe = [f"w0 w1 {w}" for w in vocabulary] + ["w0 w1 unknown", "w0 w1"]
+    model = lm.fit(train, counts, listed=listed, least=20_000)
     c = collections.Counter(w for t in texts for w in t.split())
-    total, before = 0.0, None
-    for _, _, buf, off in textcore.slices(pa.array(["w0 w1", *probe])):
-        n, known, base, score, rare, rows = model.score(buf, off)
-        p_end = {}
-        words_, prints, first, at = lm._tokens(buf, off)
-        place = model.head.find(prints)
-        token_ids = model.head.model_ids(place, prints)
-        p = sum(w * t[lm._contexts(token_ids, first, d + 1), token_ids] for d, (w, t) in enumerate(zip(lm.DISTANCES, model.tables)))
-        for i, text in enumerate(["w0 w1", *probe]):
-            if i == 0:
-                continue
-            j = first[i] + 2
-            if text == "w0 w1":
-                total += p[j]
-            else:
-                w = text.split()[2]
-                if token_ids[j] == lm.MID:
-                    total += p[j] * model.head.counts[place[j]] / model.head.mid
-                elif token_ids[j] == lm.RARE:
-                    total += p[j] * (model.unknown if w == "unknown" else (1 - model.unknown) * c[w] / model.rare)
-                else:
-                    total += p[j]
-    assert math.isclose(total, 1, rel_tol=1e-6) and before is None and not p_end and len(base) == len(score) and len(known) == len(n) and len(rare) == len(rows)
+    for context in (texts[0].split()[:3], ["never", "seen"], []):
+        probes = [" ".join([*context, w]) for w in [*sorted(c), "unknown"]] + [" ".join(context)]
+        total = 0.0
+        for _, _, buf, off in textcore.slices(pa.array(probes)):
+            t = model.tokens(buf, off)
+            p = model.log_probs(t)
+            for i, w in enumerate([*sorted(c), "unknown", None]):
+                j = t.first[i] + len(context)
+                more = 0.0  # a known word that the head does not hold was scored as unknown
+                if w in c and t.place[j] < 0:
+                    more = math.log10((1 - model.unknown) * c[w] / model.rest / model.unknown)
+                total += 10 ** (p[j] + more)
+        assert math.isclose(total, 1, rel_tol=1e-4)
 
 
 def test_nce_learns_conditional_probabilities():
+    """Twelve words in two classes, each drawn given the word before it."""
     rng = np.random.default_rng(2)
     true = rng.dirichlet(np.ones(12) * 0.3, size=12)
-    pairs = np.round(true * 20000)
-    learned = np.exp(lm.train_nce(pairs, dim=12, steps=1500))
+    words = np.zeros(60_000, np.int32)
+    for i in range(1, len(words)):
+        words[i] = rng.choice(12, p=true[words[i - 1]])
+    seen = np.bincount(words, minlength=12)
+    order = np.argsort(-seen, kind="stable")
+    rank = np.argsort(order).astype(np.int32)
+    v = lm.Vectors(seen[order], 0, 0, dim=12, distances=1, size=6)
+    trainer = lm.Trainer(v, rate=0.3)
+    ctx, w, no = rank[words[:-1], None], rank[words[1:]], np.zeros(len(words) - 1, bool)
+    for _ in range(25):
+        for lo in range(0, len(w), 1024):
+            trainer.step(ctx[lo : lo + 1024], w[lo : lo + 1024], no[lo : lo + 1024])
+    v.tables = trainer.tables
+    a, b = np.repeat(np.arange(12), 12), np.tile(np.arange(12), 12)
+    learned = np.exp(v.log_probs(rank[a, None], rank[b], np.zeros(144, bool))).reshape(12, 12)
     uniform = np.abs(true - true.mean(axis=0)).mean()
-    assert np.abs(learned - true).mean() < 0.2 * uniform
+    assert np.abs(learned - true).mean() < 0.25 * uniform
+
+
+def test_contexts_beat_none_and_smoothed_pairs(spark):
+    """On held-out texts, against the same model without contexts and against add-k pair counts."""
+    docs = store.table(spark, "/root/testdata/sf0.01", "documents")
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    rows = [(r.doc_id, [*lower(r.text).split(), "<end>"]) for r in docs.collect()]
+    train = [w for d, w in rows if not held(d)]
+    one, two = collections.Counter(x for w in train for x in w), collections.Counter(p for w in train for p in zip(["<end>", *w], w))
+    n, v = sum(one.values()), len(one) + 1
+    pairs = tokens_ = 0.0
+    for d, w in rows:
+        if held(d):
+            for a, b in zip(["<end>", *w], w):
+                alone = (one[b] + 0.1) / (n + 0.1 * v)
+                pairs += math.log10((two[a, b] + 2 * alone) / (one[a] + 2))
+            tokens_ += len(w)
+    score = lambda **k: lm.lm_scores(docs, **k).filter("held_out").agg(F.sum("score")).first()[0] / tokens_
+    trained, untrained = score(), score(least=-1)
+    assert trained > pairs / tokens_ and trained > untrained + 0.1
 
 
 def test_pipeline(spark, small):
