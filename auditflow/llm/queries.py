@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import quality
 from .linededup import dedup_lines
 from .lm import lm_scores
 from .mixing import mix_sources
@@ -90,5 +91,64 @@ FROM marked GROUP BY doc_id
 """
 
 
+#: The words of a text; a regular expression's escapes are its own.
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_TEXT = "coalesce(text, '')"
+_LOW = f"translate({_TEXT}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOW)} AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[pos:pos + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS pos FROM d)),
+n AS (SELECT d.doc_id, count(s)::BIGINT AS n FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+         GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach AS (SELECT doc_id AS node, doc_id AS low FROM d UNION SELECT link.b, reach.low FROM reach JOIN link ON link.a = reach.node AND reach.low < link.b)
+SELECT n.doc_id, n.n AS n_shingles, min(low) AS component_id, n.doc_id = min(low) AS kept FROM n JOIN reach ON reach.node = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+OP7 = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(_TEXT)} AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, w FROM d),
+v AS (SELECT doc_id, pos, w[pos] AS word, CASE WHEN pos + 12 <= len(w) THEN array_to_string(w[pos:pos + 12], ' ') END AS win FROM p),
+m AS (SELECT win, min(doc_id) AS low FROM v WHERE win IS NOT NULL GROUP BY win),
+j AS (SELECT v.doc_id, v.pos, v.word, coalesce(m.low < v.doc_id, false) AS later FROM v LEFT JOIN m USING (win)),
+c AS (SELECT *, bool_or(later) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM j)
+SELECT d.doc_id, count(c.pos)::BIGINT AS n_words, (count(*) FILTER (c.gone))::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(c.word, ' ' ORDER BY c.pos) FILTER (NOT c.gone), '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+def _op9() -> str:
+    """The base counts, quartiles by rank of rounded ratios, and fences on them."""
+    r, p, base = quality.REACH, quality.PRIOR, quality.GROWTH
+    value = f"coalesce(2 * pow({base}, b) / ({base} + 1), 0.0)"
+    ranked = lambda by, name: f"{name} AS (SELECT {by}metric, max(total) AS n, max(v) FILTER (rn = greatest(ceil(total * 0.25), 1)) AS q1, max(v) FILTER (rn = greatest(ceil(total * 0.75), 1)) AS q3 FROM (SELECT {by}metric, {value} AS v, row_number() OVER (PARTITION BY {by}metric ORDER BY b NULLS FIRST) AS rn, count(*) OVER (PARTITION BY {by}metric) AS total FROM rounded) GROUP BY {by}metric)"
+    ratios = {"word_length": "word_chars", "symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeats": "n_repeat_words"}
+    long_ = " UNION ALL ".join(f"SELECT doc_id, lang, source, n_words, '{m}' AS metric, {c} / greatest(n_words, 1) AS x FROM stats" for m, c in ratios.items())
+    chance = "CASE metric " + " ".join([f"WHEN '{m}' THEN {quality.NOISE} * sqrt({v} / greatest(n_words, 1))" for m, v in quality.VARIANCE.items()] + [f"WHEN '{m}' THEN {v}" for m, v in quality.BUNCH.items()]) + " END"
+    lower = ", ".join(f"'{m}'" for m in quality.LOWER)
+    return f"""
+WITH d AS (SELECT doc_id, lang, source, {_TEXT} AS t, {_WORDS.format(_TEXT)} AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, w FROM d),
+v AS (SELECT doc_id, pos, CASE WHEN pos + 7 <= len(w) THEN array_to_string(w[pos:pos + 7], ' ') END AS win FROM p),
+twice AS (SELECT doc_id, win FROM v WHERE win IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+c AS (SELECT doc_id, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS covered FROM (SELECT v.doc_id, v.pos, twice.win IS NOT NULL AS again FROM v LEFT JOIN twice USING (doc_id, win))),
+r AS (SELECT doc_id, (count(*) FILTER (covered))::BIGINT AS n_repeat_words FROM c GROUP BY doc_id),
+l AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+stats AS (SELECT d.doc_id, d.lang, d.source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
+long AS ({long_}),
+rounded AS (SELECT *, CASE WHEN x >= {quality.LEAST} THEN ceil(ln(x) / ln({base}))::INT END AS b FROM long),
+{ranked("lang, source, ", "own")}, {ranked("lang, ", "wide")}, {ranked("", "everything")},
+around AS (SELECT o.*, (w.n * w.q1 + {p} * e.q1) / (w.n + {p}) AS w1, (w.n * w.q3 + {p} * e.q3) / (w.n + {p}) AS w3 FROM own o JOIN wide w ON o.lang IS NOT DISTINCT FROM w.lang AND o.metric = w.metric JOIN everything e ON o.metric = e.metric),
+middle AS (SELECT *, (n * q1 + {p} * w1) / (n + {p}) AS m1, (n * q3 + {p} * w3) / (n + {p}) AS m3, sqrt(n * {p}) / (n + {p}) AS doubt FROM around),
+fences AS (SELECT lang, source, metric, m3 + {r} * (m3 - m1) + doubt * abs(q3 - w3) AS high, m1 - {r} * (m3 - m1) - doubt * abs(q1 - w1) AS low FROM middle),
+judged AS (SELECT g.doc_id, bool_and(x <= high + {chance} AND (metric NOT IN ({lower}) OR x >= low - {chance})) AS fits FROM long g JOIN fences f USING (metric) WHERE g.lang IS NOT DISTINCT FROM f.lang AND g.source IS NOT DISTINCT FROM f.source GROUP BY g.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words) AND fits AS kept FROM stats JOIN judged USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk": OP5, "op6_line_dedup": OP6}
+    return {"op4_minhash_dedup": OP4, "op5_exact_topk": OP5, "op6_line_dedup": OP6, "op7_substring_dedup": OP7, "op9_quality_rules": _op9()}
