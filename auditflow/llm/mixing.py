@@ -4,15 +4,22 @@ Documents are aggregated by membership pattern: the set of sources that they bel
 A small network then routes words from patterns to source quotas: an arc from a pattern to
 each of its sources, and arcs into a pattern of its size each, the first repetition free and
 each further one dearer (a convex cost), so that no text is repeated while fresh text is left.
-Only the patterns' totals come to the driver: one row per distinct set of sources.
+Only the patterns' totals come to the driver: one row per distinct set of sources, MOST_PATTERNS at
+most.  A source that shares no document with others needs no search: its one pattern fills its
+quota.  Only sources that do overlap are routed, each connected group of them for itself.
 
 Within a pattern, what the flow takes is whole copies of all its documents plus a rest that
 goes to documents in seeded hash order.  Their prefix sums need no sort of a source: sizes are
 summed by hash bucket, the bucket where the rest runs out is found from the sums, and only its
 documents are ordered.  Where that bucket is large, it is split again by further hash bits.
 
+Order goes by the row's content besides its doc_id, so rows that share an id, or have none, spread
+like others and reruns agree; rows equal in both are interchangeable.
+
 Defined cases: null text has size 0 and null sources are a source of their own.  Documents of
-size 0 take 0.  Repeated rows are separate documents.  Other columns pass through.
+size 0 take 0.  Repeated rows are separate documents.  An empty table has no rows.  Very long texts
+are documents like others, taken in part only where a target runs out.  Other columns pass through
+mixed(), whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +42,8 @@ SEED = 42
 BITS, ROUNDS = 10, 2
 #: How many patterns' plans may be broadcast.
 BROADCAST_PATTERNS = 20_000
+#: How many distinct sets of sources a mix may have; more are an error.
+MOST_PATTERNS = 2_000_000
 
 
 def _sizes(batches):
@@ -73,6 +82,31 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, cap=CAP, total: int |
     return out
 
 
+def routed(patterns: dict[tuple, int], quotas: dict[str | None, int], cap=CAP) -> dict[tuple, dict]:
+    """Words that each source takes of each pattern, by groups of sources that share documents."""
+    group: dict = {q: q for q in quotas}
+
+    def top(q):
+        while group[q] != q:
+            group[q] = group[group[q]]
+            q = group[q]
+        return q
+
+    for p in patterns:
+        for q in p[1:]:
+            group[top(q)] = top(p[0])
+    mine: dict = {}
+    for p in patterns:
+        mine.setdefault(top(p[0]), []).append(p)
+    out: dict[tuple, dict] = {}
+    for ps in mine.values():
+        if len(ps) == 1 and len(ps[0]) == 1:
+            out[ps[0]] = {ps[0][0]: min(quotas[ps[0][0]], cap * patterns[ps[0]])}
+        else:
+            out |= route({p: patterns[p] for p in ps}, {q: quotas[q] for p in ps for q in p}, cap)
+    return out
+
+
 def route(patterns: dict[tuple, int], quotas: dict[str | None, int], cap=CAP) -> dict[tuple, dict]:
     """Words that each source takes of each pattern: a min-cost flow by successive shortest paths.
 
@@ -139,14 +173,16 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, cap=CAP) -> DataFrame:
     over the pattern's sources.  Every document is to be taken copies times, and rest words more
     of the pattern's documents; rest is under the pattern's size.
     """
-    got = docs.groupBy("pattern").agg(F.sum("size").alias("n")).collect()  # one row per set of sources
+    got = docs.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()  # one row per set of sources
+    if len(got) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} distinct sets of sources")
     patterns = {tuple(r.pattern): int(r.n or 0) for r in got}
     sizes: dict = {}
     for p, n in patterns.items():
         for q in p:
             sizes[q] = sizes.get(q, 0) + n
     share = targets(sizes, weights, cap, sum(patterns.values()))
-    flow = route(patterns, {q: round(v) for q, v in share.items()}, cap)
+    flow = routed(patterns, {q: round(v) for q, v in share.items()}, cap)
     rows = []
     for p, n in patterns.items():
         copies, rest = divmod(sum(flow[p].values()), n) if n else (0, 0)
@@ -198,9 +234,9 @@ def mix_sources(docs: DataFrame, doc_id="doc_id", text="text", source="source",
     source is a string, or an array of the sources that a document belongs to (null or empty:
     the null source).
     """
-    base = docs.select(quoted(doc_id).alias("doc_id"), _pattern(docs, source).alias("pattern"), quoted(text).alias("text"))
+    base = docs.select(quoted(doc_id).alias("doc_id"), F.xxhash64(quoted(text)).alias("fp"), _pattern(docs, source).alias("pattern"), quoted(text).alias("text"))
     base = materialize(sized(base, "text"))
-    return select_words(base, plan_mix(base, weights, cap), ["doc_id"], seed).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return select_words(base, plan_mix(base, weights, cap), ["doc_id", "fp"], seed).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
 def _pattern(docs: DataFrame, source: str):
@@ -218,7 +254,7 @@ def mixed(docs: DataFrame, doc_id="doc_id", text="text", source="source", weight
     """
     a, b = fresh(docs, "mix_pattern", "mix_words")
     whole_row = docs.withColumns({a: _pattern(docs, source), b: quoted(text)})
-    x = materialize(sized(whole_row.select(F.struct(*map(quoted, docs.columns)).alias("row"), quoted(doc_id).alias("id"), quoted(a).alias("pattern"), quoted(b).alias("text")), "text"))
-    taken = select_words(x, plan_mix(x, weights, cap), ["id"], seed, split=False)
+    x = materialize(sized(whole_row.select(F.struct(*map(quoted, docs.columns)).alias("row"), quoted(doc_id).alias("id"), F.xxhash64(quoted(b)).alias("fp"), quoted(a).alias("pattern"), quoted(b).alias("text")), "text"))
+    taken = select_words(x, plan_mix(x, weights, cap), ["id", "fp"], seed, split=False)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
     return taken.withColumn("copies", copies.cast("int")).filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
