@@ -285,3 +285,26 @@ def test_pipeline(spark, small):
     last = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.pack_documents(step).collect())
     assert got == last
     assert len({r[0] for r in got}) <= sizes[2]
+
+
+def test_top_k_of_huge_components(spark):
+    """Scores past 2**53 are whole numbers still, and past 64 bits count as the nearest long."""
+    rows = [(0, [3e7, 1.0]), (1, [3e7, 0.5]), (2, [3e7, 0.75]), (3, [3e7, 1.0]), (50, [1e30, 1.0]), (4, [1e30, 2.0]), (5, [-1e30, 0.0]), (6, None), (7, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = {i: [math.floor(256 * x) for x in v] for i, v in rows if v and all(map(math.isfinite, v))}
+    clip = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    want = []
+    for a in (0, 50):
+        ranked = sorted((-clip(sum(x * y for x, y in zip(q[a], q[b]))), b) for b in q if b != a)[:5]
+        want += [(a, n, b, -s) for n, (s, b) in enumerate(ranked, 1)]
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
+
+
+def test_mix_of_many_sources_and_hot_ids(spark):
+    """50 000 sources end in time; rows without ids are taken in an order that their contents give."""
+    sizes = {f"s{i:05}": i % 7 + 1 for i in range(50_000)}
+    flow = mixing.routed({(s,): n for s, n in sizes.items()}, {s: 2 * n for s, n in sizes.items()})
+    assert all(flow[s,] == {s: 2 * n} for s, n in sizes.items())
+    rows = [(None, " ".join(f"w{j}" for j in range(i % 9 + 1)) + f" t{i}", "en", "a" if i % 4 else "b", 0) for i in range(400)]
+    one, two = ([(r.size, r.taken, n) for r, n in collections.Counter(mixing.mix_sources(frame(spark, rows).repartition(p)).collect()).items()] for p in (1, 7))
+    assert sorted(one) == sorted(two)
