@@ -46,8 +46,8 @@ FOLDS, ADD = 10, 0.1
 HEAD, LISTED, CLASS = 1 << 19, 1 << 16, 256
 #: Words seen less often are off the list at any size of corpus: they stand for those never seen.
 LEAST_COUNT = 3
-DIM, DISTANCES, BATCH, NOISE_CLASSES, NOISE = 16, 4, 4096, 64, 4
-RATE, START = 0.1, 30.0
+DIM, DISTANCES, BATCH, NOISE_CLASSES, NOISE = 16, 4, 8192, 64, 4
+RATE, START = 0.1, 60.0
 #: Tokens that are learned from at least, and bytes of text a training task has on average.
 LEAST, TASK_BYTES = 4_000_000, 16 << 20
 #: How often a small corpus is gone through at most.
@@ -141,6 +141,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _alias(p: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Alias tables of each `size` probabilities: a slot stays with chance keep, else it is another."""
+    keep, alias = np.ones(len(p), np.float32), np.arange(len(p))
+    for lo in range(0, len(p), size):
+        q = p[lo : lo + size].astype(np.float64)
+        q = q / q.sum() * len(q)
+        small, large = [i for i in range(len(q)) if q[i] < 1], [i for i in range(len(q)) if q[i] >= 1]
+        while small and large:
+            a, b = small.pop(), large[-1]
+            keep[lo + a], alias[lo + a] = q[a], lo + b
+            q[b] -= 1 - q[a]
+            if q[b] < 1:
+                small.append(large.pop())
+    return keep, alias
+
+
 class Vectors:
     """The model's parameters, by name: tables of rows, biases last in a row where there are any."""
 
@@ -156,8 +172,7 @@ class Vectors:
         classes = np.concatenate((mass, [other, ends])) + 0.5
         self.p_class = classes / classes.sum()
         self.p_word = (word_counts / mass[of] if n else np.zeros(0)).astype(np.float32)
-        self.upto = np.cumsum(word_counts).astype(np.float64)  # noise words are drawn by inversion
-        self.mass, self.before = mass, np.concatenate(([0.0], np.cumsum(mass)[:-1])) if n else np.zeros(0)
+        self.keep, self.alias = _alias(self.p_word, size)
         f = np.float32
         self.tables = {
             "context": rng.normal(0, 0.1, (n + ENDINGS + 1, dim)).astype(f),
@@ -172,31 +187,43 @@ class Vectors:
         return out
 
     def hidden(self, ctx: np.ndarray) -> np.ndarray:
-        """The sum of the context's vectors, each weighted by its distance."""
+        """The sum of the context's vectors, each weighted by its distance, and a one."""
         t = self.tables
-        return np.einsum("bkd,kd->bd", t["context"][ctx], t["weights"])
+        out = np.ones((len(ctx), self.dim + 1), np.float32)  # a one for the biases
+        h = out[:, : self.dim]
+        np.multiply(t["context"][ctx[:, 0]], t["weights"][0], out=h)
+        for k in range(1, ctx.shape[1]):
+            h += t["context"][ctx[:, k]] * t["weights"][k]
+        return out
 
     def log_probs(self, ctx: np.ndarray, words: np.ndarray, is_end: np.ndarray) -> np.ndarray:
         """Natural log of each token's class, and of a listed word in its class."""
-        t, d = self.tables, self.dim
+        t = self.tables
         h, y = self.hidden(ctx), self.classes_of(words, is_end)
-        out = np.empty(len(h))
-        for lo in range(0, len(h), 1 << 15):
-            s = h[lo : lo + (1 << 15)] @ t["classes"][:, :d].T + t["classes"][:, d]
-            out[lo : lo + len(s)] = _log_softmax_at(s, y[lo : lo + len(s)])
+        out = _log_softmax_at(h, t["classes"], y)
         order = np.argsort(y, kind="stable")
         cuts = np.searchsorted(y[order], np.arange(self.n_groups + 1))
         for c in range(self.n_groups):
             mine = order[cuts[c] : cuts[c + 1]]
             if len(mine):
-                block = t["words"][c * self.size : (c + 1) * self.size]
-                out[mine] += _log_softmax_at(h[mine] @ block[:, :d].T + block[:, d], words[mine] - c * self.size)
+                out[mine] += _log_softmax_at(h[mine], t["words"][c * self.size : (c + 1) * self.size], words[mine] - c * self.size)
         return out
 
 
-def _log_softmax_at(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = s.max(axis=1)
-    return (s[np.arange(len(s)), at] - top - np.log(np.exp(s - top[:, None]).sum(axis=1))).astype(np.float64)
+#: Rows of scores at a time, so that they stay in a core's cache.
+ROWS = 1024
+
+
+def _log_softmax_at(h: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log softmax of h times the table's rows, at one row each."""
+    out = np.empty(len(h))
+    for lo in range(0, len(h), ROWS):
+        s = h[lo : lo + ROWS] @ table.T
+        np.clip(s, -80, 80, out=s)  # so that no shift by the greatest is needed
+        mine = s[np.arange(len(s)), at[lo : lo + ROWS]]
+        np.exp(s, out=s)
+        out[lo : lo + ROWS] = mine - np.log(s.sum(axis=1, dtype=np.float64))
+    return out
 
 
 class Trainer:
@@ -209,6 +236,8 @@ class Trainer:
         self.met = {k: np.zeros(len(x), np.int64) for k, x in vectors.tables.items()}
         self.squares = {k: np.full(len(x), START, np.float32) for k, x in vectors.tables.items()}
         self.rng = np.random.default_rng(seed)
+        self.lift_class = np.log(NOISE_CLASSES * vectors.p_class).astype(np.float32)
+        self.lift_word = np.log(NOISE * vectors.p_word).astype(np.float32)
 
     def _add(self, name: str, rows: np.ndarray, grads: np.ndarray) -> None:
         """An adaptive step up the gradient, summed by row."""
@@ -224,35 +253,40 @@ class Trainer:
 
     def step(self, ctx: np.ndarray, words: np.ndarray, is_end: np.ndarray) -> None:
         v, t, d, rng = self.v, self.tables, self.v.dim, self.rng
-        e = t["context"][ctx]
-        h = np.einsum("bkd,kd->bd", e, t["weights"])
-        ones = np.ones((len(h), 1), np.float32)
+        wide = np.ones((len(ctx), d + 1), np.float32)  # a one for the biases
+        h = wide[:, :d]
+        e = [t["context"][ctx[:, k]] for k in range(ctx.shape[1])]
+        np.multiply(e[0], t["weights"][0], out=h)
+        for k in range(1, len(e)):
+            h += e[k] * t["weights"][k]
         y = v.classes_of(words, is_end)
         noise = rng.choice(len(v.p_class), NOISE_CLASSES, p=v.p_class)
         q = t["classes"]
-        right = 1 - _sigmoid((h * q[y, :d]).sum(axis=1) + q[y, d] - np.log(NOISE_CLASSES * v.p_class[y]))
-        wrong = -_sigmoid(h @ q[noise, :d].T + q[noise, d] - np.log(NOISE_CLASSES * v.p_class[noise]))
-        back = right[:, None] * q[y, :d] + wrong @ q[noise, :d]  # the gradient by h
-        wide = np.concatenate((h, ones), axis=1)
+        qy, qn = q[y], q[noise]
+        right = 1 - _sigmoid(np.einsum("bd,bd->b", wide, qy) - self.lift_class[y])
+        wrong = -_sigmoid(wide @ qn.T - self.lift_class[noise])
+        back = right[:, None] * qy + wrong @ qn  # the gradient by h
         class_rows, class_grads = np.concatenate((y, noise)), np.concatenate((right[:, None] * wide, wrong.T @ wide))
         mine = np.flatnonzero(words >= 0)
         if len(mine):
-            w, hw, c = words[mine], h[mine], y[mine]
-            drawn = v.before[c][:, None] + rng.random((len(mine), NOISE)) * v.mass[c][:, None]
-            others = np.clip(np.searchsorted(v.upto, drawn, side="right"), (c * v.size)[:, None], np.minimum((c + 1) * v.size, v.n_words)[:, None] - 1)
-            q = t["words"]
-            right = 1 - _sigmoid((hw * q[w, :d]).sum(axis=1) + q[w, d] - np.log(NOISE * v.p_word[w]))
-            away = q[others]
-            wrong = -_sigmoid(np.einsum("bd,bkd->bk", hw, away[:, :, :d]) + away[:, :, d] - np.log(NOISE * v.p_word[others]))
-            back[mine] += right[:, None] * q[w, :d] + np.einsum("bk,bkd->bd", wrong, away[:, :, :d])
-            wide = np.concatenate((hw, ones[: len(mine)]), axis=1)
-            grads = np.concatenate((right[:, None] * wide, (wrong[:, :, None] * wide[:, None, :]).reshape(-1, d + 1)))
-            self._add("words", np.concatenate((w, others.ravel())), grads)
+            w, hw, c, q = words[mine], wide[mine], y[mine], t["words"]
+            rows, parts, more = [w], [], np.zeros((len(mine), d + 1), np.float32)
+            for k in range(NOISE + 1):
+                if k:  # a noise word of the same class, by the alias table
+                    n = np.minimum(v.size, v.n_words - c * v.size)
+                    slot = c * v.size + (rng.random(len(mine), np.float32) * n).astype(np.int64)
+                    rows.append(np.where(rng.random(len(mine), np.float32) < v.keep[slot], slot, v.alias[slot]))
+                qk = q[rows[k]]
+                g = (k == 0) - _sigmoid(np.einsum("bd,bd->b", hw, qk) - self.lift_word[rows[k]])
+                more += g[:, None] * qk
+                parts.append(g[:, None] * hw)
+            back[mine] += more
+            self._add("words", np.concatenate(rows), np.concatenate(parts))
         self._add("classes", class_rows, class_grads)
-        by_distance = np.einsum("bd,bkd->kd", back, e)
-        self._add("context", ctx.ravel(), (back[:, None, :] * t["weights"]).reshape(-1, d))
-        k = np.arange(len(by_distance))
-        self._add("weights", k, by_distance * 0.1)
+        back = back[:, :d]
+        by_distance = np.stack([np.einsum("bd,bd->d", back, x) for x in e])
+        self._add("context", ctx.T.ravel(), np.concatenate([back * x for x in t["weights"]]))
+        self._add("weights", np.arange(len(by_distance)), by_distance * 0.1)
 
     def changes(self):
         """(table, block, rows' numbers in it, times met, change) of what was met."""
