@@ -10,17 +10,18 @@ Texts with equal shingle sets (by 128-bit set fingerprints) form a class and go
 Classes that share a band of their signatures are candidates; a bucket is never expanded into
 all pairs.  First each member meets the bucket's smallest one.  Components of the confirmed
 links follow, and only buckets that still hold several components are looked at again: their
-strays meet the members of other components in blocks of bounded size, where sets are intersected
-on the spot, best estimates first, and only confirmed links come out, one for each stray and
-other component at most.  A pair counts only after its full sets were intersected.
+strays meet the members of other components in blocks of bounded size, by signatures first.  Texts
+go only to rows with a partner that could stand; there sets are intersected on the spot, best
+estimates first, and only confirmed links come out, one for each stray and other component at most.  A pair counts only after its full sets were intersected.
 
 Components come from alternating large-star and small-star contraction, all in joins and
 aggregations; no task or driver holds the graph.
 
 Defined cases: texts without words have empty sets and are linked with nothing.  Texts with
 fewer words than a shingle have the whole sequence as their one shingle.  Rows without doc_id
-are linked with nothing, get a null component and are kept.  Rows that repeat a doc_id
-with another text are one node of the graph, whose links are confirmed on one of its texts.  Other columns pass through drop_near_copies.
+are linked with nothing, get a null component and are kept.  Rows that repeat a doc_id with other
+texts are one node of the graph, with the links of all its texts.  An empty table has no rows.  Very
+long texts are signed one at a time.  Other columns pass through drop_near_copies, whatever their names.
 """
 
 from __future__ import annotations
@@ -210,24 +211,9 @@ def _across(k: int, percent: int):
                 todo = todo[~np.isin(comp[todo], comp[good])]
 
     def run(batches):
-        held = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            else:
-                t = held
-            if t is None or not t.num_rows:
-                continue
-            keys = np.stack([t[c].to_numpy() for c in ("key", "sb", "rb")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            bounds = [0, *cuts.tolist()] + ([t.num_rows] if batch is None else [])
-            held = None if batch is None else t.slice(bounds[-1])
-            if len(bounds) < 2:
-                continue
-            done = t.slice(0, bounds[-1]).combine_chunks()
+        for done, bounds in _blocks(batches):
             d, comp, side, band = (done[c].to_numpy() for c in ("d", "comp", "side", "band"))
-            sig = _lanes(done["sig"].chunk(0))
-            bands = pa.compute.list_flatten(done["bands"].chunk(0)).to_numpy().reshape(len(d), BANDS)
+            sig, bands = _signed_by(done)
             sets = []
             for _, _, buf, off in tc.slices(done["text"]):
                 values, first = shingle_sets(buf, off, k)
@@ -239,6 +225,46 @@ def _across(k: int, percent: int):
     return run
 
 
+def _signed_by(t: pa.Table):
+    return _lanes(t["sig"].chunk(0)), pa.compute.list_flatten(t["bands"].chunk(0)).to_numpy().reshape(t.num_rows, BANDS)
+
+
+def _blocks(batches):
+    """(rows, bounds) of whole blocks, from rows sorted by (key, sb, rb)."""
+    held = None
+    for batch in _with_end(batches):
+        if batch is not None:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        else:
+            t = held
+        if t is None or not t.num_rows:
+            continue
+        keys = np.stack([t[c].to_numpy() for c in ("key", "sb", "rb")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        bounds = [0, *cuts.tolist()] + ([t.num_rows] if batch is None else [])
+        held = None if batch is None else t.slice(bounds[-1])
+        if len(bounds) > 1:
+            yield t.slice(0, bounds[-1]).combine_chunks(), bounds
+
+
+def _hopeful(batches):
+    """Of the blocks' rows, without texts, those with a partner that could stand: a bucket of
+    members that are not alike ends here."""
+    for done, bounds in _blocks(batches):
+        comp, side, band = (done[c].to_numpy() for c in ("comp", "side", "band"))
+        sig, bands = _signed_by(done)
+        keep = np.zeros(done.num_rows, bool)
+        for x, y in zip(bounds[:-1], bounds[1:]):
+            s, m = x + np.flatnonzero(side[x:y] == 0), x + np.flatnonzero(side[x:y] == 1)
+            for i in s.tolist():
+                ok = ((sig[m] == sig[i]).sum(axis=1) >= LEAST_EQUAL) & (comp[m] != comp[i])
+                if band[x]:
+                    ok &= ~(bands[m, : band[x]] == bands[i, : band[x]]).any(axis=1)
+                keep[i] = ok.any()
+                keep[m[ok]] = True
+        yield from done.filter(pa.array(keep)).to_batches()
+
+
 def _with_end(batches):
     yield from batches
     yield None
@@ -255,8 +281,10 @@ def _cross_links(members: DataFrame, labels: DataFrame, classes: DataFrame, text
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     stray = x.filter("comp <> main").select("key", place("ss").alias("sb"), every("rs").alias("rb"), "band", "d", "comp", F.lit(0).alias("side"))
     others = x.select("key", every("ss").alias("sb"), place("rs").alias("rb"), "band", "d", "comp", F.lit(1).alias("side"))
-    full = texts.join(classes.groupBy("d").agg(F.min(F.struct("sig", "bands")).alias("s")), "d").select("d", "s.sig", "s.bands", "text")
-    both = stray.unionByName(others).join(full, "d").repartition("key", "sb", "rb").sortWithinPartitions("key", "sb", "rb")
+    dealt = lambda df: df.repartition("key", "sb", "rb").sortWithinPartitions("key", "sb", "rb")
+    signed = dealt(stray.unionByName(others).join(classes.select("d", "sig", "bands"), "d").select("key", "sb", "rb", "band", "d", "comp", "side", "sig", "bands"))
+    hopeful = materialize(signed.mapInArrow(_hopeful, "key long, sb long, rb long, band int, d long, comp long, side int, sig binary, bands array<long>"))
+    both = dealt(hopeful.join(texts, "d"))  # texts only for rows with a partner that could stand
     return materialize(both.mapInArrow(_across(k, percent), "a long, b long").distinct())
 
 
@@ -265,8 +293,10 @@ def near_groups(docs: DataFrame, doc_id="doc_id", text="text", shingle=SHINGLE,
     base = docs.select(key(quoted(doc_id)).alias("d"), F.xxhash64(whole(quoted(text))).alias("fp"), whole(quoted(text)).alias("text"))
     signed = materialize(base.mapInArrow(_sign(shingle), "d long, fp long, n long, s1 long, s2 long, bands array<long>, sig binary"))
     linked = signed.filter((F.col("n") > 0) & (F.col("d") != key(F.lit(None))))
-    classes = materialize(linked.groupBy("n", "s1", "s2").agg(F.min(F.struct("d", "fp", "sig", "bands")).alias("r")).select("n", "s1", "s2", "r.*"))
-    sigs = classes.groupBy("d").agg(F.min("sig").alias("sig"))  # ids are unique unless rows repeat one
+    # a class is a node with a number of its own, as a doc_id may stand on several texts
+    found = linked.groupBy("n", "s1", "s2").agg(F.min(F.struct("d", "fp", "sig", "bands")).alias("r"))
+    classes = materialize(found.select(F.monotonically_increasing_id().alias("d"), "n", "s1", "s2", F.col("r.d").alias("doc"), "r.fp", "r.sig", "r.bands"))
+    sigs = classes.select("d", "sig")
     buckets = classes.select(F.posexplode("bands").alias("band", "key"), "d")
     pivots = buckets.groupBy("key").agg(F.min("d").alias("p"), F.max("d").alias("q")).filter("p <> q").select(rekeyed(F.col("key")).alias("k"), "p")
     members = materialize(buckets.join(pivots, rekeyed(F.col("key")) == F.col("k")).select("key", "band", "d", "p"))
@@ -274,8 +304,9 @@ def near_groups(docs: DataFrame, doc_id="doc_id", text="text", shingle=SHINGLE,
     pairs = members.filter("d <> p").select(F.col("d").alias("a"), F.col("p").alias("b")).distinct()
     pairs = pairs.join(sig_of("a"), "a").join(sig_of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_promising, "a long, b long")
     # the texts of all candidates, fetched once
-    wanted = members.select("d").distinct().join(classes.select("d", "fp"), "d")
-    texts = materialize(base.join(wanted.hint("shuffle_hash"), ["d", "fp"], "left_semi").groupBy("d").agg(F.min("text").alias("text")))
+    wanted = members.select("d").distinct().join(classes.select("d", "doc", "fp"), "d").withColumnRenamed("d", "class")
+    texts = base.withColumnRenamed("d", "doc").join(wanted, ["doc", "fp"])
+    texts = materialize(texts.groupBy(F.col("class").alias("d")).agg(F.min("text").alias("text")))
     text_of = lambda c: texts.select(F.col("d").alias(c), F.col("text").alias(f"text_{c}"))
 
     def confirmed(pairs):
@@ -283,8 +314,17 @@ def near_groups(docs: DataFrame, doc_id="doc_id", text="text", shingle=SHINGLE,
 
     links = materialize(confirmed(pairs))
     more = _cross_links(members.select("key", "band", "d"), components(links), classes, texts, shingle, percent)
-    labels = components(links.unionByName(more))
-    named = classes.join(labels, F.col("d") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("root", "d").alias("component"))
+    # rows of one doc_id are one node of the graph: its classes are linked
+    key_of = F.struct("n", "s1", "s2")
+    several = linked.groupBy("d").agg(F.min(key_of).alias("x"), F.max(key_of).alias("y")).filter("x <> y").select("d")
+    own = linked.join(several, "d", "left_semi").select("d", "n", "s1", "s2").distinct()
+    own = materialize(own.join(classes.select("n", "s1", "s2", F.col("d").alias("class")), ["n", "s1", "s2"]).select("d", "class"))
+    least = own.groupBy("d").agg(F.min("class").alias("b")).select(rekeyed(F.col("d")).alias("k"), "b")
+    same = own.join(least, rekeyed(F.col("d")) == F.col("k")).filter("class <> b").select(F.col("class").alias("a"), "b")
+    labels = components(links.unionByName(more).unionByName(same))
+    rooted = materialize(classes.join(labels, F.col("d") == F.col("node"), "left").select("n", "s1", "s2", "doc", F.coalesce("root", "d").alias("root")))
+    lowest = rooted.groupBy("root").agg(F.min("doc").alias("component")).select(rekeyed(F.col("root")).alias("k"), "component")
+    named = rooted.join(lowest, rekeyed(F.col("root")) == F.col("k")).select("n", "s1", "s2", "component")
     done = linked.drop("bands", "sig").join(named, ["n", "s1", "s2"]).select("d", "fp", "n", "component")
     rest = signed.filter(~((F.col("n") > 0) & (F.col("d") != key(F.lit(None))))).select("d", "fp", "n", F.when(F.col("d") != key(F.lit(None)), F.col("d")).alias("component"))
     return done.unionByName(rest)

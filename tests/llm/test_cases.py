@@ -101,3 +101,21 @@ def test_extra_columns_change_nothing(spark, small, tmp_path, name):
         columns = [c for c in sorted(out.columns) if c not in ("score", "base_score", "sequence_id", "offset")]
         results.append(sorted((tuple(r[c] for c in columns) for r in out.collect()), key=repr))
     assert results[0] == results[1] and results[0]
+
+
+def test_links_of_all_texts_of_one_id(spark):
+    """Rows that repeat a doc_id with other texts carry the links of each of them."""
+    base = [[f"{c}{i}" for i in range(50)] for c in "abc"]
+    edited = [[*b[:20], "x", *b[21:]] for b in base]
+    rows = [(5, " ".join(base[0])), (5, " ".join(base[1])), (3, " ".join(edited[0])), (9, " ".join(edited[1])), (7, " ".join(base[2])), (8, " ".join(edited[2])), (5, " ".join(base[0]))]
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_components(frame(spark, [(d, t, "en", "s", 0) for d, t in rows])).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (7, 7, True), (8, 7, False)}
+
+
+def test_a_bucket_of_members_that_are_not_alike(spark):
+    """Forms that share a third of their words: no links, and no text is compared."""
+    rng = random.Random(4)
+    form = [f"form{i}" for i in range(60)]
+    rows = [(i, " ".join([*form, *(f"own{i}.{j}" for j in range(rng.randrange(60, 90)))]), "en", "s", 0) for i in range(300)]
+    got = neardup.near_components(frame(spark, rows)).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == 300
