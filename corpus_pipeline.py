@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir), calls one corpus operator, and returns a DataFrame
 that is written and read again before the next one.  All but the last return the columns of
 documents; what a stage decides takes effect on what the next one sees.
+
+Defined cases, of every stage: null text is an empty one (which the quality rules reject), null
+language and source are a language and a source of their own, null doc_ids are documents without
+copies.  Rows that repeat others are rows of their own until a stage drops them.  An empty table
+gives an empty one.  Very long texts are processed whole.  Further columns, whatever their names,
+pass through all stages but the last, which returns pieces.
 """
 
 from __future__ import annotations
