@@ -14,7 +14,8 @@ the sort, and is read again only where the bitmaps are applied.
 
 Defined cases: null or empty text is one empty line.  Null doc_ids are one document before
 all others.  Rows that repeat a doc_id belong to one document; each row has its own bitmap
-by its text.  Other columns pass through.
+by its text.  An empty table has no rows.  Very long texts are split one at a time, their lines are
+rows like others.  Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations

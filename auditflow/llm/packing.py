@@ -7,8 +7,13 @@ bit per amount of free space, so that the tightest bin that fits is the lowest s
 above the piece's length; when too many bins are open, the fullest closes.  Pieces come in
 batches, longest first, which leaves the short ones to fill gaps.
 
+The bound on open bins works at the scale of a batch (LOOKAHEAD pieces): sorted longest first, a
+batch needs few bins open for its short pieces.
+
 Defined cases: null or empty text is the end token alone.  Repeated rows are packed each for
-itself.  Sequences are numbered by task and bin; the same input gives the same packing.
+itself.  Sequences are numbered by task and bin; the same input gives the same packing.  An empty
+table has no rows.  Very long texts are cut into pieces, in time that goes with their length.  Other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
