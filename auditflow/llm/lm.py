@@ -46,7 +46,7 @@ FOLDS, ADD = 10, 0.1
 HEAD, LISTED, CLASS = 1 << 19, 1 << 16, 256
 #: Words seen less often are off the list at any size of corpus: they stand for those never seen.
 LEAST_COUNT = 3
-DIM, DISTANCES, BATCH, NOISE_CLASSES, NOISE = 16, 4, 8192, 64, 4
+DIM, DISTANCES, BATCH, NOISE_CLASSES, NOISE = 12, 4, 8192, 64, 3
 RATE, START = 0.1, 60.0
 #: Tokens that are learned from at least, and bytes of text a training task has on average.
 LEAST, TASK_BYTES = 4_000_000, 16 << 20
@@ -111,6 +111,8 @@ class Head:
         best = best[(self.keys[best] != END_PRINT) & (self.counts[best] >= LEAST_COUNT)][:listed]
         self.ids[best] = np.arange(len(best))
         self.listed = self.counts[best]
+        at = np.sort(best)
+        self.listed_keys, self.listed_ids = self.keys[at], self.ids[at]
 
     def find(self, prints: np.ndarray) -> np.ndarray:
         """Place in keys, or -1."""
@@ -119,8 +121,15 @@ class Head:
         at = np.minimum(np.searchsorted(self.keys, prints), len(self.keys) - 1)
         return np.where(self.keys[at] == prints, at, -1)
 
+    def find_listed(self, prints: np.ndarray) -> np.ndarray:
+        """Places on the list, -1 for words off it and the end, without looking at the others."""
+        if not len(self.listed_keys):
+            return np.full(len(prints), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.listed_keys, prints), len(self.listed_keys) - 1)
+        return np.where(self.listed_keys[at] == prints, self.listed_ids[at], np.int32(-1))
+
     def words(self, place: np.ndarray) -> np.ndarray:
-        """Places on the list, -1 for words off it and the end."""
+        """Places on the list, -1 for words off it and the end, of places in keys."""
         out = np.full(len(place), -1, np.int32)
         out[place >= 0] = self.ids[place[place >= 0]]
         return out
@@ -216,13 +225,13 @@ ROWS = 1024
 
 def _log_softmax_at(h: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log softmax of h times the table's rows, at one row each."""
-    out = np.empty(len(h))
+    out, ones = np.empty(len(h)), np.ones(len(table), np.float32)
     for lo in range(0, len(h), ROWS):
         s = h[lo : lo + ROWS] @ table.T
-        np.clip(s, -80, 80, out=s)  # so that no shift by the greatest is needed
+        np.minimum(s, 80, out=s)  # so that no shift by the greatest is needed
         mine = s[np.arange(len(s)), at[lo : lo + ROWS]]
         np.exp(s, out=s)
-        out[lo : lo + ROWS] = mine - np.log(s.sum(axis=1, dtype=np.float64))
+        out[lo : lo + ROWS] = mine - np.log((s @ ones).astype(np.float64))
     return out
 
 
@@ -326,7 +335,7 @@ def _learn(shared, seed: int, again: int):
 
         for batch in batches:
             for _, _, buf, off in tc.slices(batch.column(0)):
-                t = model.tokens(buf, off)
+                t = model.tokens(buf, off, counted=False)
                 learn(t.ctx, t.words, t.is_end)
                 if again > 1:
                     held.append((t.ctx, t.words, t.is_end))
@@ -371,11 +380,15 @@ class Model:
         self.unknown = min(max(once / self.rest, 0.01), 0.99) if self.rest else 1.0
         self.vectors = Vectors(head.listed, self.rest, ends, dim)
 
-    def tokens(self, buf, off) -> Tokens:
+    def tokens(self, buf, off, counted=True) -> Tokens:
+        """counted: whether counts of words off the list are wanted too."""
         t = Tokens()
         t.spans, t.prints, t.first, t.at = _tokens(buf, off)
-        t.place = self.head.find(t.prints)
-        t.words = self.head.words(t.place)
+        if counted:
+            t.place = self.head.find(t.prints)
+            t.words = self.head.words(t.place)
+        else:
+            t.words = self.head.find_listed(t.prints)
         t.is_end = t.prints == END_PRINT
         low = tc.LOWER[buf] if len(buf) else np.zeros(1, np.uint8)
         last = low[t.spans.end - 1].astype(np.int64)
