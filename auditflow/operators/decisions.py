@@ -12,6 +12,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ranks import SEVERITIES, label, severity_rank
 
 
+#: Rows of a configuration table that may be broadcast; a longer one is joined by shuffle.
+BROADCAST_ROWS = 20_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it is small."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def applies(rule_languages: Column, language: Column) -> Column:
     """Whether a rule's languages (null: all) include the file's."""
     return rule_languages.isNull() | F.coalesce(F.array_contains(rule_languages, language), F.lit(False))
@@ -25,10 +34,10 @@ def decided(findings: DataFrame, gates: DataFrame, overrides: DataFrame, overlay
     pattern, severity (null: suppress), expires, reason.  All but findings are configuration.
     """
     g = gates.select(F.col("rule_id").alias("_g"), F.col("languages").alias("_languages"))
-    df = findings.join(F.broadcast(g), F.col("rule_id") == F.col("_g"), "left")
+    df = findings.join(small(g), F.col("rule_id") == F.col("_g"), "left")
     o = overrides.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("ord", "role", "severity", "reason"))).alias("_o")).withColumnRenamed("rule_id", "_or")
     v = overlay.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("ord", "pattern", "severity", "expires", "reason"))).alias("_v")).withColumnRenamed("rule_id", "_vr")
-    df = df.join(F.broadcast(o), F.col("rule_id") == F.col("_or"), "left").join(F.broadcast(v), F.col("rule_id") == F.col("_vr"), "left")
+    df = df.join(small(o), F.col("rule_id") == F.col("_or"), "left").join(small(v), F.col("rule_id") == F.col("_vr"), "left")
     start = F.struct(severity_rank(F.col("severity")).alias("rank"), F.lit(False).alias("gone"), F.lit(None).cast("string").alias("reason"))
 
     def fold(steps, holds, start_):
