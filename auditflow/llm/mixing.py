@@ -26,13 +26,10 @@ from __future__ import annotations
 
 import heapq
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from . import textcore as tc
-from .columns import fresh, quoted
+from .columns import quoted
 from .store import materialize
 
 CAP = 3
@@ -46,19 +43,10 @@ BROADCAST_PATTERNS = 20_000
 MOST_PATTERNS = 2_000_000
 
 
-def _sizes(batches):
-    """Number of words [^\\x20\\x09-\\x0D]+ of the last column's texts, in its place."""
-    for batch in batches:
-        parts = [tc.words(buf, off).counts for _, _, buf, off in tc.slices(batch.column(batch.num_columns - 1))]
-        size = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size.astype(np.int64))], names=[*batch.schema.names[:-1], "size"])
-
-
-def sized(docs: DataFrame, text: str) -> DataFrame:
-    """docs with size, the text's number of words, in the text's place."""
-    rest = [c for c in docs.columns if c != text]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*map(quoted, rest)).schema), "size long"])
-    return docs.select(*map(quoted, rest), quoted(text)).mapInArrow(_sizes, schema)
+def words(text: Column) -> Column:
+    """Number of words [^\\x20\\x09-\\x0D]+ of a text, 0 for null: each word made one letter, and the letters counted."""
+    letters = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "x"), r"[\x20\x09-\x0D]+", "")
+    return F.length(letters).cast("long")
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, cap=CAP, total: int | None = None) -> dict[str | None, float]:
@@ -234,8 +222,7 @@ def mix_sources(docs: DataFrame, doc_id="doc_id", text="text", source="source",
     source is a string, or an array of the sources that a document belongs to (null or empty:
     the null source).
     """
-    base = docs.select(quoted(doc_id).alias("doc_id"), F.xxhash64(quoted(text)).alias("fp"), _pattern(docs, source).alias("pattern"), quoted(text).alias("text"))
-    base = materialize(sized(base, "text"))
+    base = materialize(docs.select(quoted(doc_id).alias("doc_id"), F.xxhash64(quoted(text)).alias("fp"), _pattern(docs, source).alias("pattern"), words(quoted(text)).alias("size")))
     return select_words(base, plan_mix(base, weights, cap), ["doc_id", "fp"], seed).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
@@ -252,9 +239,8 @@ def mixed(docs: DataFrame, doc_id="doc_id", text="text", source="source", weight
 
     Documents are taken whole: one at which a target runs out comes in if half of it is due.
     """
-    a, b = fresh(docs, "mix_pattern", "mix_words")
-    whole_row = docs.withColumns({a: _pattern(docs, source), b: quoted(text)})
-    x = materialize(sized(whole_row.select(F.struct(*map(quoted, docs.columns)).alias("row"), quoted(doc_id).alias("id"), F.xxhash64(quoted(b)).alias("fp"), quoted(a).alias("pattern"), quoted(b).alias("text")), "text"))
+    row = F.struct(*map(quoted, docs.columns)).alias("row")
+    x = materialize(docs.select(row, quoted(doc_id).alias("id"), F.xxhash64(quoted(text)).alias("fp"), _pattern(docs, source).alias("pattern"), words(quoted(text)).alias("size")))
     taken = select_words(x, plan_mix(x, weights, cap), ["id", "fp"], seed, split=False)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
     return taken.withColumn("copies", copies.cast("int")).filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
