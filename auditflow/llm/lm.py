@@ -112,14 +112,18 @@ class Head:
         self.ids[best] = np.arange(len(best))
         self.listed = self.counts[best]
         at = np.sort(best)
-        self.listed_keys, self.listed_ids = self.keys[at], self.ids[at]
+        self.listed_keys, self.listed_ids, self.listed_at = self.keys[at], self.ids[at], at
 
     def find(self, prints: np.ndarray) -> np.ndarray:
-        """Place in keys, or -1."""
-        if not len(self.keys):
-            return np.full(len(prints), -1)
-        at = np.minimum(np.searchsorted(self.keys, prints), len(self.keys) - 1)
-        return np.where(self.keys[at] == prints, at, -1)
+        """Place in keys, or -1; the short list of most words is searched first."""
+        out, rest = np.full(len(prints), -1), np.arange(len(prints))
+        for keys, places in ((self.listed_keys, self.listed_at), (self.keys, None)):
+            if len(keys) and len(rest):
+                at = np.minimum(np.searchsorted(keys, prints[rest]), len(keys) - 1)
+                hit = keys[at] == prints[rest]
+                out[rest[hit]] = at[hit] if places is None else places[at[hit]]
+                rest = rest[~hit]
+        return out
 
     def find_listed(self, prints: np.ndarray) -> np.ndarray:
         """Places on the list, -1 for words off it and the end, without looking at the others."""
