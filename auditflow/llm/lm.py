@@ -46,8 +46,8 @@ FOLDS, ADD = 10, 0.1
 HEAD, LISTED, CLASS = 1 << 19, 1 << 16, 256
 #: Words seen less often are off the list at any size of corpus: they stand for those never seen.
 LEAST_COUNT = 3
-DIM, DISTANCES, BATCH, NOISE_CLASSES, NOISE = 12, 4, 8192, 64, 3
-RATE, START = 0.1, 60.0
+DIM, DISTANCES, BATCH, NOISE_CLASSES, NOISE = 12, 4, 16384, 64, 3
+RATE, START = 0.1, 120.0
 #: Tokens that are learned from at least, and bytes of text a training task has on average.
 LEAST, TASK_BYTES = 4_000_000, 16 << 20
 #: How often a small corpus is gone through at most.
