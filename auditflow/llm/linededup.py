@@ -62,7 +62,7 @@ def _extract(min_chars: int):
                 pos = (pick - lines.first[rows]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*k, ids[lo:hi][rows], prints[lo:hi][rows], pos)], schema=_LINES)
 
-    return run
+    return tc.tidy(run)
 
 
 #: state: 1 a line to drop, 0 a line that is undecided, 2 counts of a run at an edge
@@ -120,7 +120,7 @@ def _stream(min_docs: int):
             yield rows(held, 0)
             yield edge()
 
-    return run
+    return tc.tidy(run)
 
 
 def _bitmaps(batches):
@@ -175,7 +175,7 @@ def _apply(names: list[str], text: str, more: list[str]):
                 columns[names.index(text)] = pa.array(texts, body.type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(n_dropped)], names=[*names, *more])
 
-    return run
+    return tc.tidy(run)
 
 
 def dedup_lines(docs: DataFrame, doc_id="doc_id", text="text", min_chars=MIN_CHARS, min_docs=MIN_DOCS) -> DataFrame:

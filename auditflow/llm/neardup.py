@@ -113,7 +113,7 @@ def _sign(k: int):
                 text = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.arange(0, low.size + 1, SLOTS, dtype=np.int32)), pa.py_buffer(low)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), pa.array(tc.long(a)), pa.array(tc.long(b)), lists, text], schema=_SIGNED)
 
-    return run
+    return tc.tidy(run)
 
 
 def _lanes(column) -> np.ndarray:
@@ -148,7 +148,7 @@ def _confirm(k: int, percent: int):
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return run
+    return tc.tidy(run)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def _across(k: int, percent: int):
             pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return run
+    return tc.tidy(run)
 
 
 def _signed_by(t: pa.Table):
@@ -283,7 +283,7 @@ def _cross_links(members: DataFrame, labels: DataFrame, classes: DataFrame, text
     others = x.select("key", every("ss").alias("sb"), place("rs").alias("rb"), "band", "d", "comp", F.lit(1).alias("side"))
     dealt = lambda df: df.repartition("key", "sb", "rb").sortWithinPartitions("key", "sb", "rb")
     signed = dealt(stray.unionByName(others).join(classes.select("d", "sig", "bands"), "d").select("key", "sb", "rb", "band", "d", "comp", "side", "sig", "bands"))
-    hopeful = materialize(signed.mapInArrow(_hopeful, "key long, sb long, rb long, band int, d long, comp long, side int, sig binary, bands array<long>"))
+    hopeful = materialize(signed.mapInArrow(tc.tidy(_hopeful), "key long, sb long, rb long, band int, d long, comp long, side int, sig binary, bands array<long>"))
     both = dealt(hopeful.join(texts, "d"))  # texts only for rows with a partner that could stand
     return materialize(both.mapInArrow(_across(k, percent), "a long, b long").distinct())
 
@@ -302,7 +302,7 @@ def near_groups(docs: DataFrame, doc_id="doc_id", text="text", shingle=SHINGLE,
     members = materialize(buckets.join(pivots, rekeyed(F.col("key")) == F.col("k")).select("key", "band", "d", "p"))
     sig_of = lambda c: sigs.select(F.col("d").alias(c), F.col("sig").alias(f"sig_{c}"))
     pairs = members.filter("d <> p").select(F.col("d").alias("a"), F.col("p").alias("b")).distinct()
-    pairs = pairs.join(sig_of("a"), "a").join(sig_of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_promising, "a long, b long")
+    pairs = pairs.join(sig_of("a"), "a").join(sig_of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tc.tidy(_promising), "a long, b long")
     # the texts of all candidates, fetched once
     wanted = members.select("d").distinct().join(classes.select("d", "doc", "fp"), "d").withColumnRenamed("d", "class")
     texts = base.withColumnRenamed("d", "doc").join(wanted, ["doc", "fp"])

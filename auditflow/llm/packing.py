@@ -76,7 +76,7 @@ def _tokenise(size: int, end: int, json_path, ranks_path):
                 crc = np.fromiter((zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())), np.int64, len(at))
                 yield pa.RecordBatch.from_arrays([doc.slice(lo, hi - lo).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], schema=_PIECES)
 
-    return run
+    return tc.tidy(run)
 
 
 class BestFit:
@@ -133,7 +133,7 @@ def _pack(size: int, open_bins: int, lookahead: int):
         if n:
             yield from flush()
 
-    return run
+    return tc.tidy(run)
 
 
 def pack_documents(docs: DataFrame, doc_id="doc_id", text="text", size=SIZE, end=END, open_bins=OPEN_BINS, json_path=None, ranks_path=None) -> DataFrame:

@@ -101,7 +101,7 @@ def _with_stats(names: list[str], text: str, more: list[str], keep_text: bool):
             kept = [c for i, c in enumerate(names) if keep_text or i != at]
             yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, stats)], names=[*kept, *more])
 
-    return run
+    return tc.tidy(run)
 
 
 def with_stats(docs: DataFrame, text="text", keep_text=True) -> DataFrame:

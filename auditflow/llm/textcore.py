@@ -10,6 +10,8 @@ a 64-bit mixer.  Where equality must be beyond doubt, two independent ones are u
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -175,3 +177,21 @@ def segment_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values[first[i]:first[i+1]]."""
     total = np.concatenate((np.zeros(1, values.dtype), np.cumsum(values)))
     return total[first[1:]] - total[first[:-1]]
+
+
+def tidy(run):
+    """A worker's pass over batches that gives freed memory back when it ends.
+
+    Workers wait for further stages and would keep what the largest arrays took.
+    """
+
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return outer
