@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality
+from . import clustering, quality
+from .clustering import cluster
 from .linededup import dedup_lines
 from .lm import lm_scores
 from .mixing import mix_sources
 from .neardup import near_components
+from .negatives import hard_negatives, labelled, with_noise
 from .packing import pack_documents
 from .quality import quality_verdicts
 from .secretscan import scan_secrets
@@ -18,6 +20,10 @@ from .store import table
 from .substring import dedup_texts
 from .tokencount import count_tokens
 from .topk import top_k
+from .urlfilter import LOWER, UPPER, judge_urls, parse_rule
+
+#: The rules of op13.
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +68,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(with_noise(labelled(table(spark, sf_dir, "embeddings"))))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -150,5 +168,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 """
 
 
+OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score WHERE p.place <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+def _op12() -> str:
+    """Lloyd's rounds one after the other, every vector compared with every centroid each time."""
+    parts = [f"""
+v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor({clustering.SCALE} * x::DOUBLE)::BIGINT) AS q FROM embeddings
+      WHERE len(embedding) = {clustering.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('{clustering.SEED}:' || vec_id)) - 1)::INT AS k, q FROM v QUALIFY k < {clustering.CENTROIDS})"""]
+    for r in range(clustering.ROUNDS + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, any_value(q) AS q, min((d, k)) AS best FROM (
+      SELECT v.vec_id, v.q, k, list_sum(list_transform(list_zip(v.q, c{r}.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN c{r}) GROUP BY vec_id)""")
+        if r < clustering.ROUNDS:
+            parts.append(f"""
+m{r} AS (SELECT k, list((s - (((s % n) + n) % n)) // n ORDER BY i) AS q FROM (
+      SELECT best[2] AS k, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM (SELECT best, q, unnest(range(1, {clustering.DIMENSIONS} + 1)) AS i FROM a{r}) GROUP BY 1, 2) GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN m{r} m USING (k))""")
+    last = clustering.ROUNDS
+    return f"""WITH {",".join(parts)}
+SELECT vec_id, best[2] AS cluster, best[1] AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia, (sum(best[1]) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM a{last} JOIN c{last} c ON c.k = best[2]
+"""
+
+
+def _op13() -> str:
+    rules = ", ".join("('{}', '{}', '{}', '{}')".format(v, r, *parse_rule(r)) for v, r in URL_RULES)
+    part = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', {})"
+    return f"""
+WITH p AS (SELECT page_id, translate({part.format(1)}, '{UPPER}', '{LOWER}') AS host, {part.format(2)} AS path FROM pages),
+r(verdict, rule, h, p) AS (VALUES {rules}),
+m AS (SELECT page_id, max((len(string_split(h, '.')), length(r.p), rule, r.verdict)) AS best FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id)
+SELECT page_id, host, path, best[3] AS rule, coalesce(best[4], 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_dedup": OP4, "op5_exact_topk": OP5, "op6_line_dedup": OP6, "op7_substring_dedup": OP7, "op9_quality_rules": _op9()}
+    return {"op11_hard_negatives": OP11, "op12_centroid_clustering": _op12(), "op13_url_filter": _op13(), "op4_minhash_dedup": OP4, "op5_exact_topk": OP5, "op6_line_dedup": OP6, "op7_substring_dedup": OP7, "op9_quality_rules": _op9()}

@@ -36,4 +36,14 @@ def materialize(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    kept = spark.read.schema(df.schema).parquet(where)
+    kept._materialized_at = where
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a materialize()d table that nothing reads any more, before the application ends."""
+    where = getattr(df, "_materialized_at", None)
+    if where:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
