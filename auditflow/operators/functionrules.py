@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.paths import low_signal
 from .review import algorithmic, matched_by_ordinal, touched_functions
+from .syntaxtree import crossings
 from .textrules import finding
 
 #: Default thresholds, and how many times longer a component or hook may be.
@@ -32,9 +33,9 @@ def complex_functions(functions: DataFrame, files: DataFrame, most: int = COMPLE
     return finding(rows, "code-quality.complex-function", "MEDIUM", F.col("first"))
 
 
-def deep_control_flow(functions: DataFrame, files: DataFrame, most: int = DEEP) -> DataFrame:
-    rows = _audited(functions, files, ("production",)).filter(F.col("depth") > most)
-    return finding(rows, "code-quality.deep-control-flow", "LOW", F.col("first"))
+def deep_control_flow(nodes: DataFrame, files: DataFrame, most: int = DEEP) -> DataFrame:
+    """The structures of syntax nodes at which control flow first stands deeper than `most`."""
+    return finding(_audited(crossings(nodes, most), files, ("production",)), "code-quality.deep-control-flow", "LOW", F.col("first"))
 
 
 def algorithmic_changes(before: DataFrame, after: DataFrame, ranges: DataFrame) -> DataFrame:

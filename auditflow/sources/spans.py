@@ -1,226 +1,13 @@
-"""Functions of source files: where they stand, how deep and how long they are.
-
-Python goes by its own syntax tree.  Languages with braces go by a scanner over tokens with
-strings and comments blanked: a stack of blocks, each a function's, a control structure's or
-another, gives spans, nesting and scores.  Functions without a block (expression bodies) have no
-span of their own.
-"""
+"""Functions of source files: where they stand, how deep and how long they are."""
 
 from __future__ import annotations
 
-import ast
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 
-BRACED = ("Rust", "Go", "Java", "Kotlin", "C#", "JavaScript", "TypeScript")
-SCHEMA = "path string, language string, name string, first int, last int, lines int, score int, depth int, loops int, recursive boolean"
-
-_CONTROL = {
-    "Rust": {"if", "for", "while", "loop", "match"}, "Go": {"if", "for", "switch", "select"}, "Java": {"if", "for", "while", "do", "switch", "try"},
-    "C#": {"if", "for", "foreach", "while", "do", "switch", "try"}, "Kotlin": {"if", "when", "for", "while", "do", "try"},
-    "JavaScript": {"if", "for", "while", "do", "switch", "try"}, "TypeScript": {"if", "for", "while", "do", "switch", "try"},
-}
-_LOOPS = {"for", "foreach", "while", "loop", "do"}
-#: Words that go on with a structure and nest what they hold, but cost nothing.
-_FURTHER = {"else", "catch", "finally"}
-_TYPES = {"class", "interface", "enum", "record", "struct", "trait", "impl", "namespace", "object", "module", "new"}
-_TOKEN = re.compile(r"[A-Za-z_$][\w$]*|=>|&&|\|\||\S")
-_COMMENTS = r"//[^\n]*|/\*.*?\*/"
-_QUOTES = {"Rust": r'r(#+)".*?"\1|"(?:\\.|[^"\\])*"|' + r"'(?:\\.|[^'\\\n])'", "Go": r'`[^`]*`|"(?:\\.|[^"\\\n])*"|' + r"'(?:\\.|[^'\\\n])*'"}
-_OTHER_QUOTES = r'"(?:\\.|[^"\\\n])*"|' + r"'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
-_BLANKED = {lang: re.compile(f"{_COMMENTS}|{_QUOTES.get(lang, _OTHER_QUOTES)}", re.S) for lang in BRACED}
-
-
-def blanked(text: str, language: str) -> str:
-    """The text with strings and comments as spaces, lines and columns unchanged."""
-    return _BLANKED[language].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-
-
-class _Function:
-    __slots__ = ("name", "first", "last", "score", "depth", "loops", "recursive")
-
-    def __init__(self, name: str, first: int):
-        self.name, self.first, self.last = name, first, first
-        self.score = self.depth = self.loops = 0
-        self.recursive = False
-
-    def row(self):
-        return self.name, self.first, self.last, self.last - self.first + 1, self.score, self.depth, self.loops, self.recursive
-
-
-def _named(header: list[str], language: str) -> str | None:
-    """The name of the function that a block's header begins; None for no function."""
-    word = {"Rust": "fn", "Go": "func", "Kotlin": "fun"}.get(language)
-    if word:
-        if word not in header:
-            return None
-        rest = header[header.index(word) + 1 :]
-        if language == "Go" and rest[:1] == ["("]:  # a receiver, or a literal, which is no function of its own
-            rest = rest[rest.index(")") + 1 :] if ")" in rest else []
-            return rest[0] if len(rest) > 1 and re.match(r"\w", rest[0]) and rest[1] == "(" else None
-        return next((t for i, t in enumerate(rest) if re.match(r"\w", t) and rest[i + 1 : i + 2] in (["("], ["<"], ["."])), None) if rest else None
-    if language in ("JavaScript", "TypeScript"):
-        if header[-1:] == ["=>"]:
-            at = max((i for i, t in enumerate(header) if t in ("=", ":") and i and re.match(r"[\w$]", header[i - 1])), default=-1)
-            depth = sum(t == "(" for t in header[: at + 1]) - sum(t == ")" for t in header[: at + 1])
-            return header[at - 1] if at > 0 and depth == 0 else ""
-        if "function" in header:
-            rest = [t for t in header[header.index("function") + 1 :] if t != "*"]
-            return rest[0] if rest and rest[0] != "(" else ""
-    if "(" not in header or _TYPES & set(header) or "=" in header:
-        return None
-    at = header.index("(")
-    while at and header[max(0, at - 2)] == "@":  # an annotation's arguments
-        depth, i = 0, at
-        while i < len(header):
-            depth += (header[i] == "(") - (header[i] == ")")
-            i += 1
-            if not depth:
-                break
-        if "(" not in header[i:]:
-            return None
-        at = header.index("(", i)
-    name = header[at - 1] if at else ""
-    return name if re.match(r"[A-Za-z_$]", name) and name not in _CONTROL[language] | _FURTHER | {"synchronized", "using", "lock", "return"} else None
-
-
-def braced(text: str, language: str) -> list[_Function]:
-    control = _CONTROL[language]
-    done: list[_Function] = []
-    frames: list[dict] = []  # kind: fn, ctl, other
-    header, pending, loop, parens, line, before, closed_do, begun = [], False, False, 0, 1, "", False, 1
-    code = blanked(text, language)
-    tokens, at = [], 0
-    for m in _TOKEN.finditer(code):
-        line += code.count("\n", at, m.start())
-        at = m.start()
-        tokens.append((m[0], line))
-
-    def inner():
-        """The innermost function, how many control blocks are inside it, and how many loops."""
-        depth = loops = 0
-        for f in reversed(frames):
-            if f["kind"] == "fn":
-                return f["fn"], depth, loops
-            depth += f["kind"] == "ctl"
-            loops += f["loop"]
-        return None, 0, 0
-
-    for i, (t, line) in enumerate(tokens):
-        fn, depth, loops = inner()
-        if t == "{":
-            name = None if pending else _named(header, language)
-            frame = {"kind": "ctl" if pending else "other", "loop": loop, "do": header[-1:] == ["do"], "saved": (header, pending, loop, parens, begun) if parens else None}
-            if name is not None:
-                frame |= {"kind": "fn", "fn": _Function(name, begun), "loop": False}
-            frames.append(frame)
-            header, pending, loop, parens = [], False, False, 0
-        elif t == "}":
-            closed_do = False
-            if frames:
-                f = frames.pop()
-                closed_do = f["do"]
-                if f["kind"] == "fn":
-                    f["fn"].last = line
-                    done.append(f["fn"])
-                header, pending, loop, parens, begun = f["saved"] or ([], False, False, 0, begun)
-        elif t == ";" and not parens and not (language == "Go" and pending):
-            header, pending, loop = [], False, False
-        else:
-            if not header:
-                begun = line
-            header.append(t)
-            parens += (t == "(") - (t == ")")
-            parens = max(0, parens)
-            follows = tokens[i + 1][0] if i + 1 < len(tokens) else ""
-            if t in control and before != "." and not (t == "while" and closed_do) and not (language == "Rust" and (t == "if" and re.match(r"[\w)\]]", before) and before not in ("else", "return", "in") or t == "for" and "impl" in header)):
-                is_loop = t in _LOOPS
-                if fn:
-                    if before == "else":
-                        fn.score += 1
-                    else:
-                        fn.score += 1 + depth
-                        fn.depth = max(fn.depth, depth + 1)
-                    fn.loops = max(fn.loops, loops + is_loop)
-                pending, loop = True, loop or is_loop
-            elif t in _FURTHER:
-                pending = True
-            elif t in ("&&", "||") and fn:
-                fn.score += 1
-            elif fn and t == fn.name and follows == "(" and not (before == "." and tokens[i - 2][0] not in ("this", "self")):
-                fn.recursive = True
-            if t not in ("(", "while"):
-                closed_do = False
-        before = t
-    return done
-
-
-def python(text: str) -> list[_Function]:
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    done: list[_Function] = []
-    kinds = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Match, ast.Try, *((ast.TryStar,) if hasattr(ast, "TryStar") else ()))
-    loops_of = (ast.For, ast.AsyncFor, ast.While)
-
-    def visit(node, fn, depth, loops):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            new = _Function(node.name, node.lineno)
-            new.last = node.end_lineno
-            done.append(new)
-            for child in node.body:
-                visit(child, new, 0, 0)
-            return
-        if isinstance(node, kinds):
-            is_loop = isinstance(node, loops_of)
-            if fn:
-                fn.score += 1 + depth
-                fn.depth, fn.loops = max(fn.depth, depth + 1), max(fn.loops, loops + is_loop)
-            if isinstance(node, ast.If):
-                visit(node.test, fn, depth + 1, loops)
-                for child in node.body:
-                    visit(child, fn, depth + 1, loops)
-                rest = node.orelse
-                while len(rest) == 1 and isinstance(rest[0], ast.If) and rest[0].col_offset == node.col_offset:  # elif
-                    visit(rest[0].test, fn, depth + 1, loops)
-                    for child in rest[0].body:
-                        visit(child, fn, depth + 1, loops)
-                    rest = rest[0].orelse
-                for child in rest:
-                    visit(child, fn, depth + 1, loops)
-                return
-            depth, loops = depth + 1, loops + is_loop
-        elif isinstance(node, ast.BoolOp) and fn:
-            fn.score += len(node.values) - 1
-        elif isinstance(node, ast.Call) and fn:
-            f = node.func
-            if isinstance(f, ast.Name) and f.id == fn.name or isinstance(f, ast.Attribute) and f.attr == fn.name and isinstance(f.value, ast.Name) and f.value.id in ("self", "cls"):
-                fn.recursive = True
-        for child in ast.iter_child_nodes(node):
-            visit(child, fn, depth, loops)
-
-    visit(tree, None, 0, 0)
-    return done
-
-
-def spans_of(text: str | None, language: str | None) -> list[tuple]:
-    """(name, first, last, lines, score, depth, loops, recursive) of a file's functions, in order."""
-    if not text:
-        return []
-    found = python(text) if language == "Python" else braced(text, language) if language in BRACED else []
-    return [f.row() for f in sorted(found, key=lambda f: (f.first, f.last))]
-
-
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [(p, lang, *row) for p, lang, text in zip(b["path"], b["language"], b["content"]) for row in spans_of(text, lang)]
-        yield pd.DataFrame(rows, columns=["path", "language", "name", "first", "last", "lines", "score", "depth", "loops", "recursive"])
+from ..operators import syntaxtree
+from .syntax import nodes
 
 
 def functions(files: DataFrame) -> DataFrame:
-    """Functions of files (path, language, content)."""
-    return files.select("path", "language", "content").mapInPandas(_extract, SCHEMA)
+    """Functions of files (path, language, content), measured on their syntax nodes."""
+    return syntaxtree.functions(nodes(files, ("function", "control", "elseif", "logical", "call")))

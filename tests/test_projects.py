@@ -6,9 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from auditflow.operators import mobilerules, reviewreport, taint
+from auditflow.operators import mobilerules, reviewreport
 from auditflow.sinks import reports
-from auditflow.sources import config, imports, manifests, mobile, repository, spans
+from auditflow.sources import config, imports, manifests, mobile, repository
 
 
 def _tree(root, files):
@@ -94,18 +94,6 @@ def test_imports_by_alias_and_by_directory(spark):
     assert got == {("src/a.ts", "src/b/c.ts"), ("src/a.ts", "src/vendor/lib.ts"), ("main.go", "pkg/a.go")}
 
 
-def test_spans_ignore_strings_and_comments():
-    text = 'fn a() {\n    // if { \n    let s = "if { for";\n    if x { }\n}\n'
-    assert spans.spans_of(text, "Rust") == [("a", 1, 5, 5, 1, 1, 0, False)]
-    assert spans.spans_of("class A { m() { while (a) { do { b(); } while (c); } } }", "JavaScript") == [("m", 1, 1, 1, 3, 2, 2, False)]
-    assert spans.spans_of(None, "Rust") == spans.spans_of("x", None) == spans.spans_of("def (", "Python") == []
-
-
-def test_taint_by_field_and_cleared():
-    lines = ["u.name = req.body.name", "fetch(u.name)", "fetch(u.age)", "u = clean()", "fetch(u.name)", "n = parseInt(req.query.n)", "exec(n)", "const sql = `select ${req.params.id}`", "db.query(sql)", "db.query('select ?', sql)"]
-    assert taint.flows(lines) == [("taint-network", 1, "http-request"), ("taint-sql", 8, "http-request")]
-
-
 def _scored(spark):
     rows = [("r1", "a.py", 3, "HIGH", "HIGH", "SECURITY", "Secret <b>", "d", "x = 1", 90, "P0"), ("r2", "b.py", 1, "LOW", "LOW", "TESTING", "Missing", "d", "", 10, "P3")]
     return spark.createDataFrame(rows, "rule_id string, path string, line_start int, severity string, confidence string, category string, title string, description string, snippet string, score int, priority string")
