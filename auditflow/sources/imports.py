@@ -12,13 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.paths import parent
+from .syntax import nodes_of
 
-_JS = re.compile(r"""(?:\bimport\s+(?:type\s+)?(?:[\w*{}\s,$]+\s+from\s+)?|\bexport\s+[\w*{}\s,$]+\s+from\s+|\brequire\s*\(\s*)['"]([^'"\n]+)['"]""")
-_JS_LAZY = re.compile(r"""\bimport\s*\(\s*['"]([^'"\n]+)['"]""")
-_RUST = re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:use\s+((?:crate|self|super)(?:::\w+)+)|mod\s+(\w+)\s*;)", re.M)
-_GO = re.compile(r'^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"\n]+)"\s*$', re.M)
-_JVM = re.compile(r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;?\s*$", re.M)
-_CS = re.compile(r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;", re.M)
+_FROM = re.compile(r"""(?:^|from\s*)['"]([^'"]+)['"]$""")
+_RUST_TESTS = re.compile(r"cfg\(test\)|#\[test\]")
+_RUST_FILE = re.compile(r'#\[path\s*=\s*"([^"]*)"\]')
 
 
 def _python(text: str) -> list[tuple[str, bool, bool]]:
@@ -43,18 +41,49 @@ def _python(text: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+def _rust(text: str) -> list[str]:
+    """Paths used, modules declared and files named or included, but for tests."""
+    rows = nodes_of(text, "Rust")
+    gated = lambda r: any(_RUST_TESTS.search(re.sub(r"\s", "", m)) for m in (r[5], *(rows[i][5] for i in r[9])))
+    out = []
+    for r in rows:
+        if r[2] == "use" and r[4].split("::")[0] in ("crate", "self", "super") and not gated(r):
+            out.append(r[4].split(" as ")[0])
+        elif r[2] == "mod" and not gated(r):
+            file = _RUST_FILE.search(r[5])
+            out.append(f"file {file[1]}" if file else f"mod {r[4]}")
+        elif r[2] == "macro" and r[4] == "include" and not gated(r):
+            out.append(f"file {r[3]}")
+    return list(dict.fromkeys(out))
+
+
+def _script(text: str, language: str) -> list[tuple[str, bool, bool]]:
+    """What is imported, exported again, required or loaded later."""
+    rows, out = nodes_of(text, language), []
+    for r in rows:
+        if r[2] in ("import", "export") and (m := _FROM.search(r[4])):
+            out.append((m[1], False, False))
+        elif r[2] == "call" and r[4] in ("require", "import") and r[8] == r[0] + 2 and rows[r[8]][2] == "string":
+            out.append((rows[r[8]][4], r[4] == "import", False))
+    return out
+
+
 def imports_of(text: str | None, language: str | None) -> list[tuple[str, bool, bool]]:
-    """(specifier, deferred, guarded) of a file: Python by its syntax, others by patterns."""
+    """(specifier, deferred, guarded) of a file, by its syntax."""
     if not text:
         return []
     if language == "Python":
         return _python(text)
-    if language in ("JavaScript", "TypeScript"):
-        return [(m, False, False) for m in _JS.findall(text)] + [(m, True, False) for m in _JS_LAZY.findall(text)]
     if language == "Rust":
-        return [(use or f"mod {mod}", False, False) for use, mod in _RUST.findall(text)]
-    pattern = {"Go": _GO, "Java": _JVM, "Kotlin": _JVM, "C#": _CS}.get(language or "")
-    return [(m, False, False) for m in pattern.findall(text)] if pattern else []
+        return [(spec, False, False) for spec in _rust(text)]
+    if language in ("JavaScript", "TypeScript"):
+        return _script(text, language)
+    rows = [r for r in nodes_of(text, language) if r[2] in ("import", "using") and r[4]]
+    if language == "C#":
+        rows = [r for r in rows if r[2] == "using" and re.fullmatch(r"[\w.]+", r[4]) and not r[4].startswith("var")]
+    elif language in ("Java", "Kotlin"):
+        rows = [r for r in rows if re.fullmatch(r"[\w.]+\*?", r[4])]
+    return [(r[4], False, False) for r in rows if r[2] == "import" or language == "C#"]
 
 
 def alias_targets(spec: str, aliases: dict[str, list[str]]) -> list[str]:
@@ -104,11 +133,15 @@ def candidates(spec: str, path: str, language: str | None, module: str = "", ali
     if language == "Rust":
         stem = posixpath.splitext(posixpath.basename(path))[0]
         own = here if stem in ("mod", "lib", "main") else at(here, stem)
+        if spec.startswith("file "):
+            return [at(here, spec[5:])]
         if spec.startswith("mod "):
             return [at(own, f"{spec[4:]}.rs"), at(own, spec[4:], "mod.rs")]
         root, *rest = spec.split("::")
         crate = path.split("/src/")[0] + "/src" if "/src/" in path else "src"
         top = {"crate": crate, "self": own, "super": posixpath.dirname(own)}[root]
+        while rest[:1] == ["super"]:
+            top, rest = posixpath.dirname(top), rest[1:]
         return [c for n in range(len(rest), 0, -1) for c in (at(top, *rest[:n]) + ".rs", at(top, *rest[:n], "mod.rs"))]
     if language == "Go":
         inside = module and (spec == module or spec.startswith(module + "/"))

@@ -222,6 +222,30 @@ class Nodes:
         self.finish(self.begin(kind, word, name, line, marks), line)
 
 
+def used_paths(t: list[str], i: int, end: int) -> list[tuple[str, str]]:
+    """(path, name it gets) of each leaf of a tree of uses in tokens i to end; a glob's name is *."""
+    out, prefixes, path, alias = [], [[]], [], None
+    for x in t[i:end] + [","]:
+        if x == "{":
+            prefixes.append(prefixes[-1] + path)
+            path = []
+        elif x in (",", "}"):
+            if path:
+                full = prefixes[-1] + (path if path != ["self"] or not prefixes[-1] else [])
+                out.append(("::".join(full), alias if isinstance(alias, str) and alias else full[-1]))
+            path, alias = [], None
+            if x == "}" and len(prefixes) > 1:
+                prefixes.pop()
+        elif x == "as":
+            alias = ""
+        elif x != "::":
+            if alias is None:
+                path.append(x)
+            else:
+                alias = x
+    return out
+
+
 class Braced:
     """Reads the statements of a language with braces."""
 
@@ -387,8 +411,10 @@ class Braced:
                 at = i
                 while at < end and self.t[at] != ";":
                     at += 1
-                text = "".join(f" {t} " if t == "as" else t for t in self.t[self.t.index("use", i, at) + 1 : at]) if "use" in self.t[i:at] else ""
-                self.nodes.leaf("use", "pub" if self.tok(i) == "pub" else "", text, self.ln(i), marks)
+                leading = "pub" if self.tok(i) == "pub" and self.tok(i + 1) == "use" else ""
+                if "use" in self.t[i:at]:
+                    for path, name in used_paths(self.t, self.t.index("use", i, at) + 1, at):
+                        self.nodes.leaf("use", leading, f"{path} as {name}", self.ln(i), marks)
                 return at + 1
             if (f := self.word_before(i, end, "mod", ("{", ";", "=", "("))) is not None and self.tok(f + 2) == ";":
                 self.nodes.leaf("mod", "pub" if self.tok(i) == "pub" else "", self.tok(f + 1), self.ln(i), marks)
@@ -422,6 +448,21 @@ class Braced:
             done = self.typed(start, kind_at, end, marks)
             if done is not None:
                 return done
+        if language == "Go" and self.tok(i) == "import":
+            group = self.tok(i + 1) == "("
+            stop = self.close(i + 1, end) if group else next((j for j in range(i + 1, end) if self.k.kind[j] == "string"), end - 1)
+            for j in range(i + 1, min(stop + 1, end)):
+                if self.k.kind[j] == "string":
+                    self.nodes.leaf("import", "", self.t[j].strip('"`'), self.ln(j))
+            return stop + 1
+        if self.script and self.tok(i) == "export" and self.tok(i + 1) in ("{", "*", "type"):
+            stop = i + 1
+            while stop < end and self.k.kind[stop] != "string" and self.t[stop] not in (";", "=") and not (self.k.fresh[stop] and self.tok(stop - 1) == "}" and self.t[stop] != "from"):
+                stop = self.close(stop, end) + 1 if self.t[stop] == "{" else stop + 1
+            if self.tok(stop - 1) == "from" or self.tok(stop - 1) == "}" and self.tok(i + 1) != "type" or self.tok(i + 1) == "type" and self.tok(i + 2) == "{":
+                more = stop + (self.tok(stop - 1) == "from")
+                self.nodes.leaf("export", "", " ".join(self.t[i + 1 : min(more, end)]), self.ln(i))
+                return more
         if self.script and self.tok(i) == "export":
             return self.statement(i + 1 + (self.tok(i + 1) == "default"), end, inside) if self.tok(i + 1) not in ("{", "*", "") else self.expression(i + 1, end, {";"}) + 1
         if self.language == "TypeScript" and self.tok(i) == "type" and self.ident(i + 1) and self.tok(i + 2) in ("=", "<"):
@@ -435,7 +476,9 @@ class Braced:
             braces = self.tok(i) == "import"
             while stop < min(end, i + 400) and self.t[stop] != ";" and (braces or self.t[stop] != "{") and not (self.k.fresh[stop] and self.language in _LINES and (not braces or self.tok(stop - 1) not in ("{", ",") and self.t[stop] not in ("}", "from"))):
                 stop += 1
-            self.nodes.leaf(self.tok(i), "", "".join(self.t[i + 1 : stop]), self.ln(i))
+            told = self.t[i + 1 : min(stop, end)]
+            told = told if self.script or self.tok(i) not in ("import", "using") else [t for t in told if t != "static"]
+            self.nodes.leaf(self.tok(i), "", "".join(told[: told.index("as")] if language == "Kotlin" and "as" in told else told), self.ln(i))
         if self.ident(i) and self.tok(i + 1) == ":" and self.is_control(i + 2) and inside == "block":
             return i + 2  # a label
         stops = {";", ","} if inside == "object" else {";"}
@@ -689,7 +732,7 @@ class Braced:
                 chain = chain + t if t in (".", "::", "?.") and chain else chain if t in ("?", "!", "!!") and self.tok(i + 1) in (".", "?.") else ""
                 if t == "!" and language == "Rust" and self.ident(i - 1) and self.tok(i + 1) in ("(", "[", "{"):
                     close = self.close(i + 1, end)  # a macro's arguments are tokens, no code
-                    self.nodes.leaf("macro", "", self.tok(i - 1), self.ln(i - 1))
+                    self.nodes.leaf("macro", self.tok(i + 2).strip('"') if self.tok(i - 1) == "include" else "", self.tok(i - 1), self.ln(i - 1))
                     for j in range(i + 2, close):
                         if self.ident(j) and self.t[j - 1] == "." and self.tok(j + 1) == "(":
                             self.nodes.leaf("call", "macro", f".{self.t[j]}", self.ln(j))
