@@ -56,20 +56,36 @@ def changes(spark: SparkSession, diff: str) -> tuple[DataFrame, DataFrame, DataF
     )
 
 
-def diff_of(repo: str, base: str | None = None, head: str | None = None) -> str:
-    """The diff of the working tree, or between two revisions; untracked files count as added."""
+def git(repo: str, *a: str, fine: tuple[int, ...] = (0,)) -> str:
+    r = subprocess.run(["git", "-C", repo, "-c", "core.quotepath=off", *a], capture_output=True, text=True, check=False, errors="replace")
+    if r.returncode not in fine:
+        raise RuntimeError(f"git {a[0]}: {r.stderr.strip()}")
+    return r.stdout
 
-    def git(*a: str, fine: tuple[int, ...] = (0,)) -> str:
-        r = subprocess.run(["git", "-C", repo, *a], capture_output=True, text=True, check=False)
-        if r.returncode not in fine:
-            raise RuntimeError(f"git {a[0]}: {r.stderr.strip()}")
-        return r.stdout
 
+def diff_of(repo: str, base: str | None = None, head: str | None = None) -> str:
+    """The diff of the working tree, or between two revisions; untracked files count as added."""
     common = ["diff", "--unified=0", "--no-color", "--no-ext-diff"]
     if base:
-        return git(*common, f"{base}..{head}" if head else base)
-    new = "".join(git(*common, "--no-index", "/dev/null", p, fine=(0, 1)) for p in git("ls-files", "--others", "--exclude-standard").splitlines())
-    return git(*common, "HEAD") + new
+        return git(repo, *common, f"{base}..{head}" if head else base)
+    new = "".join(git(repo, *common, "--no-index", "/dev/null", p, fine=(0, 1)) for p in git(repo, "ls-files", "--others", "--exclude-standard").splitlines())
+    return git(repo, *common, "HEAD") + new
+
+
+def changes_of(spark: SparkSession, repo: str, base: str | None = None, head: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """changes() of a repository whose diff is read by tasks, file by file."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from ..plans.storage import materialize
+    from .treesource import diff
+
+    d = materialize(diff(spark, repo, base, head))
+    lines = d.filter("side IS NOT NULL").select("path", "side", "line", "text")
+    # neighbouring added lines make a range
+    w = Window.partitionBy("path").orderBy("line")
+    runs = lines.filter("side = 'added'").withColumn("run", F.col("line") - F.row_number().over(w)).groupBy("path", "run").agg(F.min("line").alias("start"), F.max("line").alias("stop"))
+    return d.filter("side IS NULL").select("path", "status"), runs.select("path", "start", "stop"), lines
 
 
 def blob(repo: str, revision: str, path: str) -> str | None:

@@ -1,7 +1,7 @@
 """Source trees as a files relation.
 
-The walk runs on the driver, as Spark's listing leaves out hidden and underscored names; reading
-and measuring run on the executors, which must see the tree (a shared or local one).
+Listing, reading and measuring run in tasks, which must see the tree (a shared or local one): see
+treesource.  walk() lists a tree on the driver, for small ones.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ class Ignore:
         return False
 
 
-def _global_ignore() -> str:
+def global_ignore() -> str:
     """The user's own ignore file, where Git looks for it by default."""
     home = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
     return os.path.join(home, "git", "ignore")
@@ -86,7 +86,7 @@ def walk(root: str, exclude: tuple[str, ...] = (), max_files: int | None = None)
     """Files below root, hidden ones too, in component order; ignored directories are not entered."""
     patterns = [g for x in (*IGNORED, *exclude) for g in ignore_patterns(x)]
     ignore, found = Ignore(), []
-    ignore.read(_global_ignore(), "")
+    ignore.read(global_ignore(), "")
     ignore.read(os.path.join(root, ".git", "info", "exclude"), "")
     for top, dirs, names in os.walk(root):
         rel = os.path.relpath(top, root).replace(os.sep, "/")
@@ -131,7 +131,11 @@ def load(spark: SparkSession, root: str, exclude=(), max_files=None, max_bytes=M
 
     Size comes before low-signal paths, and those before reading; texts that are no UTF-8 are binary.
     """
-    listed = spark.createDataFrame([(p,) for p in walk(root, exclude, max_files)], "path string")
+    from .treesource import tree
+
+    listed = tree(spark, root, tuple(exclude)).select("path")
+    if max_files:
+        listed = listed.orderBy(paths.ordered(F.col("path"))).limit(max_files)
     low = F.lit(False) if include_low_signal else paths.low_signal(F.col("path"))
     n = max(1, spark.sparkContext.defaultParallelism)
     loaded = listed.withColumn("low", low).repartition(n, "path").mapInPandas(_load(root, max_bytes), "path string, language string, skip_reason string, size long, content string")
