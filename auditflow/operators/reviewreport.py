@@ -147,19 +147,21 @@ def signal_gate(signals: DataFrame) -> DataFrame:
 
 
 def rendered(report: Report, reasons_: DataFrame, fmt: str = "markdown", limit: int = 200) -> str:
-    """The report as markdown, console text, JSON or SARIF; lists are cut at `limit` rows each."""
+    """The report as markdown, console text, JSON or SARIF; lists are cut at `limit` rows each, and the report says by how many."""
     from ..sinks import reports
 
     v = verdict(reasons_).first()
     why = [r.asDict() for r in reasons_.limit(limit).collect()]
     inside = report.findings.filter("in_diff")
     rank = F.array_position(F.array(*map(F.lit, ("definitely", "maybe", "noise"))), F.col("tier"))
-    signals = [r.asDict() for r in report.signals.orderBy(rank, *review.tier_order(id_="kind")).limit(limit).collect()]
     if fmt == "sarif":
         return reports.to_sarif(inside, limit)
-    rows = [r.asDict(recursive=True) for r in inside.orderBy(*canonical_order()).limit(limit).collect()]
+    signals = [r.asDict() for r in report.signals.orderBy(rank, *review.tier_order(id_="kind")).limit(limit + 1).collect()]
+    hidden = report.signals.count() - limit if len(signals) > limit else 0
+    signals = signals[:limit]
+    rows, more = reports.ordered(inside, limit)
     if fmt == "json":
-        return json.dumps({"schema_version": 1, "verdict": v.verdict, "reasons": why, "findings": rows, "signals": signals}, indent=2, default=str)
+        return json.dumps({"schema_version": 1, "verdict": v.verdict, "reasons": why, "findings": rows, "signals": signals, "truncated": {"findings": more, "signals": hidden}}, indent=2, default=str)
     head, item = ("# Review", "- ") if fmt == "markdown" else ("Review", "  ")
     out = [head, "", f"Verdict: {v.verdict}", "", *(f"{item}{r['code']}: {r['n']}" for r in why), ""]
     for tier in ("definitely", "maybe", "noise"):
@@ -169,4 +171,6 @@ def rendered(report: Report, reasons_: DataFrame, fmt: str = "markdown", limit:
             out += [f"{item}{s['path'] or '(whole diff)'}{':' + str(s['line']) if s['line'] else ''} {s['headline']} (importers: {s['importers']})" for s in mine]
             out.append("")
     out += [f"{item}{r['priority']} {r['rule_id']} {r['path']}:{r['line_start']}" for r in rows]
+    if more or hidden:
+        out += ["", f"Left out: {more} findings, {hidden} signals"]
     return "\n".join(out).rstrip() + "\n"

@@ -1,7 +1,8 @@
 """Renderers over findings in canonical order.
 
-A report is a document on the driver, so its rows are bounded by `limit`; write() exports all
-rows as files instead.
+A report made here is a document on the driver, so its rows are bounded by `limit`, and it says how
+many more there are (`truncated`).  document.save() writes all rows, by tasks; write() exports them
+as files in no order.
 """
 
 from __future__ import annotations
@@ -27,36 +28,57 @@ def keyed(findings: DataFrame) -> DataFrame:
     return findings if "stable_key" in findings.columns else findings.withColumn("stable_key", stable_key(F.col("rule_id"), F.col("path"), F.coalesce(col("title"), F.lit("")), F.coalesce(col("description"), F.lit("")), col("snippet")))
 
 
-def ordered(findings: DataFrame, limit: int = LIMIT) -> list[dict]:
-    return [r.asDict(recursive=True) for r in findings.orderBy(*canonical_order()).limit(limit).collect()]
+def ordered(findings: DataFrame, limit: int = LIMIT) -> tuple[list[dict], int]:
+    """The first `limit` rows, and how many come after them."""
+    rows = [r.asDict(recursive=True) for r in findings.orderBy(*canonical_order()).limit(limit + 1).collect()]
+    return rows[:limit], findings.count() - limit if len(rows) > limit else 0
 
 
 def to_json(findings: DataFrame, summary: DataFrame | None = None, limit: int = LIMIT) -> str:
     head = summary.first().asDict(recursive=True) if summary is not None else {}
-    return json.dumps({"schema_version": 1, "summary": head, "findings": ordered(findings, limit)}, indent=2, default=str)
+    rows, more = ordered(findings, limit)
+    return json.dumps({"schema_version": 1, "summary": head, "findings": rows, "truncated": more}, indent=2, default=str)
+
+
+def sarif_result(r: dict) -> dict:
+    place = {"artifactLocation": {"uri": r["path"]}} | ({"region": {"startLine": r["line_start"]}} if r.get("line_start") else {})
+    return {
+        "ruleId": r["rule_id"], "level": LEVELS[r["severity"]], "message": {"text": r.get("title") or r["rule_id"]}, "locations": [{"physicalLocation": place}],
+        "partialFingerprints": {"stableKey/v1": r["stable_key"]}, "properties": {"score": r.get("score"), "priority": r.get("priority")},
+    }
+
+
+def markdown_row(r: dict) -> str:
+    cell = lambda v: str(v).replace("|", "\\|").replace("\n", " ")
+    return "| " + " | ".join(map(cell, (r.get("priority"), r.get("score"), r["severity"], r["rule_id"], f"{r['path']}:{r['line_start']}"))) + " |"
+
+
+def console_row(r: dict) -> str:
+    return f"{r.get('priority')} {r['severity']:<8} {r['rule_id']} {r['path']}:{r['line_start']}"
+
+
+def html_row(r: dict) -> str:
+    cell = lambda v: f"<td>{html.escape(str(v))}</td>"
+    return "<tr>" + "".join(map(cell, (r.get("priority"), r.get("score"), r["severity"], r["rule_id"], f"{r['path']}:{r['line_start']}", r.get("title", "")))) + "</tr>"
+
+
+MARKDOWN_HEAD = ("| Priority | Score | Severity | Rule | Place |", "| --- | ---: | --- | --- | --- |")
+HTML_HEAD = "<thead><tr>" + "".join(f"<th>{h}</th>" for h in ("Priority", "Score", "Severity", "Rule", "Place", "Title")) + "</tr></thead>"
 
 
 def to_sarif(findings: DataFrame, limit: int = LIMIT) -> str:
-    rows = ordered(keyed(findings), limit)
+    rows, more = ordered(keyed(findings), limit)
     rules = {}
     for r in rows:
         rules.setdefault(r["rule_id"], r)
-    results = []
-    for r in rows:
-        place = {"artifactLocation": {"uri": r["path"]}} | ({"region": {"startLine": r["line_start"]}} if r.get("line_start") else {})
-        results.append({
-            "ruleId": r["rule_id"], "level": LEVELS[r["severity"]], "message": {"text": r.get("title") or r["rule_id"]}, "locations": [{"physicalLocation": place}],
-            "partialFingerprints": {"stableKey/v1": r["stable_key"]}, "properties": {"score": r.get("score"), "priority": r.get("priority")},
-        })
+    results = [sarif_result(r) for r in rows]
     driver = {"name": "auditflow", "rules": [{"id": k, "name": k, "shortDescription": {"text": v.get("title") or k}} for k, v in sorted(rules.items())]}
-    return json.dumps({"$schema": SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]}, indent=2)
+    return json.dumps({"$schema": SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results, "properties": {"truncated": more}}]}, indent=2)
 
 
 def to_markdown(findings: DataFrame, title: str = "Audit", limit: int = 50) -> str:
-    rows = ordered(findings, limit)
-    cell = lambda v: str(v).replace("|", "\\|").replace("\n", " ")
-    lines = [f"# {title}", "", "| Priority | Score | Severity | Rule | Place |", "| --- | ---: | --- | --- | --- |"]
-    lines += ["| " + " | ".join(map(cell, (r.get("priority"), r.get("score"), r["severity"], r["rule_id"], f"{r['path']}:{r['line_start']}"))) + " |" for r in rows]
+    rows, more = ordered(findings, limit)
+    lines = [f"# {title}", "", *MARKDOWN_HEAD, *map(markdown_row, rows), *(["", f"{more} more findings are left out."] if more else [])]
     return "\n".join(lines) + "\n"
 
 
@@ -97,16 +119,15 @@ FORMATS = ("console", "html", "json", "markdown", "sarif")
 
 
 def to_console(findings: DataFrame, limit: int = 50) -> str:
-    rows = ordered(findings, limit)
-    return "".join(f"{r.get('priority')} {r['severity']:<8} {r['rule_id']} {r['path']}:{r['line_start']}\n" for r in rows) or "no findings\n"
+    rows, more = ordered(findings, limit)
+    return "".join(f"{x}\n" for x in [*map(console_row, rows), *([f"and {more} more"] if more else [])]) or "no findings\n"
 
 
 def to_html(findings: DataFrame, title: str = "Audit", limit: int = 500) -> str:
-    rows = ordered(findings, limit)
-    cell = lambda v: f"<td>{html.escape(str(v))}</td>"
-    body = "".join("<tr>" + "".join(map(cell, (r.get("priority"), r.get("score"), r["severity"], r["rule_id"], f"{r['path']}:{r['line_start']}", r.get("title", "")))) + "</tr>\n" for r in rows)
-    head = "".join(f"<th>{h}</th>" for h in ("Priority", "Score", "Severity", "Rule", "Place", "Title"))
-    return f'<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>{html.escape(title)}</title></head>\n<body><h1>{html.escape(title)}</h1>\n<table><thead><tr>{head}</tr></thead>\n<tbody>\n{body}</tbody></table></body></html>\n'
+    rows, more = ordered(findings, limit)
+    body = "".join(html_row(r) + "\n" for r in rows)
+    note = f"<p>{more} more findings are left out.</p>" if more else ""
+    return f'<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>{html.escape(title)}</title></head>\n<body><h1>{html.escape(title)}</h1>\n<table>{HTML_HEAD}\n<tbody>\n{body}</tbody></table>{note}</body></html>\n'
 
 
 def render(findings: DataFrame, fmt: str, **options) -> str:

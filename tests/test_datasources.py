@@ -74,3 +74,106 @@ def test_a_diff_read_file_by_file(spark, tmp_path):
     assert treesource.diff(spark, repo, "HEAD~1", "HEAD").filter("side IS NULL").count() == 4
     with pytest.raises(Exception, match="git"):
         treesource.diff(spark, repo, "nowhere").count()
+
+
+def _findings(spark, n):
+    k = F.col("id")
+    sev = F.element_at(F.array(*map(F.lit, ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"))), (k % 5 + 1).cast("int"))
+    return spark.range(n).repartition(5).select(
+        F.concat(F.lit("rule"), k % 7).alias("rule_id"), F.concat(F.lit("src/f"), k % 40, F.lit(".py")).alias("path"), (k + 1).cast("int").alias("line_start"), sev.alias("severity"), F.lit("HIGH").alias("confidence"),
+        F.lit("SECURITY").alias("category"), F.concat(F.lit("A | <b>\n"), k).alias("title"), F.lit("d").alias("description"), F.lit("x = 1").alias("snippet"), (k % 100).cast("int").alias("score"), F.lit("P1").alias("priority"),
+    )
+
+
+def test_a_saved_report_is_the_rendered_one_in_full(spark, tmp_path):
+    from auditflow.sinks import document, reports
+
+    f = _findings(spark, 700).cache()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for fmt in reports.FORMATS:
+        where = str(tmp_path / fmt)
+        manifest = document.save(f, where, fmt)
+        text = "".join(document.pieces(where))
+        assert manifest["rows"] == sum(p["rows"] for p in manifest["fragments"]) == 700 and len(manifest["fragments"]) > 1
+        want = reports.render(f, fmt, limit=10_000)
+        if fmt == "json":
+            assert json.loads(text)["findings"] == json.loads(want)["findings"]
+        elif fmt == "sarif":
+            got, want = json.loads(text)["runs"][0], json.loads(want)["runs"][0]
+            assert got["results"] == want["results"] and [r["id"] for r in got["tool"]["driver"]["rules"]] == [r["id"] for r in want["tool"]["driver"]["rules"]]
+        else:
+            assert text.split() == want.split()
+        document.assemble(where, str(tmp_path / f"one.{fmt}"))
+        assert (tmp_path / f"one.{fmt}").read_text() == text
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_report_is_replaced_as_a_whole(spark, tmp_path):
+    from auditflow.sinks import document
+
+    where = str(tmp_path / "r")
+    document.save(_findings(spark, 50), where)
+    before = "".join(document.pieces(where))
+    bad = _findings(spark, 50).withColumn("title", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        document.save(bad, where)
+    assert "".join(document.pieces(where)) == before
+    assert document.save(_findings(spark, 0), where)["rows"] == 0 and json.loads("".join(document.pieces(where)))["findings"] == []
+    assert os.listdir(where) == [document.MANIFEST]
+
+
+def test_a_cut_report_says_so(spark):
+    from auditflow.sinks import reports
+
+    f = _findings(spark, 30).cache()
+    assert json.loads(reports.to_json(f, limit=10))["truncated"] == 20 and json.loads(reports.to_json(f))["truncated"] == 0
+    assert json.loads(reports.to_sarif(f, limit=1))["runs"][0]["properties"]["truncated"] == 29
+    assert "20 more" in reports.to_markdown(f, limit=10) and "20 more" in reports.to_html(f, limit=10) and "20 more" in reports.to_console(f, limit=10) and "more" not in reports.to_console(f)
+
+
+def test_a_store_analyses_misses_only(spark, tmp_path):
+    from auditflow.streaming.factstore import FactStore
+
+    schema = "path string, language string, content string"
+    seen = spark.sparkContext.accumulator(0)
+
+    def analyse(df):
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema).select("hash", "language", F.explode(F.split("content", "\n")).alias("line"))
+
+    def files(*texts):
+        return spark.createDataFrame([(f"f{i}", "Python" if i % 2 else None, t) for i, t in enumerate(texts)], schema)
+
+    def analysed():
+        before, seen.value = seen.value, 0
+        return before
+
+    store = FactStore(spark, "file://" + str(tmp_path / "store"), cap=4)
+    assert store.facts() is None
+    first = files("a\nb", "c", "a\nb", "c", None)
+    counts = store.run(first, analyse)
+    assert (counts["keys"], counts["misses"]) == (2, 2) and analysed() in (2, 4)  # the rows were counted in one pass, or in a second
+    assert sorted((r.path, r.line) for r in store.of(first).filter("line IS NOT NULL").collect()) == [("f0", "a"), ("f0", "b"), ("f1", "c"), ("f2", "a"), ("f2", "b"), ("f3", "c")]
+    assert store.run(first, analyse)["misses"] == 0 and analysed() == 0
+    counts = store.run(files("a\nb", "d", "e"), analyse)
+    assert (counts["keys"], counts["misses"]) == (3, 2) and store.facts().select("hash", "language").distinct().count() in (4, 5)
+    counts = store.run(files("a\nb", "d", "g", "h"), analyse)  # more keys than the cap: those not used lately go
+    kept = {r.line for r in store.facts().collect()}
+    assert {"a", "b", "d", "g", "h"} <= kept and "c" not in kept
+    assert store.run(files("x", "c"), analyse)["misses"] == 2
+
+
+def test_a_run_that_fails_leaves_the_store_as_it_was(spark, tmp_path):
+    from auditflow.streaming.factstore import FactStore
+
+    store = FactStore(spark, "file://" + str(tmp_path / "store"))
+    files = spark.createDataFrame([("a", "Go", "x")], "path string, language string, content string")
+    store.run(files, lambda df: df.select("hash", "language", "content"))
+    before = store.manifest()
+    with pytest.raises(Exception, match="broken"):
+        store.run(files.withColumn("content", F.lit("y")), lambda df: df.withColumn("content", F.raise_error(F.lit("broken")).cast("string")))
+    assert store.manifest() == before and [r.content for r in store.of(files).collect()] == ["x"]
