@@ -14,14 +14,17 @@ _JS_KINDS = "async function|function|class|const|let|var|type|interface|enum|nam
 def exported(content: Column, language: Column) -> Column:
     """Sorted distinct names that a text exports, by its language's declarations; null text has none."""
     text = F.coalesce(content, F.lit(""))
-    used = _NAME(F.transform(_ALL(text, r"(?m)^\s*pub use ([^\n]*)$"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[;\s]+$", ""), r"^.*( as |::)", "")), r"^([A-Za-z_]\w*)")
+    # of `pub use a::{B, c::{D as E}};` the last name of each part
+    used = F.flatten(F.transform(_ALL(text, r"(?m)^\s*pub use ([^;]*);"), lambda x: F.regexp_extract_all(x, F.lit(r"([A-Za-z_]\w*)\s*(?=[,}]|$)"), F.lit(1))))
+    used = F.filter(used, lambda x: x != "self")
     rust = F.concat(_ALL(text, r"(?m)^\s*pub (?:async fn|fn|struct|enum|trait|type|const|static|mod) ([A-Za-z_]\w*)"), used)
-    listed = F.flatten(F.transform(_ALL(text, r"(?m)^\s*export (?!default )[^{\n]*\{([^}\n]*)\}"), lambda x: F.split(x, ",")))
-    renamed = F.transform(listed, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"^type\s+", ""), r"^.*\sas\s+", ""))
+    listed = F.flatten(F.transform(_ALL(text, r"(?m)^\s*export (?!default )[^{\n=(]*\{([^}]*)\}"), lambda x: F.split(x, ",")))
+    renamed = F.transform(listed, lambda x: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), r"^type\s+", ""), r"^.*\sas\s+", ""))
     default = F.transform(_ALL(text, r"(?m)^\s*export (default )"), lambda x: F.lit("default"))
-    js = F.concat(default, _ALL(text, rf"(?m)^\s*export (?:{_JS_KINDS}) ([A-Za-z_$][\w$]*)"), _NAME(renamed, r"^([A-Za-z_$][\w$]*)"))
-    python = _NAME(F.flatten(F.transform(_ALL(text, r"(?m)^\s*__all__[^=\n]*=([^\n]*)$"), lambda x: F.split(x, ","))), r"""^[\s\[\]()"']*([A-Za-z_]\w*)[\s\[\]()"']*$""")
-    go = _ALL(text, r"(?m)^\s*(?:func|type|var|const) \(*\s*([A-Z]\w*)")
+    js = F.concat(default, _ALL(text, rf"(?m)^\s*export (?:{_JS_KINDS}) ([A-Za-z_$][\w$]*)"), _NAME(renamed, r"^([A-Za-z_$][\w$]*)$"))
+    python = F.flatten(F.transform(_ALL(text, r"(?m)^\s*__all__[^=\n]*=\s*[\[(]([^\])]*)[\])]"), lambda x: F.regexp_extract_all(x, F.lit(r"""['"]([A-Za-z_]\w*)['"]"""), F.lit(1))))
+    group = F.flatten(F.transform(_ALL(text, r"(?ms)^(?:const|var|type)\s*\((.*?)^\)"), lambda x: F.regexp_extract_all(x, F.lit(r"(?m)^(?:\t| {1,4})([A-Z]\w*)"), F.lit(1))))
+    go = F.concat(_ALL(text, r"(?m)^\s*(?:func|type|var|const) ([A-Z]\w*)"), group)
     found = F.when(language == "Rust", rust).when(language.isin("JavaScript", "TypeScript"), js).when(language == "Python", python).when(language == "Go", go)
     return F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<string>"))
 

@@ -83,7 +83,7 @@ def directory_dependencies(edges: DataFrame) -> DataFrame:
     return e.filter("src_dir <> dst_dir").groupBy("src_dir", "dst_dir").agg(F.count(F.lit(1)).alias("edges"))
 
 
-def _spread(edges: DataFrame, seeds: DataFrame, rounds: int | None, by: list[str] | None = None) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None, by: list[str] | None = None) -> DataFrame:
     """(by..., node, hop): what seeds reach along src -> dst, seeds at hop 0."""
     by = by or []
     e = materialize(edges.select("src", "dst").distinct())
@@ -109,7 +109,7 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 def blast_radius(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node): all that depends on the seeds, near or far, seeds excluded."""
-    return _spread(reverse(edges), seeds, None).filter("hop > 0").select("node")
+    return spread(reverse(edges), seeds, None).filter("hop > 0").select("node")
 
 
 def one_hop_radius(edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -124,13 +124,13 @@ def impact(edges: DataFrame, changed: DataFrame, depth: int = 3) -> DataFrame:
     Paths lead through other changed files, which are not reported themselves.
     """
     seeds = changed.select("node", F.col("node").alias("seed"))
-    found = _spread(reverse(edges), seeds, depth, ["seed"]).filter("hop > 0")
+    found = spread(reverse(edges), seeds, depth, ["seed"]).filter("hop > 0")
     return found.join(changed.select("node"), "node", "left_anti").select("seed", "node", "hop")
 
 
 def neighbourhood(edges: DataFrame, centre: DataFrame, depth: int) -> DataFrame:
     """(node, hop): nodes within depth of the centre, direction aside."""
-    return _spread(edges.select("src", "dst").unionByName(reverse(edges)), centre, depth)
+    return spread(edges.select("src", "dst").unionByName(reverse(edges)), centre, depth)
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def components_strong(edges: DataFrame) -> DataFrame:
                 break
         inside = e.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
         roots = colour.filter("node = c").select("node", F.col("node").alias("root"))
-        mine = materialize(_spread(reverse(inside), roots, None, ["root"]).select("root", "node"))
+        mine = materialize(spread(reverse(inside), roots, None, ["root"]).select("root", "node"))
         found.append(mine)
         done = mine.select("node")
         e = materialize(e.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
@@ -203,7 +203,7 @@ def shortest_cycles(edges: DataFrame, components: DataFrame, starts: int = 64) -
     e = materialize(e)
     w = Window.partitionBy("component").orderBy("node")
     first = c.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= starts).select("component", F.col("node").alias("start"), "node")
-    reach = _spread(e, first, None, ["component", "start"])
+    reach = spread(e, first, None, ["component", "start"])
     closing = reach.join(e, F.col("node") == F.col("src")).filter("dst = start").groupBy("component", "start").agg((F.min("hop") + 1).alias("length"))
     return closing.groupBy("component").agg(F.min(F.struct("length", "start")).alias("x")).select("component", "x.start", "x.length")
 
@@ -368,43 +368,15 @@ def hubs(d: DataFrame, k: int = TOP_FILES) -> DataFrame:
     return top("hub", top_fan_out(d, k + 1)).unionByName(top("dependency", top_fan_in(d, k + 1)))
 
 
-def bounded_cycles(edges: DataFrame, most: int = TOP_CYCLES, depth: int = CYCLE_DEPTH, max_edges: int = 1_000_000) -> DataFrame:
-    """(cycle, truncated): up to `most` cycles that a depth-first walk meets, each from its smallest node.
+def bounded_cycles(edges: DataFrame, most: int = TOP_CYCLES, depth: int = CYCLE_DEPTH) -> DataFrame:
+    """(cycle, truncated): the first `most` cycles that walks of the components meet, each from its smallest node.
 
-    The walk's order decides which cycles are met, so it is one walk over the edges inside strong
-    components, which are few; more than max_edges of them raise an error instead of filling memory.
+    Components are walked apart, in one job; see cyclerules.cycles_met.
     """
-    spark = edges.sparkSession
-    c = components_strong(edges)
-    inside = edges.select("src", "dst").distinct().join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
-    rows = inside.orderBy("src", "dst").limit(max_edges + 1).collect()
-    if len(rows) > max_edges:
-        raise ValueError(f"more than {max_edges} edges lie on cycles")
-    out: dict = {}
-    for r in rows:
-        out.setdefault(r.src, []).append(r.dst)
-    found, state = [], {}
-    for start in sorted(out):
-        if state.get(start) or len(found) > most:
-            continue
-        stack, todo = [], [(start, iter(out[start]))]
-        state[start] = 1
-        stack.append(start)
-        while todo:
-            node, targets = todo[-1]
-            step = next(targets, None) if len(found) <= most else None
-            if step is None:
-                todo.pop()
-                stack.pop()
-                state[node] = 2
-            elif state.get(step) == 1:
-                found.append(stack[stack.index(step) :])
-            elif step not in state and len(todo) <= depth:
-                state[step] = 1
-                stack.append(step)
-                todo.append((step, iter(out.get(step, ()))))
-    turned = sorted({tuple(p[p.index(min(p)) :] + p[: p.index(min(p))]) for p in found})
-    return spark.createDataFrame([(list(p), len(turned) > most) for p in turned[:most]], "cycle array<string>, truncated boolean")
+    from .cyclerules import cycles_met
+
+    found = materialize(cycles_met(edges, materialize(components_strong(edges)), most, depth).select("cycle"))
+    return found.orderBy("cycle").limit(most).withColumn("truncated", F.lit(found.count() > most))
 
 
 def contained(edges: DataFrame) -> DataFrame:

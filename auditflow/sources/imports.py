@@ -19,7 +19,7 @@ _RUST_TESTS = re.compile(r"cfg\(test\)|#\[test\]")
 _RUST_FILE = re.compile(r'#\[path\s*=\s*"([^"]*)"\]')
 
 
-def _python(text: str) -> list[tuple[str, bool, bool]]:
+def _python(text: str) -> list[tuple[str, bool, bool, int]]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
@@ -29,10 +29,10 @@ def _python(text: str) -> list[tuple[str, bool, bool]]:
     def visit(node, deferred, guarded):
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.Import):
-                out.extend((a.name, deferred, guarded) for a in child.names)
+                out.extend((a.name, deferred, guarded, child.lineno) for a in child.names)
             elif isinstance(child, ast.ImportFrom):
                 stem = "." * child.level + (child.module or "")
-                out.extend((stem if child.module else stem + a.name, deferred, guarded) for a in child.names)
+                out.extend((stem if child.module else stem + a.name, deferred, guarded, child.lineno) for a in child.names)
             inside = deferred or isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda))
             optional = guarded or isinstance(child, ast.Try) and any(h.type is None or "Error" in ast.dump(h.type) or "Exception" in ast.dump(h.type) for h in child.handlers)
             visit(child, inside, optional)
@@ -41,41 +41,41 @@ def _python(text: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def _rust(text: str) -> list[str]:
+def _rust(text: str) -> dict[str, int]:
     """Paths used, modules declared and files named or included, but for tests."""
     rows = nodes_of(text, "Rust")
     gated = lambda r: any(_RUST_TESTS.search(re.sub(r"\s", "", m)) for m in (r[5], *(rows[i][5] for i in r[9])))
     out = []
     for r in rows:
         if r[2] == "use" and r[4].split("::")[0] in ("crate", "self", "super") and not gated(r):
-            out.append(r[4].split(" as ")[0])
+            out.append((r[4].split(" as ")[0], r[6]))
         elif r[2] == "mod" and not gated(r):
             file = _RUST_FILE.search(r[5])
-            out.append(f"file {file[1]}" if file else f"mod {r[4]}")
+            out.append((f"file {file[1]}" if file else f"mod {r[4]}", r[6]))
         elif r[2] == "macro" and r[4] == "include" and not gated(r):
-            out.append(f"file {r[3]}")
-    return list(dict.fromkeys(out))
+            out.append((f"file {r[3]}", r[6]))
+    return dict(reversed(out))
 
 
-def _script(text: str, language: str) -> list[tuple[str, bool, bool]]:
+def _script(text: str, language: str) -> list[tuple[str, bool, bool, int]]:
     """What is imported, exported again, required or loaded later."""
     rows, out = nodes_of(text, language), []
     for r in rows:
         if r[2] in ("import", "export") and (m := _FROM.search(r[4])):
-            out.append((m[1], False, False))
+            out.append((m[1], False, False, r[6]))
         elif r[2] == "call" and r[4] in ("require", "import") and r[8] == r[0] + 2 and rows[r[8]][2] == "string":
-            out.append((rows[r[8]][4], r[4] == "import", False))
+            out.append((rows[r[8]][4], r[4] == "import", False, r[6]))
     return out
 
 
-def imports_of(text: str | None, language: str | None) -> list[tuple[str, bool, bool]]:
-    """(specifier, deferred, guarded) of a file, by its syntax."""
+def imports_of(text: str | None, language: str | None) -> list[tuple[str, bool, bool, int]]:
+    """(specifier, deferred, guarded, line) of a file, by its syntax."""
     if not text:
         return []
     if language == "Python":
         return _python(text)
     if language == "Rust":
-        return [(spec, False, False) for spec in _rust(text)]
+        return [(spec, False, False, line) for spec, line in _rust(text).items()]
     if language in ("JavaScript", "TypeScript"):
         return _script(text, language)
     rows = [r for r in nodes_of(text, language) if r[2] in ("import", "using") and r[4]]
@@ -83,7 +83,7 @@ def imports_of(text: str | None, language: str | None) -> list[tuple[str, bool,
         rows = [r for r in rows if r[2] == "using" and re.fullmatch(r"[\w.]+", r[4]) and not r[4].startswith("var")]
     elif language in ("Java", "Kotlin"):
         rows = [r for r in rows if re.fullmatch(r"[\w.]+\*?", r[4])]
-    return [(r[4], False, False) for r in rows if r[2] == "import" or language == "C#"]
+    return [(r[4], False, False, r[6]) for r in rows if r[2] == "import" or language == "C#"]
 
 
 def alias_targets(spec: str, aliases: dict[str, list[str]]) -> list[str]:
@@ -157,19 +157,19 @@ def _extract(module: str, aliases: dict[str, list[str]] | None):
         for b in batches:
             rows = []
             for path, language, text in zip(b["path"], b["language"], b["content"]):
-                for spec, deferred, guarded in imports_of(text, language):
-                    rows.append((path, spec, deferred, guarded, candidates(spec, path, language, module, aliases)))
-            yield pd.DataFrame(rows, columns=["src", "spec", "deferred", "guarded", "candidates"])
+                for spec, deferred, guarded, line in imports_of(text, language):
+                    rows.append((path, spec, deferred, guarded, candidates(spec, path, language, module, aliases), line))
+            yield pd.DataFrame(rows, columns=["src", "spec", "deferred", "guarded", "candidates", "line"])
 
     return run
 
 
 def imports(files: DataFrame, module: str = "", aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """(src, spec, deferred, guarded, candidates) of files (path, language, content).
+    """(src, spec, deferred, guarded, candidates, line) of files (path, language, content).
 
     module is Go's module path, aliases are those of tsconfig_aliases().
     """
-    return files.select("path", "language", "content").mapInPandas(_extract(module, aliases), "src string, spec string, deferred boolean, guarded boolean, candidates array<string>")
+    return files.select("path", "language", "content").mapInPandas(_extract(module, aliases), "src string, spec string, deferred boolean, guarded boolean, candidates array<string>, line int")
 
 
 def resolved(found: DataFrame, files: DataFrame) -> DataFrame:

@@ -407,14 +407,15 @@ class Braced:
         if language == "Rust":
             if (f := self.word_before(i, end, "fn", ("{", ";", "=", "("))) is not None and self.ident(f + 1):
                 return self.function(start, f + 1, end, marks)
-            if self.tok(i) == "use" or self.tok(i) == "pub" and "use" in self.t[i : i + 6]:
+            visible = i + 1 if self.tok(i) == "pub" else i
+            visible = self.close(visible, end) + 1 if visible > i and self.tok(visible) == "(" else visible
+            if self.tok(visible) == "use":
                 at = i
                 while at < end and self.t[at] != ";":
                     at += 1
                 leading = "pub" if self.tok(i) == "pub" and self.tok(i + 1) == "use" else ""
-                if "use" in self.t[i:at]:
-                    for path, name in used_paths(self.t, self.t.index("use", i, at) + 1, at):
-                        self.nodes.leaf("use", leading, f"{path} as {name}", self.ln(i), marks)
+                for path, name in used_paths(self.t, visible + 1, at):
+                    self.nodes.leaf("use", leading, f"{path} as {name}", self.ln(i), marks)
                 return at + 1
             if (f := self.word_before(i, end, "mod", ("{", ";", "=", "("))) is not None and self.tok(f + 2) == ";":
                 self.nodes.leaf("mod", "pub" if self.tok(i) == "pub" else "", self.tok(f + 1), self.ln(i), marks)
