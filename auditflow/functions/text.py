@@ -8,7 +8,8 @@ from pyspark.sql import Column, functions as F
 BRANCH_WORDS = ("if ", "else ", "elif ", "for ", "while ", "match ", "switch ", "case ", "catch ")
 COMMENT_STARTS = ("//", "#", "--", "/*", "*", "<!--")
 KEY_HEADERS = ("-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----BEGIN OPENSSH PRIVATE KEY-----", "-----BEGIN PGP PRIVATE KEY BLOCK-----")
-_BLANK = r"^[\s\u0085   -     　]*$"
+#: White space inside brackets.
+_BLANK = r"\s\u0085   -     　"
 
 
 def lines(text: Column) -> Column:
@@ -19,14 +20,15 @@ def lines(text: Column) -> Column:
 
 
 def non_empty_lines(text: Column) -> Column:
-    return F.size(F.filter(lines(text), lambda x: ~x.rlike(_BLANK))).cast("long")
+    """Lines with more than white space: each counts from its first other character to its end."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(rf"[^{_BLANK}][^\n]*")).cast("long")
 
 
 def branches(text: Column) -> Column:
     """Branch words and logical operators on lines that are no comments."""
-    code = F.array_join(F.filter(lines(text), lambda x: ~F.trim(F.translate(x, "\t", " ")).rlike(r"^(//|#|\*)|^/\*")), "\n")
-    words = "(?<![A-Za-z0-9_])(?:" + "|".join(BRANCH_WORDS) + ")"
-    return (F.regexp_count(code, F.lit(words)) + F.regexp_count(code, F.lit(r"&&|\|\|"))).cast("long")
+    code = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?md)^[ \t]*(?://|#|\*|/\*)[^\n]*", "")
+    words = "(?<![A-Za-z0-9_])(?:" + "|".join(BRANCH_WORDS) + r")|&&|\|\|"
+    return F.regexp_count(code, F.lit(words)).cast("long")
 
 
 def marker(line: Column) -> Column:

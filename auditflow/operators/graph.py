@@ -150,27 +150,26 @@ def components_strong(edges: DataFrame) -> DataFrame:
     e = e.filter("src <> dst")
     found = []
     while True:
-        while True:  # trim
-            kept = e
+        before = e.count()
+        while before:  # trim
             for _ in range(3):  # steps a round
-                kept = kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            kept = materialize(kept)
-            before, after = e.count(), kept.count()
-            e = kept
+                e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            e = materialize(e)
+            after = e.count()
             if before == after:
                 break
-        if not after:
+            before = after
+        if not before:
             break
         colour = materialize(nodes_of(e).withColumn("c", F.col("node")))
         while True:
-            new = colour
-            for _ in range(3):  # steps a round
-                offers = e.join(new, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c")
-                new = new.unionByName(offers).groupBy("node").agg(F.max("c").alias("c"))
+            new = colour.select("node", "c", F.col("c").alias("was"))
+            for _ in range(4):  # steps a round
+                offers = e.join(new, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c", F.lit(None).cast(colour.schema["c"].dataType).alias("was"))
+                new = new.unionByName(offers).groupBy("node").agg(F.max("c").alias("c"), F.max("was").alias("was"))
             new = materialize(new)
-            same = new.exceptAll(colour).isEmpty()
-            colour = new
-            if same:
+            colour = new.select("node", "c")
+            if new.filter("c <> was").isEmpty():
                 break
         inside = e.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
         roots = colour.filter("node = c").select("node", F.col("node").alias("root"))
