@@ -667,7 +667,7 @@ def expired_suppressions(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("entry"), review.expired(text_, F.current_date()).alias("expired"))
 
 
-from . import code_catalog, module_catalog, report_catalog, source_catalog, syntax_catalog  # noqa: E402, F401  they register more queries
+from . import class_catalog, code_catalog, module_catalog, report_catalog, source_catalog, syntax_catalog  # noqa: E402, F401  they register more queries
 
 
 def queries() -> dict[str, Query]:

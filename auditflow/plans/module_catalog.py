@@ -55,7 +55,9 @@ PACKAGES = (
     ("Python", "b.py", "def run():\n    from . import a\n    import p{g}.c\n\ntext = 'import p{g}.d'\n# import p{g}.d\n", ("~a.py", "~c.py")),
     ("Python", "c.py", "try:\n    import p{g}.d\nexcept ImportError:\n    pass\n", ("d.py",)),
     ("Python", "d.py", "x = 1\n", ()),
-    ("Java", "src/main/java/org/A.java", "package org;\nimport org.B;\nimport static java.util.List.of;\n// import org.C;\n", ()),
+    ("Java", "src/main/java/org/A.java", "package org;\nimport org.B;\nimport static java.util.List.of;\n// import org.A;\n", ("src/main/java/org/B.java",)),
+    ("Go", "go/main.go", "package main\n\nimport (\n\t\"fmt\"\n\tb \"ex.org/m/p{g}/go/b\"\n)\n\nvar s = \"ex.org/m/p{g}/go/c\"\n", ("go/b/a.go",)), ("Go", "go/b/a.go", "package b\n", ()), ("Go", "go/b/z.go", "package b\n", ()), ("Go", "go/c/c.go", "package c\n", ()),
+    ("Kotlin", "kt/src/org/k/C.kt", "package org.k\n\nimport org.k.D as E\nimport kotlin.math.*\n", ("kt/src/org/k/D.kt",)), ("Kotlin", "kt/src/org/k/D.kt", "package org.k\n", ()),
     ("Java", "src/main/java/org/B.java", "package org;\n", ()),
     ("JavaScript", "web/a.js", "import x, {\n  y,\n} from './b';\nexport * from './c.js';\nconst z = require('./lib');\nimport('./late').then(f);\n// import './d';\nimport React from 'react';\n", ("web/b.jsx", "web/c.js", "web/lib/index.js", "~web/late.js")),
     ("JavaScript", "web/b.jsx", "", ()), ("JavaScript", "web/c.js", "", ()), ("JavaScript", "web/lib/index.js", "", ()), ("JavaScript", "web/late.js", "", ()), ("JavaScript", "web/d.js", "", ()),
@@ -78,7 +80,7 @@ def packages(spark, sf_dir) -> DataFrame:
 )
 def package_import_edges(spark, sf_dir):
     f = packages(spark, sf_dir)
-    return imports.edges(imports.resolved(imports.imports(f), f))
+    return imports.edges(imports.resolved(imports.imports(f, "ex.org/m"), f))
 
 
 # ---- symbols handed on ----------------------------------------------------------------------

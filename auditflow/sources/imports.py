@@ -147,8 +147,9 @@ def candidates(spec: str, path: str, language: str | None, module: str = "", ali
         inside = module and (spec == module or spec.startswith(module + "/"))
         return [(spec[len(module) :].strip("/") or ".") + "/"] if inside else []
     if language in ("Java", "Kotlin"):
-        p = spec.replace(".", "/")
-        return [f"{top}{p}.{e}" for top in ("", "src/main/java/", "src/main/kotlin/", "src/") for e in ("java", "kt")]
+        p, parts = spec.replace(".", "/"), path.split("/")[:-1]
+        above = ["/".join(parts[:i]) + "/" for i in range(len(parts), 0, -1)]  # the file's own source root is one of them
+        return [f"{top}{p}.{e}" for top in dict.fromkeys((*above, "", "src/main/java/", "src/main/kotlin/", "src/")) for e in ("java", "kt")]
     return []
 
 

@@ -900,6 +900,9 @@ def _python(text: str, structures: frozenset[str]) -> list[list]:
             names = [_dotted(t) for target in targets for t in (target.elts if isinstance(target, (ast.Tuple, ast.List)) else [target])]
             here = nodes.begin("assign", "+=" if isinstance(node, ast.AugAssign) else "=", ",".join(names)[:200], line)
             each([t for t in targets if not isinstance(t, (ast.Name, ast.Tuple, ast.List))] + ([node.value] if node.value else []))
+        elif isinstance(node, (ast.Import, ast.ImportFrom)):
+            names = ",".join(a.name for a in node.names)
+            return nodes.leaf("import", "", f"{'.' * node.level}{node.module or ''} {names}" if isinstance(node, ast.ImportFrom) else names, line)
         elif isinstance(node, ast.Assert):
             here = nodes.begin("assert", "", "", line)
             each(ast.iter_child_nodes(node))
