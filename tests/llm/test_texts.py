@@ -175,6 +175,52 @@ def _spans(text):
     return [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found)]
 
 
+OPAQUE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,}")
+
+
+def _all_spans(rows):
+    """The listing of every row's spans, those by ownership among them."""
+    found, owners, repositories = [], collections.defaultdict(set), collections.defaultdict(set)
+    for _, text, lang, source, *_ in rows:
+        t, mine = text or "", []
+        for name in _spans(text):
+            kind, a, b = name.split(":")
+            a, b = int(a), int(b)
+            value = ASSIGN.match(t, a)[2] if kind == "assign" else t[a:b]
+            mine.append((a, ("assign", "access", "hex").index(kind), b, value))
+        for m in OPAQUE.finditer(t):
+            if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]):
+                mine.append((m.start(), 3, m.end(), m[0]))
+        for *_, value in mine:
+            owners[value].add(source)
+            repositories[value].add((source, lang))
+        found.append(mine)
+    out = []
+    for mine in found:
+        spans = {(a, k, b) for a, k, b, _ in mine}
+        for _, _, b, value in mine:
+            if len(owners[value]) >= 3 or len(repositories[value]) >= 3:
+                spans.add((b - len(value), 4, b))
+            elif len(owners[value]) == 1 and len(set(value)) >= 8:
+                spans.add((b - len(value), 5, b))
+        out.append(",".join(f"{secretscan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)))
+    return out
+
+
+def test_all_spans_by_brute_force(spark, small):
+    """Values shared by owners, by repositories of one owner, and by none; long opaque ones beside them."""
+    rng = random.Random(12)
+    keys = ["".join(rng.choice("abcdefXYZ0189_-") for _ in range(rng.choice((7, 20, 33, 40)))) for _ in range(25)] + ["0123456789abcdef" * 2, "AKIA" + "Z9" * 12, "aaaaaaaa"]
+    rows = []
+    for i in range(260):
+        text = " ".join(rng.choice((f"token={rng.choice(keys)}", rng.choice(keys), f"é\"{rng.choice(keys)}\"", "plain words", "password: ")) for _ in range(rng.randint(0, 6)))
+        rows.append((i, text or None, rng.choice(("en", "fr", None)), rng.choice(("s1", "s2", "s3", "s4", None)), 0))
+    rows += [(1000 + r.doc_id, r.text, r.lang, r.source, 0) for r in store.table(spark, small, "documents").collect()]
+    got = {r.doc_id: r.spans for r in secretscan.scan_secrets(frame(spark, rows)).collect()}
+    assert got == {r[0]: x for r, x in zip(rows, _all_spans(rows))}
+    assert {k for x in got.values() for k in re.findall("[a-z]+(?=:)", x)} == set(secretscan.KINDS)
+
+
 def test_secrets(spark, small):
     odd = [
         (1, "secret=token : abcdefgh é \"api_KEY\" = 'x.y-z/=+' ſecret=abcdefg", "en", "s1", 0), (2, None, None, None, 0), (3, "toKen=abcdefpassword=abcdefgtoken=abc", "en", "s1", 0),
@@ -195,5 +241,5 @@ def test_secrets(spark, small):
 
 
 def test_registered():
-    assert sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0])) == [f"op{i}_{n}" for i, n in enumerate(("lm_score", "best_fit_packing", "mix_sources", "minhash_dedup", "exact_topk", "line_dedup", "substring_dedup", "secret_scan", "quality_rules", "token_counts"), 1)]
+    assert sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0])) == [f"op{i}_{n}" for i, n in enumerate(("lm_score", "best_fit_packing", "mix_sources", "minhash_dedup", "exact_topk", "line_dedup", "substring_dedup", "secret_scan", "quality_rules", "token_counts", "hard_negatives", "centroid_clustering", "url_filter"), 1)]
     assert lower("ÀB") == "Àb"
