@@ -5,7 +5,8 @@ spans any number of them, a pattern without a slash but at its end fits at any d
 ends in a slash fits what is below such a folder.  A pattern that fits a folder fits all below it.
 
 Patterns go into a trie, segment by segment: plain segments are looked up by name, those with
-wildcards are tried one by one, and a leaf keeps the numbers of the patterns that end there.  A path
+wildcards by the plain text that they end or begin with, and a leaf keeps the numbers of the patterns
+that end there.  A path
 goes down the trie once, whatever the number of patterns.  A trie of at most `block` patterns is
 broadcast; longer lists make several, one pass over the paths each, whose best numbers are compared.
 """
@@ -38,14 +39,35 @@ def segments(pattern: str) -> list[str]:
 
 
 class _Node:
-    __slots__ = ("any", "below", "first", "last", "wild")
+    __slots__ = ("any", "below", "first", "heads", "last", "tails", "wild")
 
     def __init__(self):
         self.below: dict[str, _Node] = {}
-        self.wild: dict[str, tuple[re.Pattern, _Node]] = {}
+        self.wild: dict[str, _Node] = {}
+        # of segments with wildcards: by length, then by text, of what they end with, else of what they begin with
+        self.tails: dict[int, dict[str, list[tuple[re.Pattern, _Node]]]] = {}
+        self.heads: dict[int, dict[str, list[tuple[re.Pattern, _Node]]]] = {}
         self.any: _Node | None = None  # below **
         self.first = self.last = None  # numbers of the patterns that end here
 
+    def wildcard(self, text: str) -> _Node:
+        """The node below a segment with wildcards."""
+        if text not in self.wild:
+            self.wild[text] = node = _Node()
+            tail, head = re.split(r"[*?]", text)[-1], re.split(r"[*?]", text)[0]
+            index, key = (self.tails, tail) if tail else (self.heads, head)
+            index.setdefault(len(key), {}).setdefault(key, []).append((_segment(text), node))
+        return self.wild[text]
+
+    def steps(self, part: str) -> list[_Node]:
+        """The nodes that a path's segment leads to."""
+        found = [self.below[part]] if part in self.below else []
+        for size, by_text in self.tails.items():
+            found += [n for pattern, n in by_text.get(part[len(part) - size :] if size <= len(part) else "", ()) if pattern.match(part)]
+        for size, by_text in self.heads.items():
+            found += [n for pattern, n in by_text.get(part[:size], ()) if pattern.match(part)]
+        return found
+
 
 def _segment(text: str) -> re.Pattern:
     return re.compile("".join(".*" if t == "*" else "." if t == "?" else re.escape(t) for t in re.findall(r"\*+|\?|[^*?]+", text.replace("**", "*"))) + r"\Z", re.S)
@@ -64,9 +86,7 @@ class PatternIndex:
                     node.any = node.any or _Node()
                     node = node.any
                 elif "*" in p or "?" in p:
-                    if p not in node.wild:
-                        node.wild[p] = (_segment(p), _Node())
-                    node = node.wild[p][1]
+                    node = node.wildcard(p)
                 else:
                     node = node.below.setdefault(p, _Node())
             if parts:
@@ -84,10 +104,7 @@ class PatternIndex:
                     seen_any.append(node.any)
             step: list[_Node] = []
             for node in (*here, *seen_any):
-                hit = node.below.get(part)
-                if hit is not None:
-                    step.append(hit)
-                step += [n for pattern, n in node.wild.values() if pattern.match(part)]
+                step += node.steps(part)
             here = list(dict.fromkeys(step))
             for node in here:
                 number = node.last if last else node.first

@@ -12,7 +12,9 @@ clean; SQL with the value as a bound parameter, and files of tests, are left out
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -67,8 +69,9 @@ def uses(nodes: DataFrame) -> DataFrame:
     """
     guard = F.coalesce(F.array_max(F.transform(F.filter("around", lambda a: (a["kind"] == "call") & a["name"].isin(*COERCIONS)), lambda a: a["pre"])), F.lit(-1))
     first = lambda a: F.exists("around", lambda b: (b["kind"] == "arg") & (b["pre"] == a["pre"] + 1))
+    any_sink, sql = "|".join(p for _, p in SINKS), dict(SINKS)["taint-sql"]
     sink = lambda a: F.when(a["kind"] == "call", _kind_of(a["name"], SINKS))
-    inside = F.filter("around", lambda a: (a["pre"] > F.greatest("scope", guard)) & ((a["kind"] == "assign") | sink(a).isNotNull() & ((sink(a) != "taint-sql") | first(a))))
+    inside = F.filter("around", lambda a: (a["pre"] > F.greatest("scope", guard)) & ((a["kind"] == "assign") | (a["kind"] == "call") & a["name"].rlike(any_sink) & (~a["name"].rlike(sql) | first(a))))
     targets = F.transform(inside, lambda a: F.struct(a["pre"].alias("pre"), sink(a).alias("sink"), a["first"].alias("line"), a["name"].alias("name")))
     call = F.col("kind") == "call"
     key = F.when(call, F.regexp_extract(_path(F.col("name")), r"^(.*)\.[^.]*$", 1)).otherwise(_path(F.col("name")))
@@ -87,15 +90,27 @@ def reaching(used: DataFrame, defined: DataFrame) -> DataFrame:
     return used.join(found, ["path", "use"], "left")
 
 
-def _settled(edges: pd.DataFrame) -> pd.DataFrame:
-    """The tainted definitions of one function: edges lead to later definitions only."""
-    source: dict[int, str] = {}
-    for e in edges.sort_values(["pos", "src"], na_position="first").itertuples():
-        found = e.source if e.source is not None else source.get(int(e.src)) if e.src == e.src else None
-        if found is not None:
-            source[e.dst] = min(found, source.get(e.dst, found))
-    rows = [(edges["path"].iloc[0], d, s) for d, s in source.items()]
-    return pd.DataFrame(rows, columns=["path", "def", "from"])
+_SETTLED = pa.schema([("path", pa.string()), ("def", pa.int32()), ("from", pa.string())])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tainted definitions, from edges (path, scope, src, dst, source) that come function by function, in order.
+
+    Edges lead to later definitions only, so one look at each is enough.
+    """
+    key, known = None, {}
+    for batch in batches:
+        rows = []
+        for path, scope, src, dst, own in zip(*(c.to_pylist() for c in batch.columns)):
+            if (path, scope) != key:
+                key, known = (path, scope), {}
+            found = own if own is not None else known.get(src)
+            best = None if found is None else min(found, known.get(dst, found))
+            if best is not None and best != known.get(dst):
+                known[dst] = best
+                rows.append((path, dst, best))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SETTLED)], schema=_SETTLED)
 
 
 def taint(files: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
@@ -103,7 +118,9 @@ def taint(files: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
 
     ranges: (path, start, stop) of changed lines, outside which sinks are left out.
     """
-    n = syntax.nodes(files.filter(~paths.test_file(F.col("path"))), KINDS, AROUND)
+    # a file that names no source has no flow
+    named = F.col("content").rlike(r"\b(?:req|request|FormValue|URL\.Query|PostFormValue|Header\.Get|getParameter|argv|os\.Args|env::args)\b")
+    n = syntax.nodes(files.filter(~paths.test_file(F.col("path")) & named), KINDS, AROUND)
     n = materialize(n.withColumns({"scope": F.coalesce(owner()["pre"], F.lit(-1)), "function": F.coalesce(owner()["name"], F.lit(""))}))
     defined = definitions(n)
     own = F.array(F.struct(F.col("def").alias("pre"), F.lit(None).cast("string").alias("sink"), F.lit(0).alias("line"), F.lit("").alias("name")))
@@ -112,7 +129,8 @@ def taint(files: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
     ends = defined.groupBy("path", "def").agg(F.max("pos").alias("pos"))
     flow = met.select("path", "scope", F.col("def").alias("src"), "source", F.explode("targets").alias("t")).filter("t.sink IS NULL AND (source IS NOT NULL OR src IS NOT NULL)")
     edges = flow.select("path", "scope", "src", F.col("t.pre").alias("dst"), "source").join(ends.select("path", F.col("def").alias("dst"), "pos"), ["path", "dst"])
-    tainted = edges.groupBy("path", "scope").applyInPandas(_settled, "path string, def int, from string")
+    ordered = edges.repartition("path").sortWithinPartitions("path", "scope", "pos", F.col("src").asc_nulls_first()).select("path", "scope", "src", "dst", "source")
+    tainted = ordered.mapInArrow(_settled, "path string, def int, from string").groupBy("path", "def").agg(F.min("from").alias("from"))
     hits = met.select("path", "function", "def", "source", F.explode("targets").alias("t")).filter("t.sink IS NOT NULL").join(tainted, ["path", "def"], "left")
     hits = hits.withColumn("source", F.coalesce("source", "from")).filter("source IS NOT NULL").select("path", "function", F.col("t.sink").alias("kind"), F.col("t.line").alias("line"), "source", F.col("t.pre").alias("pre"), F.col("t.name").alias("name"))
     # a file opened for reading is no sink: the mode stands among the arguments

@@ -193,5 +193,5 @@ def pattern_index_matches(spark, sf_dir):
     t = F.floor(k / 6)
     glob = F.replace(F.replace(_pick(_FORMS, k % 6), F.lit("{k}"), t.cast("string")), F.lit("{m}"), (t % 9).cast("string"))
     rules = parts.select(k.alias("no"), glob.alias("glob"))
-    both = patternindex.match(patternindex.match(parts.select(path.alias("path")), rules.withColumnRenamed("no", "last"), "last", "glob", last=True), rules.withColumnRenamed("no", "first"), "first", "glob", block=700)
+    both = patternindex.match(patternindex.match(parts.select(path.alias("path")), rules.withColumnRenamed("no", "last"), "last", "glob", last=True), rules.withColumnRenamed("no", "first"), "first", "glob")
     return both.filter("last IS NOT NULL")

@@ -56,6 +56,11 @@ def _pick(values, number: Column) -> Column:
     return F.get(F.array(*(F.lit(v) for v in values)), number.cast("int"))
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files over all cores: the tables that they are made of are one file each."""
+    return files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism), "path")
+
+
 def sources(spark, sf_dir) -> DataFrame:
     """(c_custkey, path, language, content): a file for each customer, its function nested c_custkey % 8 deep."""
     k = F.col("c_custkey")
@@ -64,7 +69,7 @@ def sources(spark, sf_dir) -> DataFrame:
     braced = F.concat(part(2), part(3), F.repeat(part(4), n), part(5), F.repeat(part(6), n), part(7), part(8))
     steps = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.when(i <= n, F.concat(F.repeat(F.lit("    "), i), F.lit("if c:\n"))).otherwise("")), "")
     python = F.concat(F.lit(_PY[2] + _PY[3]), steps, F.repeat(F.lit("    "), n + 1), F.lit("run(c)\n"), F.lit(_PY_TAIL))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("src/s"), k, F.lit("."), _pick([s[1] for s in SOURCES] + ["py"], no)).alias("path"), _pick(LANGUAGES, no).alias("language"), F.when(no == len(SOURCES), python).otherwise(braced).alias("content"))
+    return _dealt(table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("src/s"), k, F.lit("."), _pick([s[1] for s in SOURCES] + ["py"], no)).alias("path"), _pick(LANGUAGES, no).alias("language"), F.when(no == len(SOURCES), python).otherwise(braced).alias("content")))
 
 
 def _planted() -> str:
@@ -174,7 +179,7 @@ def risky(spark, sf_dir) -> DataFrame:
         slots = [_pick([s[0] for s in statements], F.expr(_slot(j, len(statements)).replace("//", "div"))) for j in range(_SLOTS)]
         body = F.when(no == i, F.concat(F.lit(head), *slots, F.lit(tail))).otherwise(body)
     path = F.concat(_pick(_FOLDERS, folder), F.lit("/r"), k, F.lit("."), _pick([_ENDING[x] for x in _RISKY], no))
-    return table(spark, sf_dir, "customer").select(path.alias("path"), _pick(_RISKY, no).alias("language"), body.alias("content"))
+    return _dealt(table(spark, sf_dir, "customer").select(path.alias("path"), _pick(_RISKY, no).alias("language"), body.alias("content")))
 
 
 def _risks() -> str:
@@ -249,7 +254,8 @@ def chains(spark, sf_dir) -> DataFrame:
             last = sink.replace("{use}", "\x00").replace("{more}", ", v{n}" if case == "bound" else "").replace("{{", "{").replace("}}", "}").replace("\x00", use)
             made = F.when((k % 3 == i) & ((k / 3).cast("int") % 8 == j), F.concat(F.lit(head), steps, fill(before[case], n, n), fill(last, n, n), F.lit("" if i == 0 else "}\n"))).otherwise(made)
     folder = F.when(k % 9 == 4, "tests/c").otherwise("src/c")
-    return table(spark, sf_dir, "customer").select(F.concat(folder, k, F.lit("."), _pick([c[0] for c in _CHAINS], k % 3)).alias("path"), _pick([c[1] for c in _CHAINS], k % 3).alias("language"), made.alias("content"))
+    files = table(spark, sf_dir, "customer").select(F.concat(folder, k, F.lit("."), _pick([c[0] for c in _CHAINS], k % 3)).alias("path"), _pick([c[1] for c in _CHAINS], k % 3).alias("language"), made.alias("content"))
+    return _dealt(files)
 
 
 _TAINTED = ", ".join(str(j) for j, c in enumerate(_CASES) if c[2])

@@ -125,6 +125,9 @@ def test_a_hundred_thousand_owner_rules(spark):
     paths = spark.createDataFrame([("pkg7/a.py",), ("pkg49999/x/y.py",), ("other.py",), ("pkg7",)], "path string")
     got = {r.path: r.owners for r in patternindex.owners(paths, rules).collect()}
     assert got == {"pkg7/a.py": ["@o50007"], "pkg49999/x/y.py": ["@o99999"], "other.py": None, "pkg7": None}
+    for last in (True, False):  # in several tries
+        several = {r.path: r.rule_no for r in patternindex.match(paths, rules, "rule_no", "glob", last, block=30_000).collect()}
+        assert several == {"pkg7/a.py": 50_007 if last else 7, "pkg49999/x/y.py": 99_999 if last else 49_999, "other.py": None, "pkg7": None}
     assert patternindex.owners(paths, rules.limit(0)).filter("owners IS NOT NULL").count() == 0
 
 
