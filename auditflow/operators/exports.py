@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.paths import extension, parent
+from ..plans.storage import shuffled
 
 _ALL = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 _NAME = lambda c, pattern: F.filter(F.transform(c, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != "")
@@ -62,6 +63,6 @@ def unresolved_totals(resolved: DataFrame, files: DataFrame) -> DataFrame:
     dirs = files.select(F.explode(F.split(parent(F.col("path")), "/")).alias("_dir")).filter("_dir <> ''").distinct()
     open_ = resolved.filter("dst IS NULL AND NOT guarded AND trim(spec) <> ''").withColumn("spec", F.trim("spec"))
     first = F.element_at(F.filter(F.split("spec", r"[/\\.:]"), lambda s: s != ""), 1)
-    j = open_.withColumn("_first", first).join(dirs, F.col("_first") == F.col("_dir"), "left")
+    j = open_.withColumn("_first", first).join(shuffled(dirs), F.col("_first") == F.col("_dir"), "left")
     kind = unresolved_kind(F.col("spec"), F.col("src"), F.when(F.col("_dir").isNotNull(), F.array("_dir")).otherwise(F.array().cast("array<string>")))
     return j.select(extension(F.col("src")).alias("ext"), kind.alias("kind")).filter("kind IS NOT NULL").groupBy("ext", "kind").agg(F.count(F.lit(1)).alias("n"))

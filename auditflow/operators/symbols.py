@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.storage import materialize
+from ..plans.storage import dealt, materialize, shuffled
 from .exports import exported
 
 _SCRIPT = ("JavaScript", "TypeScript")
@@ -53,7 +53,7 @@ def again(files: DataFrame) -> DataFrame:
 def placed(handed: DataFrame, resolved: DataFrame) -> DataFrame:
     """(path, symbol, dst, target): again() with the files meant, from resolved imports (src, spec, dst)."""
     r = resolved.filter("dst IS NOT NULL").select(F.col("src").alias("path"), "spec", "dst").distinct()
-    return handed.join(r, ["path", "spec"]).select("path", "symbol", "dst", "target")
+    return handed.join(shuffled(r), ["path", "spec"]).select("path", "symbol", "dst", "target")
 
 
 def closure(own_: DataFrame, handed: DataFrame) -> DataFrame:
@@ -68,10 +68,10 @@ def closure(own_: DataFrame, handed: DataFrame) -> DataFrame:
         known = done[0]
         for more in done[1:]:
             known = known.unionByName(more)
-        at = new.select(F.col("path").alias("dst"), F.col("symbol").alias("target"), "origin", "origin_symbol")
+        at = shuffled(new.select(F.col("path").alias("dst"), F.col("symbol").alias("target"), "origin", "origin_symbol"))
         by_name = named.join(at, ["dst", "target"]).select("path", "symbol", "origin", "origin_symbol")
-        by_star = stars.join(at.filter("target <> 'default'"), "dst").select("path", F.col("target").alias("symbol"), "origin", "origin_symbol").join(explicit, ["path", "symbol"], "left_anti")
-        step = by_name.unionByName(by_star).join(known.select("path", "symbol"), ["path", "symbol"], "left_anti")
+        by_star = stars.join(at.filter("target <> 'default'"), "dst").select("path", F.col("target").alias("symbol"), "origin", "origin_symbol").join(shuffled(explicit), ["path", "symbol"], "left_anti")
+        step = by_name.unionByName(by_star).join(shuffled(known.select("path", "symbol")), ["path", "symbol"], "left_anti")
         new = materialize(step.groupBy("path", "symbol").agg(F.min(F.struct("origin", "origin_symbol")).alias("o")).select("path", "symbol", "o.origin", "o.origin_symbol"))
         if new.isEmpty():
             return known
@@ -85,10 +85,11 @@ def closure(own_: DataFrame, handed: DataFrame) -> DataFrame:
 
 def of_files(files: DataFrame, resolved: DataFrame) -> DataFrame:
     """The closure of files, whose imports are resolved (src, spec, dst)."""
+    files = dealt(files, "path")
     return closure(materialize(own(files)), placed(again(files), resolved))
 
 
 def lost(before: DataFrame, after: DataFrame, used: DataFrame) -> DataFrame:
     """(importer, dst, symbol, origin): imports (importer, dst, symbol) that found their symbol before and no longer do."""
-    gone = before.join(after.select("path", "symbol"), ["path", "symbol"], "left_anti")
-    return used.select("importer", "dst", "symbol").distinct().join(gone.select(F.col("path").alias("dst"), "symbol", "origin"), ["dst", "symbol"]).select("importer", "dst", "symbol", "origin")
+    gone = before.join(shuffled(after.select("path", "symbol")), ["path", "symbol"], "left_anti")
+    return used.select("importer", "dst", "symbol").distinct().join(shuffled(gone.select(F.col("path").alias("dst"), "symbol", "origin")), ["dst", "symbol"]).select("importer", "dst", "symbol", "origin")

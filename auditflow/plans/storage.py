@@ -23,6 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt over all cores: a small file may hold the rows of hours of work, and is read by one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast.
+
+    Spark judges by the size of the files below, and what Python makes of them, or packed columns
+    hold, can be a hundred times that: the driver would gather it all.
+    """
+    return df.hint("merge")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back.
 

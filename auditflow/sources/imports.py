@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.paths import parent
+from ..plans.storage import dealt, materialize, shuffled
 from .syntax import nodes_of
 
 _FROM = re.compile(r"""(?:^|from\s*)['"]([^'"]+)['"]$""")
@@ -170,18 +171,19 @@ def imports(files: DataFrame, module: str = "", aliases: dict[str, list[str]] |
 
     module is Go's module path, aliases are those of tsconfig_aliases().
     """
-    return files.select("path", "language", "content").mapInPandas(_extract(module, aliases), "src string, spec string, deferred boolean, guarded boolean, candidates array<string>, line int")
+    return dealt(files.select("path", "language", "content"), "path").mapInPandas(_extract(module, aliases), "src string, spec string, deferred boolean, guarded boolean, candidates array<string>, line int")
 
 
 def resolved(found: DataFrame, files: DataFrame) -> DataFrame:
     """imports with dst: the first candidate that is a file; null where none is."""
+    found = materialize(found)  # read twice below
     each = found.select("src", "spec", F.posexplode("candidates").alias("i", "dst"))
     # of a directory (Go's package), its first source file stands for it
     go = files.filter(F.endswith("path", F.lit(".go")) & ~F.endswith("path", F.lit("_test.go")))
     first = go.groupBy(F.concat(F.when(parent(F.col("path")) == "", ".").otherwise(parent(F.col("path"))), F.lit("/")).alias("dst")).agg(F.min("path").alias("means"))
     known = files.select(F.col("path").alias("dst"), F.col("path").alias("means")).unionByName(first)
-    hit = each.join(known, "dst").groupBy("src", "spec").agg(F.min_by("means", "i").alias("dst"))
-    return found.join(hit, ["src", "spec"], "left")
+    hit = each.join(shuffled(known), "dst").groupBy("src", "spec").agg(F.min_by("means", "i").alias("dst"))
+    return found.join(shuffled(hit), ["src", "spec"], "left")
 
 
 def unresolved(resolved_: DataFrame) -> DataFrame:

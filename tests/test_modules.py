@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditflow.operators import cyclerules, exports, graph, patternindex, symbols
+from auditflow.plans import catalog
 from auditflow.sources import imports, rustmodules, syntax
 
 FILES = "path string, language string, content string"
@@ -134,3 +135,15 @@ def test_a_hundred_thousand_owner_rules(spark):
 def test_bounded_cycles_say_what_is_left_out(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "d"), ("d", "c")], "src string, dst string")
     assert [(r.cycle, r.truncated) for r in graph.bounded_cycles(e, most=1).collect()] == [(["a", "b"], True)]
+
+
+@pytest.mark.parametrize("query", ["import_edges", "lost_symbols", "package_import_edges", "symbol_closure", "unresolved_import_findings", "unresolved_imports"])
+def test_what_files_hold_is_never_broadcast(spark, small, query):
+    """Rows that Python makes, or that files hold packed, are larger than Spark thinks; the driver must not gather them."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    catalog.queries()[query](spark, small).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(before, store.executionsCount())]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("BroadcastExchange" in p for p in plans)
