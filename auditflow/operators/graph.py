@@ -195,16 +195,31 @@ def cycles(components: DataFrame) -> DataFrame:
 def shortest_cycles(edges: DataFrame, components: DataFrame, starts: int = 64) -> DataFrame:
     """(component, start, length): the shortest cycle through one of a component's first nodes.
 
-    Of equally short ones, the first start counts.  A self loop has length 1.
+    Of equally short ones, the first start counts.  A self loop has length 1.  All starts of a
+    component walk together; once one of them has closed a cycle no later round has a shorter one,
+    and the component's walks end.
     """
     c = materialize(components)
     e = edges.select("src", "dst").distinct().join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
     e = materialize(e)
     w = Window.partitionBy("component").orderBy("node")
     first = c.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= starts).select("component", F.col("node").alias("start"), "node")
-    reach = spread(e, first, None, ["component", "start"])
-    closing = reach.join(e, F.col("node") == F.col("src")).filter("dst = start").groupBy("component", "start").agg((F.min("hop") + 1).alias("length"))
-    return closing.groupBy("component").agg(F.min(F.struct("length", "start")).alias("x")).select("component", "x.start", "x.length")
+    frontier = materialize(first)
+    seen, found, length = [frontier], [], 0
+    while True:
+        length += 1
+        # the frontier's edges back to the starts are few; the others are followed only where a component has none
+        closing = materialize(frontier.join(e, (F.col("node") == F.col("src")) & (F.col("start") == F.col("dst"))).groupBy("component").agg(F.min("start").alias("start")).withColumn("length", F.lit(length)))
+        found.append(closing)
+        going = frontier.join(closing.select("component"), "component", "left_anti")
+        known = reduce(DataFrame.unionByName, seen)
+        step = going.join(e, F.col("node") == F.col("src")).select("component", "start", F.col("dst").alias("node")).distinct()
+        frontier = materialize(step.join(known, ["component", "start", "node"], "left_anti"))
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, found).select("component", "start", "length")
+        seen.append(frontier)
+        if len(seen) > 8:  # keep plans and file lists short on long rings
+            seen, found = [materialize(reduce(DataFrame.unionByName, seen))], [materialize(reduce(DataFrame.unionByName, found))]
 
 
 def dead(nodes: DataFrame, edges: DataFrame) -> DataFrame:
