@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import extension, has_component, parent
-from ..plans.storage import materialize
+from ..plans.storage import materialize, release, shuffled
 
 #: The edge kinds that are dependencies.
 DEPENDENCY_KINDS = ("imports", "re-exports", "depends-on")
@@ -96,10 +96,14 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None, by: list[str]
         step = frontier.join(e, F.col("node") == F.col("src")).select(*by, F.col("dst").alias("node")).distinct()
         frontier = materialize(step.join(known, [*by, "node"], "left_anti").withColumn("hop", F.lit(hop)))
         if not frontier.take(1):
+            release(frontier)
             break
         seen.append(frontier)
         if len(seen) > 8:  # keep plans and file lists short on long chains
-            seen = [materialize(reduce(DataFrame.unionByName, seen))]
+            parts, seen = seen, [materialize(reduce(DataFrame.unionByName, seen))]
+            for part in parts[:-1]:  # the last one is the frontier
+                release(part)
+    release(e)
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -144,18 +148,24 @@ def components_strong(edges: DataFrame) -> DataFrame:
     Rounds of colouring: nodes that cannot lie on a cycle are trimmed, the greatest name that
     reaches a node colours it, and what reaches a colour's own node within the colour is its
     component.  component is its smallest node.
+    The rounds run over numbers in the order of the names, and keep the files of the last one alone.
     """
-    e = materialize(edges.select("src", "dst").distinct())
-    loops = e.filter("src = dst").select(F.col("src").alias("node"))
-    e = e.filter("src <> dst")
+    links = materialize(edges.select("src", "dst").distinct())
+    loops = links.filter("src = dst").select(F.col("src").alias("node"))
+    links = links.filter("src <> dst")
+    names = materialize(nodes_of(links).orderBy("node").select(F.monotonically_increasing_id().alias("id"), "node"))
+    number = lambda end: shuffled(names.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id")))
+    e = materialize(links.join(number("src"), "src").join(number("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
     found = []
     while True:
         before = e.count()
         while before:  # trim
+            trimmed = e
             for _ in range(3):  # steps a round
-                e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            e = materialize(e)
+                trimmed = trimmed.join(trimmed.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(trimmed.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            last, e = e, materialize(trimmed)
             after = e.count()
+            release(last)
             if before == after:
                 break
             before = after
@@ -165,22 +175,26 @@ def components_strong(edges: DataFrame) -> DataFrame:
         while True:
             new = colour.select("node", "c", F.col("c").alias("was"))
             for _ in range(4):  # steps a round
-                offers = e.join(new, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c", F.lit(None).cast(colour.schema["c"].dataType).alias("was"))
+                offers = e.join(new, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c", F.lit(None).cast("long").alias("was"))
                 new = new.unionByName(offers).groupBy("node").agg(F.max("c").alias("c"), F.max("was").alias("was"))
-            new = materialize(new)
-            colour = new.select("node", "c")
-            if new.filter("c <> was").isEmpty():
+            last, colour = colour, materialize(new)
+            release(last)
+            if colour.filter("c <> was").isEmpty():
                 break
-        inside = e.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
-        roots = colour.filter("node = c").select("node", F.col("node").alias("root"))
+        of = colour.select("node", "c")
+        inside = e.join(of.toDF("src", "a"), "src").join(of.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
+        roots = of.filter("node = c").select("node", F.col("node").alias("root"))
         mine = materialize(spread(reverse(inside), roots, None, ["root"]).select("root", "node"))
+        release(colour)
         found.append(mine)
         done = mine.select("node")
-        e = materialize(e.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        last, e = e, materialize(e.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        release(last)
     if found:
         all_ = reduce(DataFrame.unionByName, found)
-        named = all_.groupBy("root").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        strong = all_.join(named, "root").select("node", "component")
+        numbered = all_.groupBy("root").agg(F.min("node").alias("id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        smallest = numbered.join(shuffled(names), "id").select("root", F.col("node").alias("component"))
+        strong = all_.withColumnRenamed("node", "id").join(shuffled(names), "id").join(smallest, "root").select("node", "component")
     else:
         strong = loops.limit(0).select("node", F.col("node").alias("component"))
     alone = loops.join(strong, "node", "left_anti").select("node", F.col("node").alias("component"))

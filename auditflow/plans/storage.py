@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting by which a query's shuffle files go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,8 +51,27 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/auditflow-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # what was shuffled for the files goes when they are written
+    try:
+        df.write.parquet(where)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    path, files = _path(spark, where)
+    files.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(where)
+    out._auditflow_files = where
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialized df that nothing reads any more; any other df is left alone."""
+    where = getattr(df, "_auditflow_files", None)
+    if where:
+        path, files = _path(df.sparkSession, where)
+        files.delete(path, True)
+
+
+def _path(spark: SparkSession, where: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -72,3 +72,18 @@ def test_packages(spark):
     nodes = spark.createDataFrame([("p/a/x.py",), ("p/ab/x.py",), ("q.py",)], "node string")
     packages = spark.createDataFrame([("root", ""), ("p", "p"), ("pa", "p/a")], "package string, root string")
     assert names(graph.package_of(nodes, packages), "node", "package") == [("p/a/x.py", "pa"), ("p/ab/x.py", "p"), ("q.py", "root")]
+
+
+def test_strong_components_leave_few_files(spark):
+    """What rounds wrote goes with them: no edges of trimming, colouring and walking stay."""
+    import os
+
+    from auditflow.plans.storage import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    n = 6
+    ring = spark.createDataFrame([(f"n{i:02}", f"n{(i + 1) % n:02}") for i in range(n)], "src string, dst string")
+    before = set(os.listdir(folder))
+    assert names(graph.components_strong(ring), "component") == ["n00"] * n
+    left = set(os.listdir(folder)) - before
+    assert len(left) < 14, len(left)
