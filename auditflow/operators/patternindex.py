@@ -9,6 +9,7 @@ wildcards by the plain text that they end or begin with, and a leaf keeps the nu
 that end there.  A path
 goes down the trie once, whatever the number of patterns.  A trie of at most `block` patterns is
 broadcast; longer lists make several, one pass over the paths each, whose best numbers are compared.
+Equal patterns are one, with the numbers of the first and of the last.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ class _Node:
         self.below: dict[str, _Node] = {}
         self.wild: dict[str, _Node] = {}
         # of segments with wildcards: by length, then by text, of what they end with, else of what they begin with
-        self.tails: dict[int, dict[str, list[tuple[re.Pattern, _Node]]]] = {}
-        self.heads: dict[int, dict[str, list[tuple[re.Pattern, _Node]]]] = {}
+        self.tails: dict[int, dict[str, list[tuple[_Segment, _Node]]]] = {}
+        self.heads: dict[int, dict[str, list[tuple[_Segment, _Node]]]] = {}
         self.any: _Node | None = None  # below **
         self.first = self.last = None  # numbers of the patterns that end here
 
@@ -56,7 +57,7 @@ class _Node:
             self.wild[text] = node = _Node()
             tail, head = re.split(r"[*?]", text)[-1], re.split(r"[*?]", text)[0]
             index, key = (self.tails, tail) if tail else (self.heads, head)
-            index.setdefault(len(key), {}).setdefault(key, []).append((_segment(text), node))
+            index.setdefault(len(key), {}).setdefault(key, []).append((_Segment(text), node))
         return self.wild[text]
 
     def steps(self, part: str) -> list[_Node]:
@@ -69,16 +70,34 @@ class _Node:
         return found
 
 
-def _segment(text: str) -> re.Pattern:
-    return re.compile("".join(".*" if t == "*" else "." if t == "?" else re.escape(t) for t in re.findall(r"\*+|\?|[^*?]+", text.replace("**", "*"))) + r"\Z", re.S)
+class _Segment:
+    """A segment with wildcards; one around a single run of stars needs no regular expression, others get theirs when first asked."""
+
+    __slots__ = ("ends", "found", "text")
+
+    def __init__(self, text: str):
+        self.text, self.found = re.sub(r"\*+", "*", text), None
+        self.ends = tuple(self.text.split("*")) if self.text.count("*") == 1 and "?" not in self.text else None
+
+    def match(self, part: str) -> bool:
+        if self.ends:
+            head, tail = self.ends
+            return len(part) >= len(head) + len(tail) and part.startswith(head) and part.endswith(tail)
+        if self.found is None:
+            self.found = re.compile("".join(".*" if t == "*" else "." if t == "?" else re.escape(t) for t in re.findall(r"\*|\?|[^*?]+", self.text)) + r"\Z", re.S)
+        return self.found.match(part) is not None
+
+    def __reduce__(self):
+        return _Segment, (self.text,)
 
 
 class PatternIndex:
     """Patterns by number; match() gives the least or the greatest number of those that fit a path."""
 
-    def __init__(self, patterns: list[tuple[int, str]]):
+    def __init__(self, patterns):
+        """patterns: (number, glob), or (first, last, glob)."""
         self.root = _Node()
-        for number, pattern in patterns:
+        for number, *greatest, pattern in patterns:
             parts = segments(pattern)
             node = self.root
             for p in parts:
@@ -91,7 +110,8 @@ class PatternIndex:
                     node = node.below.setdefault(p, _Node())
             if parts:
                 node.first = number if node.first is None else min(node.first, number)
-                node.last = number if node.last is None else max(node.last, number)
+                most = greatest[0] if greatest else number
+                node.last = most if node.last is None else max(node.last, most)
 
     def match(self, path: str, last: bool) -> int | None:
         parts = [p for p in path.split("/") if p]
@@ -128,13 +148,14 @@ def match(paths: DataFrame, rules: DataFrame, number: str, pattern: str, last: b
     rules: any table with a number and a glob.
     """
     spark = paths.sparkSession
-    rows = rules.select(F.col(number).cast("long").alias("n"), F.col(pattern).alias("p"))
+    n = F.col(number).cast("long")
+    rows = materialize(rules.groupBy(F.col(pattern).alias("p")).agg(F.min(n).alias("first"), F.max(n).alias("last")).select("first", "last", "p"))
     blocks = max(1, -(-rows.count() // block))
-    kept = materialize(rows) if blocks > 1 else rows
-    out = paths.withColumn(number, F.lit(None).cast("long"))
+    # a task a core, since each one loads the trie
+    out = paths.repartition(max(1, spark.sparkContext.defaultParallelism)).withColumn(number, F.lit(None).cast("long"))
     for b in range(blocks):
-        part = kept.filter(F.pmod(F.xxhash64("n"), F.lit(blocks)) == b) if blocks > 1 else kept
-        index = spark.sparkContext.broadcast(PatternIndex([(r.n, r.p) for r in part.collect()]))
+        part = rows.filter(F.pmod(F.xxhash64("p"), F.lit(blocks)) == b) if blocks > 1 else rows
+        index = spark.sparkContext.broadcast(PatternIndex(part.toLocalIterator()))
         if b:
             out = materialize(out)
         found = _matcher(index, last)(F.col("path"))

@@ -147,3 +147,13 @@ def test_what_files_hold_is_never_broadcast(spark, small, query):
     plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(before, store.executionsCount())]
     assert any("SortMergeJoin" in p for p in plans)
     assert not any("BroadcastExchange" in p for p in plans)
+
+
+def test_equal_patterns_are_one_and_stars_need_no_expression(monkeypatch):
+    index = patternindex.PatternIndex([(3, 9, "a*b"), (4, 4, "*.py"), (5, 5, "x?z")])
+    compiled = []
+    monkeypatch.setattr(patternindex.re, "compile", lambda *a, real=re.compile: compiled.append(a) or real(*a))
+    assert [index.match("d/a1b", last) for last in (False, True)] == [3, 9]
+    assert index.match("q/ab", False) == 3 and index.match("q/a", False) is None and index.match("m.py", True) == 4
+    assert not compiled
+    assert index.match("xyz", True) == 5 and len(compiled) == 1
