@@ -33,6 +33,8 @@ columns are not looked at, whatever their names.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -114,12 +116,30 @@ class Head:
         at = np.sort(best)
         self.listed_keys, self.listed_ids, self.listed_at = self.keys[at], self.ids[at], at
 
+    @cached_property
+    def _starts(self) -> tuple[np.ndarray, np.uint64]:
+        """Where the listed keys with each leading bits begin, and by how much a print is shifted to them."""
+        bits = len(self.listed_keys).bit_length() + 1
+        shift = np.uint64(64 - bits)
+        return np.searchsorted(self.listed_keys, np.arange(1 << bits, dtype=np.uint64) << shift), shift
+
+    def _search_listed(self, prints: np.ndarray) -> np.ndarray:
+        """np.searchsorted(listed_keys, prints), the last place at most; prints are spread evenly, so it is few steps from a start."""
+        starts, shift = self._starts
+        keys, last = self.listed_keys, len(self.listed_keys) - 1
+        at = np.minimum(np.take(starts, prints >> shift), last)
+        rest = np.flatnonzero((np.take(keys, at) < prints) & (at < last))
+        while len(rest):
+            at[rest] += 1
+            rest = rest[(keys[at[rest]] < prints[rest]) & (at[rest] < last)]
+        return at
+
     def find(self, prints: np.ndarray) -> np.ndarray:
         """Place in keys, or -1; the short list of most words is searched first."""
         out, rest = np.full(len(prints), -1), np.arange(len(prints))
         for keys, places in ((self.listed_keys, self.listed_at), (self.keys, None)):
             if len(keys) and len(rest):
-                at = np.minimum(np.searchsorted(keys, prints[rest]), len(keys) - 1)
+                at = np.minimum(np.searchsorted(keys, prints[rest]), len(keys) - 1) if places is None else self._search_listed(prints)
                 hit = keys[at] == prints[rest]
                 out[rest[hit]] = at[hit] if places is None else places[at[hit]]
                 rest = rest[~hit]
@@ -129,8 +149,8 @@ class Head:
         """Places on the list, -1 for words off it and the end, without looking at the others."""
         if not len(self.listed_keys):
             return np.full(len(prints), -1, np.int32)
-        at = np.minimum(np.searchsorted(self.listed_keys, prints), len(self.listed_keys) - 1)
-        return np.where(self.listed_keys[at] == prints, self.listed_ids[at], np.int32(-1))
+        at = self._search_listed(prints)
+        return np.where(np.take(self.listed_keys, at) == prints, np.take(self.listed_ids, at), np.int32(-1))
 
     def words(self, place: np.ndarray) -> np.ndarray:
         """Places on the list, -1 for words off it and the end, of places in keys."""
@@ -151,7 +171,11 @@ def contexts(tokens: np.ndarray, first: np.ndarray, start: int, distances=DISTAN
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    out = np.clip(x, -30, 30)
+    np.negative(out, out=out)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 def _alias(p: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,11 +226,16 @@ class Vectors:
     def hidden(self, ctx: np.ndarray) -> np.ndarray:
         """The sum of the context's vectors, each weighted by its distance, and a one."""
         t = self.tables
-        out = np.ones((len(ctx), self.dim + 1), np.float32)  # a one for the biases
-        h = out[:, : self.dim]
-        np.multiply(t["context"][ctx[:, 0]], t["weights"][0], out=h)
-        for k in range(1, ctx.shape[1]):
-            h += t["context"][ctx[:, k]] * t["weights"][k]
+        weighted = [np.zeros((len(t["context"]), self.dim + 1), np.float32) for _ in t["weights"]]
+        for table, by in zip(weighted, t["weights"]):
+            np.multiply(t["context"], by, out=table[:, : self.dim])
+        weighted[0][:, self.dim] = 1  # a one for the biases
+        out = np.empty((len(ctx), self.dim + 1), np.float32)
+        for lo in range(0, len(ctx), BLOCK):
+            part, at = out[lo : lo + BLOCK], ctx[lo : lo + BLOCK]
+            part[:] = np.take(weighted[0], at[:, 0], axis=0)
+            for k in range(1, ctx.shape[1]):
+                part += np.take(weighted[k], at[:, k], axis=0)
         return out
 
     def log_probs(self, ctx: np.ndarray, words: np.ndarray, is_end: np.ndarray) -> np.ndarray:
@@ -214,29 +243,46 @@ class Vectors:
         t = self.tables
         h, y = self.hidden(ctx), self.classes_of(words, is_end)
         out = _log_softmax_at(h, t["classes"], y)
-        order = np.argsort(y, kind="stable")
+        order = np.argsort(y.astype(np.min_scalar_type(self.end)), kind="stable")  # small numbers sort in linear time
         cuts = np.searchsorted(y[order], np.arange(self.n_groups + 1))
+        order = order[: cuts[-1]]  # listed words
+        h, at, more = np.take(h, order, axis=0), words[order] - y[order] * self.size, np.empty(len(order))
         for c in range(self.n_groups):
-            mine = order[cuts[c] : cuts[c + 1]]
-            if len(mine):
-                out[mine] += _log_softmax_at(h[mine], t["words"][c * self.size : (c + 1) * self.size], words[mine] - c * self.size)
+            mine = slice(cuts[c], cuts[c + 1])
+            if cuts[c] < cuts[c + 1]:
+                more[mine] = _log_softmax_at(h[mine], t["words"][c * self.size : (c + 1) * self.size], at[mine])
+        out[order] += more
         return out
 
 
 #: Rows of scores at a time, so that they stay in a core's cache.
-ROWS = 1024
+ROWS = 256
 
 
 def _log_softmax_at(h: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log softmax of h times the table's rows, at one row each."""
-    out, ones = np.empty(len(h)), np.ones(len(table), np.float32)
+    across, ones = np.ascontiguousarray(table.T), np.ones(len(table), np.float32)
+    room, total = np.empty((min(ROWS, len(h)), len(table)), np.float32), np.empty(len(h), np.float32)
+    most = np.float32(80)  # so that no shift by the greatest is needed
+    small = _longest(h) * _longest(table) < most  # then no score can be greater
+    mine = np.minimum(np.einsum("bd,bd->b", h, np.take(table, at, axis=0)), most)
     for lo in range(0, len(h), ROWS):
-        s = h[lo : lo + ROWS] @ table.T
-        np.minimum(s, 80, out=s)  # so that no shift by the greatest is needed
-        mine = s[np.arange(len(s)), at[lo : lo + ROWS]]
+        part = h[lo : lo + ROWS]
+        s = np.matmul(part, across, out=room[: len(part)])
+        if not small:
+            np.minimum(s, most, out=s)
         np.exp(s, out=s)
-        out[lo : lo + ROWS] = mine - np.log((s @ ones).astype(np.float64))
-    return out
+        np.matmul(s, ones, out=total[lo : lo + ROWS])
+    return mine.astype(np.float64) - np.log(total.astype(np.float64))
+
+
+def _longest(rows: np.ndarray) -> float:
+    return float(np.sqrt(np.einsum("bd,bd->b", rows, rows).max(initial=0)))
+
+
+def _across(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows of a table as (numbers, rows), so that steps are passes over whole arrays."""
+    return np.ascontiguousarray(np.take(table, rows, axis=0).T)
 
 
 class Trainer:
@@ -252,54 +298,88 @@ class Trainer:
         self.lift_class = np.log(NOISE_CLASSES * vectors.p_class).astype(np.float32)
         self.lift_word = np.log(NOISE * vectors.p_word).astype(np.float32)
 
-    def _add(self, name: str, rows: np.ndarray, grads: np.ndarray) -> None:
-        """An adaptive step up the gradient, summed by row."""
+    def _add(self, name: str, rows: np.ndarray, grads: np.ndarray, times: np.ndarray | None = None) -> None:
+        """An adaptive step up the gradient (numbers, rows), summed by row.
+
+        times: how often each row of the table was met, where rows are fewer.
+        """
         table, n = self.tables[name], len(self.tables[name])
-        times = np.bincount(rows, minlength=n)
+        times = np.bincount(rows, minlength=n) if times is None else times
         some = np.flatnonzero(times)
-        total = np.empty((len(some), grads.shape[1]), np.float32)
-        for d in range(grads.shape[1]):
-            total[:, d] = np.bincount(rows, weights=grads[:, d], minlength=n)[some]
-        self.squares[name][some] += (total**2).mean(axis=1)
-        table[some] += self.rate / np.sqrt(self.squares[name][some])[:, None] * total
+        rank = np.empty(n, np.int64)
+        rank[some] = np.arange(len(some))
+        rows = np.take(rank, rows)
+        total = np.empty((len(grads), len(some)), np.float32)
+        for d, grad in enumerate(grads):
+            total[d] = np.bincount(rows, weights=grad, minlength=len(some))
+        squares = self.squares[name][some] + (total**2).mean(axis=0)
+        self.squares[name][some] = squares
+        total *= self.rate / np.sqrt(squares)
+        table[some] = np.take(table, some, axis=0) + total.T
         self.met[name] += times
 
     def step(self, ctx: np.ndarray, words: np.ndarray, is_end: np.ndarray) -> None:
-        v, t, d, rng = self.v, self.tables, self.v.dim, self.rng
-        wide = np.ones((len(ctx), d + 1), np.float32)  # a one for the biases
-        h = wide[:, :d]
-        e = [t["context"][ctx[:, k]] for k in range(ctx.shape[1])]
-        np.multiply(e[0], t["weights"][0], out=h)
+        v, d, n, rng = self.v, self.v.dim, len(ctx), self.rng
+        t = self.tables
+        weights = t["weights"].T.copy()
+        wide = np.ones((d + 1, n), np.float32)  # a one for the biases
+        h = wide[:d]
+        e = [_across(t["context"], ctx[:, k]) for k in range(ctx.shape[1])]
+        np.multiply(e[0], weights[:, :1], out=h)
         for k in range(1, len(e)):
-            h += e[k] * t["weights"][k]
+            h += e[k] * weights[:, k : k + 1]
         y = v.classes_of(words, is_end)
         noise = rng.choice(len(v.p_class), NOISE_CLASSES, p=v.p_class)
         q = t["classes"]
-        qy, qn = q[y], q[noise]
-        right = 1 - _sigmoid(np.einsum("bd,bd->b", wide, qy) - self.lift_class[y])
-        wrong = -_sigmoid(wide @ qn.T - self.lift_class[noise])
-        back = right[:, None] * qy + wrong @ qn  # the gradient by h
-        class_rows, class_grads = np.concatenate((y, noise)), np.concatenate((right[:, None] * wide, wrong.T @ wide))
+        qy, qn = _across(q, y), _across(q, noise)
+        right = 1 - _sigmoid(np.einsum("db,db->b", wide, qy) - self.lift_class[y])
+        back = right * qy  # the gradient by h
+        class_grads = np.zeros((d + 1, n + NOISE_CLASSES), np.float32)
+        np.multiply(right, wide, out=class_grads[:, :n])
+        lift = self.lift_class[noise][:, None]
+        for lo in range(0, n, 4 * ROWS):
+            part = wide[:, lo : lo + 4 * ROWS]
+            wrong = _sigmoid(qn.T @ part - lift)
+            back[:, lo : lo + 4 * ROWS] -= qn @ wrong
+            class_grads[:, n:] -= part @ wrong.T
         mine = np.flatnonzero(words >= 0)
         if len(mine):
-            w, hw, c, q = words[mine], wide[mine], y[mine], t["words"]
-            rows, parts, more = [w], [], np.zeros((len(mine), d + 1), np.float32)
+            w, hw, q = words[mine], np.take(wide, mine, axis=1), t["words"]
+            top = w // v.size * v.size
+            size = np.minimum(v.size, v.n_words - top)
+            rows, more = np.empty((NOISE + 1, len(mine)), np.int64), np.zeros((d + 1, len(mine)), np.float32)
+            parts = np.empty((d + 1, NOISE + 1, len(mine)), np.float32)
             for k in range(NOISE + 1):
                 if k:  # a noise word of the same class, by the alias table
-                    n = np.minimum(v.size, v.n_words - c * v.size)
-                    slot = c * v.size + (rng.random(len(mine), np.float32) * n).astype(np.int64)
-                    rows.append(np.where(rng.random(len(mine), np.float32) < v.keep[slot], slot, v.alias[slot]))
-                qk = q[rows[k]]
-                g = (k == 0) - _sigmoid(np.einsum("bd,bd->b", hw, qk) - self.lift_word[rows[k]])
-                more += g[:, None] * qk
-                parts.append(g[:, None] * hw)
-            back[mine] += more
-            self._add("words", np.concatenate(rows), np.concatenate(parts))
-        self._add("classes", class_rows, class_grads)
-        back = back[:, :d]
-        by_distance = np.stack([np.einsum("bd,bd->d", back, x) for x in e])
-        self._add("context", ctx.T.ravel(), np.concatenate([back * x for x in t["weights"]]))
-        self._add("weights", np.arange(len(by_distance)), by_distance * 0.1)
+                    slot = top + (rng.random(len(mine), np.float32) * size).astype(np.int64)
+                    rows[k] = np.where(rng.random(len(mine), np.float32) < np.take(v.keep, slot), slot, np.take(v.alias, slot))
+                else:
+                    rows[k] = w
+                qk = _across(q, rows[k])
+                g = (k == 0) - _sigmoid(np.einsum("db,db->b", hw, qk) - np.take(self.lift_word, rows[k]))
+                np.multiply(g, hw, out=parts[:, k])
+                more += np.multiply(g, qk, out=qk)
+            back[:, mine] += more
+            self._add("words", rows.ravel(), parts.reshape(d + 1, -1))
+        self._add("classes", np.concatenate((y, noise)), class_grads)
+        back = back[:d]
+        by_distance = np.stack([np.einsum("db,db->d", back, x) for x in e], axis=1)
+        # a token is the context of the next ones: what it gets from them is added up before its row is looked for
+        at, parts, carried = [], [], None
+        for k in reversed(range(len(e))):
+            part = back * weights[:, k : k + 1]
+            if carried is not None:
+                part[:, :-1] += carried
+            if k:
+                same = ctx[1:, k] == ctx[:-1, k - 1]
+                carried = part[:, 1:] * same
+                alone = np.append(0, np.flatnonzero(~same) + 1)
+                at.append(ctx[alone, k])
+                parts.append(np.take(part, alone, axis=1))
+        at.append(ctx[:, 0])
+        parts.append(part)
+        self._add("context", np.concatenate(at), np.concatenate(parts, axis=1), np.bincount(ctx.ravel(), minlength=len(t["context"])))
+        self._add("weights", np.arange(len(e)), by_distance * 0.1)
 
     def changes(self):
         """(table, block, rows' numbers in it, times met, change) of what was met."""

@@ -250,6 +250,86 @@ def test_nce_learns_conditional_probabilities():
     assert np.abs(learned - true).mean() < 0.25 * uniform
 
 
+def _plain_step(trainer, ctx, words, is_end):
+    """A training step written token by token: the gradients of every row, as trainer._add gets them summed."""
+    v, t, rng = trainer.v, trainer.tables, trainer.rng
+    one = lambda x: 1 / (1 + math.exp(-min(max(float(x), -30), 30)))
+    sums = {k: np.zeros(x.shape) for k, x in t.items()}
+    met = {k: np.zeros(len(x), np.int64) for k, x in t.items()}
+    y, noise = v.classes_of(words, is_end), rng.choice(len(v.p_class), lm.NOISE_CLASSES, p=v.p_class)
+    mine, drawn = np.flatnonzero(words >= 0), []
+    for _ in range(lm.NOISE):
+        size = np.minimum(v.size, v.n_words - y[mine] * v.size)
+        slot = y[mine] * v.size + (rng.random(len(mine), np.float32) * size).astype(np.int64)
+        drawn.append(np.where(rng.random(len(mine), np.float32) < v.keep[slot], slot, v.alias[slot]))
+    drawn = dict(zip(mine.tolist(), zip(*drawn)))
+    for i in range(len(ctx)):
+        wide = np.append(sum(t["context"][c].astype(float) * w for c, w in zip(ctx[i], t["weights"])), 1)
+        back = np.zeros(v.dim + 1)
+        pairs = [("classes", y[i], 1, trainer.lift_class)] + [("classes", x, 0, trainer.lift_class) for x in noise]
+        pairs += [("words", x, k == 0, trainer.lift_word) for k, x in enumerate((words[i], *drawn[i]))] if i in drawn else []
+        for name, row, real, lift in pairs:
+            g = real - one(wide @ t[name][row] - lift[row])
+            back += g * t[name][row]
+            sums[name][row] += g * wide
+            met[name][row] += name == "words" or bool(real)
+        for k, c in enumerate(ctx[i]):
+            sums["context"][c] += back[:-1] * t["weights"][k]
+            sums["weights"][k] += 0.1 * back[:-1] * t["context"][c]
+            met["context"][c] += 1
+    met["classes"] += np.bincount(noise, minlength=len(v.p_class))  # shared by the batch: once each
+    met["weights"] += 1
+    return sums, met
+
+
+@pytest.mark.parametrize("rows", [[1], [5, 1, 40, 3], [300]])
+def test_step_is_the_plain_one_and_looks_for_few_rows(rows):
+    """A token that is the context of four others is looked for once, which before was four times."""
+    rng = np.random.default_rng(5)
+    counts = np.sort(rng.integers(1, 500, 70))[::-1]
+    v = lm.Vectors(counts, 40, 20, dim=6, size=16)
+    for name in ("classes", "words"):
+        v.tables[name] += rng.normal(0, 0.5, v.tables[name].shape).astype(np.float32)
+    first = np.concatenate(([0], np.cumsum(rows)))
+    words = rng.integers(-1, 70, first[-1]).astype(np.int32)
+    is_end = np.zeros(len(words), bool)
+    is_end[first[1:] - 1], words[first[1:] - 1] = True, -1
+    ctx = lm.contexts(np.where(words >= 0, words, 70 + rng.integers(0, 9, len(words))).astype(np.int32), first, v.start)
+    fast, plain = lm.Trainer(v, seed=3), lm.Trainer(v, seed=3)
+    sums, met = _plain_step(plain, ctx, words, is_end)
+    looked, add = {}, fast._add
+    fast._add = lambda name, rows, *more: (looked.__setitem__(name, len(rows)), add(name, rows, *more))
+    fast.step(ctx, words, is_end)
+    assert looked["context"] <= len(words) + 8 * len(rows)
+    for name, table in plain.tables.items():
+        squares = lm.START + (sums[name] ** 2).mean(axis=1)
+        want = table + plain.rate / np.sqrt(squares)[:, None] * sums[name]
+        assert np.allclose(fast.tables[name], want, atol=1e-5)
+        assert (fast.met[name] == met[name]).all()
+
+
+def test_listed_words_are_found_from_their_leading_bits():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 1000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        crowded = np.unique(np.concatenate((keys, keys[:1] + np.arange(20, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64))))
+        for k in (keys, crowded):
+            head = lm.Head(k, np.full(len(k), lm.LEAST_COUNT))
+            asked = np.concatenate((k, k + np.uint64(1), k - np.uint64(1), rng.integers(0, 1 << 64, 500, dtype=np.uint64)))
+            known = {x: i for x, i in zip(head.keys.tolist(), head.ids.tolist())}
+            assert head.find_listed(asked).tolist() == [known.get(x, -1) for x in asked.tolist()]
+            assert [int(head.keys[i]) if i >= 0 else -1 for i in head.find(asked)] == [x if x in known else -1 for x in asked.tolist()]
+
+
+def test_log_softmax_holds_large_scores():
+    rng = np.random.default_rng(8)
+    for scale in (0.3, 3.0):  # scores beyond any bound are cut at 80
+        h, table, at = (scale * rng.normal(0, 2, (700, 5))).astype(np.float32), (scale * rng.normal(0, 2, (30, 5))).astype(np.float32), rng.integers(0, 30, 700)
+        s = np.minimum(h.astype(float) @ table.T.astype(float), 80)
+        want = s[np.arange(700), at] - np.log(np.exp(s).sum(axis=1))
+        assert np.allclose(lm._log_softmax_at(h, table, at), want, atol=2e-4)
+
+
 def test_contexts_beat_none_and_smoothed_pairs(spark):
     """On held-out texts, against the same model without contexts and against add-k pair counts."""
     docs = store.table(spark, "/root/testdata/sf0.01", "documents")
