@@ -58,7 +58,8 @@ def placed(handed: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def closure(own_: DataFrame, handed: DataFrame) -> DataFrame:
     """(path, symbol, origin, origin_symbol): every symbol that can be imported from a file, and where it is defined."""
-    named = materialize(handed.filter("symbol <> '*' AND target <> '*'"))
+    handed = materialize(handed)  # read twice below; it holds the search for what imports mean
+    named = handed.filter("symbol <> '*' AND target <> '*'")
     stars = materialize(handed.filter("symbol = '*'").select("path", "dst").distinct())
     explicit = own_.select("path", "symbol").unionByName(named.select("path", "symbol")).distinct()
     explicit = materialize(explicit)

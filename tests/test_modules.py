@@ -157,3 +157,13 @@ def test_equal_patterns_are_one_and_stars_need_no_expression(monkeypatch):
     assert index.match("q/ab", False) == 3 and index.match("q/a", False) is None and index.match("m.py", True) == 4
     assert not compiled
     assert index.match("xyz", True) == 5 and len(compiled) == 1
+
+
+def test_symbol_closure_resolves_imports_once(spark, small):
+    """What imports mean is looked for once, not for names and again for stars."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    catalog.queries()["symbol_closure"](spark, small).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(before, store.executionsCount())]
+    assert sum("posexplode(candidates" in p for p in plans) == 1
