@@ -206,34 +206,39 @@ def cycles(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "component")
 
 
-def shortest_cycles(edges: DataFrame, components: DataFrame, starts: int = 64) -> DataFrame:
-    """(component, start, length): the shortest cycle through one of a component's first nodes.
+def shortest_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(component, start, length): the shortest cycle of each component, and the first node on one of that length.
 
-    Of equally short ones, the first start counts.  A self loop has length 1.  All starts of a
-    component walk together; once one of them has closed a cycle no later round has a shorter one,
-    and the component's walks end.
+    A self loop has length 1.  All nodes are starts, and all walk together: ahead and back from a
+    start, through nodes after it only, for the first node on a shortest cycle is the start of that
+    cycle.  Where the two ways of a start meet, a cycle closes; the side with fewer walks goes on
+    by one step a round.  A start ends when one of its sides does, a component with its first cycle.
     """
-    c = materialize(components)
-    e = edges.select("src", "dst").distinct().join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
+    c = components.select("node", "component")
+    loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct().join(c, "node")
+    found, length = [materialize(loops.groupBy("component").agg(F.min("node").alias("start")).withColumn("length", F.lit(1)))], 2
+    c = materialize(c.join(found[0].select("component"), "component", "left_anti").select("node", "component"))
+    e = edges.filter("src <> dst").select("src", "dst").distinct().join(c.toDF("src", "component"), "src").join(c.toDF("dst", "b"), "dst").filter("component = b").select("component", "src", "dst")
     e = materialize(e)
-    w = Window.partitionBy("component").orderBy("node")
-    first = c.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= starts).select("component", F.col("node").alias("start"), "node")
-    frontier = materialize(first)
-    seen, found, length = [frontier], [], 0
-    while True:
-        length += 1
-        # the frontier's edges back to the starts are few; the others are followed only where a component has none
-        closing = materialize(frontier.join(e, (F.col("node") == F.col("src")) & (F.col("start") == F.col("dst"))).groupBy("component").agg(F.min("start").alias("start")).withColumn("length", F.lit(length)))
+    turned = e.select("component", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ways = [(x, [materialize(x.filter("dst > src").select("component", F.col("src").alias("start"), F.col("dst").alias("node")))]) for x in (e, turned)]
+    ends = [seen[0] for _, seen in ways]  # ahead and back
+    while not any(x.isEmpty() for x in ends):
+        closing = materialize(ends[0].join(ends[1].select("start", "node"), ["start", "node"], "left_semi").groupBy("component").agg(F.min("start").alias("start")).withColumn("length", F.lit(length)))
         found.append(closing)
-        going = frontier.join(closing.select("component"), "component", "left_anti")
-        known = reduce(DataFrame.unionByName, seen)
-        step = going.join(e, F.col("node") == F.col("src")).select("component", "start", F.col("dst").alias("node")).distinct()
-        frontier = materialize(step.join(known, ["component", "start", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, found).select("component", "start", "length")
-        seen.append(frontier)
-        if len(seen) > 8:  # keep plans and file lists short on long rings
-            seen, found = [materialize(reduce(DataFrame.unionByName, seen))], [materialize(reduce(DataFrame.unionByName, found))]
+        side = int(ends[1].count() < ends[0].count())
+        links, seen = ways[side]
+        going = ends[side].join(closing.select("component"), "component", "left_anti").join(ends[1 - side].select("start").distinct(), "start", "left_semi")
+        step = going.join(links.select("src", "dst"), F.col("node") == F.col("src")).filter("dst > start").select("component", "start", F.col("dst").alias("node")).distinct()
+        known = reduce(DataFrame.unionByName, seen).select("start", "node")
+        ends[side] = materialize(step.join(known, ["start", "node"], "left_anti"))
+        ends[1 - side] = materialize(ends[1 - side].join(ends[side].select("start").distinct(), "start", "left_semi"))
+        seen.append(ends[side])
+        length += 1
+        for parts in (seen, found):  # keep plans and file lists short on long rings
+            if len(parts) > 8:
+                parts[:] = [materialize(reduce(DataFrame.unionByName, parts))]
+    return reduce(DataFrame.unionByName, found).select("component", "start", "length")
 
 
 def dead(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from auditflow.operators import graph, review
 from auditflow.plans import catalog
 from auditflow.sinks import reports
@@ -72,6 +74,31 @@ def test_shortest_cycles_by_brute_force(spark):
         assert got == want
 
 
+def test_shortest_cycles_takes_every_node_as_start(spark):
+    """70 nodes lie on cycles of three through y and z, which come after them and also point at each other."""
+    pairs = [("y", "z"), ("z", "y")] + [p for i in range(70) for p in ((f"n{i:02}", "z"), ("y", f"n{i:02}"))]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    components = graph.nodes_of(edges).select("node", F.lit("n00").alias("component"))
+    assert [tuple(r) for r in graph.shortest_cycles(edges, components).collect()] == [("n00", "y", 2)]
+
+
+def test_longer_shortest_cycles_by_brute_force(spark):
+    """Walks ahead and back meet at the right length, whichever side goes on; the first node of equally short cycles counts."""
+    for seed in (0, 2):
+        rng = random.Random(seed)
+        place = {f"n{i:03}": i for i in rng.sample(range(200), 120)}
+        pairs = [(a, b) for a, b in ((rng.choice(list(place)), rng.choice(list(place))) for _ in range(800)) if 0 < (place[b] - place[a]) % 200 < 50]  # round a ring, so that no cycle is shorter than five
+        component, out = _components(pairs)
+        want = {}
+        for x in sorted(component):
+            inside = {y for y in component if component[y] == component[x]}
+            want[component[x]] = min(want.get(component[x], (999, "")), (_distance(out, x, inside), x))
+        rows = [(x, c) for x, c in component.items()]
+        edges = spark.createDataFrame(pairs, "src string, dst string")
+        got = {r.component: (r.length, r.start) for r in graph.shortest_cycles(edges, spark.createDataFrame(rows, "node string, component string")).collect()}
+        assert got == want and all(n > 4 for n, _ in want.values())
+
+
 def _walked(pairs):
     """Cycles that a depth-first walk in name order meets, by plain recursion."""
     out, state, found = {}, {}, set()
