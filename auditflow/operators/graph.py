@@ -145,17 +145,76 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def components_strong(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components with more than one node or a loop.
 
-    Rounds of colouring: nodes that cannot lie on a cycle are trimmed, the greatest name that
-    reaches a node colours it, and what reaches a colour's own node within the colour is its
-    component.  component is its smallest node.
-    The rounds run over numbers in the order of the names, and keep the files of the last one alone.
+    component is its smallest node.  The rounds of strong_sets run over numbers of the names.
     """
     links = materialize(edges.select("src", "dst").distinct())
-    loops = links.filter("src = dst").select(F.col("src").alias("node"))
-    links = links.filter("src <> dst")
-    names = materialize(nodes_of(links).orderBy("node").select(F.monotonically_increasing_id().alias("id"), "node"))
+    names = materialize(nodes_of(links.filter("src <> dst")).orderBy("node").select(F.monotonically_increasing_id().alias("id"), "node"))
     number = lambda end: shuffled(names.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id")))
-    e = materialize(links.join(number("src"), "src").join(number("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
+    e = materialize(links.filter("src <> dst").join(number("src"), "src").join(number("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
+    sets = strong_sets(e)
+    release(e)
+    return by_smallest(sets.withColumnRenamed("node", "id").join(shuffled(names), "id").select("node", "root"), links.filter("src = dst").select(F.col("src").alias("node")))
+
+
+def by_smallest(sets: DataFrame, loops: DataFrame) -> DataFrame:
+    """(node, component) of the (node, root) of sets and of the nodes with loops: component is the smallest node."""
+    strong = sets.join(sets.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+    alone = loops.join(strong, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return strong.unionByName(alone)
+
+
+def _carried(links: DataFrame, state: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, c, was): the greatest c that reaches each node of (node, c) along links, or does so in some rounds.
+
+    Only nodes whose c is new (was, the one a step before, differs) offer it.
+    """
+    state = state.withColumn("was", F.lit(None).cast("long"))
+    while rounds is None or rounds:
+        new = state
+        for _ in range(4):  # steps a round
+            offers = links.join(new.filter("NOT (c <=> was)"), F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c", F.lit(None).cast("long").alias("was"))
+            new = new.select("node", "c", F.col("c").alias("was")).unionByName(offers).groupBy("node").agg(F.max("c").alias("c"), F.max("was").alias("was"))
+        last, state = state, materialize(new)
+        release(last)
+        if state.filter("NOT (c <=> was)").isEmpty():
+            break
+        rounds = rounds and rounds - 1
+    return state
+
+
+def _strong_once(e: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, root): for the colours of one pass, the root and what it reaches that reaches it.
+
+    The greatest number that reaches a node colours it; what reaches a colour's own node within the
+    colour is strong with it.  That holds as well after some rounds, only that sets may lack nodes.
+    """
+    colour = _carried(e, nodes_of(e).withColumn("c", F.col("node")), rounds)
+    of = colour.select("node", "c")
+    inside = materialize(e.join(of.toDF("src", "a"), "src").join(of.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst"))
+    back = _carried(reverse(inside), of.withColumn("c", F.when(F.col("node") == F.col("c"), F.col("c"))), rounds)
+    release(colour)
+    release(inside)
+    return back.filter("c IS NOT NULL").select("node", F.col("c").alias("root"))
+
+
+def strong_sets(e: DataFrame) -> DataFrame:
+    """(node, root) of the strongly connected sets of two nodes and more; e: (src, dst) numbers, no pair twice, no loops.
+
+    What is strong over few edges, two ahead and two back a node, is one node for all others, so
+    that most edges are read four times only.  Then come rounds over all edges that are left: nodes
+    that cannot lie on a cycle are trimmed, and one pass of colours finds a set for each root.
+    The files of rounds gone by are deleted.
+    """
+    e = e.filter("src IS NOT NULL AND dst IS NOT NULL")
+    two = lambda a, b: e.groupBy(a).agg(F.array(F.min(b), F.max(b)).alias(b)).select(a, F.explode(b).alias(b))
+    few = materialize(two("src", "dst").unionByName(two("dst", "src")).distinct())
+    near = None
+    if few.count() * 2 < e.count():
+        near = materialize(_strong_once(few, 3).filter("node <> root"))
+        to = lambda end: near.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        whole = e.join(to("src"), "src", "left").join(to("dst"), "dst", "left").select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst"))
+        e = materialize(whole.filter("src <> dst").distinct())
+    release(few)
     found = []
     while True:
         before = e.count()
@@ -171,34 +230,18 @@ def components_strong(edges: DataFrame) -> DataFrame:
             before = after
         if not before:
             break
-        colour = materialize(nodes_of(e).withColumn("c", F.col("node")))
-        while True:
-            new = colour.select("node", "c", F.col("c").alias("was"))
-            for _ in range(4):  # steps a round
-                offers = e.join(new, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c", F.lit(None).cast("long").alias("was"))
-                new = new.unionByName(offers).groupBy("node").agg(F.max("c").alias("c"), F.max("was").alias("was"))
-            last, colour = colour, materialize(new)
-            release(last)
-            if colour.filter("c <> was").isEmpty():
-                break
-        of = colour.select("node", "c")
-        inside = e.join(of.toDF("src", "a"), "src").join(of.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
-        roots = of.filter("node = c").select("node", F.col("node").alias("root"))
-        mine = materialize(spread(reverse(inside), roots, None, ["root"]).select("root", "node"))
-        release(colour)
-        found.append(mine)
+        mine = _strong_once(e)
+        found.append(mine.filter("node <> root"))
         done = mine.select("node")
         last, e = e, materialize(e.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
         release(last)
-    if found:
-        all_ = reduce(DataFrame.unionByName, found)
-        numbered = all_.groupBy("root").agg(F.min("node").alias("id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        smallest = numbered.join(shuffled(names), "id").select("root", F.col("node").alias("component"))
-        strong = all_.withColumnRenamed("node", "id").join(shuffled(names), "id").join(smallest, "root").select("node", "component")
-    else:
-        strong = loops.limit(0).select("node", F.col("node").alias("component"))
-    alone = loops.join(strong, "node", "left_anti").select("node", F.col("node").alias("component"))
-    return strong.unionByName(alone)
+    none = e.select(F.col("src").alias("node"), F.col("dst").alias("root")).limit(0)
+    far = materialize(reduce(DataFrame.unionByName, found, none))
+    sets = far
+    if near is not None:
+        outer = far.select(F.col("node").alias("root"), F.col("root").alias("r"))
+        sets = far.unionByName(near.join(outer, "root", "left").select("node", F.coalesce("r", "root").alias("root")))
+    return materialize(sets.unionByName(sets.select(F.col("root").alias("node"), "root").distinct()))
 
 
 def cycles(components: DataFrame) -> DataFrame:

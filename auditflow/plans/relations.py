@@ -40,11 +40,18 @@ def _select(columns: dict[str, str], source: str) -> str:
     return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + f" FROM {source}"
 
 
-_EDGES = """
-SELECT DISTINCT concat('src/d', a.l_partkey % 25, '/m', a.l_partkey, CASE WHEN a.l_partkey % 4 = 0 THEN '.ts' ELSE '.py' END) AS src,
-       concat('src/d', b.l_partkey % 25, '/m', b.l_partkey, CASE WHEN b.l_partkey % 4 = 0 THEN '.ts' ELSE '.py' END) AS dst,
-       CASE WHEN a.l_suppkey % 5 = 0 THEN 're-exports' WHEN a.l_suppkey % 7 = 0 THEN 'test-of' ELSE 'imports' END AS kind, a.l_suppkey % 3 = 0 AS deferred
-FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+def part_path(key: str) -> str:
+    """The file that stands for a part, as an expression of its key."""
+    return f"concat('src/d', {key} % 25, '/m', {key}, CASE WHEN {key} % 4 = 0 THEN '.ts' ELSE '.py' END)"
+
+
+_KIND = "CASE WHEN a.l_suppkey % 5 = 0 THEN 're-exports' WHEN a.l_suppkey % 7 = 0 THEN 'test-of' ELSE 'imports' END AS kind"
+_NEIGHBOURS = "FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"
+_EDGES = f"""
+SELECT DISTINCT {part_path("a.l_partkey")} AS src,
+       {part_path("b.l_partkey")} AS dst,
+       {_KIND}, a.l_suppkey % 3 = 0 AS deferred
+{_NEIGHBOURS}
 """
 
 #: Files of many lines: a line repeated.
@@ -127,6 +134,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_EDGES.replace("FROM lineitem a JOIN lineitem b", "FROM {l} a JOIN {l} b"), l=table(spark, sf_dir, "lineitem"))
 
 
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, kind) of edges by the parts that the files stand for, pairs more than once; part_path names the files."""
+    pairs = f"SELECT a.l_partkey AS src, b.l_partkey AS dst, {_KIND} {_NEIGHBOURS}"
+    return spark.sql(pairs.replace("FROM lineitem a JOIN lineitem b", "FROM {l} a JOIN {l} b"), l=table(spark, sf_dir, "lineitem"))
+
+
 def tall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(*(F.expr(e).alias(n) for n, e in _TALL.items()))
 

@@ -68,6 +68,38 @@ def test_components_of_random_graphs(spark, pairs):
     assert names(graph.components_strong(edges(spark, pairs)), "node", "component") == _strong(pairs)
 
 
+def _blocks(rng, blocks, size):
+    """Dense blocks: the first three in a ring of blocks, the others in a chain with a tail and a loop; by shuffled names."""
+    names_ = [f"n{i:03}" for i in rng.sample(range(500), blocks * size + 2)]
+    of = [names_[i * size : (i + 1) * size] for i in range(blocks)]
+    pairs = {(a, b) for block in of for a in block for b in block if a != b and rng.random() < 0.9}
+    pairs |= {(rng.choice(of[a]), rng.choice(of[b])) for a, b in [(0, 1), (1, 2), (2, 0), *((i, i + 1) for i in range(2, blocks - 1))]}
+    return sorted(pairs | {(of[-1][0], names_[-1]), (names_[-1], names_[-2]), (names_[-2], names_[-2])})
+
+
+def test_components_of_dense_graphs(spark):
+    import random
+
+    for seed in range(2):
+        pairs = _blocks(random.Random(seed), 6, 14)
+        assert names(graph.components_strong(edges(spark, pairs)), "node", "component") == _strong(pairs)
+
+
+def test_dense_graphs_shrink_before_their_rounds(spark, monkeypatch):
+    """Rounds run over few edges a node; all of them are written as names and as numbers only."""
+    pairs = [(f"n{i:02}", f"n{j:02}") for i in range(30) for j in range(30) if i != j]
+    written = []
+
+    def counted(df, real=graph.materialize):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    assert names(graph.components_strong(edges(spark, pairs)), "component") == ["n00"] * 30
+    assert sum(n > len(pairs) / 2 for n in written) == 2, written
+
+
 def test_packages(spark):
     nodes = spark.createDataFrame([("p/a/x.py",), ("p/ab/x.py",), ("q.py",)], "node string")
     packages = spark.createDataFrame([("root", ""), ("p", "p"), ("pa", "p/a")], "package string, root string")
